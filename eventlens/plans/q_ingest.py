@@ -1 +1,143 @@
-"""Plans (filled in below)."""
+"""Plans I1-I2 and C1-C13 (landing and cleaning) over the messy raw view."""
+
+from __future__ import annotations
+
+import hashlib
+
+from ..operators import clean as C
+from ..session import scratch_path
+from ..sources import CORRUPT, load_raw_csv, write_raw_csv
+from ..sources.fixtures import RAW_COLUMNS
+from . import oracle as O
+from .registry import RAW, plan, with_clean
+
+RAW_COLS = ", ".join(RAW_COLUMNS)
+
+
+def with_raw(body: str, unknown_group: int | None = None) -> str:
+    return "WITH " + O.raw_view(unknown_group) + "\n" + body
+
+
+def landed_csv(spark, d):
+    """Write the raw view as a CRLF-terminated CSV folder in the shared scratch
+    folder (once per input folder) and return its path."""
+    tag = hashlib.sha1(d.rstrip("/").encode()).hexdigest()[:12]
+    path = scratch_path(spark, "landing", tag)
+    write_raw_csv(RAW(spark, d), path)
+    return path
+
+
+@plan("load_raw_csv", with_raw(f"SELECT {RAW_COLS} FROM RR"))
+def load_raw(spark, d):
+    return load_raw_csv(spark, landed_csv(spark, d))
+
+
+@plan("load_audit", with_clean(f"""
+SELECT 'raw' AS stage, count(*) AS num_rows FROM RR
+UNION ALL SELECT 'malformed', CAST(0 AS BIGINT)
+UNION ALL SELECT 'distinct', count(*) FROM D
+UNION ALL SELECT 'rejects', count(*) FROM T WHERE NOT ({O.LEN_OK})
+UNION ALL SELECT 'informative', count(*) FROM K
+UNION ALL SELECT 'clean', count(*) FROM C"""))
+def load_audit(spark, d):
+    raw = load_raw_csv(spark, landed_csv(spark, d), keep_corrupt=True)
+    return C.load_audit(raw, corrupt_col=CORRUPT)
+
+
+@plan("exact_dedup", with_raw(f"SELECT DISTINCT {RAW_COLS} FROM RR"))
+def exact_dedup(spark, d):
+    return C.exact_dedup(RAW(spark, d))
+
+
+def _raw_with(expr_sql: str, col: str) -> str:
+    cols = ", ".join(expr_sql if x == col else x for x in RAW_COLUMNS)
+    return with_raw(f"SELECT {cols} FROM RR")
+
+
+@plan("trim_text", _raw_with("trim(company, ' ') AS company", "company"))
+def trim_text(spark, d):
+    return C.trim_text(RAW(spark, d), ("company",))
+
+
+@plan("strip_suffix_on_prefix", _raw_with(
+    "CASE WHEN lower(country) LIKE 'united state%' THEN rtrim(country, '.') ELSE trim(country, ' ') END AS country",
+    "country"))
+def strip_suffix_on_prefix(spark, d):
+    return C.strip_suffix_on_prefix(RAW(spark, d), "country")
+
+
+@plan("collapse_category", _raw_with(
+    "CASE WHEN lower(industry) LIKE 'crypto%' THEN 'Crypto' ELSE industry END AS industry", "industry"))
+def collapse_category(spark, d):
+    return C.collapse_category(RAW(spark, d), "industry")
+
+
+@plan("null_token_to_null", _raw_with(
+    "CASE WHEN industry IS NULL OR upper(industry) = 'NULL' THEN NULL ELSE industry END AS industry", "industry"))
+def null_token_to_null(spark, d):
+    return C.null_token_to_null(RAW(spark, d), "industry")
+
+
+@plan("null_token_to_label", _raw_with(
+    "CASE WHEN upper(stage) = 'NULL' THEN 'Unknown' ELSE stage END AS stage", "stage"))
+def null_token_to_label(spark, d):
+    return C.null_token_to_label(RAW(spark, d), "stage")
+
+
+@plan("safe_date", _raw_with("CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS date", "date"))
+def safe_date(spark, d):
+    return C.safe_date(RAW(spark, d), "date")
+
+
+@plan("safe_numeric", with_raw(", ".join(
+    {"total_laid_off": "TRY_CAST(total_laid_off AS INTEGER) AS total_laid_off",
+     "percentage_laid_off": "TRY_CAST(percentage_laid_off AS DOUBLE) AS percentage_laid_off"}.get(x, x)
+    for x in RAW_COLUMNS).join(["SELECT ", " FROM RR"])))
+def safe_numeric(spark, d):
+    df = C.safe_numeric(RAW(spark, d), "total_laid_off", "int")
+    return C.safe_numeric(df, "percentage_laid_off", "double")
+
+
+@plan("strip_invisible_numeric", _raw_with(
+    "round(TRY_CAST(translate(funds_raised_millions, chr(160) || chr(13) || chr(10), '') AS DOUBLE), 2)"
+    " AS funds_raised_millions", "funds_raised_millions"))
+def strip_invisible_numeric(spark, d):
+    return C.strip_invisible_numeric(RAW(spark, d), "funds_raised_millions")
+
+
+@plan("drop_uninformative", with_clean(
+    "SELECT * FROM T WHERE NOT (total_laid_off IS NULL AND percentage_laid_off IS NULL)"))
+def drop_uninformative(spark, d):
+    typed = C.typed_projection(C.exact_dedup(RAW(spark, d)))
+    return C.drop_uninformative(typed)
+
+
+@plan("impute_from_peer", with_clean("""
+SELECT K.company, K.location, K.country, coalesce(K.industry, DON.donor) AS industry, K.stage, K.date,
+       K.total_laid_off, K.percentage_laid_off, K.funds_raised_millions
+FROM K LEFT JOIN DON ON K.company = DON.company"""))
+def impute_from_peer(spark, d):
+    return C.clean_stages(RAW(spark, d))["informative"].transform(
+        lambda df: C.impute_from_peer(df, "company", "industry", "min"))
+
+
+@plan("label_unknown", with_clean("SELECT * FROM C", unknown_group=7))
+def label_unknown(spark, d):
+    return C.clean_events(RAW(spark, d, unknown_group=7))
+
+
+@plan("clean_events", with_clean("SELECT * FROM C"))
+def clean_events(spark, d):
+    return C.clean_events(RAW(spark, d))
+
+
+# Imputation by the most frequent peer value (ties -> smallest value).
+@plan("impute_mode", with_clean("""
+, DM AS (SELECT company, mode() WITHIN GROUP (ORDER BY industry) AS donor FROM K
+         WHERE industry IS NOT NULL AND company IS NOT NULL GROUP BY company)
+SELECT K.company, K.location, K.country, coalesce(K.industry, DM.donor, 'Unknown') AS industry, K.stage, K.date,
+       K.total_laid_off, K.percentage_laid_off, K.funds_raised_millions
+FROM K LEFT JOIN DM ON K.company = DM.company""", unknown_group=7))
+def impute_mode(spark, d):
+    return C.clean_events(RAW(spark, d, unknown_group=7), strategy="mode")
+

@@ -34,6 +34,8 @@ def load_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
           .option("lineSep", line_sep)
           .option("quote", quote)
           .option("escape", quote)
+          .option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False)
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
           .csv(path))
@@ -47,4 +49,7 @@ def write_raw_csv(df: DataFrame, path: str, line_sep: str = "\n") -> None:
        .option("lineSep", line_sep)
        .option("quote", '"')
        .option("escape", '"')
+       # keep outer spaces: the cleaning rules, not the writer, decide on them
+       .option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False)
        .csv(path))
