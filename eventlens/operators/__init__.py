@@ -1,3 +1,3 @@
 """Operators: lazy DataFrame -> DataFrame functions, grouped by analysis area."""
 
-from . import breakdown, trend  # noqa: F401
+from . import analyze, breakdown, clean, profile, trend  # noqa: F401
