@@ -1 +1,129 @@
-"""Plans (filled in below)."""
+"""Plans G1-G7 and D1-D3 (geographic and dashboard datasets)."""
+
+from __future__ import annotations
+
+from ..operators import breakdown as K
+from ..operators import geo as G
+from ..sources import city_coordinates, country_name_lookup
+from ..sources.geo_lookup import COUNTRY_NAME_MAP, CITY_ROWS
+from . import oracle as O
+from .q_breakdown import CITY_SQL
+from .registry import F, R, plan, with_f
+
+
+def _values(rows, cols) -> str:
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return repr(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+    return f"(VALUES {body}) AS t({', '.join(cols)})"
+
+
+_COORDS = "CO AS (SELECT country, city, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM " + _values(
+    [(a, b, f, g) for a, b, _, _, _, f, g in CITY_ROWS], ["country", "city", "lat", "lng"]) + ")"
+_NAMES = "NM AS (SELECT * FROM " + _values(list(COUNTRY_NAME_MAP.items()), ["external_name", "internal_name"]) + ")"
+
+
+@plan("city_map_rows", with_f("""
+SELECT CITY.country, CITY.city, num_companies, total_laid_off, layoff_rate_raw, CO.lat, CO.lng
+FROM CITY LEFT JOIN CO ON CITY.country = CO.country AND CITY.city = CO.city""", CITY_SQL, _COORDS))
+def city_map_rows(spark, d):
+    return G.city_map_rows(F(spark, d), R, city_coordinates(spark))
+
+
+_COUNTRY_TOTALS = """CT AS (
+  SELECT country, country_total, num_cities, max(country_total) OVER () AS max_country_total,
+         CAST(max(mx) OVER () AS BIGINT) AS max_city_total
+  FROM (SELECT country, CAST(sum(total_laid_off) AS BIGINT) AS country_total, count(*) AS num_cities,
+               max(total_laid_off) AS mx FROM CITY GROUP BY country) X)"""
+
+
+@plan("country_totals", with_f("SELECT * FROM CT", CITY_SQL, _COUNTRY_TOTALS))
+def country_totals(spark, d):
+    return G.country_totals(K.city_breakdown(F(spark, d), R, order=False))
+
+
+@plan("harmonize_names", with_f(f"""
+SELECT coalesce(NM.internal_name, CB.country) AS country, num_companies, total_laid_off, avg_laid_off
+FROM (SELECT country, count(DISTINCT company) AS num_companies, CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off,
+             {O.int_avg('total_laid_off')} AS avg_laid_off
+      FROM F WHERE total_laid_off IS NOT NULL GROUP BY country) CB
+LEFT JOIN NM ON CB.country = NM.external_name""", _NAMES))
+def harmonize_names(spark, d):
+    return G.harmonize_names(K.country_breakdown(F(spark, d), R, order=False), "country", country_name_lookup(spark))
+
+
+@plan("intensity", with_f("""
+SELECT *, round(pow(CAST(country_total AS DOUBLE) / nullif(CAST(max(country_total) OVER () AS DOUBLE), 0), 0.4), 6)
+         AS intensity
+FROM CT""", CITY_SQL, _COUNTRY_TOTALS))
+def intensity(spark, d):
+    return G.intensity(G.country_totals(K.city_breakdown(F(spark, d), R, order=False), order=False), "country_total")
+
+
+@plan("bubble_size", with_f("""
+SELECT *, radius > 8 AS show_label FROM (
+  SELECT *, round(4.0 * (1.0 - t) + 28.0 * t, 6) AS radius FROM (
+    SELECT *, CASE WHEN sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE)) <> 0
+                   THEN sqrt(CAST(total_laid_off AS DOUBLE))
+                        / sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE))
+                   ELSE 0.5 END AS t
+    FROM CITY) X) Y""".replace("SELECT *, round(4.0", "SELECT * EXCLUDE (t), round(4.0"), CITY_SQL))
+def bubble_size(spark, d):
+    return G.bubble_size(K.city_breakdown(F(spark, d), R, order=False))
+
+
+@plan("country_panel", with_f(f"""
+, P AS (SELECT country, CAST(sum(total_laid_off) AS BIGINT) AS country_total, count(*) AS num_cities,
+               CAST(sum(num_companies) AS BIGINT) AS companies_sum,
+               {O.ratio('sum(CAST(layoff_rate_raw * 100 AS BIGINT))', 'count(layoff_rate_raw) * 100', 1)}
+                 AS avg_city_rate
+        FROM CITY GROUP BY country),
+B AS (SELECT country, count(DISTINCT company) AS distinct_companies,
+             CAST(sum(total_laid_off) AS DOUBLE) AS t, sum(total_laid_off / percentage_laid_off) AS est
+      FROM F WHERE total_laid_off IS NOT NULL AND funds_raised_millions IS NOT NULL
+        AND percentage_laid_off IS NOT NULL AND percentage_laid_off > 0 GROUP BY country)
+SELECT P.country, country_total, num_cities, companies_sum, avg_city_rate, distinct_companies,
+       round(t * 100.0 / nullif(est, 0), 2) AS weighted_rate_pct
+FROM P JOIN B ON P.country = B.country""", CITY_SQL))
+def country_panel(spark, d):
+    return G.country_panel(F(spark, d), R)
+
+
+@plan("city_bars", with_f(f"""
+SELECT country, CAST(row_number() OVER (PARTITION BY country ORDER BY total_laid_off DESC, city) AS INTEGER) AS bar_rank,
+       city, total_laid_off, num_companies, layoff_rate_raw,
+       CAST({O.ratio('total_laid_off * 100', 'max(total_laid_off) OVER (PARTITION BY country)', 0)} AS INTEGER)
+         AS pct_of_max
+FROM CITY""", CITY_SQL))
+def city_bars(spark, d):
+    return G.city_bars(K.city_breakdown(F(spark, d), R, order=False))
+
+
+@plan("kpi_cards", with_f(f"""
+SELECT CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off, count(DISTINCT company) AS num_companies,
+       count(DISTINCT country) AS num_countries,
+       {O.ratio("sum(CASE WHEN percentage_laid_off > 0 THEN CAST(round(percentage_laid_off * 1000000.0) AS BIGINT) END)",
+                "count(CASE WHEN percentage_laid_off > 0 THEN 1 END) * 1000000", 2)} AS avg_layoff_rate
+FROM F"""))
+def kpi_cards(spark, d):
+    return G.kpi_cards(F(spark, d), R)
+
+
+@plan("top_industries", with_f(f"""
+SELECT industry, count(DISTINCT company) AS num_companies, CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off,
+       {O.int_avg('total_laid_off')} AS avg_laid_off
+FROM F WHERE industry <> 'Unknown' AND total_laid_off IS NOT NULL GROUP BY industry
+ORDER BY total_laid_off DESC, industry LIMIT 10"""))
+def top_industries(spark, d):
+    return G.top_industries(F(spark, d), R, n=10)
+
+
+SLICE = dict(years=(1996, 1997), countries=("ASIA", "EUROPE"))
+
+
+@plan("slice", with_f("""
+SELECT * FROM F WHERE year(date) IN (1996, 1997) AND country IN ('ASIA', 'EUROPE')"""))
+def slice_events(spark, d):
+    return G.slice_events(F(spark, d), R, **SLICE)
