@@ -76,19 +76,26 @@ def bubble_size(city: DataFrame, col: str = "total_laid_off", r_min: float = R_M
     return city.withColumn("radius", F.round(radius, scale)).withColumn("show_label", c("radius") > label_at)
 
 
-def country_panel(df: DataFrame, r: Roles = DEFAULT, order: bool = True) -> DataFrame:
-    """Per country panel: country_total, num_cities, companies_sum (per-city
-    distinct companies added up, so an entity in two cities counts twice —
-    the source's figure), avg_city_rate (unweighted mean of city rates, 1 dp),
-    and the corrected distinct_companies and weighted_rate_pct
-    (total / estimated headcount, 2 dp)."""
-    city = city_breakdown(df, r, order=False)
-    panel = city.groupBy("country").agg(
+def city_panel(city: DataFrame, order: bool = True) -> DataFrame:
+    """Country panel from city aggregates, as the map's side panel computes it:
+    country_total, num_cities, companies_sum (per-city distinct companies added
+    up, so an entity present in two cities counts twice) and avg_city_rate
+    (unweighted mean of the city rates, 1 dp)."""
+    out = city.groupBy("country").agg(
         F.sum("total_laid_off").cast("long").alias("country_total"),
         F.count(F.lit(1)).alias("num_cities"),
         F.sum("num_companies").cast("long").alias("companies_sum"),
         ratio(F.sum((c("layoff_rate_raw") * 100).cast("long")), F.count("layoff_rate_raw") * 100, 1)
         .alias("avg_city_rate"))
+    return ordered(out, order, F.desc("country_total"), "country")
+
+
+def country_panel(df: DataFrame, r: Roles = DEFAULT, order: bool = True) -> DataFrame:
+    """`city_panel` over the event table's city aggregates, plus the corrected
+    figures from the events themselves: distinct_companies and
+    weighted_rate_pct (total / estimated headcount, 2 dp). Both sides are
+    per-country aggregates, so the join is between two small frames."""
+    panel = city_panel(city_breakdown(df, r, order=False), order=False)
     base = (df.filter(not_null(r.total, r.funds, r.pct) & (c(r.pct) > 0))
               .groupBy(c(r.country).alias("country"))
               .agg(F.countDistinct(r.company).alias("distinct_companies"),
@@ -126,16 +133,19 @@ def top_industries(df: DataFrame, r: Roles = DEFAULT, n: int = 10) -> DataFrame:
 
 
 def slice_events(df: DataFrame, r: Roles = DEFAULT, years=None, countries=None, industries=None,
-                 stages=None) -> DataFrame:
+                 stages=None, year_column: str = "event_year") -> DataFrame:
     """Dashboard slicers: keep events in the given years / countries /
     industries / stages (None = no restriction). The year test is also
-    written as a date range so it can reach the scan."""
+    written as a date range so it reaches the parquet scan, and on a table
+    partitioned by ``year_column`` it prunes partition folders."""
     cond = F.lit(True)
     if years:
         ys = sorted(set(int(y) for y in years))
         cond = cond & (c(r.date) >= F.make_date(F.lit(ys[0]), F.lit(1), F.lit(1))) \
                     & (c(r.date) < F.make_date(F.lit(ys[-1] + 1), F.lit(1), F.lit(1))) \
                     & year_of(r).isin(ys)
+        if year_column in df.columns:   # a table written by write_event_table: prune folders
+            cond = cond & c(year_column).isin(ys)
     for col, vals in ((r.country, countries), (r.industry, industries), (r.stage, stages)):
         if vals:
             cond = cond & c(col).isin(list(vals))

@@ -2,10 +2,9 @@
 
 `fact_view` is the typed event table (roles as in `Roles()`), `raw_view` the
 same events as messy all-string landing rows. Both are lazy DataFrames over
-``orders ⋈ customer ⋈ nation ⋈ region``; the dimension side is enriched first
-(nation/region are tiny and Spark broadcasts them by its size check), then
-the fact table joins it once. No hint forces a broadcast of ``customer``: at
-scale it is large, and Spark picks broadcast or sort-merge from its size.
+``orders ⋈ customer ⋈ nation ⋈ region``. No hint forces a broadcast of
+``customer``: at scale it is large, and Spark picks broadcast or sort-merge
+from its size estimate; nation and region are always tiny.
 """
 
 from __future__ import annotations
@@ -19,15 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    cust = (c.join(n, c.c_nationkey == n.n_nationkey)
+    # The fact table streams through the joins. Spark broadcasts a side only
+    # when its size estimate is under spark.sql.autoBroadcastJoinThreshold
+    # (customer at small scale, nation/region always); otherwise the
+    # orders-customer join is a sort-merge join (AQE splits skewed keys).
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .join(n, c.c_nationkey == n.n_nationkey)
              .join(r, n.n_regionkey == r.r_regionkey))
-    o = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    return o.join(cust, o.o_custkey == cust.c_custkey)
 
 
 def _null_unless(cond, value):
