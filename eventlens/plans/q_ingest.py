@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from ..operators import clean as C
 from ..session import scratch_path
-from ..sources import CORRUPT, load_raw_csv, write_raw_csv
+from ..sources import CORRUPT, load_raw_csv, raw_view, write_raw_csv
 from ..sources.fixtures import RAW_COLUMNS
 from . import oracle as O
 from .registry import RAW, plan, with_clean
@@ -141,3 +142,22 @@ FROM K LEFT JOIN DM ON K.company = DM.company""", unknown_group=7))
 def impute_mode(spark, d):
     return C.clean_events(RAW(spark, d, unknown_group=7), strategy="mode")
 
+
+
+# Incremental landing: the raw view arrives as two CSV drops (every tenth
+# event's copy comes in the second drop); a file-source stream deduplicates
+# across both with state, and the landed table is then finalised in batch.
+@plan("incremental_landing", with_clean("SELECT * FROM C"))
+def incremental_landing(spark, d):
+    from pyspark.sql import functions as F
+
+    from ..streaming import finalize_landed, start_landing
+
+    tag = hashlib.sha1(("stream:" + d.rstrip("/")).encode()).hexdigest()[:12]
+    base = scratch_path(spark, "streaming", tag, str(time.time_ns()))
+    raw = raw_view(spark, d, copy_column="_drop")
+    for i in (1, 2):
+        write_raw_csv(raw.filter(F.col("_drop") == i).drop("_drop"), f"{base}/src/drop{i}")
+    q = start_landing(spark, f"{base}/src/*", f"{base}/table", f"{base}/checkpoint")
+    q.awaitTermination()
+    return finalize_landed(spark, f"{base}/table")

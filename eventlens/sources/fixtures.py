@@ -73,14 +73,16 @@ RAW_COLUMNS = ("company", "location", "industry", "total_laid_off", "percentage_
                "date", "stage", "country", "funds_raised_millions")
 
 
-def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None) -> DataFrame:
+def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None,
+             copy_column: str | None = None) -> DataFrame:
     """Messy landing rows (all strings), as a delimited file would deliver them.
 
     Outer spaces on company, 'NULL' tokens and real NULLs, two spellings of a
     collapsible category, 'United States.' with a trailing dot, padded country
     names, numbers followed by a no-break space and a carriage return, and
     every tenth event delivered twice. ``unknown_group`` makes one company
-    group industry-less so imputation cannot fill it.
+    group industry-less so imputation cannot fill it. ``copy_column`` keeps
+    the delivery number (1, or 2 for the repeated copy) under that name.
     """
     e = _events(spark, sf_dir)
     k = F.col("o_orderkey")
@@ -115,4 +117,4 @@ def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None)
         # every tenth event is delivered twice: a narrow explode, no second scan
         F.explode(F.sequence(F.lit(1), F.when(k % 10 == 0, F.lit(2)).otherwise(F.lit(1)))).alias("_copy"),
     )
-    return rows.drop("_copy")
+    return rows.withColumnRenamed("_copy", copy_column) if copy_column else rows.drop("_copy")
