@@ -3,8 +3,8 @@
 The whole chain is one lazy plan:
   exact dedup (one hash aggregate; map-side combine collapses a hot group of
   copies inside each task) -> narrow per-row projection -> length check ->
-  drop uninformative rows -> peer imputation (donor aggregate + join of only
-  the rows that need a donor) -> label the rest.
+  drop uninformative rows -> peer imputation (per-key donor aggregate joined
+  back; the dedup shuffle is computed once and reused) -> label the rest.
 Nothing is collected; the caller writes the result once (see plans.sinks).
 """
 
@@ -84,11 +84,12 @@ def impute_from_peer(df: DataFrame, key: str = "company", attr: str = "industry"
     """Fill a NULL ``attr`` from other rows of the same ``key``.
 
     The donor value per key is an aggregate (``min``, or ``mode`` = most
-    frequent, smallest on ties), so it is deterministic and partially
-    aggregated (a hot key does not pile onto one task). Only rows whose
-    ``attr`` is NULL are joined to the donors; the others pass through
-    without a shuffle. A NULL key never finds a donor. Spark chooses a
-    broadcast or sort-merge join for the donors by their size.
+    frequent, smallest on ties). Both ignore NULLs and are partial
+    aggregates, so a hot key is combined map-side; ``min`` is also
+    insensitive to duplicate rows, so Catalyst drops an upstream dedup on the
+    donor side (RemoveRedundantAggregates). A NULL key never matches the
+    equi-join. AQE turns the join into a broadcast when the donor table is
+    small and splits a skewed key otherwise.
     """
     cols = df.columns
     if strategy == "min":
@@ -97,14 +98,10 @@ def impute_from_peer(df: DataFrame, key: str = "company", attr: str = "industry"
         agg = F.mode(attr, deterministic=True)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    donors = (df.filter(F.col(attr).isNotNull() & F.col(key).isNotNull())
-                .groupBy(key).agg(agg.alias("_donor")))
-    have = df.filter(F.col(attr).isNotNull())
-    need = df.filter(F.col(attr).isNull())
-    filled = (need.join(donors, key, "left")
-                  .withColumn(attr, F.coalesce(F.col(attr), F.col("_donor")))
-                  .select(*cols))
-    return have.unionByName(filled)
+    donors = df.groupBy(key).agg(agg.alias("_donor"))
+    return (df.join(donors, key, "left")
+              .withColumn(attr, F.coalesce(F.col(attr), F.col("_donor")))
+              .select(*cols))
 
 
 def label_unknown(df: DataFrame, col: str = "industry", label: str = UNKNOWN) -> DataFrame:
