@@ -186,3 +186,26 @@ def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = Non
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def clean_with_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, **kw):
+    """`clean_events` plus load metrics gathered in the same pass.
+
+    Returns (clean_df, observations). The observations fill when the first
+    action runs on clean_df (typically its one write): ``raw`` has rows (and
+    malformed rows when ``corrupt_col`` is given), ``clean`` has rows,
+    rows_with_date, rows_with_measure and unknown_industry. No extra job.
+    """
+    from pyspark.sql import Observation
+
+    obs_raw, obs_clean = Observation("eventlens_raw"), Observation("eventlens_clean")
+    raw_metrics = [F.count(F.lit(1)).alias("rows")]
+    if corrupt_col:
+        raw_metrics.append(F.count_if(F.col(corrupt_col).isNotNull()).alias("malformed"))
+    observed = raw.observe(obs_raw, *raw_metrics)
+    clean = clean_events(observed, r, **kw).observe(
+        obs_clean, F.count(F.lit(1)).alias("rows"),
+        F.count(F.col(r.date)).alias("rows_with_date"),
+        F.count(F.col(r.total)).alias("rows_with_measure"),
+        F.count_if(F.col(r.industry) == UNKNOWN).alias("unknown_industry"))
+    return clean, {"raw": obs_raw, "clean": obs_clean}

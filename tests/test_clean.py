@@ -111,3 +111,11 @@ def test_load_raw_csv_crlf_quotes_and_malformed(spark, csv_file):
     assert clean["Acme"].funds_raised_millions == 12.0 and clean["Acme"].country == "United States"
     audit = {r.stage: r.num_rows for r in C.load_audit(df, corrupt_col=CORRUPT).collect()}
     assert audit["raw"] == 4 and audit["malformed"] == 2
+
+
+def test_clean_with_audit_single_pass(spark, tmp_path):
+    df = raw(spark, r9(), r9(), r9(company="B", industry=None), r9(company="C", total="NULL", pct="NULL"))
+    clean, obs = C.clean_with_audit(df)
+    clean.write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert obs["raw"].get == {"rows": 4}
+    assert obs["clean"].get == {"rows": 2, "rows_with_date": 2, "rows_with_measure": 2, "unknown_industry": 1}
