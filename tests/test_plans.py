@@ -67,3 +67,68 @@ def test_year_slice_prunes_partitions(spark, tmp_path):
     pushed = p.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(date,1996-01-01)" in pushed and "EqualTo(country,ASIA)" in pushed
     assert s.count() == fact_view(spark, SF_SMALL).filter("year(date) = 1996 and country = 'ASIA'").count()
+
+
+def _tree(plan_string):
+    """(depth, node name) per line of a Catalyst tree string."""
+    out = []
+    for line in plan_string.splitlines():
+        stripped = line.lstrip(" :|+-")
+        if not stripped:
+            continue
+        depth = len(line) - len(stripped)
+        out.append((depth, stripped.split(" ")[0].split("(")[0]))
+    return out
+
+
+def _windows_over_raw_rows(plan_string):
+    """Window nodes whose subtree reaches a relation without passing an
+    aggregate (i.e. a window evaluated over raw event rows)."""
+    nodes = _tree(plan_string)
+    bad = []
+    for i, (d, name) in enumerate(nodes):
+        if name != "Window":
+            continue
+        sub = []
+        for d2, n2 in nodes[i + 1:]:
+            if d2 <= d:
+                break
+            sub.append(n2)
+        if not any(n.endswith("Aggregate") for n in sub) and any(n in ("Relation", "LogicalRDD") for n in sub):
+            bad.append(i)
+    return bad
+
+
+def test_no_registered_query_windows_over_raw_rows(spark):
+    import __spark_entry__ as E
+    offenders = []
+    for name, build in E.queries().items():
+        if name in ("load_raw_csv", "load_audit", "incremental_landing"):
+            continue  # these write landing files first; no windows in them
+        lp = build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        if _windows_over_raw_rows(lp):
+            offenders.append(name)
+    assert offenders == []
+
+
+def test_broadcast_hints_only_on_bounded_frames(spark):
+    import __spark_entry__ as E
+    hinted = set()
+    for name, build in E.queries().items():
+        if name in ("load_raw_csv", "load_audit", "incremental_landing"):
+            continue
+        lp = build(spark, SF_SMALL)._jdf.queryExecution().analyzed().toString()
+        if "strategy=broadcast" in lp:
+            hinted.add(name)
+    # only the z-score family: its broadcast side has one row per segment label
+    assert hinted == {"zscore", "outlier_screen", "outlier_clusters"}
+
+
+def test_window_guard_detects_raw_row_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    f = fact_view(spark, SF_SMALL)
+    raw_window = f.withColumn("rn", F.row_number().over(Window.partitionBy("company").orderBy("date")))
+    assert _windows_over_raw_rows(raw_window._jdf.queryExecution().optimizedPlan().toString())
+    agg_window = K.city_breakdown(f, R, order=False)
+    assert not _windows_over_raw_rows(agg_window._jdf.queryExecution().optimizedPlan().toString())
