@@ -167,25 +167,32 @@ def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = Non
 
     raw, malformed (rows the reader could not split into the schema; only
     when ``corrupt_col`` names the reader's corrupt-record column), distinct,
-    rejects (over-length text), informative, clean. Each count is a global
-    aggregate over its lazily planned stage; identical upstream shuffles are
-    reused by Spark.
+    rejects (over-length text), informative, clean. Three global aggregates:
+    one over the landing rows, one with conditional counts over the
+    deduplicated typed rows, one over the clean table.
     """
-    stages = clean_stages(raw, r, **kw)
-    parts = [stages["raw"].agg(F.count(F.lit(1)).alias("num_rows")).select(F.lit("raw").alias("stage"), "num_rows")]
+    st = clean_stages(raw, r, **kw)
+    raw_aggs = [F.count(F.lit(1)).alias("raw")]
     if corrupt_col:
         # The reader refuses a scan that needs only its corrupt-record column,
         # so the predicate also reads the parsed fields.
         seen = F.length(F.concat_ws("|", F.col(corrupt_col), *[F.col(c) for c in RAW_COLUMNS])) >= 0
-        parts.append(raw.agg(F.count_if(F.col(corrupt_col).isNotNull() & seen).alias("num_rows"))
-                        .select(F.lit("malformed").alias("stage"), "num_rows"))
-    for name in ("distinct", "rejects", "informative", "clean"):
-        parts.append(stages[name].agg(F.count(F.lit(1)).alias("num_rows"))
-                     .select(F.lit(name).alias("stage"), "num_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        raw_aggs.append(F.count_if(F.col(corrupt_col).isNotNull() & seen).alias("malformed"))
+    too_long = _too_long(r, kw.get("max_len", TEXT_MAX_LEN))
+    has_measure = F.col(r.total).isNotNull() | F.col(r.pct).isNotNull()
+    typed = st["typed"].agg(F.count(F.lit(1)).alias("distinct"),
+                            F.count_if(too_long).alias("rejects"),
+                            F.count_if(~too_long & has_measure).alias("informative"))
+    clean = st["clean"].agg(F.count(F.lit(1)).alias("clean"))
+    names = [a for a in ("raw", "malformed") if a == "raw" or corrupt_col] + ["distinct", "rejects", "informative",
+                                                                             "clean"]
+    parts = [raw.agg(*raw_aggs), typed, clean]
+    out = None
+    for p in parts:
+        long = p.unpivot([], p.columns, "stage", "num_rows")
+        out = long if out is None else out.unionByName(long)
+    order = F.array(*[F.lit(n) for n in names])
+    return out.orderBy(F.array_position(order, F.col("stage")))
 
 
 def clean_with_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, **kw):
