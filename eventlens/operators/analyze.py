@@ -150,25 +150,28 @@ def distress_screen(rounds: DataFrame, min_rounds: int = 4, declining_rounds: in
 # --------------------------------------------------------------------------- A3
 
 
-def cross_matrix(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, order: bool = True) -> DataFrame:
-    """Industry x stage matrix: num_companies, total_laid_off, avg_laid_off,
-    num_events, pct_of_industry, pct_of_stage (DECIMAL(5,1)), rank_in_stage,
-    rank_in_industry (RANK by total, ties share a rank)."""
-    f = df.filter(excluding(r.industry, exclude) & excluding(r.stage, exclude) & c(r.total).isNotNull())
-    g = (f.groupBy(c(r.industry).alias("industry"), c(r.stage).alias("stage"))
+def cross_matrix(df: DataFrame, r: Roles = DEFAULT, a: str = "industry", b: str = "stage", exclude=UNKNOWN,
+                 order: bool = True) -> DataFrame:
+    """``a`` x ``b`` matrix (industry x stage by default): num_companies,
+    total_laid_off, avg_laid_off, num_events, pct_of_<a>, pct_of_<b>
+    (DECIMAL(5,1)), rank_in_<b>, rank_in_<a> (RANK by total, ties share a
+    rank). Windows run over the aggregated cells only."""
+    ca, cb = getattr(r, a, a), getattr(r, b, b)
+    f = df.filter(excluding(ca, exclude) & excluding(cb, exclude) & c(r.total).isNotNull())
+    g = (f.groupBy(c(ca).alias(a), c(cb).alias(b))
           .agg(F.countDistinct(r.company).alias("num_companies"),
                F.sum(r.total).cast("long").alias("total_laid_off"),
                int_avg(r.total).alias("avg_laid_off"),
                F.count(F.lit(1)).alias("num_events")))
-    by_stage = Window.partitionBy("stage")
-    by_industry = Window.partitionBy("industry")
+    by_b = Window.partitionBy(b)
+    by_a = Window.partitionBy(a)
     out = g.select(
-        "industry", "stage", "num_companies", "total_laid_off", "avg_laid_off", "num_events",
-        pct_ratio("total_laid_off", F.sum("total_laid_off").over(by_industry)).alias("pct_of_industry"),
-        pct_ratio("total_laid_off", F.sum("total_laid_off").over(by_stage)).alias("pct_of_stage"),
-        F.rank().over(by_stage.orderBy(F.desc("total_laid_off"))).alias("rank_in_stage"),
-        F.rank().over(by_industry.orderBy(F.desc("total_laid_off"))).alias("rank_in_industry"))
-    return ordered(out, order, F.desc("total_laid_off"), "industry", "stage")
+        a, b, "num_companies", "total_laid_off", "avg_laid_off", "num_events",
+        pct_ratio("total_laid_off", F.sum("total_laid_off").over(by_a)).alias(f"pct_of_{a}"),
+        pct_ratio("total_laid_off", F.sum("total_laid_off").over(by_b)).alias(f"pct_of_{b}"),
+        F.rank().over(by_b.orderBy(F.desc("total_laid_off"))).alias(f"rank_in_{b}"),
+        F.rank().over(by_a.orderBy(F.desc("total_laid_off"))).alias(f"rank_in_{a}"))
+    return ordered(out, order, F.desc("total_laid_off"), a, b)
 
 
 def dominant_cells(matrix: DataFrame, min_pct: float = 50, order: bool = True) -> DataFrame:

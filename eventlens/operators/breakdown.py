@@ -93,19 +93,21 @@ def outliers_vs_mean(df: DataFrame, r: Roles = DEFAULT, factor: int = 2, order:
     return ordered(out, order, F.desc("total_laid_off"), "company")
 
 
-def top_k_per_group(df: DataFrame, r: Roles = DEFAULT, k: int = 5, order: bool = True) -> DataFrame:
-    """year, rnk, company, industry, total_laid_off with RANK <= k (ties kept).
+def top_k_per_group(df: DataFrame, r: Roles = DEFAULT, k: int = 5, by: str = "year", order: bool = True) -> DataFrame:
+    """<by>, rnk, company, industry, total_laid_off with RANK <= k (ties kept).
 
-    Catalyst inserts a partial WindowGroupLimit before the shuffle, so each
-    task forwards at most ~k rows per year.
+    ``by`` is "year" (of the event date) or any column name. Catalyst inserts
+    a partial WindowGroupLimit before the shuffle, so each task forwards at
+    most ~k rows per group.
     """
-    g = (df.filter(not_null(r.date, r.total))
-           .groupBy(year_of(r).alias("year"), c(r.company).alias("company"), c(r.industry).alias("industry"))
-           .agg(F.sum(r.total).cast("long").alias("total_laid_off")))
-    w = Window.partitionBy("year").orderBy(F.desc("total_laid_off"))
+    key = year_of(r) if by == "year" else c(getattr(r, by, by))
+    f = df.filter(not_null(r.date, r.total)) if by == "year" else df.filter(c(r.total).isNotNull())
+    g = (f.groupBy(key.alias(by), c(r.company).alias("company"), c(r.industry).alias("industry"))
+          .agg(F.sum(r.total).cast("long").alias("total_laid_off")))
+    w = Window.partitionBy(by).orderBy(F.desc("total_laid_off"))
     out = (g.withColumn("rnk", F.rank().over(w)).filter(c("rnk") <= k)
-            .select("year", "rnk", "company", "industry", "total_laid_off"))
-    return ordered(out, order, "year", "rnk", "company", "industry")
+            .select(by, "rnk", "company", "industry", "total_laid_off"))
+    return ordered(out, order, by, "rnk", "company", "industry")
 
 
 def country_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, order: bool = True) -> DataFrame:
@@ -156,9 +158,9 @@ def pearson(df: DataFrame, x: str = "total_laid_off", y: str = "funds_raised_mil
     return f.agg(F.round(rr, scale).alias("pearson_correlation"))
 
 
-def correlation_strength(corr: DataFrame, col: str = "pearson_correlation") -> DataFrame:
-    """Adds strength (weak < 0.3 <= moderate < 0.6 <= strong on |r|) and relation."""
-    return corr.select("*", strength(col).alias("strength"), relation(col).alias("relation"))
+def correlation_strength(corr: DataFrame, col: str = "pearson_correlation", cuts=(0.3, 0.6)) -> DataFrame:
+    """Adds strength (weak < cuts[0] <= moderate < cuts[1] <= strong on |r|) and relation."""
+    return corr.select("*", strength(col, cuts).alias("strength"), relation(col).alias("relation"))
 
 
 def share_of_events(df: DataFrame, col: str, order: bool = True) -> DataFrame:

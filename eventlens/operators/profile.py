@@ -36,11 +36,12 @@ def row_counts(named: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def null_profile(df: DataFrame, order: bool = True) -> DataFrame:
+def null_profile(df: DataFrame, order: bool = True, display: bool = False) -> DataFrame:
     """column, total_rows, null_count, null_percentage (1 dp), for every column.
 
     One scan: count(*) and count(col) for all columns in one aggregate, then
     unpivot. Sorted by null_count numerically (not by a formatted string).
+    ``display`` adds formatted text columns ('1,234', '33.3%') for reports.
     """
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("_total"),
@@ -50,6 +51,10 @@ def null_profile(df: DataFrame, order: bool = True) -> DataFrame:
                         F.regexp_extract("_idx", r"(\d+)", 1).cast("int") + 1)
     out = long.select(name.alias("column"), c("_total").alias("total_rows"), "null_count",
                       ratio(c("null_count") * 100, c("_total"), 1).alias("null_percentage"))
+    if display:
+        out = out.select("*", F.format_number("total_rows", 0).alias("total_rows_text"),
+                         F.format_number("null_count", 0).alias("null_count_text"),
+                         F.concat(F.format_number("null_percentage", 1), F.lit("%")).alias("null_percentage_text"))
     return ordered(out, order, F.desc("null_count"), "column")
 
 

@@ -153,3 +153,17 @@ def test_survival_and_funded_shutdowns(events):
 def test_dates_are_dates(events):
     df = events(ev(date=dt.date(2021, 2, 28)))
     assert rows(P.year_coverage(df, R)) == [(2021, dt.date(2021, 2, 28), dt.date(2021, 2, 28), 1)]
+
+
+def test_signature_options(events):
+    df = events(ev(company="a", country="X", total=5), ev(company="b", country="X", total=9),
+                ev(company="c", country="Y", total=1))
+    by_country = rows(K.top_k_per_group(df, R, k=1, by="country"), "country", "rnk", "company")
+    assert by_country == [("X", 1, "b"), ("Y", 1, "c")]
+    m = A.cross_matrix(df, R, a="country", b="industry")
+    assert {"pct_of_country", "rank_in_industry"} <= set(m.columns)
+    cs = K.correlation_strength(K.pearson(events(ev(total=1, funds=1.0), ev(total=2, funds=2.0),
+                                                 ev(total=3, funds=3.5))), cuts=(0.999, 0.9999))
+    assert rows(cs, "strength") == [("weak",)]
+    prof = {r.column: r for r in P.null_profile(events(ev(company=None), ev()), display=True).collect()}
+    assert prof["company"].null_percentage_text == "50.0%" and prof["company"].total_rows_text == "2"
