@@ -94,7 +94,8 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
     first event. grain="reference": one row per (entity, country, industry)
     where only the group holding the entity's first (last) event gets first
     (last) values — other groups keep NULL dates and fall to 'Stable', as the
-    source query does. Both are pure aggregations (no window over raw rows).
+    source query does. Neither uses a window over raw rows (the reference
+    grain's windows run over the per-group aggregates of one entity).
     """
     tb = tuple(tie_break if tie_break is not None else r.tie_break)
     f = df.filter(not_null(r.total, r.date))
@@ -114,13 +115,14 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
                        c(r.industry).alias("industry"))
               .agg(F.count(F.lit(1)).alias("_n"), F.sum(r.total).cast("long").alias("cumulative_layoffs"),
                    F.min(ev).alias("_gmin"), F.max(ev).alias("_gmax")))
-        per = (g.groupBy(c("company").alias("_co"))
-                .agg(F.sum("_n").alias("total_rounds"), F.min("_gmin").alias("_cfirst"),
-                     F.max("_gmax").alias("_clast"))
-                .filter(c("total_rounds") >= min_rounds))
-        j = g.join(per, g.company.eqNullSafe(per._co))
+        # Entity-level first/last/count from the group rows of the same entity:
+        # a window over aggregated rows (one per country x industry of the entity).
+        per = Window.partitionBy("company")
+        g = g.select("*", F.sum("_n").over(per).alias("total_rounds"),
+                     F.min("_gmin").over(per).alias("_cfirst"), F.max("_gmax").over(per).alias("_clast"))
+        g = g.filter(c("total_rounds") >= min_rounds)
         is_first, is_last = c("_gmin") == c("_cfirst"), c("_gmax") == c("_clast")
-        out = j.select(
+        out = g.select(
             "company", "country", "industry", "total_rounds",
             F.when(is_first, c("_cfirst.d")).alias("first_date"), F.when(is_first, c("_cfirst.t")).alias("first_layoffs"),
             F.when(is_last, c("_clast.d")).alias("last_date"), F.when(is_last, c("_clast.t")).alias("last_layoffs"),
@@ -224,9 +226,9 @@ def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale:
     stats = f.agg(F.percentile(c(r.total), list(QUANTILES)).alias("_p"), F.sum(r.total).cast("long").alias("_s"),
                   F.count(F.lit(1)).alias("_n")).filter(c("_n") > 0)
     cut = adaptive_cutoff(df, r.total, q)
-    above = f.filter(c(r.total) >= cut)
-    n_above = above.select(F.count(F.lit(1))).scalar()
-    s_above = above.select(F.sum(r.total).cast("long")).scalar()
+    above = f.filter(c(r.total) >= cut).select(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum(r.total).cast("long").alias("s"))).scalar()
+    n_above, s_above = above.getField("n"), above.getField("s")
     p = [c("_p")[i] for i in range(len(QUANTILES))]
     mean = c("_s").cast("double") / c("_n").cast("double")
     return stats.select(

@@ -155,9 +155,8 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
     month = F.trunc(c(r.date), "month")
     base = df.filter(not_null(r.date, r.total))
     monthly = base.groupBy(month.alias("m")).agg(F.sum(r.total).cast("long").alias("t"))
-    top = monthly.orderBy(F.desc("t"), "m").limit(1)
-    peak = top.select("m").scalar()
-    peak_total = top.select("t").scalar()
+    top = monthly.orderBy(F.desc("t"), "m").limit(1).select(F.struct("m", "t")).scalar()
+    peak, peak_total = top.getField("m"), top.getField("t")
     prev = F.add_months(peak, -1)
     rows = base.filter((month == peak) | (month == prev)).withColumn("_m", month)
     grouped = rows.groupingSets([[d] for d in dims], *dims).agg(

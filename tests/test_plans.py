@@ -40,8 +40,10 @@ def test_outliers_use_scalar_subquery_not_global_window(spark):
 
 def test_multi_round_has_no_window_over_events(spark):
     f = fact_view(spark, SF_SMALL)
-    for grain in ("company", "reference"):
-        assert "Window" not in plan(A.multi_round(f, R, grain=grain, order=False))
+    assert "Window" not in plan(A.multi_round(f, R, grain="company", order=False))
+    ref = A.multi_round(f, R, grain="reference", order=False)
+    assert not _windows_over_raw_rows(ref._jdf.queryExecution().optimizedPlan().toString())
+    assert "SortMergeJoin" not in plan(ref) and "BroadcastHashJoin [company" not in plan(ref)
 
 
 def test_top_k_uses_window_group_limit(spark):
