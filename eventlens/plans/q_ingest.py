@@ -21,9 +21,10 @@ def with_raw(body: str, unknown_group: int | None = None) -> str:
 
 def landed_csv(spark, d):
     """Write the raw view as a CRLF-terminated CSV folder in the shared scratch
-    folder (once per input folder) and return its path."""
+    folder and return its path. Every call gets its own folder, so a plan
+    built earlier keeps its files while later calls write new ones."""
     tag = hashlib.sha1(d.rstrip("/").encode()).hexdigest()[:12]
-    path = scratch_path(spark, "landing", tag)
+    path = scratch_path(spark, "landing", tag, str(time.time_ns()))
     write_raw_csv(RAW(spark, d), path)
     return path
 
