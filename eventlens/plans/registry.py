@@ -42,12 +42,26 @@ RS = R.with_(total="total_skewed")          # skewed measure (outliers, segments
 RG = R.with_(company="company_group")       # multi-country entity
 
 
+# The views below depend only on the driver's read-only tables, so their
+# (lazy) plans are built once per Spark application and folder and shared by
+# the plans: this saves the driver-side file listing and analysis on every
+# call; the data is still read in full whenever a query runs.
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, make) -> DataFrame:
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _VIEWS:
+        _VIEWS[k] = make()
+    return _VIEWS[k]
+
+
 def F(spark: SparkSession, d: str) -> DataFrame:
-    return fact_view(spark, d)
+    return _memo(spark, ("fact", d), lambda: fact_view(spark, d))
 
 
 def RAW(spark: SparkSession, d: str, unknown_group: int | None = None) -> DataFrame:
-    return raw_view(spark, d, unknown_group)
+    return _memo(spark, ("raw", d, unknown_group), lambda: raw_view(spark, d, unknown_group))
 
 
 def with_f(body: str, *views: str) -> str:
