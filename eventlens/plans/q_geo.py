@@ -63,13 +63,14 @@ def intensity(spark, d):
 
 
 @plan("bubble_size", with_f("""
-SELECT *, radius > 8 AS show_label FROM (
-  SELECT *, round(4.0 * (1.0 - t) + 28.0 * t, 6) AS radius FROM (
-    SELECT *, CASE WHEN sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE)) <> 0
-                   THEN sqrt(CAST(total_laid_off AS DOUBLE))
-                        / sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE))
-                   ELSE 0.5 END AS t
-    FROM CITY) X) Y""".replace("SELECT *, round(4.0", "SELECT * EXCLUDE (t), round(4.0"), CITY_SQL))
+SELECT * EXCLUDE (t), round(4.0 * (1.0 - t) + 28.0 * t, 6) AS radius,
+       round(4.0 * (1.0 - t) + 28.0 * t, 6) > 8 AS show_label
+FROM (
+  SELECT *, CASE WHEN sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE)) <> 0
+                 THEN sqrt(CAST(total_laid_off AS DOUBLE))
+                      / sqrt(CAST(max(total_laid_off) OVER (PARTITION BY country) AS DOUBLE))
+                 ELSE 0.5 END AS t
+  FROM CITY) X""", CITY_SQL))
 def bubble_size(spark, d):
     return G.bubble_size(K.city_breakdown(F(spark, d), R, order=False))
 

@@ -24,7 +24,7 @@ def yearly_totals(spark, d):
 P AS (SELECT *, lag(total_laid_off) OVER (ORDER BY year) AS prev FROM A)
 SELECT year, num_companies, total_laid_off, total_laid_off - prev AS yoy_change,
        CAST({O.ratio('total_laid_off - prev', 'prev', 4)} AS DECIMAL(10,4)) AS yoy_growth_pct
-FROM P""".replace("\n, A AS", ",\nA AS", 1)))
+FROM P"""))
 def yoy_change(spark, d):
     return T.yoy_change(F(spark, d), R)
 
@@ -60,7 +60,7 @@ def rolling_total(spark, d):
 SELECT year, total_laid_off, avg_laid_off, cents / 100.0 AS total_funds_raised,
        {O.ratio('cents', 'n * 100', 2)} AS avg_funds_raised,
        CAST(total_laid_off AS DOUBLE) / CAST(sum(total_laid_off) OVER () AS DOUBLE) AS annual_percentage
-FROM A""".replace("\n, A AS", ",\nA AS", 1)))
+FROM A"""))
 def annual_share(spark, d):
     return T.annual_share(F(spark, d), R)
 
@@ -91,6 +91,6 @@ SELECT CASE WHEN g0 = 0 THEN 'industry' WHEN g1 = 0 THEN 'stage' WHEN g2 = 0 THE
        {O.ratio('coalesce(pk, 0) * 100', 'peak_t', 2)} AS share_of_peak_pct,
        coalesce(pv, 0) AS prev_month_total,
        coalesce(pk, 0) - coalesce(pv, 0) AS delta_vs_prev_month
-FROM G""".replace("\n, B AS", ",\nB AS", 1)))
+FROM G"""))
 def peak_root_cause(spark, d):
     return T.peak_root_cause(F(spark, d), R)
