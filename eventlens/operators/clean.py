@@ -132,9 +132,18 @@ def _too_long(r: Roles, max_len: int):
 
 
 def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN,
-                 dedup_after: bool = False, strategy: str = "min") -> dict[str, DataFrame]:
-    """Every intermediate stage of `clean_events`, by name (all lazy)."""
+                 dedup_after: bool = False, strategy: str = "min",
+                 collation: str | None = None) -> dict[str, DataFrame]:
+    """Every intermediate stage of `clean_events`, by name (all lazy).
+
+    ``collation`` (e.g. "UTF8_LCASE_RTRIM": case-insensitive, trailing spaces
+    ignored, like the source database's default) makes dedup, token tests and
+    the imputation join compare text under that collation; the clean output is
+    cast back to plain strings.
+    """
     raw = raw.select(*RAW_COLUMNS)
+    if collation:
+        raw = raw.select(*[F.collate(F.col(x), collation).alias(x) for x in RAW_COLUMNS])
     deduped = raw if dedup_after else exact_dedup(raw)
     typed = typed_projection(deduped, r)
     if dedup_after:
@@ -145,21 +154,25 @@ def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN
     informative = drop_uninformative(fits, (r.total, r.pct))
     imputed = impute_from_peer(informative, r.company, r.industry, strategy)
     clean = label_unknown(imputed, r.industry)
+    if collation:
+        text = {r.company, r.location, r.country, r.industry, r.stage}
+        clean = clean.select(*[F.col(x).cast("string").alias(x) if x in text else F.col(x) for x in clean.columns])
     return {"raw": raw, "distinct": deduped, "typed": typed, "rejects": rejects,
             "informative": informative, "clean": clean}
 
 
 def clean_events(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN,
-                 dedup_after: bool = False, strategy: str = "min") -> DataFrame:
+                 dedup_after: bool = False, strategy: str = "min", collation: str | None = None) -> DataFrame:
     """Landing rows -> clean event table (company, location, country, industry,
     stage, date, total_laid_off, percentage_laid_off, funds_raised_millions).
 
     Dedup runs on the raw strings first (rows equal only after trimming
-    survive) unless ``dedup_after``. Rows with a text value over ``max_len``
+    survive) unless ``dedup_after``; see `clean_stages` for ``collation``.
+    Rows with a text value over ``max_len``
     characters go to the ``rejects`` stage of `clean_stages` instead of
     failing the load.
     """
-    return clean_stages(raw, r, max_len, dedup_after, strategy)["clean"]
+    return clean_stages(raw, r, max_len, dedup_after, strategy, collation)["clean"]
 
 
 def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, **kw) -> DataFrame:

@@ -119,3 +119,16 @@ def test_clean_with_audit_single_pass(spark, tmp_path):
     clean.write.mode("overwrite").parquet(str(tmp_path / "t"))
     assert obs["raw"].get == {"rows": 4}
     assert obs["clean"].get == {"rows": 2, "rows_with_date": 2, "rows_with_measure": 2, "unknown_industry": 1}
+
+
+def test_case_insensitive_collation(spark):
+    df = raw(spark, r9(company="Acme", industry="Retail", stage="Seed"),
+             r9(company="ACME ", industry="Retail", stage="seed "),     # equal under CI + RTRIM
+             r9(company="acme", industry="null", date="2/2/2022"))     # token in another case
+    binary = C.clean_events(df)
+    assert binary.count() == 3
+    ci = C.clean_events(df, collation="UTF8_LCASE_RTRIM")
+    rows_ = ci.collect()
+    assert len(rows_) == 2
+    assert {r.industry for r in rows_} == {"Retail"}                 # imputed across case variants
+    assert dict(ci.dtypes)["company"] == "string"
