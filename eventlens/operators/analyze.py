@@ -196,19 +196,85 @@ def _percentile(col: str, qs, approx: bool, accuracy: int = 10000) -> Column:
 
 
 def percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES, names=QUANTILE_NAMES,
-                approx: bool = False, scale: int = 4) -> DataFrame:
+                approx: bool = False, scale: int = 4, method: str | None = None,
+                accuracy: int = 100_000) -> DataFrame:
     """One row of interpolated percentiles (Q1, median, Q3, P90, P99); no row
-    when the column has no values.
-
-    Exact by default (Spark keeps a value -> count map per task, fine for
-    integer measures); ``approx=True`` uses percentile_approx for
-    high-cardinality data. Values are rounded to ``scale`` decimals.
+    when the column has no values. Values are rounded to ``scale`` decimals.
+
+    method="exact" (default): Spark's exact ``percentile``; its state holds one
+    entry per distinct value, fine for count-like measures.
+    method="approx" (or approx=True): ``percentile_approx``, bounded memory,
+    approximate.
+    method="banded": exact with bounded state for high-cardinality columns,
+    see `banded_percentiles`.
     """
+    method = method or ("approx" if approx else "exact")
+    if method == "banded":
+        return banded_percentiles(df, col, qs, names, accuracy, scale)
     f = df.filter(c(col).isNotNull())
-    g = f.agg(_percentile(col, qs, approx).alias("_p"), F.count(F.lit(1)).alias("_n")).filter(c("_n") > 0)
+    g = f.agg(_percentile(col, qs, method == "approx").alias("_p"), F.count(F.lit(1)).alias("_n")) \
+         .filter(c("_n") > 0)
     return g.select(*[F.round(c("_p")[i], scale).alias(n) for i, n in enumerate(names)])
 
 
+def banded_percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES, names=QUANTILE_NAMES,
+                       accuracy: int = 100_000, scale: int = 4) -> DataFrame:
+    """Exact interpolated percentiles without holding every distinct value in
+    one task.
+
+    1. One ``percentile_approx`` pass (rank error at most N / accuracy) gives,
+       for each quantile, the values at q -/+ 2/accuracy; widened by one
+       distinct value on each side (the approximate and the interpolated
+       definitions differ by up to one rank), that band must contain the
+       exact order statistics.
+    2. Exact counts of the values below each band, and (value, count) pairs
+       of the values inside the bands (about 4N / accuracy of them per band).
+    3. Ranks inside each band from a window over those band aggregates; the
+       values at ranks floor/ceil of q * (N - 1) are interpolated like
+       percentile_cont. A band that misses its rank raises an error rather
+       than returning a wrong value.
+    """
+    f = df.filter(c(col).isNotNull()).select(c(col).cast("double").alias("_v"))
+    k = len(qs)
+    eps = 2.0 / accuracy
+    probs = [p for q in qs for p in (max(0.0, q - eps), min(1.0, q + eps))]
+    stats = f.agg(F.struct(F.percentile_approx("_v", probs, accuracy).alias("e"),
+                           F.count(F.lit(1)).alias("n")).alias("s")).select("s").scalar()
+    edges, n = stats.getField("e"), stats.getField("n")
+    approx_lo = [edges[2 * i] for i in range(k)]
+    approx_hi = [edges[2 * i + 1] for i in range(k)]
+    # percentile_approx aims at rank ~q*N, percentile_cont needs ranks around
+    # q*(N-1): widen every band by one distinct value on each side.
+    ext = f.agg(F.struct(*[F.max(F.when(c("_v") < approx_lo[i], c("_v"))).alias(f"p{i}") for i in range(k)],
+                         *[F.min(F.when(c("_v") > approx_hi[i], c("_v"))).alias(f"s{i}") for i in range(k)])
+                .alias("x")).select("x").scalar()
+    lo_edge = [F.coalesce(ext.getField(f"p{i}"), approx_lo[i]) for i in range(k)]
+    hi_edge = [F.coalesce(ext.getField(f"s{i}"), approx_hi[i]) for i in range(k)]
+    below = f.agg(F.array(*[F.count_if(c("_v") < lo_edge[i]) for i in range(k)]).alias("b")).select("b").scalar()
+    in_band = F.array_compact(F.array(*[F.when((c("_v") >= lo_edge[i]) & (c("_v") <= hi_edge[i]), F.lit(i))
+                                        for i in range(k)]))
+    cells = (f.select("_v", F.explode(in_band).alias("_band"))
+              .groupBy("_band", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    run = Window.partitionBy("_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.select("_band", "_v", "_c",
+                          (F.element_at(below, c("_band") + 1) + F.sum("_c").over(run)).alias("_end"))
+    pos = [(n - 1).cast("double") * F.lit(float(q)) for q in qs]
+
+    def value_at(i: int, rank) -> Column:
+        hit = (c("_band") == i) & (c("_end") - c("_c") <= rank) & (rank < c("_end"))
+        return F.max(F.when(hit, c("_v")))
+
+    picked = ranked.agg(*[value_at(i, F.floor(pos[i])).alias(f"_lo{i}") for i in range(k)],
+                        *[value_at(i, F.ceil(pos[i])).alias(f"_hi{i}") for i in range(k)])
+    out = []
+    for i, name in enumerate(names):
+        lo, hi = c(f"_lo{i}"), c(f"_hi{i}")
+        v = lo + (pos[i] - F.floor(pos[i])) * (hi - lo)
+        checked = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("percentile band missed its rank")))
+        out.append(F.coalesce(checked.cast("double"), F.round(v, scale)).alias(name))
+    return picked.filter(n > 0).select(*out)
+
+
 def adaptive_cutoff(df: DataFrame, col: str = "total_laid_off", q: float = 0.9) -> Column:
     """The ``q`` percentile of ``col`` as a scalar-subquery Column, usable as
     the ``threshold`` of every segment operator."""

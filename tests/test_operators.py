@@ -167,3 +167,16 @@ def test_signature_options(events):
     assert rows(cs, "strength") == [("weak",)]
     prof = {r.column: r for r in P.null_profile(events(ev(company=None), ev()), display=True).collect()}
     assert prof["company"].null_percentage_text == "50.0%" and prof["company"].total_rows_text == "2"
+
+
+def test_banded_percentiles_match_exact(events, spark):
+    from eventlens.sources import fact_view
+    from .conftest import SF_SMALL
+    f = fact_view(spark, SF_SMALL)
+    for col in ("total_skewed", "funds_raised_millions"):
+        assert rows(A.percentiles(f, col, method="banded", accuracy=50)) == rows(A.percentiles(f, col))
+    one = events(ev(total=7))
+    same = events(*[ev(total=3) for _ in range(5)])
+    for df in (one, same):
+        assert rows(A.percentiles(df, method="banded")) == rows(A.percentiles(df))
+    assert A.percentiles(events(ev(total=None)), method="banded").count() == 0
