@@ -227,52 +227,59 @@ def banded_percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES,
        distinct value on each side (the approximate and the interpolated
        definitions differ by up to one rank), that band must contain the
        exact order statistics.
-    2. Exact counts of the values below each band, and (value, count) pairs
-       of the values inside the bands (about 4N / accuracy of them per band).
-    3. Ranks inside each band from a window over those band aggregates; the
-       values at ranks floor/ceil of q * (N - 1) are interpolated like
-       percentile_cont. A band that misses its rank raises an error rather
-       than returning a wrong value.
+    2. One pass tags every value with the bands it falls in, or with the
+       band's "below" cell (value -inf), and counts per (band, value): the
+       below cell carries the exact number of smaller values, the rest are
+       the few (value, count) pairs inside the band (about 4N / accuracy).
+    3. A running sum per band over those cells gives exact ranks; the values at
+       ranks floor/ceil of q * (N - 1) are interpolated like percentile_cont.
+       A band that misses its rank raises an error instead of answering.
+
+    Each scalar subquery is referenced once, as a column, so the plan stays
+    small however many quantiles are asked for.
     """
-    f = df.filter(c(col).isNotNull()).select(c(col).cast("double").alias("_v"))
+    base = df.filter(c(col).isNotNull()).select(c(col).cast("double").alias("_v"))
     k = len(qs)
     eps = 2.0 / accuracy
     probs = [p for q in qs for p in (max(0.0, q - eps), min(1.0, q + eps))]
-    stats = f.agg(F.struct(F.percentile_approx("_v", probs, accuracy).alias("e"),
-                           F.count(F.lit(1)).alias("n")).alias("s")).select("s").scalar()
-    edges, n = stats.getField("e"), stats.getField("n")
-    approx_lo = [edges[2 * i] for i in range(k)]
-    approx_hi = [edges[2 * i + 1] for i in range(k)]
-    # percentile_approx aims at rank ~q*N, percentile_cont needs ranks around
-    # q*(N-1): widen every band by one distinct value on each side.
-    ext = f.agg(F.struct(*[F.max(F.when(c("_v") < approx_lo[i], c("_v"))).alias(f"p{i}") for i in range(k)],
-                         *[F.min(F.when(c("_v") > approx_hi[i], c("_v"))).alias(f"s{i}") for i in range(k)])
-                .alias("x")).select("x").scalar()
-    lo_edge = [F.coalesce(ext.getField(f"p{i}"), approx_lo[i]) for i in range(k)]
-    hi_edge = [F.coalesce(ext.getField(f"s{i}"), approx_hi[i]) for i in range(k)]
-    below = f.agg(F.array(*[F.count_if(c("_v") < lo_edge[i]) for i in range(k)]).alias("b")).select("b").scalar()
-    in_band = F.array_compact(F.array(*[F.when((c("_v") >= lo_edge[i]) & (c("_v") <= hi_edge[i]), F.lit(i))
-                                        for i in range(k)]))
-    cells = (f.select("_v", F.explode(in_band).alias("_band"))
-              .groupBy("_band", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    stats = base.agg(F.struct(F.percentile_approx("_v", probs, accuracy).alias("e"),
+                              F.count(F.lit(1)).alias("n")).alias("s")).select("s").scalar()
+    approx_lo = [c("_s.e")[2 * i] for i in range(k)]
+    approx_hi = [c("_s.e")[2 * i + 1] for i in range(k)]
+    ext = (base.select("_v", stats.alias("_s"))
+               .agg(F.struct(*[F.max(F.when(c("_v") < approx_lo[i], c("_v"))).alias(f"p{i}") for i in range(k)],
+                             *[F.min(F.when(c("_v") > approx_hi[i], c("_v"))).alias(f"s{i}") for i in range(k)])
+                    .alias("x"))
+               .select("x").scalar())
+    rows = base.select("_v", stats.alias("_s"), ext.alias("_x"))
+    lo_edge = [F.coalesce(c(f"_x.p{i}"), approx_lo[i]) for i in range(k)]
+    hi_edge = [F.coalesce(c(f"_x.s{i}"), approx_hi[i]) for i in range(k)]
+    below = F.lit(float("-inf"))
+    tags = F.array_compact(F.array(*[
+        F.when(c("_v") < lo_edge[i], F.struct(F.lit(i).alias("b"), below.alias("v")))
+         .when(c("_v") <= hi_edge[i], F.struct(F.lit(i).alias("b"), c("_v").alias("v")))
+        for i in range(k)]))
+    cells = (rows.select(c("_s.n").alias("_n"), F.explode(tags).alias("_t"))
+                 .groupBy("_n", c("_t.b").alias("_band"), c("_t.v").alias("_v"))
+                 .agg(F.count(F.lit(1)).alias("_c")))
     run = Window.partitionBy("_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cells.select("_band", "_v", "_c",
-                          (F.element_at(below, c("_band") + 1) + F.sum("_c").over(run)).alias("_end"))
-    pos = [(n - 1).cast("double") * F.lit(float(q)) for q in qs]
+    ranked = cells.select("_n", "_band", "_v", "_c", F.sum("_c").over(run).alias("_end"))
+    pos = [(c("_n") - 1).cast("double") * F.lit(float(q)) for q in qs]
 
     def value_at(i: int, rank) -> Column:
         hit = (c("_band") == i) & (c("_end") - c("_c") <= rank) & (rank < c("_end"))
         return F.max(F.when(hit, c("_v")))
 
-    picked = ranked.agg(*[value_at(i, F.floor(pos[i])).alias(f"_lo{i}") for i in range(k)],
-                        *[value_at(i, F.ceil(pos[i])).alias(f"_hi{i}") for i in range(k)])
+    picked = ranked.groupBy("_n").agg(*[value_at(i, F.floor(pos[i])).alias(f"_lo{i}") for i in range(k)],
+                                      *[value_at(i, F.ceil(pos[i])).alias(f"_hi{i}") for i in range(k)])
     out = []
     for i, name in enumerate(names):
         lo, hi = c(f"_lo{i}"), c(f"_hi{i}")
-        v = lo + (pos[i] - F.floor(pos[i])) * (hi - lo)
-        checked = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("percentile band missed its rank")))
-        out.append(F.coalesce(checked.cast("double"), F.round(v, scale)).alias(name))
-    return picked.filter(n > 0).select(*out)
+        frac = pos[i] - F.floor(pos[i])
+        missed = lo.isNull() | hi.isNull() | (lo == below)
+        checked = F.when(missed, F.raise_error(F.lit("percentile band missed its rank")))
+        out.append(F.coalesce(checked.cast("double"), F.round(lo + frac * (hi - lo), scale)).alias(name))
+    return picked.select(*out)
 
 
 def adaptive_cutoff(df: DataFrame, col: str = "total_laid_off", q: float = 0.9) -> Column:
