@@ -156,12 +156,14 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
     base = df.filter(not_null(r.date, r.total))
     monthly = base.groupBy(month.alias("m")).agg(F.sum(r.total).cast("long").alias("t"))
     top = monthly.orderBy(F.desc("t"), "m").limit(1).select(F.struct("m", "t")).scalar()
-    peak, peak_total = top.getField("m"), top.getField("t")
-    prev = F.add_months(peak, -1)
-    rows = base.filter((month == peak) | (month == prev)).withColumn("_m", month)
+    # the peak (month, total) is attached once as a column and referenced from there
+    rows = (base.select(*[c(d) for d in dims], c(r.total).alias("_t"), month.alias("_m"), top.alias("_pk"))
+                .filter((c("_m") == c("_pk.m")) | (c("_m") == F.add_months(c("_pk.m"), -1))))
+    is_peak = c("_m") == c("_pk.m")
     grouped = rows.groupingSets([[d] for d in dims], *dims).agg(
-        F.sum(F.when(c("_m") == peak, c(r.total))).cast("long").alias("peak_total"),
-        F.sum(F.when(c("_m") == prev, c(r.total))).cast("long").alias("prev_total"),
+        F.sum(F.when(is_peak, c("_t"))).cast("long").alias("peak_total"),
+        F.sum(F.when(~is_peak, c("_t"))).cast("long").alias("prev_total"),
+        F.max("_pk").alias("_pk"),
         *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)])
     name = None
     for i, d in enumerate(dims):
@@ -172,9 +174,9 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
     pv = F.coalesce(c("prev_total"), F.lit(0))
     out = grouped.select(
         name.alias("dimension"), value.alias("value"),
-        F.date_format(peak, "yyyy-MM").alias("peak_month"),
+        F.date_format(c("_pk.m"), "yyyy-MM").alias("peak_month"),
         pt.alias("peak_total"),
-        ratio(pt * 100, peak_total, 2).alias("share_of_peak_pct"),
+        ratio(pt * 100, c("_pk.t"), 2).alias("share_of_peak_pct"),
         pv.alias("prev_month_total"),
         (pt - pv).alias("delta_vs_prev_month"))
     return ordered(out, order, "dimension", F.desc("peak_total"), "value")
