@@ -44,22 +44,26 @@ def scaled(c, scale: int) -> Column:
     """A decimal-valued double as an exact integer count of 10^-scale units.
 
     Sums of the result are exact and order-independent, unlike sums of doubles.
+    The type is DECIMAL(38,0), so a sum over a trillion rows cannot overflow
+    (a bigint sum of cents or micro-units could).
     """
-    return F.round(col(c) * F.lit(float(10 ** scale)), 0).cast("long")
+    return F.round(col(c) * F.lit(float(10 ** scale)), 0).cast("decimal(38,0)")
 
 
 def ratio(num, den, scale: int) -> Column:
     """num / den rounded half away from zero to ``scale`` decimals, as double.
 
-    ``num`` and ``den`` must be integral. The rounding is done in integer
-    arithmetic: q = (2 * 10^s * |num| + |den|) div (2 * |den|), so the result is
-    the same on every engine and every partitioning. NULL when ``den`` is 0 or
-    NULL.
+    ``num`` and ``den`` must be integral. The rounding is done in exact
+    integer (DECIMAL(38,0)) arithmetic: q = (2 * 10^s * |num| + |den|) div
+    (2 * |den|), so the result is the same on every engine and every
+    partitioning. NULL when ``den`` is 0 or NULL.
     """
-    n = col(num).cast("long")
-    d = col(den).cast("long")
+    # DECIMAL(38,0) keeps 2 * 10^s * num exact for numerators far beyond the
+    # bigint range (sums over very large tables); the quotient is a bigint.
+    n = col(num).cast("decimal(38,0)")
+    d = col(den).cast("decimal(38,0)")
     p = 10 ** scale
-    q = idiv(F.abs(n) * (2 * p) + F.abs(d), F.abs(d) * 2)
+    q = F.call_function("div", F.abs(n) * F.lit(2 * p) + F.abs(d), F.abs(d) * F.lit(2))
     signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     return F.when(d != 0, signed / F.lit(float(p)))
 
@@ -71,4 +75,4 @@ def decimal_ratio(num, den, precision: int, scale: int) -> Column:
 
 def pct_ratio(num, den, precision: int = 5, scale: int = 1) -> Column:
     """num * 100 / den as DECIMAL(precision, scale), exact half-away rounding."""
-    return decimal_ratio(col(num).cast("long") * 100, den, precision, scale)
+    return decimal_ratio(col(num).cast("decimal(38,0)") * F.lit(100), den, precision, scale)

@@ -46,3 +46,12 @@ def test_null_token_is_case_insensitive(spark):
     assert [r[0] for r in df.select(null_token("s")).collect()] == [None, None, None, None, "x"]
     assert [r[0] for r in df.select(token_to_label("s")).collect()] == ["Unknown"] * 3 + [None, "x"]
     _ = F
+
+
+def test_exact_sums_and_ratios_do_not_overflow_bigint(spark):
+    from decimal import Decimal as D
+    # sums over ~10^12 rows of cents or micro-units exceed 9.2e18; ratio multiplies by 2 * 10^scale
+    df = spark.createDataFrame([(D(9 * 10 ** 18), D(3 * 10 ** 18))], "n decimal(38,0), d decimal(38,0)")
+    assert df.select(ratio("n", "d", 4)).first()[0] == 3.0
+    big = spark.range(3).select(F.lit(5e15).alias("x"))
+    assert big.agg(F.sum(scaled("x", 6))).first()[0] == D(15 * 10 ** 21)
