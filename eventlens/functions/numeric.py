@@ -68,6 +68,12 @@ def ratio(num, den, scale: int) -> Column:
     return F.when(d != 0, signed / F.lit(float(p)))
 
 
+def percent(num, den, scale: int) -> Column:
+    """num * 100 / den rounded like `ratio`; the x100 happens in exact decimal
+    arithmetic, so a bigint sum near its limit cannot overflow."""
+    return ratio(col(num).cast("decimal(38,0)") * F.lit(100), den, scale)
+
+
 def decimal_ratio(num, den, precision: int, scale: int) -> Column:
     """`ratio` cast to DECIMAL(precision, scale) (e.g. a percentage column)."""
     return ratio(num, den, scale).cast(f"decimal({precision},{scale})")

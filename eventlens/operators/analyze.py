@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import int_avg, pct_ratio, ratio, scaled, segment, severity, direction, trend
+from ..functions import direction, int_avg, pct_ratio, percent, ratio, scaled, segment, severity, trend
 from ..functions.labels import SEGMENT_THRESHOLD, SEVERITY_LABELS, TREND_LABELS
 from ..roles import DEFAULT, Roles
 from ._common import c, excluding, not_null, ordered, whole, year_of
@@ -144,7 +144,7 @@ def distress_screen(rounds: DataFrame, min_rounds: int = 4, declining_rounds: in
     screen = (F.when((c("total_rounds") >= min_rounds) & (c("trend") == esc), F.lit("escalating_distress"))
                .when((c("trend") == dec) & (c("total_rounds") >= declining_rounds), F.lit("managed_decline")))
     out = (rounds.select("*", screen.alias("screen"),
-                         ratio(c("last_layoffs") * 100, c("first_layoffs"), 1).alias("last_vs_first_pct"))
+                         percent("last_layoffs", "first_layoffs", 1).alias("last_vs_first_pct"))
                  .filter(c("screen").isNotNull()))
     return ordered(out, order, F.desc_nulls_last("days_of_crisis"), "company")
 
@@ -312,7 +312,7 @@ def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale:
         (mean > p[1]).alias("right_skewed"),
         F.round(cut, scale).alias("cutoff"),
         n_above.alias("events_at_or_above"),
-        ratio(F.coalesce(s_above, F.lit(0)) * 100, c("_s"), 2).alias("workers_share_pct"))
+        percent(F.coalesce(s_above, F.lit(0)), c("_s"), 2).alias("workers_share_pct"))
 
 
 # --------------------------------------------------------------------------- A5-A10
@@ -352,7 +352,7 @@ def segment_share(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHOLD
     g = (_segmented(df, r, threshold).groupBy("group_label")
          .agg(F.count(F.lit(1)).alias("events"), F.sum(r.total).cast("long").alias("total_workers")))
     out = g.select("group_label", "events", "total_workers",
-                   ratio(c("total_workers") * 100, F.sum("total_workers").over(whole()), 2)
+                   percent("total_workers", F.sum("total_workers").over(whole()), 2)
                    .alias("pct_of_all_layoffs"))
     return ordered(out, order, "group_label")
 
@@ -362,7 +362,7 @@ def _segment_industries(df: DataFrame, r: Roles, cond: Column, pct_name: str, or
            .agg(F.count(F.lit(1)).alias("events"), F.sum(r.total).cast("long").alias("total_workers"),
                 int_avg(r.total).alias("avg_per_event")))
     out = g.select("industry", "events", "total_workers", "avg_per_event",
-                   ratio(c("total_workers") * 100, F.sum("total_workers").over(whole()), 2).alias(pct_name))
+                   percent("total_workers", F.sum("total_workers").over(whole()), 2).alias(pct_name))
     return ordered(out, order, F.desc("total_workers"), "industry")
 
 
@@ -388,7 +388,7 @@ def _segment_by(df: DataFrame, r: Roles, threshold, key: Column, key_name: str,
            .agg(F.count(F.lit(1)).alias("events"), F.sum(r.total).cast("long").alias("total_workers"),
                 int_avg(r.total).alias("avg_per_event")))
     out = g.select("group_label", key_name, "events", "total_workers", "avg_per_event",
-                   ratio(c("total_workers") * 100, F.sum("total_workers").over(Window.partitionBy("group_label")), 2)
+                   percent("total_workers", F.sum("total_workers").over(Window.partitionBy("group_label")), 2)
                    .alias("pct_within_group"))
     return out
 
@@ -501,7 +501,7 @@ def riskiest_stage(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, order: bo
                F.sum(F.when(usable, c(r.total) / c(r.pct))).alias("_est")))
     wr = F.round(F.try_divide(c("_t") * F.lit(100.0), c("_est")), 2)
     out = g.select("stage", "events", wr.alias("weighted_rate_pct"),
-                   ratio(c("_sd") * 100, "events", 2).alias("shutdown_share_pct"),
+                   percent("_sd", "events", 2).alias("shutdown_share_pct"),
                    ratio("_micro", c("events") * 1_000_000, 4).alias("avg_rate"))
     out = out.withColumn("risk_rank", F.rank().over(Window.orderBy(F.desc_nulls_last("weighted_rate_pct"))))
     return ordered(out, order, "risk_rank", "stage")
@@ -519,9 +519,9 @@ def survival_rate(df: DataFrame, r: Roles = DEFAULT, by: str = "stage", order: b
     g = per.groupBy(by).agg(F.sum("_ev").alias("events"), F.sum("_sd").alias("shutdown_events"),
                             F.count(F.lit(1)).alias("companies"), F.count_if(c("_mx") >= 1).alias("shutdown_companies"))
     out = g.select(by, "events", "shutdown_events",
-                   ratio((c("events") - c("shutdown_events")) * 100, "events", 2).alias("event_survival_pct"),
+                   percent(c("events") - c("shutdown_events"), "events", 2).alias("event_survival_pct"),
                    "companies", "shutdown_companies",
-                   ratio((c("companies") - c("shutdown_companies")) * 100, "companies", 2)
+                   percent(c("companies") - c("shutdown_companies"), "companies", 2)
                    .alias("company_survival_pct"))
     return ordered(out, order, by)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import int_avg, ratio, relation, safe_div, scaled, strength
+from ..functions import int_avg, percent, ratio, relation, safe_div, scaled, strength
 from ..roles import DEFAULT, Roles
 from ._common import c, excluding, not_null, ordered, year_of
 
@@ -167,5 +167,5 @@ def share_of_events(df: DataFrame, col: str, order: bool = True) -> DataFrame:
     """value, events, share_pct (percent of all events, 1 dp) for one column."""
     total = df.select(F.count(F.lit(1))).scalar()
     g = df.groupBy(c(col).alias("value")).agg(F.count(F.lit(1)).alias("events"))
-    out = g.select("value", "events", ratio(c("events") * 100, total, 1).alias("share_pct"))
+    out = g.select("value", "events", percent("events", total, 1).alias("share_pct"))
     return ordered(out, order, F.desc("events"), "value")

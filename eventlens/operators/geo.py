@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ratio, safe_div, scaled
+from ..functions import percent, ratio, safe_div, scaled
 from ..roles import DEFAULT, Roles
 from ._common import c, not_null, ordered, whole, year_of
 from .breakdown import city_breakdown, industry_breakdown
@@ -113,7 +113,7 @@ def city_bars(city: DataFrame, order: bool = True) -> DataFrame:
     out = city.select(
         "country", F.row_number().over(w.orderBy(F.desc("total_laid_off"), "city")).alias("bar_rank"),
         "city", "total_laid_off", "num_companies", "layoff_rate_raw",
-        ratio(c("total_laid_off") * 100, F.max("total_laid_off").over(w), 0).cast("int").alias("pct_of_max"))
+        percent("total_laid_off", F.max("total_laid_off").over(w), 0).cast("int").alias("pct_of_max"))
     return ordered(out, order, "country", "bar_rank")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import int_avg, ratio, safe_div, scaled
+from ..functions import int_avg, percent, ratio, safe_div, scaled
 from ..roles import DEFAULT, Roles
 from ._common import c, not_null, ordered, year_of
 
@@ -50,7 +50,7 @@ def null_profile(df: DataFrame, order: bool = True, display: bool = False) -> Da
     name = F.element_at(F.array(*[F.lit(x) for x in cols]),
                         F.regexp_extract("_idx", r"(\d+)", 1).cast("int") + 1)
     out = long.select(name.alias("column"), c("_total").alias("total_rows"), "null_count",
-                      ratio(c("null_count") * 100, c("_total"), 1).alias("null_percentage"))
+                      percent("null_count", "_total", 1).alias("null_percentage"))
     if display:
         out = out.select("*", F.format_number("total_rows", 0).alias("total_rows_text"),
                          F.format_number("null_count", 0).alias("null_count_text"),
@@ -123,4 +123,4 @@ def null_rate_report(df: DataFrame, cols=("total_laid_off", "percentage_laid_off
         missing = missing | c(x).isNull()
     g = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(missing).alias("rows_missing_any"))
     return g.select("total_rows", "rows_missing_any",
-                    ratio(c("rows_missing_any") * 100, c("total_rows"), 1).alias("pct_missing_any"))
+                    percent("rows_missing_any", "total_rows", 1).alias("pct_missing_any"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import decimal_ratio, int_avg, ratio, scaled
+from ..functions import decimal_ratio, int_avg, percent, ratio, scaled
 from ..roles import DEFAULT, Roles
 from ._common import c, month_key, not_null, ordered, whole, year_of
 
@@ -176,7 +176,7 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
         name.alias("dimension"), value.alias("value"),
         F.date_format(c("_pk.m"), "yyyy-MM").alias("peak_month"),
         pt.alias("peak_total"),
-        ratio(pt * 100, c("_pk.t"), 2).alias("share_of_peak_pct"),
+        percent(pt, c("_pk.t"), 2).alias("share_of_peak_pct"),
         pv.alias("prev_month_total"),
         (pt - pv).alias("delta_vs_prev_month"))
     return ordered(out, order, "dimension", F.desc("peak_total"), "value")
