@@ -102,10 +102,11 @@ def workforce_estimate(df: DataFrame, r: Roles = DEFAULT, unit: int = 1000) -> D
     estimated_employees (raw), total_laid_off, overall_layoff_rate (2 dp).
 
     Each row's headcount is round(total / pct); rows need total and a
-    positive pct. The per-row estimates are whole numbers, so their sum is
-    exact in any order.
+    positive pct. The per-row estimates are whole numbers summed as decimals,
+    so the total is exact in any order and at any size.
     """
-    est = F.round(safe_div(r.total, r.pct), 0)
+    # whole numbers summed as DECIMAL(38,0): exact beyond 2^53, in any order
+    est = F.round(safe_div(r.total, r.pct), 0).cast("decimal(38,0)")
     f = df.filter(not_null(r.total, r.pct) & (c(r.pct) > 0))
     g = f.agg(F.sum(est).alias("_est"), F.sum(r.total).cast("long").alias("total_laid_off"))
     return g.select(

@@ -23,7 +23,9 @@ def load_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
 
     Splitting on LF keeps a CR of CRLF files on the last field, exactly like a
     bulk load with an LF row terminator; `strip_invisible_numeric` removes it.
-    Quoted fields may contain commas. Rows with too few or too many fields
+    Quoted fields may contain commas. Uncompressed (or bzip2) landing files
+    are split across tasks; gzip files are read one task per file. Rows with
+    too few or too many fields
     keep their text in ``_corrupt_record`` (PERMISSIVE mode) when
     ``keep_corrupt`` is set. Never infers a schema.
     """
