@@ -180,3 +180,24 @@ def test_banded_percentiles_match_exact(events, spark):
     for df in (one, same):
         assert rows(A.percentiles(df, method="banded")) == rows(A.percentiles(df))
     assert A.percentiles(events(ev(total=None)), method="banded").count() == 0
+
+
+def test_screens_and_slicers(events):
+    from eventlens.operators import geo as G
+    df = events(ev(company="a", date="2022-01-01", total=10), ev(company="a", date="2022-02-01", total=20),
+                ev(company="a", date="2022-03-01", total=30), ev(company="a", date="2022-04-01", total=40),
+                ev(company="b", date="2022-01-01", total=50, stage="S2", industry="I2"),
+                ev(company="b", date="2022-05-01", total=40, stage="S2", industry="I2"),
+                ev(company="b", date="2022-09-01", total=5, stage="S2", industry="I2"))
+    rounds = A.multi_round(df, R)
+    assert rows(A.multi_round(df, R, min_rounds=4), "company") == [("a",)]
+    screen = {r.company: (r.screen, r.last_vs_first_pct) for r in A.distress_screen(rounds).collect()}
+    assert screen == {"a": ("escalating_distress", 400.0), "b": ("managed_decline", 10.0)}
+    cells = {(r.industry, r.stage): (r.top_in_stage, r.concentrated) for r in
+             A.dominant_cells(A.cross_matrix(df, R)).collect()}
+    assert cells == {("I1", "S1"): (True, True), ("I2", "S2"): (True, True)}
+    z = A.zscore(df, R)
+    flagged = {r.total_laid_off: (r.extreme, r.unusually_small) for r in A.outlier_screen(z).collect()}
+    assert flagged[5] == (False, True)
+    sliced = G.slice_events(df, R, years=[2022], industries=["I2"], stages=["S2"])
+    assert sliced.count() == 3 and G.slice_events(df, R, stages=["nope"]).count() == 0
