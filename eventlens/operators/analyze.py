@@ -153,7 +153,7 @@ def distress_screen(rounds: DataFrame, min_rounds: int = 4, declining_rounds: in
 
 
 def cross_matrix(df: DataFrame, r: Roles = DEFAULT, a: str = "industry", b: str = "stage", exclude=UNKNOWN,
-                 order: bool = True) -> DataFrame:
+                 approx: bool = False, order: bool = True) -> DataFrame:
     """``a`` x ``b`` matrix (industry x stage by default): num_companies,
     total_laid_off, avg_laid_off, num_events, pct_of_<a>, pct_of_<b>
     (DECIMAL(5,1)), rank_in_<b>, rank_in_<a> (RANK by total, ties share a
@@ -161,7 +161,7 @@ def cross_matrix(df: DataFrame, r: Roles = DEFAULT, a: str = "industry", b: str
     ca, cb = getattr(r, a, a), getattr(r, b, b)
     f = df.filter(excluding(ca, exclude) & excluding(cb, exclude) & c(r.total).isNotNull())
     g = (f.groupBy(c(ca).alias(a), c(cb).alias(b))
-          .agg(F.countDistinct(r.company).alias("num_companies"),
+          .agg((F.approx_count_distinct(r.company) if approx else F.countDistinct(r.company)).alias("num_companies"),
                F.sum(r.total).cast("long").alias("total_laid_off"),
                int_avg(r.total).alias("avg_laid_off"),
                F.count(F.lit(1)).alias("num_events")))

@@ -117,13 +117,15 @@ def city_bars(city: DataFrame, order: bool = True) -> DataFrame:
     return ordered(out, order, "country", "bar_rank")
 
 
-def kpi_cards(df: DataFrame, r: Roles = DEFAULT) -> DataFrame:
+def kpi_cards(df: DataFrame, r: Roles = DEFAULT, approx: bool = False) -> DataFrame:
     """One row: total_laid_off, num_companies, num_countries, avg_layoff_rate
-    (mean of positive rates, 2 dp)."""
+    (mean of positive rates, 2 dp). ``approx`` counts distinct values with
+    HyperLogLog (no distinct shuffle)."""
     micro = F.when(c(r.pct) > 0, scaled(r.pct, 6))
+    distinct = F.approx_count_distinct if approx else F.countDistinct
     return df.agg(F.sum(r.total).cast("long").alias("total_laid_off"),
-                  F.countDistinct(r.company).alias("num_companies"),
-                  F.countDistinct(r.country).alias("num_countries"),
+                  distinct(r.company).alias("num_companies"),
+                  distinct(r.country).alias("num_countries"),
                   ratio(F.sum(micro), F.count(micro) * 1_000_000, 2).alias("avg_layoff_rate"))
 
 

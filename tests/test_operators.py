@@ -201,3 +201,11 @@ def test_screens_and_slicers(events):
     assert flagged[5] == (False, True)
     sliced = G.slice_events(df, R, years=[2022], industries=["I2"], stages=["S2"])
     assert sliced.count() == 3 and G.slice_events(df, R, stages=["nope"]).count() == 0
+
+
+def test_approx_distinct_options(events):
+    from eventlens.operators import geo as G
+    df = events(ev(company="a"), ev(company="b"), ev(company="b", stage="S2"))
+    assert rows(G.kpi_cards(df, R, approx=True), "num_companies") == rows(G.kpi_cards(df, R), "num_companies")
+    assert sorted(rows(A.cross_matrix(df, R, approx=True), "num_companies")) == \
+        sorted(rows(A.cross_matrix(df, R), "num_companies"))
