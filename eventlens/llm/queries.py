@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, mixing, ngram_join, quality, secret_scan, sharding, token_files
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_token_files": token_files.op3_token_files,
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_jump_sharding": sharding.op10_jump_sharding,
 }
 
+#: Operators without SQL are tested against brute force in tests/llm.
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+    "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
 }
