@@ -75,8 +75,8 @@ def percent(num, den, scale: int) -> Column:
 
 
 def decimal_ratio(num, den, precision: int, scale: int) -> Column:
-    """`ratio` cast to DECIMAL(precision, scale) (e.g. a percentage column)."""
-    return ratio(num, den, scale).cast(f"decimal({precision},{scale})")
+    """`ratio` as DECIMAL(precision, scale) (e.g. a percentage column); NULL when it does not fit."""
+    return ratio(num, den, scale).try_cast(f"decimal({precision},{scale})")
 
 
 def pct_ratio(num, den, precision: int = 5, scale: int = 1) -> Column:

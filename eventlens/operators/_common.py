@@ -43,3 +43,7 @@ def excluding(name: str, values) -> Column:
 
 def ordered(df: DataFrame, order: bool, *keys) -> DataFrame:
     return df.orderBy(*keys) if order else df
+
+
+def distinct_count(col: str, approx: bool) -> Column:
+    return F.approx_count_distinct(col) if approx else F.countDistinct(col)

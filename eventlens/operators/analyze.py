@@ -2,9 +2,10 @@
 percentiles, size segments, z-scores and the screens built on them.
 
 Scale notes
-* Per-entity trajectories (`multi_round`) use grouped min/max over
-  (date, tie-break, ...) structs instead of ROW_NUMBER windows over raw rows:
-  partial aggregation keeps a hot entity from landing on one task.
+* Per-entity trajectories (`multi_round`) use grouped min/max of a fixed-width
+  ordering key (date and tie-break packed into one decimal), which aggregates
+  by hash with map-side combine, instead of ROW_NUMBER windows over raw rows.
+* Percentiles come from `quantiles`: exact, with bounded state in every task.
 * Segment statistics have at most two rows; joining them back to every event
   uses a broadcast whose size is bounded by the number of segment labels.
 * Windows only ever run over aggregated frames (stages, industries,
@@ -17,11 +18,13 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import direction, int_avg, pct_ratio, percent, ratio, scaled, segment, severity, trend
 from ..functions.labels import SEGMENT_THRESHOLD, SEVERITY_LABELS, TREND_LABELS
 from ..roles import DEFAULT, Roles
 from ._common import c, excluding, not_null, ordered, whole, year_of
+from .quantiles import percentile_values
 
 UNKNOWN = "Unknown"
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
@@ -76,9 +79,47 @@ def pivot_shift(pivot: DataFrame, y0: int, y1: int, rows: str = "stage") -> Data
         pct_ratio(top, "grand_total").alias("peak_year_share_pct"))
 
 
+def share_long(df: DataFrame, r: Roles = DEFAULT, rows: str = "stage", exclude=UNKNOWN, order: bool = True) -> DataFrame:
+    """`pivot_share` in long form, for whatever years there are: stage, year,
+    total, share_pct (of the year, DECIMAL(5,1)), grand_total (of the stage),
+    total_pct. One row per stage and year with events; no job lists the years."""
+    key = getattr(r, rows, rows)
+    f = df.filter(excluding(key, exclude) & not_null(r.total, r.date))
+    g = f.groupBy(c(key).alias(rows), year_of(r).alias("year")).agg(F.sum(r.total).cast("long").alias("total"))
+    out = g.select(rows, "year", "total", pct_ratio("total", F.sum("total").over(Window.partitionBy("year"))).alias("share_pct"),
+                   F.sum("total").over(Window.partitionBy(rows)).cast("long").alias("grand_total"), F.sum("total").over(whole()).alias("_all"))
+    out = out.select(rows, "year", "total", "share_pct", "grand_total", pct_ratio("grand_total", "_all").alias("total_pct"))
+    return ordered(out, order, rows, "year")
+
+
+def shift_long(df: DataFrame, r: Roles = DEFAULT, rows: str = "stage", exclude=UNKNOWN, order: bool = True) -> DataFrame:
+    """Per row of the pivot: first_year and last_year of the data with their
+    shares, share_shift_pp between them, peak_year (largest total, earliest on
+    ties) and peak_year_share_pct (percent of the row's grand total)."""
+    g = share_long(df, r, rows, exclude, order=False)
+    ends = g.select("*", F.min("year").over(whole()).alias("first_year"), F.max("year").over(whole()).alias("last_year"),
+                    F.max("total").over(Window.partitionBy(rows)).alias("_top"))
+    share = lambda y: F.coalesce(F.max(F.when(c("year") == c(y), c("share_pct"))), F.lit(0).cast("decimal(5,1)"))
+    out = ends.groupBy(rows, "first_year", "last_year", "grand_total").agg(
+        share("first_year").alias("first_share_pct"), share("last_year").alias("last_share_pct"),
+        F.min(F.when(c("total") == c("_top"), c("year"))).alias("peak_year"), F.max("_top").alias("_top"))
+    out = out.select(rows, "first_year", "last_year", "first_share_pct", "last_share_pct",
+                     (c("last_share_pct") - c("first_share_pct")).cast("decimal(6,1)").alias("share_shift_pp"), "peak_year",
+                     pct_ratio("_top", "grand_total").alias("peak_year_share_pct"))
+    return ordered(out, order, rows)
+
+
 # --------------------------------------------------------------------------- A2
 
 
+def _order_key(df: DataFrame, date: str, tie_break) -> Column:
+    """Date and up to one 64-bit tie-break as one decimal, so that min and max keep a fixed-width buffer."""
+    if len(tie_break) != 1 or not isinstance(df.schema[tie_break[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"the tie-break must be one integer column, not {tie_break}")
+    day = F.unix_date(c(date).cast("date")).cast("decimal(10,0)")
+    return day * F.lit("1" + "0" * 20).cast("decimal(21,0)") + F.coalesce(c(tie_break[0]), F.lit(0)).cast("decimal(20,0)")
+
+
 def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: str = "company",
                 tie_break=None, order: bool = True) -> DataFrame:
     """Entities with at least ``min_rounds`` events (measure and date present).
@@ -87,8 +128,9 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
     last_date, last_layoffs, cumulative_layoffs, days_of_crisis, trend
     (Escalating / Declining / Stable from the last vs the first event).
 
-    Events are ordered by date, then ``tie_break`` columns (default
-    ``r.tie_break``) so "first" and "last" are deterministic.
+    Events are ordered by date, then by the ``tie_break`` columns (default
+    ``r.tie_break``; integers that tell same-day events of an entity apart).
+    They are required: without them a same-day tie would decide the trend.
 
     grain="company": one row per entity; country and industry come from its
     first event. grain="reference": one row per (entity, country, industry)
@@ -98,37 +140,37 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
     grain's windows run over the per-group aggregates of one entity).
     """
     tb = tuple(tie_break if tie_break is not None else r.tie_break)
+    if not tb:
+        raise ValueError("multi_round needs a tie-break column (tie_break= or Roles.tie_break): "
+                         "the order of same-day events would decide the trend")
     f = df.filter(not_null(r.total, r.date))
-    ev = F.struct(c(r.date).alias("d"), *[c(t).alias(f"tb{i}") for i, t in enumerate(tb)],
-                  c(r.total).alias("t"), c(r.country).alias("country"), c(r.industry).alias("industry"))
+    if grain not in ("company", "reference"):
+        raise ValueError(f"unknown grain {grain!r}")
+    f = f.select(c(r.company).alias("company"), c(r.country).alias("country"), c(r.industry).alias("industry"),
+                 c(r.date).alias("_d"), c(r.total).alias("_t"), _order_key(df, r.date, tb).alias("_k"))
+    g = (f.groupBy("company").agg(F.count(F.lit(1)).alias("total_rounds"), F.sum("_t").cast("long").alias("cumulative_layoffs"),
+                                  F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+          .filter(c("total_rounds") >= min_rounds))
+    # The first and last rows themselves, looked up by company and key: a company of any size spreads over the join.
+    def end(key: str, no: int, date: str, total: str) -> DataFrame:
+        at = g.select(c("company").alias("_co"), c(key).alias("_at"))
+        found = f.join(at, c("company").eqNullSafe(c("_co")) & (c("_k") == c("_at")))
+        return found.select(c("company").alias(f"_c{no}"), c("country").alias(f"_country{no}"), c("industry").alias(f"_industry{no}"),
+                            c("_d").alias(date), c("_t").alias(total)).dropDuplicates([f"_c{no}"])
+
+    first, last = end("_first", 1, "first_date", "first_layoffs"), end("_last", 2, "last_date", "last_layoffs")
     if grain == "company":
-        g = (f.groupBy(c(r.company).alias("company"))
-              .agg(F.count(F.lit(1)).alias("total_rounds"), F.sum(r.total).cast("long").alias("cumulative_layoffs"),
-                   F.min(ev).alias("_first"), F.max(ev).alias("_last"))
-              .filter(c("total_rounds") >= min_rounds))
-        out = g.select(
-            "company", c("_first.country").alias("country"), c("_first.industry").alias("industry"),
-            "total_rounds", c("_first.d").alias("first_date"), c("_first.t").alias("first_layoffs"),
-            c("_last.d").alias("last_date"), c("_last.t").alias("last_layoffs"), "cumulative_layoffs")
-    elif grain == "reference":
-        g = (f.groupBy(c(r.company).alias("company"), c(r.country).alias("country"),
-                       c(r.industry).alias("industry"))
-              .agg(F.count(F.lit(1)).alias("_n"), F.sum(r.total).cast("long").alias("cumulative_layoffs"),
-                   F.min(ev).alias("_gmin"), F.max(ev).alias("_gmax")))
-        # Entity-level first/last/count from the group rows of the same entity:
-        # a window over aggregated rows (one per country x industry of the entity).
-        per = Window.partitionBy("company")
-        g = g.select("*", F.sum("_n").over(per).alias("total_rounds"),
-                     F.min("_gmin").over(per).alias("_cfirst"), F.max("_gmax").over(per).alias("_clast"))
-        g = g.filter(c("total_rounds") >= min_rounds)
-        is_first, is_last = c("_gmin") == c("_cfirst"), c("_gmax") == c("_clast")
-        out = g.select(
-            "company", "country", "industry", "total_rounds",
-            F.when(is_first, c("_cfirst.d")).alias("first_date"), F.when(is_first, c("_cfirst.t")).alias("first_layoffs"),
-            F.when(is_last, c("_clast.d")).alias("last_date"), F.when(is_last, c("_clast.t")).alias("last_layoffs"),
-            "cumulative_layoffs")
+        out = (g.join(first, c("company").eqNullSafe(c("_c1"))).join(last, c("company").eqNullSafe(c("_c2")))
+                .select("company", c("_country1").alias("country"), c("_industry1").alias("industry"), "total_rounds",
+                        "first_date", "first_layoffs", "last_date", "last_layoffs", "cumulative_layoffs"))
     else:
-        raise ValueError(f"unknown grain {grain!r}")
+        same = [c("company").eqNullSafe(c(f"_c{i}")) & c("country").eqNullSafe(c(f"_country{i}")) & c("industry").eqNullSafe(c(f"_industry{i}"))
+                for i in (1, 2)]
+        part = f.groupBy("company", "country", "industry").agg(F.sum("_t").cast("long").alias("cumulative_layoffs"))
+        rounds = g.select(c("company").alias("_co"), "total_rounds")
+        out = (part.join(rounds, c("company").eqNullSafe(c("_co"))).join(first, same[0], "left").join(last, same[1], "left")
+                   .select("company", "country", "industry", "total_rounds", "first_date", "first_layoffs",
+                           "last_date", "last_layoffs", "cumulative_layoffs"))
     out = out.select("*", F.datediff("last_date", "first_date").alias("days_of_crisis"),
                      trend("first_layoffs", "last_layoffs").alias("trend"))
     return ordered(out, order, F.desc("total_rounds"), F.desc("cumulative_layoffs"), "company", "country", "industry")
@@ -189,103 +231,28 @@ def dominant_cells(matrix: DataFrame, min_pct: float = 50, order: bool = True) -
 # --------------------------------------------------------------------------- A4 / A12
 
 
-def _percentile(col: str, qs, approx: bool, accuracy: int = 10000) -> Column:
-    if approx:
-        return F.percentile_approx(c(col).cast("double"), list(qs), accuracy)
-    return F.percentile(c(col), list(qs))
-
-
 def percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES, names=QUANTILE_NAMES,
-                approx: bool = False, scale: int = 4, method: str | None = None,
-                accuracy: int = 100_000) -> DataFrame:
+                approx: bool = False, scale: int = 4, accuracy: int = 100_000) -> DataFrame:
     """One row of interpolated percentiles (Q1, median, Q3, P90, P99); no row
     when the column has no values. Values are rounded to ``scale`` decimals.
 
-    method="exact" (default): Spark's exact ``percentile``; its state holds one
-    entry per distinct value, fine for count-like measures.
-    method="approx" (or approx=True): ``percentile_approx``, bounded memory,
-    approximate.
-    method="banded": exact with bounded state for high-cardinality columns,
-    see `banded_percentiles`.
+    Exact and bounded in memory (`quantiles`: a few counting jobs run when the
+    frame is built); ``approx`` takes one ``percentile_approx`` pass instead.
     """
-    method = method or ("approx" if approx else "exact")
-    if method == "banded":
-        return banded_percentiles(df, col, qs, names, accuracy, scale)
-    f = df.filter(c(col).isNotNull())
-    g = f.agg(_percentile(col, qs, method == "approx").alias("_p"), F.count(F.lit(1)).alias("_n")) \
-         .filter(c("_n") > 0)
-    return g.select(*[F.round(c("_p")[i], scale).alias(n) for i, n in enumerate(names)])
-
-
-def banded_percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES, names=QUANTILE_NAMES,
-                       accuracy: int = 100_000, scale: int = 4) -> DataFrame:
-    """Exact interpolated percentiles without holding every distinct value in
-    one task.
-
-    1. One ``percentile_approx`` pass (rank error at most N / accuracy) gives,
-       for each quantile, the values at q -/+ 2/accuracy; widened by one
-       distinct value on each side (the approximate and the interpolated
-       definitions differ by up to one rank), that band must contain the
-       exact order statistics.
-    2. One pass tags every value with the bands it falls in, or with the
-       band's "below" cell (value -inf), and counts per (band, value): the
-       below cell carries the exact number of smaller values, the rest are
-       the few (value, count) pairs inside the band (about 4N / accuracy).
-    3. A running sum per band over those cells gives exact ranks; the values at
-       ranks floor/ceil of q * (N - 1) are interpolated like percentile_cont.
-       A band that misses its rank raises an error instead of answering.
-
-    Each scalar subquery is referenced once, as a column, so the plan stays
-    small however many quantiles are asked for.
-    """
-    base = df.filter(c(col).isNotNull()).select(c(col).cast("double").alias("_v"))
-    k = len(qs)
-    eps = 2.0 / accuracy
-    probs = [p for q in qs for p in (max(0.0, q - eps), min(1.0, q + eps))]
-    stats = base.agg(F.struct(F.percentile_approx("_v", probs, accuracy).alias("e"),
-                              F.count(F.lit(1)).alias("n")).alias("s")).select("s").scalar()
-    approx_lo = [c("_s.e")[2 * i] for i in range(k)]
-    approx_hi = [c("_s.e")[2 * i + 1] for i in range(k)]
-    ext = (base.select("_v", stats.alias("_s"))
-               .agg(F.struct(*[F.max(F.when(c("_v") < approx_lo[i], c("_v"))).alias(f"p{i}") for i in range(k)],
-                             *[F.min(F.when(c("_v") > approx_hi[i], c("_v"))).alias(f"s{i}") for i in range(k)])
-                    .alias("x"))
-               .select("x").scalar())
-    rows = base.select("_v", stats.alias("_s"), ext.alias("_x"))
-    lo_edge = [F.coalesce(c(f"_x.p{i}"), approx_lo[i]) for i in range(k)]
-    hi_edge = [F.coalesce(c(f"_x.s{i}"), approx_hi[i]) for i in range(k)]
-    below = F.lit(float("-inf"))
-    tags = F.array_compact(F.array(*[
-        F.when(c("_v") < lo_edge[i], F.struct(F.lit(i).alias("b"), below.alias("v")))
-         .when(c("_v") <= hi_edge[i], F.struct(F.lit(i).alias("b"), c("_v").alias("v")))
-        for i in range(k)]))
-    cells = (rows.select(c("_s.n").alias("_n"), F.explode(tags).alias("_t"))
-                 .groupBy("_n", c("_t.b").alias("_band"), c("_t.v").alias("_v"))
-                 .agg(F.count(F.lit(1)).alias("_c")))
-    run = Window.partitionBy("_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cells.select("_n", "_band", "_v", "_c", F.sum("_c").over(run).alias("_end"))
-    pos = [(c("_n") - 1).cast("double") * F.lit(float(q)) for q in qs]
-
-    def value_at(i: int, rank) -> Column:
-        hit = (c("_band") == i) & (c("_end") - c("_c") <= rank) & (rank < c("_end"))
-        return F.max(F.when(hit, c("_v")))
-
-    picked = ranked.groupBy("_n").agg(*[value_at(i, F.floor(pos[i])).alias(f"_lo{i}") for i in range(k)],
-                                      *[value_at(i, F.ceil(pos[i])).alias(f"_hi{i}") for i in range(k)])
-    out = []
-    for i, name in enumerate(names):
-        lo, hi = c(f"_lo{i}"), c(f"_hi{i}")
-        frac = pos[i] - F.floor(pos[i])
-        missed = lo.isNull() | hi.isNull() | (lo == below)
-        checked = F.when(missed, F.raise_error(F.lit("percentile band missed its rank")))
-        out.append(F.coalesce(checked.cast("double"), F.round(lo + frac * (hi - lo), scale)).alias(name))
-    return picked.select(*out)
+    if approx:
+        f = df.filter(c(col).isNotNull())
+        g = f.agg(F.percentile_approx(c(col).cast("double"), list(qs), accuracy).alias("_p"), F.count(F.lit(1)).alias("_n")).filter(c("_n") > 0)
+        return g.select(*[F.round(c("_p")[i], scale).alias(n) for i, n in enumerate(names)])
+    found = percentile_values(df, col, qs).get(None)
+    row = df.sparkSession.range(0 if found is None else 1)
+    return row.select(*[F.round(F.lit(None if found is None else found[i]).cast("double"), scale).alias(n) for i, n in enumerate(names)])
 
 
 def adaptive_cutoff(df: DataFrame, col: str = "total_laid_off", q: float = 0.9) -> Column:
-    """The ``q`` percentile of ``col`` as a scalar-subquery Column, usable as
-    the ``threshold`` of every segment operator."""
-    return df.filter(c(col).isNotNull()).select(F.percentile(c(col), q)).scalar()
+    """The ``q`` percentile of ``col`` as a Column, usable as the ``threshold``
+    of every segment operator (NULL when the column has no values)."""
+    found = percentile_values(df, col, [q]).get(None)
+    return F.lit(None if found is None else found[0]).cast("double")
 
 
 def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale: int = 4) -> DataFrame:
@@ -296,13 +263,12 @@ def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale:
     and workers_share_pct (share of the measure in events >= cutoff, 2 dp).
     """
     f = df.filter(c(r.total).isNotNull())
-    stats = f.agg(F.percentile(c(r.total), list(QUANTILES)).alias("_p"), F.sum(r.total).cast("long").alias("_s"),
-                  F.count(F.lit(1)).alias("_n")).filter(c("_n") > 0)
-    cut = adaptive_cutoff(df, r.total, q)
-    above = f.filter(c(r.total) >= cut).select(
-        F.struct(F.count(F.lit(1)).alias("n"), F.sum(r.total).cast("long").alias("s"))).scalar()
-    n_above, s_above = above.getField("n"), above.getField("s")
-    p = [c("_p")[i] for i in range(len(QUANTILES))]
+    found = percentile_values(f, r.total, [*QUANTILES, q]).get(None, [None] * (len(QUANTILES) + 1))
+    *p, cut = [F.lit(x).cast("double") for x in found]
+    above = c(r.total) >= cut
+    stats = f.agg(F.sum(r.total).cast("long").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count_if(above).alias("_above"),
+                  F.sum(F.when(above, c(r.total))).cast("long").alias("_s_above")).filter(c("_n") > 0)
+    n_above, s_above = c("_above"), c("_s_above")
     mean = c("_s").cast("double") / c("_n").cast("double")
     return stats.select(
         *[F.round(x, scale).alias(n) for x, n in zip(p, QUANTILE_NAMES)],
@@ -334,8 +300,12 @@ def segment_stats(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHOLD
     g = (_segmented(df, r, threshold).groupBy("group_label")
          .agg(F.count(F.lit(1)).alias("total_events"), F.min(r.total).alias("min_value"),
               F.max(r.total).alias("max_value"), F.sum(r.total).cast("long").alias("_s"),
-              F.percentile(c(r.total), 0.5).alias("_median"),
               F.stddev_samp(c(r.total).cast("double")).alias("_std")))
+    medians = percentile_values(_segmented(df, r, threshold), r.total, [0.5], "group_label")
+    of = F.lit(None).cast("double")
+    for label, (m,) in medians.items():
+        of = F.when(c("group_label").eqNullSafe(F.lit(label)), F.lit(m)).otherwise(of)
+    g = g.withColumn("_median", of)
     mean = c("_s").cast("double") / c("total_events").cast("double")
     out = g.select(
         "group_label", "total_events", "min_value", "max_value",
@@ -411,7 +381,7 @@ def segment_by_year(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHO
 
 
 def zscore(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHOLD, bands=(4, 3, 2, 1),
-           scale: int = 4, order: bool = True) -> DataFrame:
+           scale: int = 4, order: bool = False) -> DataFrame:
     """Per event: z-score of the measure within its size segment.
 
     company, industry, country, date, total_laid_off, group_label, group_mean,
@@ -420,7 +390,8 @@ def zscore(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHOLD, bands
 
     Segment statistics use every event with a measure; scored events also
     need a date (as in the source). The statistics frame has one row per
-    segment label (two), so it is broadcast: no shuffle of the events.
+    segment label (two), so it is broadcast: no shuffle of the events; sorting
+    them all (``order``) is off unless asked for.
     """
     stats = (_segmented(df, r, threshold).groupBy("group_label")
              .agg(F.sum(r.total).cast("long").alias("_s"), F.count(F.lit(1)).alias("_n"),
@@ -469,16 +440,16 @@ def funding_paradox(df: DataFrame, r: Roles = DEFAULT, buckets: int = 5, order:
     pearson r of measure vs funds). Our definition of a finding the source
     only names.
 
-    Breakpoints are the exact funds percentiles at 1/b, 2/b, ... rounded to
-    cents (one scalar subquery, broadcast into the filter); bucket k holds
-    funds in (bp[k-1], bp[k]]. No global sort or ntile.
+    Breakpoints are the exact funds percentiles at 1/b, 2/b, ... (`quantiles`)
+    rounded to cents; bucket k holds funds in (bp[k-1], bp[k]]. No global sort
+    or ntile.
     """
     f = df.filter(not_null(r.total, r.funds))
     qs = [i / buckets for i in range(1, buckets)]
-    bps = f.select(F.percentile(c(r.funds), qs)).scalar()
+    bps = percentile_values(f, r.funds, qs).get(None, [None] * len(qs))
     bucket = F.lit(1)
     for i in range(len(qs)):
-        bucket = bucket + (c(r.funds) > F.round(bps[i], 2)).cast("int")
+        bucket = bucket + (c(r.funds) > F.round(F.lit(bps[i]).cast("double"), 2)).cast("int")
     x, y = c(r.total).cast("double"), c(r.funds)
     g = (f.groupBy(bucket.alias("funding_bucket"))
           .agg(F.count(F.lit(1)).alias("events"), F.min(r.funds).alias("min_funds"), F.max(r.funds).alias("max_funds"),
@@ -498,8 +469,8 @@ def riskiest_stage(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, order: bo
           .agg(F.count(F.lit(1)).alias("events"), F.count_if(c(r.pct) >= 1).alias("_sd"),
                F.sum(scaled(r.pct, 6)).alias("_micro"),
                F.sum(F.when(usable, c(r.total))).alias("_t"),
-               F.sum(F.when(usable, c(r.total) / c(r.pct))).alias("_est")))
-    wr = F.round(F.try_divide(c("_t") * F.lit(100.0), c("_est")), 2)
+               F.sum(F.when(usable, scaled(c(r.total) / c(r.pct), 6))).alias("_est")))
+    wr = percent(c("_t").cast("decimal(30,0)") * F.lit(1_000_000), "_est", 2)
     out = g.select("stage", "events", wr.alias("weighted_rate_pct"),
                    percent("_sd", "events", 2).alias("shutdown_share_pct"),
                    ratio("_micro", c("events") * 1_000_000, 4).alias("avg_rate"))
@@ -510,8 +481,11 @@ def riskiest_stage(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, order: bo
 def survival_rate(df: DataFrame, r: Roles = DEFAULT, by: str = "stage", order: bool = True) -> DataFrame:
     """Shutdown (rate = 1) survival by a dimension, per event and per company
     (our definition): events, shutdown_events, event_survival_pct, companies,
-    shutdown_companies, company_survival_pct. Two-level aggregation, no join."""
+    shutdown_companies, company_survival_pct. ``by``: a role, a column, or
+    "year" (of the date; NULL dates left out). Two-level aggregation, no join."""
     key = getattr(r, by, by)
+    if by == "year" and "year" not in df.columns:
+        df, key = df.filter(c(r.date).isNotNull()).withColumn("_year", year_of(r)), "_year"
     per = (df.filter(c(r.pct).isNotNull())
              .groupBy(c(key).alias(by), c(r.company).alias("_co"))
              .agg(F.count(F.lit(1)).alias("_ev"), F.count_if(c(r.pct) >= 1).alias("_sd"),

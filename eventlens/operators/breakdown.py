@@ -10,23 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import int_avg, percent, ratio, relation, safe_div, scaled, strength
+from ..functions import int_avg, pct_ratio, percent, ratio, relation, safe_div, scaled, strength
 from ..roles import DEFAULT, Roles
-from ._common import c, excluding, not_null, ordered, year_of
+from ._common import c, distinct_count, excluding, not_null, ordered, year_of
 
 UNKNOWN = "Unknown"
 
 
-def _distinct(col: str, approx: bool):
-    return F.approx_count_distinct(col) if approx else F.countDistinct(col)
-
-
 def industry_breakdown(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, approx: bool = False,
                        order: bool = True) -> DataFrame:
     """industry, num_companies, total_laid_off, avg_laid_off (integer average)."""
     out = (df.filter(excluding(r.industry, exclude) & c(r.total).isNotNull())
              .groupBy(c(r.industry).alias("industry"))
-             .agg(_distinct(r.company, approx).alias("num_companies"),
+             .agg(distinct_count(r.company, approx).alias("num_companies"),
                   F.sum(r.total).cast("long").alias("total_laid_off"),
                   int_avg(r.total).alias("avg_laid_off")))
     return ordered(out, order, F.desc("total_laid_off"), "industry")
@@ -40,7 +36,7 @@ def stage_breakdown(df: DataFrame, r: Roles = DEFAULT, exclude=UNKNOWN, approx:
     """
     out = (df.filter(excluding(r.stage, exclude) & not_null(r.total, r.funds))
              .groupBy(c(r.stage).alias("stage"))
-             .agg(_distinct(r.company, approx).alias("num_companies"),
+             .agg(distinct_count(r.company, approx).alias("num_companies"),
                   F.sum(r.total).cast("long").alias("total_laid_off"),
                   int_avg(r.total).alias("avg_laid_off"),
                   (F.sum(scaled(r.funds, 2)) / F.lit(100.0)).alias("total_funds_raised")))
@@ -114,7 +110,7 @@ def country_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, o
     """country, num_companies, total_laid_off, avg_laid_off."""
     out = (df.filter(c(r.total).isNotNull())
              .groupBy(c(r.country).alias("country"))
-             .agg(_distinct(r.company, approx).alias("num_companies"),
+             .agg(distinct_count(r.company, approx).alias("num_companies"),
                   F.sum(r.total).cast("long").alias("total_laid_off"),
                   int_avg(r.total).alias("avg_laid_off")))
     return ordered(out, order, F.desc("total_laid_off"), "country")
@@ -125,23 +121,22 @@ def city_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, orde
     avg_funds_raised, layoff_rate_raw.
 
     Only rows with measure, funds and a positive rate take part. The rate is
-    total / estimated headcount in percent, where the headcount is the
-    unrounded sum of total / pct. city_rank orders by total then city name.
+    total / estimated headcount in percent, where the headcount is the sum of
+    total / pct in millionths (an exact sum, whatever the partitioning). city_rank orders by total then city name.
     """
     g = (df.filter(not_null(r.total, r.funds, r.pct) & (c(r.pct) > 0))
            .groupBy(c(r.country).alias("country"), c(r.location).alias("city"))
-           .agg(_distinct(r.company, approx).alias("num_companies"),
+           .agg(distinct_count(r.company, approx).alias("num_companies"),
                 F.sum(r.total).cast("long").alias("total_laid_off"),
                 int_avg(r.total).alias("avg_laid_off"),
                 F.sum(scaled(r.funds, 2)).alias("_cents"),
                 F.count(r.funds).alias("_nf"),
-                F.sum(safe_div(r.total, r.pct)).alias("_est")))
+                F.sum(scaled(safe_div(r.total, r.pct), 6)).alias("_est")))
     w = Window.partitionBy("country").orderBy(F.desc("total_laid_off"), "city")
     out = g.select(
         "country", F.row_number().over(w).alias("city_rank"), "city", "num_companies", "total_laid_off",
         "avg_laid_off", ratio(c("_cents"), c("_nf") * 100, 2).alias("avg_funds_raised"),
-        F.round(F.try_divide(c("total_laid_off") * F.lit(100.0), c("_est")), 2)
-         .cast("decimal(10,2)").alias("layoff_rate_raw"))
+        pct_ratio(c("total_laid_off").cast("decimal(38,0)") * F.lit(1_000_000), "_est", 10, 2).alias("layoff_rate_raw"))
     return ordered(out, order, "country", "city_rank")
 
 

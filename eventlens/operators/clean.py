@@ -2,15 +2,18 @@
 
 The whole chain is one lazy plan:
   exact dedup (one hash aggregate; map-side combine collapses a hot group of
-  copies inside each task) -> narrow per-row projection -> length check ->
-  drop uninformative rows -> peer imputation (per-key donor aggregate joined
-  back; the dedup shuffle is computed once and reused) -> label the rest.
-Nothing is collected; the caller writes the result once (see plans.sinks).
+  copies inside each task) -> narrow per-row projection -> optional length
+  check (rows over it are rejects, a frame of their own) -> drop uninformative
+  rows -> peer imputation of the rows that lack a value (the others pass
+  untouched) -> label the rest.
+No row leaves without a name: every landing row is a duplicate, malformed, a
+reject, uninformative or clean, and `load_audit` counts each. Nothing is
+collected; the caller writes the result once (see plans.sinks, plans.jobs).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import collapse, null_token, strip_chars, token_to_label
@@ -20,7 +23,6 @@ from ..roles import DEFAULT, Roles
 from ..sources.fixtures import RAW_COLUMNS
 
 DATE_FORMAT = "M/d/yyyy"  # month/day/year; one- or two-digit month and day
-TEXT_MAX_LEN = 50
 
 
 def exact_dedup(df: DataFrame, cols=None) -> DataFrame:
@@ -83,25 +85,22 @@ def impute_from_peer(df: DataFrame, key: str = "company", attr: str = "industry"
                      strategy: str = "min") -> DataFrame:
     """Fill a NULL ``attr`` from other rows of the same ``key``.
 
-    The donor value per key is an aggregate (``min``, or ``mode`` = most
-    frequent, smallest on ties). Both ignore NULLs and are partial
-    aggregates, so a hot key is combined map-side; ``min`` is also
-    insensitive to duplicate rows, so Catalyst drops an upstream dedup on the
-    donor side (RemoveRedundantAggregates). A NULL key never matches the
-    equi-join. AQE turns the join into a broadcast when the donor table is
-    small and splits a skewed key otherwise.
+    The donor value per key is its smallest (``min``) or most frequent
+    (``mode``, smallest on ties) non-NULL value. Donors come from a hash count
+    per (key, value), combined map-side, so a hot key is small before any
+    shuffle; a rank over those pairs picks one. Only rows that lack the value
+    and have a key are joined; rows with a value, and rows without a key, are
+    passed through without a shuffle.
     """
-    cols = df.columns
-    if strategy == "min":
-        agg = F.min(attr)
-    elif strategy == "mode":
-        agg = F.mode(attr, deterministic=True)
-    else:
+    rank = {"min": (F.col(attr),), "mode": (F.desc("_n"), F.col(attr))}
+    if strategy not in rank:
         raise ValueError(f"unknown strategy {strategy!r}")
-    donors = df.groupBy(key).agg(agg.alias("_donor"))
-    return (df.join(donors, key, "left")
-              .withColumn(attr, F.coalesce(F.col(attr), F.col("_donor")))
-              .select(*cols))
+    lacks = F.col(attr).isNull() & F.col(key).isNotNull()
+    pairs = df.filter(F.col(attr).isNotNull() & F.col(key).isNotNull()).groupBy(key, attr).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*rank[strategy]))
+    donors = pairs.withColumn("_rank", first).filter(F.col("_rank") == 1).select(F.col(key), F.col(attr).alias("_donor"))
+    filled = df.filter(lacks).join(donors, key, "left").withColumn(attr, F.col("_donor")).select(*df.columns)
+    return df.filter(~lacks).unionByName(filled)
 
 
 def label_unknown(df: DataFrame, col: str = "industry", label: str = UNKNOWN) -> DataFrame:
@@ -109,8 +108,8 @@ def label_unknown(df: DataFrame, col: str = "industry", label: str = UNKNOWN) ->
     return df.fillna(label, subset=[col])
 
 
-def typed_projection(raw: DataFrame, r: Roles = DEFAULT, date_format: str = DATE_FORMAT) -> DataFrame:
-    """All per-row rules in one narrow projection, in the clean column order."""
+def typed_projection(raw: DataFrame, r: Roles = DEFAULT, date_format: str = DATE_FORMAT, extra=()) -> DataFrame:
+    """All per-row rules in one narrow projection, in the clean column order; ``extra`` columns follow as they are."""
     return raw.select(
         F.trim(F.col("company")).alias(r.company),
         F.col("location").alias(r.location),
@@ -121,26 +120,41 @@ def typed_projection(raw: DataFrame, r: Roles = DEFAULT, date_format: str = DATE
         F.col("total_laid_off").try_cast("int").alias(r.total),
         F.col("percentage_laid_off").try_cast("double").alias(r.pct),
         F.round(strip_chars("funds_raised_millions").try_cast("double"), 2).alias(r.funds),
+        *extra,
     )
 
 
-def _too_long(r: Roles, max_len: int):
+def too_long(r: Roles, max_len: int):
+    """Some text column has more than ``max_len`` characters."""
     cond = F.lit(False)
     for c in (r.company, r.location, r.country, r.industry, r.stage):
         cond = cond | (F.coalesce(F.length(F.col(c)), F.lit(0)) > max_len)
     return cond
 
 
-def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN,
+def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int | None = None,
                  dedup_after: bool = False, strategy: str = "min",
-                 collation: str | None = None) -> dict[str, DataFrame]:
+                 collation: str | None = None, corrupt_col: str | None = None) -> dict[str, DataFrame]:
     """Every intermediate stage of `clean_events`, by name (all lazy).
 
+    ``corrupt_col`` names the reader's corrupt-record column, if the landing
+    rows carry it: malformed rows are the stage ``malformed`` and take no part
+    in the others. With ``max_len``, rows with a longer text value are the
+    stage ``rejects``; without it there are none. ``uninformative`` holds the
+    rows without any measure.
+
     ``collation`` (e.g. "UTF8_LCASE_RTRIM": case-insensitive, trailing spaces
     ignored, like the source database's default) makes dedup, token tests and
     the imputation join compare text under that collation; the clean output is
     cast back to plain strings.
     """
+    malformed = None
+    if corrupt_col:
+        # The reader refuses a scan that needs only its corrupt-record column,
+        # so the predicate also reads the parsed fields.
+        seen = F.length(F.concat_ws("|", F.col(corrupt_col), *[F.col(c) for c in RAW_COLUMNS])) >= 0
+        malformed = raw.filter(F.col(corrupt_col).isNotNull() & seen)
+        raw = raw.filter(F.col(corrupt_col).isNull())
     raw = raw.select(*RAW_COLUMNS)
     if collation:
         raw = raw.select(*[F.collate(F.col(x), collation).alias(x) for x in RAW_COLUMNS])
@@ -148,84 +162,91 @@ def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN
     typed = typed_projection(deduped, r)
     if dedup_after:
         typed = exact_dedup(typed)
-    too_long = _too_long(r, max_len)
-    rejects = typed.filter(too_long)
-    fits = typed.filter(~too_long)
+    over = F.lit(False) if max_len is None else too_long(r, max_len)
+    fits = typed if max_len is None else typed.filter(~over)
     informative = drop_uninformative(fits, (r.total, r.pct))
     imputed = impute_from_peer(informative, r.company, r.industry, strategy)
     clean = label_unknown(imputed, r.industry)
     if collation:
         text = {r.company, r.location, r.country, r.industry, r.stage}
         clean = clean.select(*[F.col(x).cast("string").alias(x) if x in text else F.col(x) for x in clean.columns])
-    return {"raw": raw, "distinct": deduped, "typed": typed, "rejects": rejects,
-            "informative": informative, "clean": clean}
+    out = {"raw": raw, "distinct": deduped, "typed": typed, "rejects": typed.filter(over),
+           "uninformative": fits.filter(F.col(r.total).isNull() & F.col(r.pct).isNull()),
+           "informative": informative, "clean": clean}
+    return out if malformed is None else {**out, "malformed": malformed}
 
 
-def clean_events(raw: DataFrame, r: Roles = DEFAULT, max_len: int = TEXT_MAX_LEN,
-                 dedup_after: bool = False, strategy: str = "min", collation: str | None = None) -> DataFrame:
+def clean_events(raw: DataFrame, r: Roles = DEFAULT, dedup_after: bool = False, strategy: str = "min",
+                 collation: str | None = None) -> DataFrame:
     """Landing rows -> clean event table (company, location, country, industry,
     stage, date, total_laid_off, percentage_laid_off, funds_raised_millions).
 
     Dedup runs on the raw strings first (rows equal only after trimming
     survive) unless ``dedup_after``; see `clean_stages` for ``collation``.
-    Rows with a text value over ``max_len``
-    characters go to the ``rejects`` stage of `clean_stages` instead of
-    failing the load.
+    Text of any length is kept. For a length limit use `clean_and_rejects`,
+    which hands the rows over it back.
     """
-    return clean_stages(raw, r, max_len, dedup_after, strategy, collation)["clean"]
+    return clean_stages(raw, r, None, dedup_after, strategy, collation)["clean"]
+
+
+def clean_and_rejects(raw: DataFrame, max_len: int, r: Roles = DEFAULT, **kw) -> tuple[DataFrame, DataFrame]:
+    """(clean events, typed rows with a text value over ``max_len`` characters)."""
+    st = clean_stages(raw, r, max_len, **kw)
+    return st["clean"], st["rejects"]
 
 
-def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, **kw) -> DataFrame:
-    """Row counts per stage: stage, num_rows.
+AUDIT_STAGES = ("raw", "malformed", "duplicates", "distinct", "rejects", "uninformative", "clean")
 
-    raw, malformed (rows the reader could not split into the schema; only
-    when ``corrupt_col`` names the reader's corrupt-record column), distinct,
-    rejects (over-length text), informative, clean. Three global aggregates:
-    one over the landing rows, one with conditional counts over the
-    deduplicated typed rows, one over the clean table.
+
+def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None,
+               max_len: int | None = None) -> DataFrame:
+    """Row counts per stage: stage, num_rows, in the order of AUDIT_STAGES.
+
+    raw (all landing rows), malformed (rows the reader could not split into
+    the schema, if ``corrupt_col`` names its corrupt-record column), duplicates
+    (further copies of well-formed rows), distinct, rejects (over ``max_len``),
+    uninformative and clean. raw = malformed + duplicates + distinct, and
+    distinct = rejects + uninformative + clean (imputation neither adds nor
+    removes rows). One pass: the landing rows are grouped by their text with a
+    count, and the groups are typed and counted.
     """
-    st = clean_stages(raw, r, **kw)
-    raw_aggs = [F.count(F.lit(1)).alias("raw")]
-    if corrupt_col:
-        # The reader refuses a scan that needs only its corrupt-record column,
-        # so the predicate also reads the parsed fields.
-        seen = F.length(F.concat_ws("|", F.col(corrupt_col), *[F.col(c) for c in RAW_COLUMNS])) >= 0
-        raw_aggs.append(F.count_if(F.col(corrupt_col).isNotNull() & seen).alias("malformed"))
-    too_long = _too_long(r, kw.get("max_len", TEXT_MAX_LEN))
-    has_measure = F.col(r.total).isNotNull() | F.col(r.pct).isNotNull()
-    typed = st["typed"].agg(F.count(F.lit(1)).alias("distinct"),
-                            F.count_if(too_long).alias("rejects"),
-                            F.count_if(~too_long & has_measure).alias("informative"))
-    clean = st["clean"].agg(F.count(F.lit(1)).alias("clean"))
-    names = [a for a in ("raw", "malformed") if a == "raw" or corrupt_col] + ["distinct", "rejects", "informative",
-                                                                             "clean"]
-    parts = [raw.agg(*raw_aggs), typed, clean]
-    out = None
-    for p in parts:
-        long = p.unpivot([], p.columns, "stage", "num_rows")
-        out = long if out is None else out.unionByName(long)
-    order = F.array(*[F.lit(n) for n in names])
-    return out.orderBy(F.array_position(order, F.col("stage")))
-
-
-def clean_with_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, **kw):
-    """`clean_events` plus load metrics gathered in the same pass.
-
-    Returns (clean_df, observations). The observations fill when the first
-    action runs on clean_df (typically its one write): ``raw`` has rows (and
-    malformed rows when ``corrupt_col`` is given), ``clean`` has rows,
-    rows_with_date, rows_with_measure and unknown_industry. No extra job.
+    bad = F.col(corrupt_col).isNotNull() if corrupt_col else F.lit(False)
+    # malformed rows share one group: they are counted, not compared
+    keys = [F.when(~bad, F.col(c)).alias(c) for c in RAW_COLUMNS]
+    groups = raw.select(*keys, bad.alias("_bad")).groupBy(*RAW_COLUMNS, "_bad").agg(F.count(F.lit(1)).alias("_n"))
+    typed = typed_projection(groups, r, extra=("_bad", "_n"))
+    over = F.lit(False) if max_len is None else too_long(r, max_len)
+    measured = F.col(r.total).isNotNull() | F.col(r.pct).isNotNull()
+    ok, n = ~F.col("_bad"), F.col("_n")
+    one = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0)).cast("long")
+    counts = typed.agg(one(F.lit(True), n).alias("raw"), one(F.col("_bad"), n).alias("malformed"), one(ok, n - 1).alias("duplicates"),
+                       one(ok, F.lit(1)).alias("distinct"), one(ok & over, F.lit(1)).alias("rejects"),
+                       one(ok & ~over & ~measured, F.lit(1)).alias("uninformative"), one(ok & ~over & measured, F.lit(1)).alias("clean"))
+    order = F.array(*[F.lit(s) for s in AUDIT_STAGES])
+    return counts.unpivot([], list(AUDIT_STAGES), "stage", "num_rows").orderBy(F.array_position(order, F.col("stage")))
+
+
+def clean_with_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, max_len: int | None = None, **kw):
+    """The clean and reject frames with load metrics gathered as they are written.
+
+    Returns (stages, observations). ``stages`` has clean, rejects and, with
+    ``corrupt_col``, malformed. The observations fill when the first action
+    runs on a frame (typically its one write): ``clean`` has rows,
+    rows_with_date, rows_with_measure and unknown_industry, ``rejects`` and
+    ``malformed`` have rows. The clean frame reads the landing rows in more
+    than one branch, so they are counted by `load_audit`, not here.
     """
     from pyspark.sql import Observation
 
-    obs_raw, obs_clean = Observation("eventlens_raw"), Observation("eventlens_clean")
-    raw_metrics = [F.count(F.lit(1)).alias("rows")]
-    if corrupt_col:
-        raw_metrics.append(F.count_if(F.col(corrupt_col).isNotNull()).alias("malformed"))
-    observed = raw.observe(obs_raw, *raw_metrics)
-    clean = clean_events(observed, r, **kw).observe(
-        obs_clean, F.count(F.lit(1)).alias("rows"),
+    obs = {name: Observation(f"eventlens_{name}") for name in ("clean", "rejects", "malformed")}
+    st = clean_stages(raw, r, max_len, corrupt_col=corrupt_col, **kw)
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    st["clean"] = st["clean"].observe(
+        obs["clean"], F.count(F.lit(1)).alias("rows"),
         F.count(F.col(r.date)).alias("rows_with_date"),
         F.count(F.col(r.total)).alias("rows_with_measure"),
         F.count_if(F.col(r.industry) == UNKNOWN).alias("unknown_industry"))
-    return clean, {"raw": obs_raw, "clean": obs_clean}
+    for name in ("rejects", "malformed"):
+        if name in st:
+            st[name] = st[name].observe(obs[name], *metrics)
+    return st, obs

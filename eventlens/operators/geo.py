@@ -25,8 +25,7 @@ def city_map_rows(df: DataFrame, r: Roles = DEFAULT, coords: DataFrame | None =
                   order: bool = True) -> DataFrame:
     """City aggregates with coordinates: country, city, num_companies,
     total_laid_off, layoff_rate_raw, lat, lng (NULL when the lookup has no
-    entry). The lookup is a small dimension table; Spark broadcasts it by its
-    size check."""
+    entry). Both sides are small when joined: one row per city, and the lookup."""
     city = city_breakdown(df, r, order=False)
     cols = ["country", "city", "num_companies", "total_laid_off", "layoff_rate_raw"]
     if coords is None:
@@ -99,10 +98,10 @@ def country_panel(df: DataFrame, r: Roles = DEFAULT, order: bool = True) -> Data
     base = (df.filter(not_null(r.total, r.funds, r.pct) & (c(r.pct) > 0))
               .groupBy(c(r.country).alias("country"))
               .agg(F.countDistinct(r.company).alias("distinct_companies"),
-                   F.sum(r.total).alias("_t"), F.sum(safe_div(r.total, r.pct)).alias("_est")))
+                   F.sum(r.total).alias("_t"), F.sum(scaled(safe_div(r.total, r.pct), 6)).alias("_est")))
     out = panel.join(base, "country").select(
         "country", "country_total", "num_cities", "companies_sum", "avg_city_rate", "distinct_companies",
-        F.round(F.try_divide(c("_t") * F.lit(100.0), c("_est")), 2).alias("weighted_rate_pct"))
+        percent(c("_t").cast("decimal(38,0)") * F.lit(1_000_000), "_est", 2).alias("weighted_rate_pct"))
     return ordered(out, order, F.desc("country_total"), "country")
 
 

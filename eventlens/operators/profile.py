@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import int_avg, percent, ratio, safe_div, scaled
 from ..roles import DEFAULT, Roles
-from ._common import c, not_null, ordered, year_of
+from ._common import c, distinct_count, not_null, ordered, year_of
 
 # KPI measure names, in report order.
 KPI_NAMES = (
@@ -66,10 +66,6 @@ def year_coverage(df: DataFrame, r: Roles = DEFAULT, order: bool = True) -> Data
     return ordered(out, order, "year")
 
 
-def _distinct(col: str, approx: bool):
-    return F.approx_count_distinct(col) if approx else F.countDistinct(col)
-
-
 def kpi_summary(df: DataFrame, r: Roles = DEFAULT, approx: bool = False) -> DataFrame:
     """measure_name, measure_value (double): eight headline measures.
 
@@ -81,9 +77,9 @@ def kpi_summary(df: DataFrame, r: Roles = DEFAULT, approx: bool = False) -> Data
     micro = F.when(pos, scaled(r.pct, 6))
     cents = scaled(r.funds, 2)
     values = [
-        _distinct(r.company, approx),
-        _distinct(r.industry, approx),
-        _distinct(r.country, approx),
+        distinct_count(r.company, approx),
+        distinct_count(r.industry, approx),
+        distinct_count(r.country, approx),
         F.sum(r.total),
         int_avg(r.total),
         F.sum(cents) / F.lit(100.0),

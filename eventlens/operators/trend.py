@@ -156,14 +156,15 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
     base = df.filter(not_null(r.date, r.total))
     monthly = base.groupBy(month.alias("m")).agg(F.sum(r.total).cast("long").alias("t"))
     top = monthly.orderBy(F.desc("t"), "m").limit(1).select(F.struct("m", "t")).scalar()
-    # the peak (month, total) is attached once as a column and referenced from there
+    # the peak's month and total are plain columns, so the aggregate below keeps fixed-width buffers
     rows = (base.select(*[c(d) for d in dims], c(r.total).alias("_t"), month.alias("_m"), top.alias("_pk"))
-                .filter((c("_m") == c("_pk.m")) | (c("_m") == F.add_months(c("_pk.m"), -1))))
-    is_peak = c("_m") == c("_pk.m")
+                .select("*", c("_pk.m").alias("_pm"), c("_pk.t").alias("_pt")).drop("_pk")
+                .filter((c("_m") == c("_pm")) | (c("_m") == F.add_months(c("_pm"), -1))))
+    is_peak = c("_m") == c("_pm")
     grouped = rows.groupingSets([[d] for d in dims], *dims).agg(
         F.sum(F.when(is_peak, c("_t"))).cast("long").alias("peak_total"),
         F.sum(F.when(~is_peak, c("_t"))).cast("long").alias("prev_total"),
-        F.max("_pk").alias("_pk"),
+        F.max("_pm").alias("_pm"), F.max("_pt").alias("_pt"),
         *[F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)])
     name = None
     for i, d in enumerate(dims):
@@ -174,9 +175,9 @@ def peak_root_cause(df: DataFrame, r: Roles = DEFAULT, dims=None, order: bool =
     pv = F.coalesce(c("prev_total"), F.lit(0))
     out = grouped.select(
         name.alias("dimension"), value.alias("value"),
-        F.date_format(c("_pk.m"), "yyyy-MM").alias("peak_month"),
+        F.date_format(c("_pm"), "yyyy-MM").alias("peak_month"),
         pt.alias("peak_total"),
-        percent(pt, c("_pk.t"), 2).alias("share_of_peak_pct"),
+        percent(pt, c("_pt"), 2).alias("share_of_peak_pct"),
         pv.alias("prev_month_total"),
         (pt - pv).alias("delta_vs_prev_month"))
     return ordered(out, order, "dimension", F.desc("peak_total"), "value")

@@ -13,6 +13,7 @@ output, so a failed or repeated run is harmless.
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from ..operators import geo as G
 from ..operators import profile as P
 from ..operators import trend as T
 from ..roles import DEFAULT, Roles
-from ..sources import load_raw_csv
+from ..sources import CORRUPT, load_raw_csv
 from .sinks import write_event_table
 
 Report = Callable[[DataFrame, Roles], DataFrame]
@@ -51,7 +52,7 @@ REPORTS: dict[str, Report] = {
     "country_breakdown": K.country_breakdown,
     "city_breakdown": K.city_breakdown,
     "pearson": lambda df, r: K.correlation_strength(K.pearson(df, r.total, r.funds)),
-    "pivot_share": A.pivot_share,
+    "pivot_share": A.share_long,
     "multi_round": A.multi_round,
     "cross_matrix": A.cross_matrix,
     "percentiles": lambda df, r: A.percentiles(df, r.total),
@@ -65,14 +66,38 @@ REPORTS: dict[str, Report] = {
     "survival_rate": A.survival_rate,
     "country_panel": G.country_panel,
     "kpi_cards": G.kpi_cards,
+    "share_of_events": lambda df, r: K.share_of_events(df, r.industry),
+    "pivot_shift": A.shift_long,
+    "distress_screen": lambda df, r: A.distress_screen(A.multi_round(df, r)),
+    "dominant_cells": lambda df, r: A.dominant_cells(A.cross_matrix(df, r)),
+    "adaptive_threshold": A.adaptive_threshold,
+    "segment_breakdown_huge": A.segment_breakdown_huge,
+    "segment_breakdown_small": A.segment_breakdown_small,
+    "outlier_screen": lambda df, r: A.outlier_screen(A.zscore(df, r)),
+    "funded_shutdowns": A.funded_shutdowns,
+    "city_map_rows": G.city_map_rows,
+    "country_totals": lambda df, r: G.country_totals(G.city_map_rows(df, r)),
 }
 
 
-def clean_job(spark: SparkSession, landing: str, table: str, r: Roles = DEFAULT, **kw) -> dict:
-    """Landing CSV folder -> clean event table; returns the load metrics."""
-    clean, obs = C.clean_with_audit(load_raw_csv(spark, landing), r, **kw)
-    write_event_table(clean, table, r)
-    return {name: o.get for name, o in obs.items()}
+def clean_job(spark: SparkSession, landing: str, table: str, r: Roles = DEFAULT, rejects: str | None = None,
+              max_len: int | None = None, **kw) -> dict:
+    """Landing CSV folder -> clean event table; returns the load metrics.
+
+    Malformed rows (wrong number of fields) and rows over ``max_len`` never
+    reach the table: they are written to ``<rejects>/malformed`` and
+    ``<rejects>/too_long`` (default: ``<table>_rejects``) and counted. The
+    metrics hold the counts of `load_audit` and the seconds of the load.
+    """
+    began = time.monotonic()
+    raw = load_raw_csv(spark, landing, keep_corrupt=True)
+    stages, obs = C.clean_with_audit(raw, r, CORRUPT, max_len, **kw)
+    write_event_table(stages["clean"], table, r)
+    rejects = rejects or f"{table.rstrip('/')}_rejects"
+    stages["malformed"].write.mode("overwrite").parquet(f"{rejects}/malformed")
+    stages["rejects"].write.mode("overwrite").parquet(f"{rejects}/too_long")
+    audit = {x["stage"]: x["num_rows"] for x in C.load_audit(raw, r, CORRUPT, max_len).collect()}
+    return {"audit": audit, **{name: o.get for name, o in obs.items()}, "seconds": round(time.monotonic() - began, 3)}
 
 
 def report_job(spark: SparkSession, table: str, out_dir: str, names=None, r: Roles = DEFAULT) -> list[str]:

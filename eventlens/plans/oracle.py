@@ -1,21 +1,22 @@
 """Independent SQL (DuckDB dialect) for every registered query.
 
 The views are written out again in plain SQL from the fixture definitions,
-not generated from the Spark plans, so a bug in an operator cannot hide in
-both engines at once. Ratios use the same exact integer rounding rule as
-`eventlens.functions.ratio`.
+not generated from the Spark plans, and results are reached by other means
+than in the operators where there are any (remainders instead of shifted
+division for rounding, arg_min / arg_max for first and last rows, counts of
+larger cells for ranks, joins of totals for shares).
 """
 
 from __future__ import annotations
 
 
 def ratio(num: str, den: str, scale: int) -> str:
-    """SQL twin of functions.ratio: half-away-from-zero rounding of integers."""
+    """num / den to ``scale`` decimals, halves away from zero: the whole part, and one more unit if twice the remainder reaches the divisor."""
     p = 10 ** scale
-    n, d = f"CAST(({num}) AS BIGINT)", f"CAST(({den}) AS BIGINT)"
-    q = f"((abs({n}) * {2 * p} + abs({d})) // (abs({d}) * 2))"
-    return (f"(CASE WHEN {d} <> 0 THEN (CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END)"
-            f" / {float(p)!r} END)")
+    n, d = f"(CAST(({num}) AS HUGEINT) * {p})", f"CAST(({den}) AS HUGEINT)"
+    whole = f"({n} // {d})"  # DuckDB's // truncates toward zero
+    return (f"(CASE WHEN {d} <> 0 THEN CAST({whole} + CASE WHEN 2 * abs({n} - {whole} * {d}) >= abs({d}) "
+            f"THEN sign({n}) * sign({d}) ELSE 0 END AS DOUBLE) / {float(p)!r} END)")
 
 
 def pct(num: str, den: str, precision: int = 5, scale: int = 1) -> str:
@@ -84,14 +85,15 @@ def raw_view(unknown_group: int | None = None) -> str:
     grp = "concat('Company ', CAST(o.o_custkey % 300 AS VARCHAR))"
     return f"""R AS (
   SELECT
-    CASE WHEN o.o_orderkey % 3 = 0 THEN concat('  ', {grp}, ' ') ELSE {grp} END AS company,
+    CASE WHEN o.o_orderkey % 59 = 0 THEN {grp} || ' ' || repeat('of a very long name', 3)
+         WHEN o.o_orderkey % 3 = 0 THEN concat('  ', {grp}, ' ') ELSE {grp} END AS company,
     n.n_name AS location,
     {industry} AS industry,
-    CASE WHEN o.o_orderkey % 7 = 0 THEN 'NULL'
+    CASE WHEN o.o_orderkey % 7 = 0 THEN 'NULL' WHEN o.o_orderkey % 47 = 0 THEN '12.5' WHEN o.o_orderkey % 53 = 0 THEN 'n/a'
          ELSE CAST(CAST(floor(o.o_totalprice / 100) AS INTEGER) AS VARCHAR) END AS total_laid_off,
-    CASE WHEN o.o_orderkey % 5 = 0 THEN 'NULL'
+    CASE WHEN o.o_orderkey % 5 = 0 THEN 'NULL' WHEN o.o_orderkey % 61 = 0 THEN 'ten%'
          ELSE CAST((o.o_orderkey % 21) / CAST(20 AS DOUBLE) AS VARCHAR) END AS percentage_laid_off,
-    CASE WHEN o.o_orderkey % 19 = 0 THEN 'NULL' ELSE strftime(o.o_orderdate, '%m/%d/%Y') END AS date,
+    CASE WHEN o.o_orderkey % 19 = 0 THEN 'NULL' WHEN o.o_orderkey % 37 = 0 THEN '13/45/2023' WHEN o.o_orderkey % 43 = 0 THEN '2023-03-06' ELSE strftime(o.o_orderdate, '%m/%d/%Y') END AS date,
     CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN 'NULL' ELSE o.o_orderpriority END AS stage,
     CASE WHEN n.n_regionkey = 0 THEN
            CASE WHEN o.o_orderkey % 4 = 0 THEN 'United States.' ELSE 'United States' END
@@ -110,8 +112,13 @@ def raw_view(unknown_group: int | None = None) -> str:
 )"""
 
 
+def whole(col: str) -> str:
+    """A whole number or NULL (DuckDB's own cast would round '12.5')."""
+    return f"CASE WHEN regexp_full_match({col}, '[+-]?[0-9]+') THEN TRY_CAST({col} AS INTEGER) END"
+
+
 # Typed projection of the landing rows (per-row cleaning rules).
-TYPED_SELECT = """
+TYPED_SELECT = f"""
     trim(company, ' ') AS company,
     location,
     CASE WHEN lower(country) LIKE 'united state%' THEN rtrim(country, '.') ELSE trim(country, ' ') END AS country,
@@ -120,7 +127,7 @@ TYPED_SELECT = """
          ELSE industry END AS industry,
     CASE WHEN upper(stage) = 'NULL' THEN 'Unknown' ELSE stage END AS stage,
     CAST(try_strptime(date, '%m/%d/%Y') AS DATE) AS date,
-    TRY_CAST(total_laid_off AS INTEGER) AS total_laid_off,
+    {whole("total_laid_off")} AS total_laid_off,
     TRY_CAST(percentage_laid_off AS DOUBLE) AS percentage_laid_off,
     round(TRY_CAST(translate(funds_raised_millions, chr(160) || chr(13) || chr(10), '') AS DOUBLE), 2)
       AS funds_raised_millions"""
@@ -134,7 +141,7 @@ def clean_views(unknown_group: int | None = None) -> str:
     return f"""{raw_view(unknown_group)},
 D AS (SELECT DISTINCT * FROM RR),
 T AS (SELECT {TYPED_SELECT} FROM D),
-K AS (SELECT * FROM T WHERE {LEN_OK} AND NOT (total_laid_off IS NULL AND percentage_laid_off IS NULL)),
+K AS (SELECT * FROM T WHERE NOT (total_laid_off IS NULL AND percentage_laid_off IS NULL)),
 DON AS (SELECT company, min(industry) AS donor FROM K
         WHERE industry IS NOT NULL AND company IS NOT NULL GROUP BY company),
 C AS (
@@ -144,6 +151,16 @@ C AS (
 )"""
 
 
+PLACE_VIEW = """PV AS (
+  SELECT F.* REPLACE (coalesce(p.country, F.country) AS country, coalesce(p.city, F.location) AS location)
+  FROM F LEFT JOIN (VALUES ('UNITED STATES', 'United States of America', 'Seattle'), ('RUSSIA', 'Russian Federation', 'Moscow'),
+    ('IRAN', 'Iran (Islamic Republic of)', 'Tehran'), ('UNITED KINGDOM', 'United Kingdom', 'London'), ('ARGENTINA', 'Argentina', 'Buenos Aires'),
+    ('BRAZIL', 'Brazil', 'Sao Paulo'), ('CANADA', 'Canada', 'Toronto'), ('CHINA', 'China', 'Beijing'), ('FRANCE', 'France', 'Paris'),
+    ('GERMANY', 'Germany', 'Berlin'), ('INDIA', 'India', 'Bengaluru'), ('INDONESIA', 'Indonesia', 'Jakarta'), ('KENYA', 'Kenya', 'Nairobi')
+  ) AS p(nation, country, city) ON F.location = p.nation
+)"""
+
+
 def with_f(body: str, *extra: str) -> str:
     views = [F_VIEW, *extra]
     return "WITH " + ",\n".join(views) + "\n" + body

@@ -74,21 +74,24 @@ def country_breakdown(spark, d):
     return K.country_breakdown(F(spark, d), R)
 
 
-CITY_SQL = f"""CD AS (
-  SELECT country, location AS city, count(DISTINCT company) AS num_companies,
-         CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off, {O.int_avg('total_laid_off')} AS avg_laid_off,
-         sum({O.cents('funds_raised_millions')}) AS cents, count(funds_raised_millions) AS nf,
-         sum(CAST(total_laid_off AS DOUBLE) / percentage_laid_off) AS est
-  FROM F
-  WHERE total_laid_off IS NOT NULL AND funds_raised_millions IS NOT NULL
-    AND percentage_laid_off IS NOT NULL AND percentage_laid_off > 0
-  GROUP BY country, location),
+def city_sql(view: str = "F") -> str:
+    """City figures: events with a measure, funds and a positive rate; a city's rank counts the larger cities of its country."""
+    return f"""CE AS (
+  SELECT country, location AS city, company, total_laid_off AS t, CAST(round(funds_raised_millions * 100.0) AS HUGEINT) AS cents,
+         CAST(round(CAST(total_laid_off AS DOUBLE) / percentage_laid_off * 1000000.0) AS HUGEINT) AS micro_headcount
+  FROM {view} WHERE total_laid_off + funds_raised_millions IS NOT NULL AND percentage_laid_off > 0),
+CD AS (
+  SELECT country, city, count(DISTINCT company) AS num_companies, CAST(sum(t) AS BIGINT) AS total_laid_off, {O.int_avg('t')} AS avg_laid_off,
+         {O.ratio('sum(cents)', '100 * count(*)', 2)} AS avg_funds_raised,
+         {O.pct('sum(t) * 1000000', 'sum(micro_headcount)', 10, 2)} AS layoff_rate_raw
+  FROM CE GROUP BY ALL),
 CITY AS (
-  SELECT country, CAST(row_number() OVER (PARTITION BY country ORDER BY total_laid_off DESC, city) AS INTEGER)
-           AS city_rank,
-         city, num_companies, total_laid_off, avg_laid_off, {O.ratio('cents', 'nf * 100', 2)} AS avg_funds_raised,
-         CAST(round(total_laid_off * 100.0 / nullif(est, 0), 2) AS DECIMAL(10,2)) AS layoff_rate_raw
-  FROM CD)"""
+  SELECT country, CAST((SELECT count(*) FROM CD y WHERE y.country = x.country AND (y.total_laid_off, x.city) > (x.total_laid_off, y.city)) + 1
+                       AS INTEGER) AS city_rank, * EXCLUDE (country)
+  FROM CD x)"""
+
+
+CITY_SQL = city_sql()
 
 
 @plan("city_breakdown", with_f("SELECT * FROM CITY", CITY_SQL))

@@ -5,31 +5,31 @@ from __future__ import annotations
 from ..operators import breakdown as K
 from ..operators import geo as G
 from ..sources import city_coordinates, country_name_lookup
-from ..sources.geo_lookup import COUNTRY_NAME_MAP, CITY_ROWS
+from ..sources.fixtures import place_view
 from . import oracle as O
-from .q_breakdown import CITY_SQL
+from .q_breakdown import CITY_SQL, city_sql
 from .registry import F, R, plan, with_f
 
 
-def _values(rows, cols) -> str:
-    def lit(v):
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        return repr(v)
-    body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
-    return f"(VALUES {body}) AS t({', '.join(cols)})"
+# The lookups written out again: the places that the fixture has, and the names that differ.
+_NAMES = """NM AS (SELECT * FROM (VALUES ('United States of America', 'United States'), ('Russian Federation', 'Russia'),
+  ('Republic of Korea', 'South Korea'), ('Iran (Islamic Republic of)', 'Iran')) AS t(external_name, internal_name))"""
+_HARMONIZED = """HV AS (SELECT PV.* REPLACE (coalesce(internal_name, country) AS country) FROM PV LEFT JOIN NM ON country = external_name)"""
+_COORDS = """CO AS (SELECT * FROM (VALUES ('Argentina', 'Buenos Aires', -34.61, -58.38), ('Brazil', 'Sao Paulo', -23.55, -46.63),
+  ('Canada', 'Toronto', 43.65, -79.38), ('China', 'Beijing', 39.90, 116.41), ('France', 'Paris', 48.86, 2.35), ('Germany', 'Berlin', 52.52, 13.40),
+  ('India', 'Bengaluru', 12.97, 77.59), ('Indonesia', 'Jakarta', -6.21, 106.85), ('Kenya', 'Nairobi', -1.29, 36.82), ('Russia', 'Moscow', 55.75, 37.62),
+  ('United Kingdom', 'London', 51.51, -0.13), ('United States', 'Seattle', 47.61, -122.33)) AS t(country, city, lat, lng))"""
 
 
-_COORDS = "CO AS (SELECT country, city, CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng FROM " + _values(
-    [(a, b, f, g) for a, b, _, _, _, f, g in CITY_ROWS], ["country", "city", "lat", "lng"]) + ")"
-_NAMES = "NM AS (SELECT * FROM " + _values(list(COUNTRY_NAME_MAP.items()), ["external_name", "internal_name"]) + ")"
+def _places(spark, d):
+    return G.harmonize_names(place_view(spark, d), "country", country_name_lookup(spark))
 
 
 @plan("city_map_rows", with_f("""
-SELECT CITY.country, CITY.city, num_companies, total_laid_off, layoff_rate_raw, CO.lat, CO.lng
-FROM CITY LEFT JOIN CO ON CITY.country = CO.country AND CITY.city = CO.city""", CITY_SQL, _COORDS))
+SELECT CITY.country, CITY.city, num_companies, total_laid_off, layoff_rate_raw, CAST(CO.lat AS DOUBLE) AS lat, CAST(CO.lng AS DOUBLE) AS lng
+FROM CITY LEFT JOIN CO USING (country, city)""", O.PLACE_VIEW, _NAMES, _HARMONIZED, city_sql("HV"), _COORDS))
 def city_map_rows(spark, d):
-    return G.city_map_rows(F(spark, d), R, city_coordinates(spark))
+    return G.city_map_rows(_places(spark, d), R, city_coordinates(spark))
 
 
 _COUNTRY_TOTALS = """CT AS (
@@ -45,13 +45,11 @@ def country_totals(spark, d):
 
 
 @plan("harmonize_names", with_f(f"""
-SELECT coalesce(NM.internal_name, CB.country) AS country, num_companies, total_laid_off, avg_laid_off
-FROM (SELECT country, count(DISTINCT company) AS num_companies, CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off,
-             {O.int_avg('total_laid_off')} AS avg_laid_off
-      FROM F WHERE total_laid_off IS NOT NULL GROUP BY country) CB
-LEFT JOIN NM ON CB.country = NM.external_name""", _NAMES))
+SELECT country, count(DISTINCT company) AS num_companies, CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off,
+       {O.int_avg('total_laid_off')} AS avg_laid_off
+FROM HV WHERE total_laid_off IS NOT NULL GROUP BY country""", O.PLACE_VIEW, _NAMES, _HARMONIZED))
 def harmonize_names(spark, d):
-    return G.harmonize_names(K.country_breakdown(F(spark, d), R, order=False), "country", country_name_lookup(spark))
+    return K.country_breakdown(_places(spark, d), R, order=False)
 
 
 @plan("intensity", with_f("""
@@ -82,11 +80,11 @@ def bubble_size(spark, d):
                  AS avg_city_rate
         FROM CITY GROUP BY country),
 B AS (SELECT country, count(DISTINCT company) AS distinct_companies,
-             CAST(sum(total_laid_off) AS DOUBLE) AS t, sum(total_laid_off / percentage_laid_off) AS est
+             sum(total_laid_off) AS t, sum(CAST(round(total_laid_off / percentage_laid_off * 1000000.0) AS HUGEINT)) AS est
       FROM F WHERE total_laid_off IS NOT NULL AND funds_raised_millions IS NOT NULL
         AND percentage_laid_off IS NOT NULL AND percentage_laid_off > 0 GROUP BY country)
 SELECT P.country, country_total, num_cities, companies_sum, avg_city_rate, distinct_companies,
-       round(t * 100.0 / nullif(est, 0), 2) AS weighted_rate_pct
+       {O.ratio('t * 100000000', 'est', 2)} AS weighted_rate_pct
 FROM P JOIN B ON P.country = B.country""", CITY_SQL))
 def country_panel(spark, d):
     return G.country_panel(F(spark, d), R)

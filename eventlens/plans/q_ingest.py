@@ -7,7 +7,7 @@ import time
 
 from ..operators import clean as C
 from ..session import scratch_path
-from ..sources import CORRUPT, load_raw_csv, raw_view, write_raw_csv
+from ..sources import CORRUPT, load_raw_csv, raw_view, short_rows, write_raw_csv
 from ..sources.fixtures import RAW_COLUMNS
 from . import oracle as O
 from .registry import RAW, plan, with_clean
@@ -19,31 +19,45 @@ def with_raw(body: str, unknown_group: int | None = None) -> str:
     return "WITH " + O.raw_view(unknown_group) + "\n" + body
 
 
-def landed_csv(spark, d):
+def landed_csv(spark, d, query, malformed=False):
     """Write the raw view as a CRLF-terminated CSV folder in the shared scratch
-    folder and return its path. Every call gets its own folder, so a plan
-    built earlier keeps its files while later calls write new ones."""
+    folder and return its path. The folder belongs to the query and the
+    driver's folder `d`, and each call writes it again. ``malformed`` adds a folder of lines
+    with too few fields and returns both paths."""
     tag = hashlib.sha1(d.rstrip("/").encode()).hexdigest()[:12]
-    path = scratch_path(spark, "landing", tag, str(time.time_ns()))
+    path = scratch_path(spark, "landing", query, tag, "rows")
     write_raw_csv(RAW(spark, d), path)
-    return path
+    if not malformed:
+        return path
+    short = scratch_path(spark, "landing", query, tag, "short")
+    write_raw_csv(short_rows(spark, d), short)
+    return [path, short]
 
 
 @plan("load_raw_csv", with_raw(f"SELECT {RAW_COLS} FROM RR"))
 def load_raw(spark, d):
-    return load_raw_csv(spark, landed_csv(spark, d))
+    return load_raw_csv(spark, landed_csv(spark, d, "load_raw_csv"))
 
 
 @plan("load_audit", with_clean(f"""
-SELECT 'raw' AS stage, count(*) AS num_rows FROM RR
-UNION ALL SELECT 'malformed', CAST(0 AS BIGINT)
+, S AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 29 = 0),
+LONG_ROWS AS (SELECT count(*) AS n FROM T WHERE NOT ({O.LEN_OK})),
+EMPTY_ROWS AS (SELECT count(*) AS n FROM T WHERE {O.LEN_OK} AND total_laid_off IS NULL AND percentage_laid_off IS NULL)
+SELECT 'raw' AS stage, (SELECT count(*) FROM RR) + (SELECT n FROM S) AS num_rows
+UNION ALL SELECT 'malformed', n FROM S
+UNION ALL SELECT 'duplicates', (SELECT count(*) FROM RR) - (SELECT count(*) FROM D)
 UNION ALL SELECT 'distinct', count(*) FROM D
-UNION ALL SELECT 'rejects', count(*) FROM T WHERE NOT ({O.LEN_OK})
-UNION ALL SELECT 'informative', count(*) FROM K
-UNION ALL SELECT 'clean', count(*) FROM C"""))
+UNION ALL SELECT 'rejects', n FROM LONG_ROWS
+UNION ALL SELECT 'uninformative', n FROM EMPTY_ROWS
+UNION ALL SELECT 'clean', (SELECT count(*) FROM D) - (SELECT n FROM LONG_ROWS) - (SELECT n FROM EMPTY_ROWS)"""))
 def load_audit(spark, d):
-    raw = load_raw_csv(spark, landed_csv(spark, d), keep_corrupt=True)
-    return C.load_audit(raw, corrupt_col=CORRUPT)
+    raw = load_raw_csv(spark, landed_csv(spark, d, "load_audit", malformed=True), keep_corrupt=True)
+    return C.load_audit(raw, corrupt_col=CORRUPT, max_len=50)
+
+
+@plan("clean_rejects", with_clean(f"SELECT * FROM T WHERE NOT ({O.LEN_OK})"))
+def clean_rejects(spark, d):
+    return C.clean_and_rejects(RAW(spark, d), 50)[1]
 
 
 @plan("exact_dedup", with_raw(f"SELECT DISTINCT {RAW_COLS} FROM RR"))
@@ -92,7 +106,7 @@ def safe_date(spark, d):
 
 
 @plan("safe_numeric", with_raw(", ".join(
-    {"total_laid_off": "TRY_CAST(total_laid_off AS INTEGER) AS total_laid_off",
+    {"total_laid_off": O.whole("total_laid_off") + " AS total_laid_off",
      "percentage_laid_off": "TRY_CAST(percentage_laid_off AS DOUBLE) AS percentage_laid_off"}.get(x, x)
     for x in RAW_COLUMNS).join(["SELECT ", " FROM RR"])))
 def safe_numeric(spark, d):

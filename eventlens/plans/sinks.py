@@ -18,10 +18,12 @@ YEAR_COLUMN = "event_year"
 def write_event_table(df: DataFrame, path: str, r: Roles = DEFAULT, partition_by_year: bool = True) -> None:
     """Write a (clean) event table as parquet, partitioned by event year so
     year slicers prune whole folders. Rows with no date land in the
-    ``event_year=__HIVE_DEFAULT_PARTITION__`` folder."""
+    ``event_year=__HIVE_DEFAULT_PARTITION__`` folder. Rows are clustered by year
+    first (REBALANCE: Spark splits a large year and merges small ones), so a
+    year has a few files, not one from every task."""
     w = df
     if partition_by_year:
-        w = df.withColumn(YEAR_COLUMN, F.year(r.date))
+        w = df.withColumn(YEAR_COLUMN, F.year(r.date)).hint("rebalance", YEAR_COLUMN)
         w.write.mode("overwrite").partitionBy(YEAR_COLUMN).parquet(path)
     else:
         w.write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,16 +29,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
-    spark = b.getOrCreate()
-    checkpoint_dir(spark)
-    return spark
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local runs, tests) is a private folder
-    created and registered.
+    On a local master that names none (tests, a laptop) a private folder is
+    created and registered. On a cluster that would be another disk on every
+    machine, and later reads would miss parts, so it is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -45,11 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {sc.master})")
         d = tempfile.mkdtemp(prefix="eventlens-ckpt-")
     sc.setCheckpointDir(d)
     return (sc.getCheckpointDir() or d).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder for written intermediate tables."""
+    """A path under the shared checkpoint folder for written intermediate tables.
+
+    The folder belongs to the application; what must outlive it (a streaming
+    checkpoint) needs a path of its own.
+    """
     return "/".join([checkpoint_dir(spark), "eventlens", *parts])

@@ -16,7 +16,7 @@ CORRUPT = "_corrupt_record"
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
 
-def load_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+def load_raw_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_SCHEMA,
                  quote: str = '"', encoding: str = "UTF-8", line_sep: str = "\n",
                  keep_corrupt: bool = False) -> DataFrame:
     """Header row skipped, comma-separated, rows split on LF only, UTF-8.

@@ -93,8 +93,9 @@ def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None,
 
     Outer spaces on company, 'NULL' tokens and real NULLs, two spellings of a
     collapsible category, 'United States.' with a trailing dot, padded country
-    names, numbers followed by a no-break space and a carriage return, and
-    every tenth event delivered twice. ``unknown_group`` makes one company
+    names, numbers followed by a no-break space and a carriage return, junk
+    dates and numbers, company names over 50 characters, and every tenth event
+    delivered twice. ``unknown_group`` makes one company
     group industry-less so imputation cannot fill it. ``copy_column`` keeps
     the delivery number (1, or 2 for the repeated copy) under that name.
     """
@@ -111,14 +112,15 @@ def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None,
         industry = F.when(F.col("o_custkey") % 300 == unknown_group, F.lit(None)).otherwise(industry)
     cr, nbsp = F.lit("\r"), F.lit("\u00a0")
     rows = e.select(
-        F.when(k % 3 == 0, F.concat(F.lit("  "), grp, F.lit(" "))).otherwise(grp).alias("company"),
+        F.when(k % 59 == 0, F.concat(grp, F.lit(" " + "of a very long name" * 3)))
+         .when(k % 3 == 0, F.concat(F.lit("  "), grp, F.lit(" "))).otherwise(grp).alias("company"),
         F.col("n_name").alias("location"),
         industry.cast("string").alias("industry"),
-        F.when(k % 7 == 0, F.lit("NULL"))
+        F.when(k % 7 == 0, F.lit("NULL")).when(k % 47 == 0, F.lit("12.5")).when(k % 53 == 0, F.lit("n/a"))
          .otherwise(F.floor(F.col("o_totalprice") / 100).cast("int").cast("string")).alias("total_laid_off"),
-        F.when(k % 5 == 0, F.lit("NULL"))
+        F.when(k % 5 == 0, F.lit("NULL")).when(k % 61 == 0, F.lit("ten%"))
          .otherwise(((k % 21) / F.lit(20.0)).cast("string")).alias("percentage_laid_off"),
-        F.when(k % 19 == 0, F.lit("NULL"))
+        F.when(k % 19 == 0, F.lit("NULL")).when(k % 37 == 0, F.lit("13/45/2023")).when(k % 43 == 0, F.lit("2023-03-06"))
          .otherwise(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("date"),
         F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("NULL"))
          .otherwise(F.col("o_orderpriority")).alias("stage"),
@@ -132,3 +134,30 @@ def raw_view(spark: SparkSession, sf_dir: str, unknown_group: int | None = None,
         F.explode(F.sequence(F.lit(1), F.when(k % 10 == 0, F.lit(2)).otherwise(F.lit(1)))).alias("_copy"),
     )
     return rows.withColumnRenamed("_copy", copy_column) if copy_column else rows.drop("_copy")
+
+
+def short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing lines with two fields only (every 29th event): malformed for the nine-column schema."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 29 == 0)
+    return o.select(F.concat(F.lit("Short "), F.col("o_orderkey").cast("string")).alias("company"), F.lit("Row").alias("location"))
+
+
+# Nations of the driver's tables as places of the geographic lookups; the first
+# four carry a map atlas's country name, which the event tables do not use.
+PLACES = {
+    "UNITED STATES": ("United States of America", "Seattle"), "RUSSIA": ("Russian Federation", "Moscow"),
+    "IRAN": ("Iran (Islamic Republic of)", "Tehran"), "UNITED KINGDOM": ("United Kingdom", "London"),
+    "ARGENTINA": ("Argentina", "Buenos Aires"), "BRAZIL": ("Brazil", "Sao Paulo"), "CANADA": ("Canada", "Toronto"),
+    "CHINA": ("China", "Beijing"), "FRANCE": ("France", "Paris"), "GERMANY": ("Germany", "Berlin"),
+    "INDIA": ("India", "Bengaluru"), "INDONESIA": ("Indonesia", "Jakarta"), "KENYA": ("Kenya", "Nairobi"),
+}
+
+
+def place_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fact_view` with country and location in the terms of the lookups (PLACES); other nations keep region and nation."""
+    f = fact_view(spark, sf_dir)
+    country, city = F.col("country"), F.col("location")
+    for nation, (a, b) in PLACES.items():
+        at = F.col("location") == nation
+        country, city = F.when(at, F.lit(a)).otherwise(country), F.when(at, F.lit(b)).otherwise(city)
+    return f.withColumns({"country": country, "location": city})

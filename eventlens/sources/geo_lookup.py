@@ -1,7 +1,7 @@
 """Small fixed lookup tables for the geographic datasets.
 
-Both are bounded, hand-maintained dimension tables (tens of rows), so joining
-them with `broadcast` is safe at any data size.
+Both are hand-maintained dimension tables of tens of rows. They are joined to
+per-city and per-country aggregates; Spark chooses the join.
 """
 
 from __future__ import annotations
@@ -18,73 +18,62 @@ COUNTRY_NAME_MAP = {
     "Iran (Islamic Republic of)": "Iran",
 }
 
-# Published city aggregates with coordinates
-# (country, city, num_companies, total_laid_off, layoff_rate_raw %, lat, lng).
-CITY_ROWS = [
-    ("Argentina", "Buenos Aires", 3, 233, 10.55, -34.61, -58.38),
-    ("Australia", "Sydney", 10, 1078, 9.27, -33.87, 151.21),
-    ("Australia", "Melbourne", 6, 369, 29.99, -37.81, 144.96),
-    ("Austria", "Vienna", 1, 270, 27.00, 48.21, 16.37),
-    ("Brazil", "Sao Paulo", 28, 5660, 10.75, -23.55, -46.63),
-    ("Brazil", "Curitiba", 2, 462, 10.32, -25.43, -49.27),
-    ("Brazil", "Belo Horizonte", 2, 327, 13.67, -19.92, -43.94),
-    ("Brazil", "Joinville", 2, 191, 36.21, -26.30, -48.85),
-    ("Canada", "Toronto", 30, 1643, 16.11, 43.65, -79.38),
-    ("Canada", "Vancouver", 8, 945, 16.30, 49.25, -123.12),
-    ("Canada", "Montreal", 8, 910, 16.72, 45.50, -73.57),
-    ("Canada", "Ottawa", 1, 1000, 10.00, 45.42, -75.69),
-    ("China", "Beijing", 1, 575, 24.21, 39.90, 116.41),
-    ("China", "Shanghai", 1, 180, 9.00, 31.23, 121.47),
-    ("Denmark", "Copenhagen", 2, 185, 74.00, 55.68, 12.57),
-    ("France", "Paris", 3, 643, 26.62, 48.86, 2.35),
-    ("Germany", "Walldorf", 1, 3000, 3.00, 49.30, 8.65),
-    ("Germany", "Berlin", 25, 2869, 17.31, 52.52, 13.40),
-    ("Germany", "Frankfurt", 1, 200, 4.00, 50.11, 8.68),
-    ("Germany", "Munich", 2, 120, 20.00, 48.14, 11.58),
-    ("India", "Bengaluru", 29, 14039, 9.67, 12.97, 77.59),
-    ("India", "Gurugram", 9, 3776, 15.30, 28.46, 77.03),
-    ("India", "New Delhi", 7, 900, 15.83, 28.61, 77.21),
-    ("India", "Mumbai", 7, 745, 14.63, 19.08, 72.88),
-    ("India", "Ahmedabad", 1, 500, 50.00, 23.03, 72.59),
-    ("Indonesia", "Jakarta", 8, 2721, 11.41, -6.21, 106.85),
-    ("Ireland", "Dublin", 3, 236, 26.22, 53.33, -6.25),
-    ("Israel", "Tel Aviv", 32, 2215, 12.92, 32.08, 34.78),
-    ("Kenya", "Nairobi", 3, 349, 16.05, -1.29, 36.82),
-    ("Netherlands", "Amsterdam", 1, 225, 25.00, 52.37, 4.90),
-    ("Nigeria", "Lagos", 4, 970, 18.10, 6.52, 3.38),
-    ("Russia", "Moscow", 1, 400, 40.00, 55.75, 37.62),
-    ("Singapore", "Singapore", 15, 3795, 13.34, 1.35, 103.82),
-    ("Sweden", "Stockholm", 6, 10370, 8.06, 59.33, 18.07),
-    ("Sweden", "Gothenburg", 1, 72, 33.00, 57.71, 11.97),
-    ("United Arab Emirates", "Dubai", 4, 995, 27.19, 25.20, 55.27),
-    ("United Kingdom", "London", 27, 5005, 18.74, 51.51, -0.13),
-    ("United Kingdom", "Edinburgh", 1, 300, 20.00, 55.95, -3.19),
-    ("United States", "SF Bay Area", 248, 109168, 9.18, 37.77, -122.42),
-    ("United States", "Seattle", 28, 33936, 3.47, 47.61, -122.33),
-    ("United States", "New York City", 108, 21727, 15.38, 40.71, -74.01),
-    ("United States", "Boston", 43, 8983, 12.13, 42.36, -71.06),
-    ("United States", "Chicago", 20, 5530, 16.49, 41.88, -87.63),
-    ("United States", "Los Angeles", 36, 5034, 17.37, 34.05, -118.24),
-    ("United States", "Phoenix", 3, 4625, 9.81, 33.45, -112.07),
-    ("United States", "Miami", 4, 1877, 10.26, 25.77, -80.19),
-    ("United States", "Atlanta", 6, 1665, 16.20, 33.75, -84.39),
-    ("United States", "Austin", 12, 939, 15.81, 30.27, -97.74),
+# Coordinates of cities (country, city, lat, lng).
+CITY_COORDINATES = [
+    ("Argentina", "Buenos Aires", -34.61, -58.38),
+    ("Australia", "Sydney", -33.87, 151.21),
+    ("Australia", "Melbourne", -37.81, 144.96),
+    ("Austria", "Vienna", 48.21, 16.37),
+    ("Brazil", "Sao Paulo", -23.55, -46.63),
+    ("Brazil", "Curitiba", -25.43, -49.27),
+    ("Brazil", "Belo Horizonte", -19.92, -43.94),
+    ("Brazil", "Joinville", -26.30, -48.85),
+    ("Canada", "Toronto", 43.65, -79.38),
+    ("Canada", "Vancouver", 49.25, -123.12),
+    ("Canada", "Montreal", 45.50, -73.57),
+    ("Canada", "Ottawa", 45.42, -75.69),
+    ("China", "Beijing", 39.90, 116.41),
+    ("China", "Shanghai", 31.23, 121.47),
+    ("Denmark", "Copenhagen", 55.68, 12.57),
+    ("France", "Paris", 48.86, 2.35),
+    ("Germany", "Walldorf", 49.30, 8.65),
+    ("Germany", "Berlin", 52.52, 13.40),
+    ("Germany", "Frankfurt", 50.11, 8.68),
+    ("Germany", "Munich", 48.14, 11.58),
+    ("India", "Bengaluru", 12.97, 77.59),
+    ("India", "Gurugram", 28.46, 77.03),
+    ("India", "New Delhi", 28.61, 77.21),
+    ("India", "Mumbai", 19.08, 72.88),
+    ("India", "Ahmedabad", 23.03, 72.59),
+    ("Indonesia", "Jakarta", -6.21, 106.85),
+    ("Ireland", "Dublin", 53.33, -6.25),
+    ("Israel", "Tel Aviv", 32.08, 34.78),
+    ("Kenya", "Nairobi", -1.29, 36.82),
+    ("Netherlands", "Amsterdam", 52.37, 4.90),
+    ("Nigeria", "Lagos", 6.52, 3.38),
+    ("Russia", "Moscow", 55.75, 37.62),
+    ("Singapore", "Singapore", 1.35, 103.82),
+    ("Sweden", "Stockholm", 59.33, 18.07),
+    ("Sweden", "Gothenburg", 57.71, 11.97),
+    ("United Arab Emirates", "Dubai", 25.20, 55.27),
+    ("United Kingdom", "London", 51.51, -0.13),
+    ("United Kingdom", "Edinburgh", 55.95, -3.19),
+    ("United States", "SF Bay Area", 37.77, -122.42),
+    ("United States", "Seattle", 47.61, -122.33),
+    ("United States", "New York City", 40.71, -74.01),
+    ("United States", "Boston", 42.36, -71.06),
+    ("United States", "Chicago", 41.88, -87.63),
+    ("United States", "Los Angeles", 34.05, -118.24),
+    ("United States", "Phoenix", 33.45, -112.07),
+    ("United States", "Miami", 25.77, -80.19),
+    ("United States", "Atlanta", 33.75, -84.39),
+    ("United States", "Austin", 30.27, -97.74),
 ]
 
-CITY_SCHEMA = ("country string, city string, num_companies int, total_laid_off int, "
-               "layoff_rate_raw decimal(10,2), lat double, lng double")
-
-
-def city_rows(spark: SparkSession) -> DataFrame:
-    """The published city aggregates as a DataFrame (golden data for tests)."""
-    from decimal import Decimal
-    rows = [(a, b, c, d, Decimal(f"{e:.2f}"), f, g) for a, b, c, d, e, f, g in CITY_ROWS]
-    return spark.createDataFrame(rows, CITY_SCHEMA)
-
 
 def city_coordinates(spark: SparkSession) -> DataFrame:
     """(country, city, lat, lng) lookup."""
-    return city_rows(spark).select("country", "city", "lat", "lng")
+    return spark.createDataFrame(CITY_COORDINATES, "country string, city string, lat double, lng double")
 
 
 def country_name_lookup(spark: SparkSession) -> DataFrame:

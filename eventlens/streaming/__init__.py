@@ -1,3 +1,3 @@
 """Structured Streaming: incremental landing of new raw files."""
 
-from .landing import finalize_landed, landed_rows, read_landing_stream, start_landing  # noqa: F401
+from .landing import finalize_landed, landed_rows, read_landing_stream, rejected_rows, start_landing, start_rejects  # noqa: F401

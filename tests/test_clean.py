@@ -71,11 +71,26 @@ def test_impute_mode_breaks_ties_by_smallest(spark):
     assert got_min[("A", 4)] == "Alpha"
 
 
-def test_over_length_text_goes_to_rejects(spark):
+def test_long_text_is_kept_unless_a_limit_is_asked_for(spark):
     df = raw(spark, r9(company="X" * 51), r9(company="Y" * 50))
-    st = C.clean_stages(df)
-    assert [r.company for r in st["clean"].collect()] == ["Y" * 50]
-    assert st["rejects"].count() == 1
+    assert {r.company for r in C.clean_events(df).collect()} == {"X" * 51, "Y" * 50}
+    assert C.clean_stages(df)["rejects"].count() == 0
+    clean, rejects = C.clean_and_rejects(df, 50)
+    assert [r.company for r in clean.collect()] == ["Y" * 50]
+    assert [r.company for r in rejects.collect()] == ["X" * 51]
+
+
+def test_every_landing_row_is_accounted_for(spark):
+    df = raw(spark, r9(), r9(), r9(), r9(company="X" * 51), r9(company="X" * 51), r9(company="B", total="n/a", pct="NULL"),
+             r9(company="C" * 60, total="n/a", pct="NULL"), r9(company="D", industry=None), r9(company="D", industry=None))
+    st = C.clean_stages(df, max_len=50)
+    n = {k: v.count() for k, v in st.items()}
+    duplicates = n["raw"] - n["distinct"]
+    assert n["raw"] - duplicates == n["clean"] + n["rejects"] + n["uninformative"] == 5
+    audit = {r.stage: r.num_rows for r in C.load_audit(df, max_len=50).collect()}
+    assert audit == {"raw": 9, "malformed": 0, "duplicates": 4, "distinct": 5, "rejects": 2, "uninformative": 1, "clean": 2}
+    assert list(audit) == list(C.AUDIT_STAGES)
+    assert {r.stage: r.num_rows for r in C.load_audit(df.filter("false")).collect()} == dict.fromkeys(C.AUDIT_STAGES, 0)
 
 
 def test_clean_is_idempotent_on_rows(spark):
@@ -110,14 +125,15 @@ def test_load_raw_csv_crlf_quotes_and_malformed(spark, csv_file):
     clean = {r.company: r for r in C.clean_events(df.drop(CORRUPT)).collect()}
     assert clean["Acme"].funds_raised_millions == 12.0 and clean["Acme"].country == "United States"
     audit = {r.stage: r.num_rows for r in C.load_audit(df, corrupt_col=CORRUPT).collect()}
-    assert audit["raw"] == 4 and audit["malformed"] == 2
+    assert audit == {"raw": 4, "malformed": 2, "duplicates": 0, "distinct": 2, "rejects": 0, "uninformative": 1, "clean": 1}
+    st = C.clean_stages(df, corrupt_col=CORRUPT)          # half-parsed rows are no data
+    assert [r.company for r in st["clean"].collect()] == ["Acme"] and st["malformed"].count() == 2
 
 
 def test_clean_with_audit_single_pass(spark, tmp_path):
     df = raw(spark, r9(), r9(), r9(company="B", industry=None), r9(company="C", total="NULL", pct="NULL"))
-    clean, obs = C.clean_with_audit(df)
-    clean.write.mode("overwrite").parquet(str(tmp_path / "t"))
-    assert obs["raw"].get == {"rows": 4}
+    st, obs = C.clean_with_audit(df)
+    st["clean"].write.mode("overwrite").parquet(str(tmp_path / "t"))
     assert obs["clean"].get == {"rows": 2, "rows_with_date": 2, "rows_with_measure": 2, "unknown_industry": 1}
 
 

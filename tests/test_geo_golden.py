@@ -6,7 +6,9 @@ from decimal import Decimal
 
 from eventlens.operators import geo as G
 from eventlens.plans.sinks import export_city_map
-from eventlens.sources import city_rows, country_name_lookup
+from eventlens.sources import country_name_lookup
+
+from .golden_cities import city_rows
 
 
 def test_country_totals(spark):

@@ -169,17 +169,62 @@ def test_signature_options(events):
     assert prof["company"].null_percentage_text == "50.0%" and prof["company"].total_rows_text == "2"
 
 
-def test_banded_percentiles_match_exact(events, spark):
+def test_percentiles_match_the_engines_own(events, spark, monkeypatch):
+    import random
+
+    from eventlens.operators import quantiles
     from eventlens.sources import fact_view
     from .conftest import SF_SMALL
     f = fact_view(spark, SF_SMALL)
-    for col in ("total_skewed", "funds_raised_millions"):
-        assert rows(A.percentiles(f, col, method="banded", accuracy=50)) == rows(A.percentiles(f, col))
-    one = events(ev(total=7))
-    same = events(*[ev(total=3) for _ in range(5)])
-    for df in (one, same):
-        assert rows(A.percentiles(df, method="banded")) == rows(A.percentiles(df))
-    assert A.percentiles(events(ev(total=None)), method="banded").count() == 0
+
+    def own(df, col):
+        p = df.selectExpr(f"percentile({col}, array(0.25, 0.5, 0.75, 0.9, 0.99)) as p").first().p
+        return [tuple(round(x, 4) for x in p)]
+    for bins in (1024, 3):          # three bins: many passes, the same values
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        monkeypatch.setattr(quantiles.order_statistics, "__defaults__", (None, bins))
+        for col in ("total_skewed", "funds_raised_millions"):
+            assert rows(A.percentiles(f, col)) == own(f, col)
+    rng = random.Random(1)
+    spread = spark.createDataFrame([(rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300),) for _ in range(99)] + [(0.0,), (None,)], "x double")
+    got = quantiles.percentile_values(spread, "x", [0, 0.25, 0.5, 1])[None]
+    values = sorted(r.x for r in spread.where("x is not null").collect())
+    assert got == [values[0], values[24] + (values[25] - values[24]) * 0.75, values[49] + (values[50] - values[49]) * 0.5, values[-1]]
+    for df in (events(ev(total=7)), events(*[ev(total=3) for _ in range(5)])):
+        assert rows(A.percentiles(df)) == own(df, "total_laid_off")
+    assert A.percentiles(events(ev(total=None))).count() == 0
+    assert A.adaptive_threshold(events(ev(total=None)), R).count() == 0
+    assert A.funding_paradox(events(ev(total=None)), R).count() == 0
+
+
+def test_same_day_events_need_a_tie_break(events):
+    import pytest
+    df = events(ev(company="a", total=500, event_id=1), ev(company="a", total=10, event_id=2))
+    assert rows(A.multi_round(df, R), "first_layoffs", "last_layoffs", "trend") == [(500, 10, "Declining")]
+    for grain in ("company", "reference"):
+        with pytest.raises(ValueError, match="tie-break"):
+            A.multi_round(df, grain=grain)
+
+
+def test_survival_by_year(events):
+    df = events(ev(date="2022-01-01", pct=1.0), ev(date="2022-05-01", pct=0.1, company="b"), ev(date="2023-01-01", pct=0.2), ev(date=None, pct=1.0))
+    assert rows(A.survival_rate(df, R, by="year"), "year", "events", "shutdown_events", "event_survival_pct") == [(2022, 2, 1, 50.0), (2023, 1, 0, 100.0)]
+
+
+def test_shift_between_the_years_of_the_data(events):
+    df = events(ev(stage="A", date="2020-01-01", total=1), ev(stage="B", date="2020-01-01", total=3), ev(stage="A", date="2024-01-01", total=3),
+                ev(stage="B", date="2024-01-01", total=1), ev(stage="A", date="2022-01-01", total=3), ev(stage="Unknown", date="2019-01-01", total=9))
+    got = {r.stage: (r.first_year, r.last_year, float(r.share_shift_pp), r.peak_year) for r in A.shift_long(df, R).collect()}
+    assert got == {"A": (2020, 2024, 50.0, 2022), "B": (2020, 2024, -50.0, 2020)}
+    wide = {r.stage: r for r in A.pivot_share(df, R).collect()}
+    for r in A.share_long(df, R).collect():
+        assert (wide[r.stage][f"y{r.year}"], wide[r.stage][f"y{r.year}_pct"]) == (r.total, r.share_pct)
+
+
+def test_growth_that_does_not_fit_is_null(events):
+    from eventlens.operators import trend as T
+    df = events(ev(date="2022-01-01", total=1), ev(date="2022-02-01", total=2_000_000_000), ev(date="2022-03-01", total=4))
+    assert T.mom_change(df, R).count() == 3
 
 
 def test_screens_and_slicers(events):

