@@ -198,5 +198,32 @@ def taken(docs: DataFrame, **options) -> DataFrame:
             .select("doc_id", "size", size.alias("source_size"), due.alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", chars_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents, in the columns they came with: one row per document and pass that takes words of it.
+
+    A pass that takes all words keeps the text as it is; else the text is the
+    taken words, single-spaced. Rows equal in id, source and text count as
+    copies of one row; `chars_col`, if there, gets the new text's length.
+    """
+    _, rows, mixed = mix_documents(docs, id_col, source_col, text_col, **options)
+    span = F.struct(F.col("from_word").alias("a"), F.col("to_word").alias("b"))
+    copies = mixed.groupBy("_row", "pass_no").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    copies = (copies.join(rows, "_row").groupBy("doc_id", "source", "_text").agg(F.collect_list(F.struct("pass_no", "_row", "spans")).alias("_copies"))
+              .withColumnsRenamed({"doc_id": "_i", "source": "_s", "_text": "_t"}))
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    df = docs.withColumnsRenamed(names).withColumn("_key", F.xxhash64(names[text_col]))
+    df = df.dropDuplicates([names[id_col], names[source_col], "_key"])
+    df = df.join(copies, F.col(names[id_col]).eqNullSafe(F.col("_i")) & F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_t")))
+    text = F.col(names[text_col])
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    df = df.withColumns({"_words": words, "_copy": F.explode("_copies")})
+    taken_ = F.aggregate("_copy.spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    cut_out = F.array_join(F.flatten(F.transform("_copy.spans", lambda s: F.slice(F.col("_words"), (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
+    df = df.withColumn(names[text_col], F.when(taken_ == F.size("_words"), text).otherwise(cut_out))
+    if chars_col in names:
+        df = df.withColumn(names[chars_col], F.length(names[text_col]).cast(docs.schema[chars_col].dataType))
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))

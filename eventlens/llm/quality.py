@@ -90,7 +90,10 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     judged = _judged(docs.select(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")), ["_row"])
-    return judged.where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    # The number keeps Catalyst from pushing the filter below the projection, where it would compute the
+    # metrics again for every mention of one.
+    judged = judged.select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return judged.where("kept and _at >= 0").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _judged(df: DataFrame, own: list[str]) -> DataFrame:
@@ -123,7 +126,8 @@ _BASE_SQL = " or ".join(f"({r.sql()})" for r in RULES if r.base)
 ORACLE_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 w as (select rid, unnest(range(1, len(l) + 1)) as i, unnest(l) as word
-      from (select rid, regexp_extract_all(t, '[^ 	-]+') as l from d)),
+      from (select rid, regexp_extract_all(t, '[^ 	-
+]+') as l from d)),
 v as (select rid, i, word, lead(word, 1) over o as b, lead(word, 2) over o as c from w window o as (partition by rid order by i)),
 g as (select rid, i, count(*) over (partition by rid, word, b, c) as n from v where c is not null),
 r as (select rid, count(distinct i + k) as n_repeat_words from g, (select unnest([0, 1, 2]) as k) where n > 1 group by rid),
@@ -131,7 +135,8 @@ s as (select rid, count(*) as n_words, sum(length(word)) as word_chars,
              count(*) filter (where lower(word) in ({", ".join(f"'{x}'" for x in STOP_WORDS)})) as n_stop_words,
              count(*) filter (where regexp_matches(word, '\pL')) as n_letter_words from w group by rid),
 l as (select rid, count(*) as n_lines, count(*) - count(distinct x) as n_dup_lines
-      from (select rid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^ 	-]') group by rid),
+      from (select rid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^ 	-
+]') group by rid),
 m as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0)::bigint as word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines,
              coalesce(n_stop_words, 0) as n_stop_words, coalesce(n_letter_words, 0) as n_letter_words, coalesce(n_repeat_words, 0) as n_repeat_words
