@@ -13,6 +13,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Edges of a connected-components round that one task writes.
+EDGES_A_FILE = 250_000
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +64,13 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
             .drop("_part", "_p", "_before", "_here", *names))
 
 
+def _settled(e: DataFrame) -> bool:
+    """Every b has one a, and no a is a b: the edges (a < b) are components already."""
+    ends = e.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("a", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected `edges` (a, b): rows (node, root), root the smallest node.
 
@@ -70,6 +81,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared folder, so losing an executor repeats one round at most.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    files = 1 + e.count() // EDGES_A_FILE  # edges never grow: few edges need few tasks and files
+    e = e.coalesce(files)
 
     def star(both: DataFrame, nodes_of: DataFrame, small: bool) -> DataFrame:
         m = nodes_of.groupBy("u").agg(F.min("v").alias("m"))
@@ -80,19 +93,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                     .where("x <> m").distinct())
         return j.where("v > u").select(F.col("v").alias("x"), "m").distinct()
 
-    seen = None
     for _ in range(max_rounds):
-        if e.isEmpty():
+        if _settled(e):
             break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = cut(star(both, both, small=False))
-        down = large.select(F.col("x").alias("u"), F.col("m").alias("v"))
-        nxt = cut(star(down, down, small=True).select(F.col("m").alias("a"), F.col("x").alias("b")))
-        sig = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        e = nxt
-        if tuple(sig) == seen:
-            break
-        seen = tuple(sig)
+        down = star(both, both, small=False).select(F.col("x").alias("u"), F.col("m").alias("v"))
+        e = cut(star(down, down, small=True).select(F.col("m").alias("a"), F.col("x").alias("b")).coalesce(files))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import WORD, components, cut, table
 from .textops import NOT_SPACE, Words, mix, slices, windows
 
 SHINGLE = 3
@@ -71,7 +71,7 @@ def _signed(x) -> np.ndarray:
 
 
 def _fold(rows: DataFrame, size: int) -> DataFrame:
-    """Per document: _id, n, h1, h2 (the set's fingerprint); besides, rows of n = -1: a frequent shingle h1 and its count h2."""
+    """Per document: _id, _key (tells texts of one id apart), n, h1, h2 (the set's fingerprint); besides, rows of n = -1: a frequent shingle h1 and its count h2."""
     def run(batches):
         seen, docs = [], 0
 
@@ -87,8 +87,8 @@ def _fold(rows: DataFrame, size: int) -> DataFrame:
         for b in slices(batches, "_text"):
             sets = shingle_sets(b.column("_text"), size)
             prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
-                                             names=["_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1])],
+                                             names=["_id", "_key", "n", "h1", "h2"])
             seen += sets
             docs += len(sets)
             kind = b.schema.field("_id").type
@@ -97,12 +97,13 @@ def _fold(rows: DataFrame, size: int) -> DataFrame:
         if seen and (found := heavy()):
             yield _heavy_rows(kind, *found)
 
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, n long, h1 long, h2 long")
+    rows = rows.withColumn("_key", F.xxhash64("_text"))
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _key long, n long, h1 long, h2 long")
 
 
 def _heavy_rows(kind: pa.DataType, t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), pa.array(np.full(len(t), -1)), pa.array(_signed(t)), pa.array(c.astype(np.int64))],
-                                      names=["_id", "n", "h1", "h2"])
+    return pa.RecordBatch.from_arrays([pa.nulls(len(t), kind), pa.nulls(len(t), pa.int64()), pa.array(np.full(len(t), -1)), pa.array(_signed(t)),
+                                       pa.array(c.astype(np.int64))], names=["_id", "_key", "n", "h1", "h2"])
 
 
 _CLASSES = "sid long, comp long, room long, size long, cls int, toks array<long>"
@@ -138,13 +139,17 @@ def _classes(sets: list[np.ndarray], sids, comps, order: int, percent: int, heav
 
 def _groups(classes: DataFrame) -> DataFrame:
     """Candidate groups (node, root) under one order, within the groups `comp`."""
-    t = classes.select("sid", "comp", "room", "size", "cls", F.explode("toks").alias("tok"))
-    some = (t.where("cls < 4").repartition("comp", "tok").dropDuplicates(["comp", "tok", "sid"])
-            .withColumn("df", F.count("*").over(Window.partitionBy("comp", "tok"))).where("df > 1"))
+    # frequent shingles (class 4, few sets have them in their prefix) are spread by a salt: they need no count
+    salt = F.when(F.col("cls") == 4, F.pmod(F.col("sid"), F.lit(64))).otherwise(F.lit(0))
+    t = classes.select("sid", "comp", "room", "size", "cls", F.explode("toks").alias("tok")).withColumn("salt", salt)
+    at = Window.partitionBy("comp", "tok", "salt")
+    some = (t.withColumns({"df": F.count("*").over(at), "lo": F.min("sid").over(at), "hi": F.max("sid").over(at)})
+            .where("cls = 4 or lo < hi").select("sid", "comp", "room", "size", "cls", "tok", "df"))
     own = Window.partitionBy("sid", "cls")
+    some = some.repartition("sid", "cls").dropDuplicates(["sid", "cls", "tok"])  # copies of a text bring the same rows
     some = (some.withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "tok")))
             .where("size - shared + rank <= room").select("comp", "tok", "sid"))
-    prefix = cut(some.unionByName(t.where("cls = 4").select("comp", "tok", "sid").distinct()))
+    prefix = cut(some)
     star = prefix.groupBy("comp", "tok").agg(F.min("sid").alias("root"), F.max("sid").alias("last")).where("root < last").drop("last")
     return components(prefix.join(star, ["comp", "tok"]).select(F.col("sid").alias("a"), F.col("root").alias("b")))
 
@@ -231,9 +236,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return s.mapInArrow(run, "a long, b long, links long")
 
 
-def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable by links), n_links (documents linked directly), text_hash."""
+def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: _id, _key, n, its group (_g1, _g2), _links, copies (documents of the same set)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     folded = cut(_fold(rows, shingle))
     members = folded.where("n >= 0")
@@ -273,16 +277,42 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orde
 
     out = members.join(comp, F.col("h1") == F.col("node"), "left").join(degree, F.col("h1") == F.col("_a"), "left")
     out = out.withColumns({"_g1": F.coalesce("_root", "h1"), "_g2": F.when(F.col("_root").isNull(), F.col("h2")).otherwise(0)})
+    same = unique.select(F.col("h1").alias("_c1"), F.col("h2").alias("_c2"), "copies")
+    out = out.join(same, (F.col("n") > 0) & (F.col("h1") == F.col("_c1")) & (F.col("h2") == F.col("_c2")), "left")
+    return out.select("_id", "_key", "n", "_g1", "_g2", "_links", "copies")
+
+
+def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable by links), n_links (documents linked directly)."""
+    out = _members(docs, shingle, percent, orders, id_col, text_col)
     least = (out.where("n > 0").groupBy("_g1", "_g2").agg(F.min("_id").alias("_least"))
              .withColumnsRenamed({"_g1": "_l1", "_g2": "_l2"}))
-    same = unique.select(F.col("h1").alias("_c1"), F.col("h2").alias("_c2"), "copies")
-    out = (out.join(least, (F.col("n") > 0) & (F.col("_g1") == F.col("_l1")) & (F.col("_g2") == F.col("_l2")), "left")
-           .join(same, (F.col("n") > 0) & (F.col("h1") == F.col("_c1")) & (F.col("h2") == F.col("_c2")), "left"))
+    out = out.join(least, (F.col("n") > 0) & (F.col("_g1") == F.col("_l1")) & (F.col("_g2") == F.col("_l2")), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"),
                       (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
 
 
+def first_of_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with the columns it came with: the smallest id (null last), then the smallest text hash.
+
+    Documents without words belong to no group and all stay. Of rows equal in id and text one stays.
+    """
+    first = cut(_members(docs, shingle, percent, orders, id_col, text_col).where("n > 0").select("_id", "_key", "_g1", "_g2"))
+    for c in ("_id", "_key"):
+        least = first.groupBy("_g1", "_g2").agg(F.min(c).alias("_least")).withColumnsRenamed({"_g1": "_l1", "_g2": "_l2"})
+        first = first.join(least, (F.col("_g1") == F.col("_l1")) & (F.col("_g2") == F.col("_l2")) & F.col(c).eqNullSafe(F.col("_least"))).drop("_l1", "_l2", "_least")
+    first = first.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")).distinct()
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    df, text, own = docs.withColumnsRenamed(names), F.col(names[text_col]), names[id_col]
+    worded = F.coalesce(text.rlike(WORD), F.lit(False))
+    some = df.where(worded).withColumn("_key", F.xxhash64(text))
+    some = some.join(first, F.col(own).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates([own, "_key"]).drop("_key")
+    return some.unionByName(df.where(~worded)).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def _heavy_list(folded: DataFrame, members: DataFrame) -> np.ndarray:
     """Shingles counted in at least _HEAVY of all documents; the sum of all set sizes bounds their number."""
     n = members.count()
