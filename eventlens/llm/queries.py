@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality, secret_scan, sharding, token_files
+from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_token_files": token_files.op3_token_files,
+    "op4_licence_scan": licence_scan.op4_licence_scan,
+    "op5_page_text": page_text.op5_page_text,
+    "op6_fuzzy_line_dedup": line_dedup.op6_fuzzy_line_dedup,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
