@@ -2,8 +2,8 @@
 
 1. Training rows are the notice templates below, varied (holders and years
    added, words left out, other words around them), and as unknown class a
-   bounded sample of paragraphs of the corpus: the `negatives` distinct
-   paragraphs of the smallest hash, less those that resemble a template.
+   bounded sample of paragraphs of the corpus: at most `negatives` distinct
+   paragraphs chosen by hash, less those that resemble a template.
 2. Features are the word 1- and 2-grams of the templates, as sparse binary
    counts; the model is a multinomial logistic regression (spark.ml).
 3. The unknown class is calibrated on held-out rows: a family is predicted only
@@ -127,8 +127,12 @@ class Classifier:
         vocabulary = sorted({g for r in known for g in r["_g"]})
         self.features = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_g", outputCol="_x")
         self.features.setBinary(True)
-        sample = (lines.where(F.col("_line").rlike(WORD)).select("_line").distinct().withColumn("h", F.xxhash64("_line", F.lit(seed)))
-                  .orderBy("h").limit(negatives))  # bounded by `negatives`
+        # a share of the paragraphs' hash range that holds a few times `negatives`, then the smallest of them:
+        # what is shuffled and sorted is bounded, whatever the number of paragraphs
+        share = max(1, lines.count() // (4 * negatives))
+        h = F.xxhash64("_line", F.lit(seed))
+        sample = (lines.where(F.col("_line").rlike(WORD) & (F.pmod(F.xxhash64("_line"), F.lit(share)) == 0)).select("_line").distinct()
+                  .orderBy(h, "_line").limit(negatives))  # bounded by `negatives`
         sample = _grams(sample)
         shares = _alike(F.col("_w"), self.templates)
         others = [r["_line"] for r in sample.where(F.greatest(*shares.values()) < 0.3).select("_line").collect()]
