@@ -31,7 +31,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, table
+from .common import WORD, components, cut, release, table
 
 SHINGLE = 7      # characters
 BANDS = 10
@@ -93,7 +93,9 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """(lid, root): the lines that have a partner, with their component."""
     held = cut(buckets(signatures(lines, shingle, bands * rows, seed), bands, rows))
+    release(lines.sparkSession)
     texts = cut(lines.select("lid", "_line").join(held.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]))
+    release(lines.sparkSession)
     root, edges = None, None
     for k in range(ROUNDS + 1):
         apart = held.withColumn("root", F.col("lid")) if root is None else held.join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
