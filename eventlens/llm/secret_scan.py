@@ -156,13 +156,13 @@ def candidates(spark, postings: DataFrame, queries: dict[str, list[list[frozense
             .groupBy("_id", "_key").agg(F.collect_set("kind").alias("kinds")))
 
 
-def _spans(text: Column, rule: Rule) -> Column:
+def _spans(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, end, no>>: the rule's matches, in order."""
     rx = F.lit(rule.regex)
     pieces, found = F.split(text, rule.regex, -1), F.regexp_extract_all(text, rx, F.lit(0))
     held = F.regexp_extract_all(text, rx, F.lit(rule.group))
     step = F.arrays_zip(pieces.alias("p"), found.alias("m"), held.alias("g"))
-    no = F.lit([r.kind for r in RULES].index(rule.kind))
+    no = F.lit(place)
     empty = F.array().cast("array<struct<start:int,end:int,no:int,held:int>>")
 
     def add(acc, x):
@@ -175,12 +175,12 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.when(F.size(found) == 0, empty).otherwise(F.filter(spans, lambda s: s["held"] >= rule.least))
 
 
-def _with_spans(rows: DataFrame, full: list[Rule], indexed: list[Rule]) -> DataFrame:
+def _with_spans(rows: DataFrame, rules: tuple[Rule, ...], full: list[Rule], indexed: list[Rule]) -> DataFrame:
     """Add `_spans` of the full-scan rules, and of the indexed rules whose kind is in the column `kinds`."""
     text = F.col("_text")
     empty = F.array().cast("array<struct<start:int,end:int,no:int,held:int>>")
-    parts = [F.when(text.rlike(r.regex), _spans(text, r)).otherwise(empty) for r in full]
-    parts += [F.when(F.array_contains("kinds", r.kind), _spans(text, r)).otherwise(empty) for r in indexed]
+    parts = [F.when(text.rlike(r.regex), _spans(text, r, rules.index(r))).otherwise(empty) for r in full]
+    parts += [F.when(F.array_contains("kinds", r.kind), _spans(text, r, rules.index(r))).otherwise(empty) for r in indexed]
     order = lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end"))
     return rows.select("_id", F.sort_array(F.transform(F.concat(*parts), order)).alias("_spans"))
 
@@ -192,7 +192,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     full, indexed = [r for r in rules if r.kind not in queries], [r for r in rules if r.kind in queries]
     if not indexed:
-        return _with_spans(rows.withColumn("kinds", F.array().cast("array<string>")), full, []).withColumnsRenamed({"_id": id_col, "_spans": "spans"})
+        return _with_spans(rows.withColumn("kinds", F.array().cast("array<string>")), rules, full, []).withColumnsRenamed({"_id": id_col, "_spans": "spans"})
     wanted = sorted({t for q in queries.values() for alts in q for alt in alts for t in alt})
     postings = cut(build_index(rows, wanted))
     n = {r["tri"]: r["count"] for r in postings.groupBy("tri").count().collect()}  # one row per wanted trigram
@@ -200,14 +200,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     for q in queries.values():
         rarest = [{min(alt, key=lambda t: (n.get(t, 0), t)) for alt in alts} for alts in q]
         may |= min(rarest, key=lambda ts: sum(n.get(t, 0) for t in ts))
-    has = F.lit(False)
-    for t in sorted(may):
-        has = has | F.contains(_low(), F.lit(t))
-    rows = rows.withColumn("_may", has)
+    # one pass over the text for all of them; (?i) folds A-Z only
+    rows = rows.withColumn("_may", F.col("_text").rlike("(?i)" + "|".join(rf"\Q{t}\E" for t in sorted(may))))
     cands = candidates(spark, postings, queries).withColumnsRenamed({"_id": "_i", "_key": "_k"})
     some = rows.where("_may").join(cands, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left")
     some = some.withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
-    out = _with_spans(some, full, indexed).unionByName(_with_spans(rows.where("not _may"), full, []))
+    out = _with_spans(some, rules, full, indexed).unionByName(_with_spans(rows.where("not _may"), rules, full, []))
     return out.withColumnsRenamed({"_id": id_col, "_spans": "spans"})
 
 
