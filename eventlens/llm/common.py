@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def all_same(left: list[str], right: DataFrame, df: DataFrame) -> Column:
-    cond = F.lit(True)
-    for c in left:
-        cond = cond & df[c].eqNullSafe(right[c])
-    return cond
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver's JVM collects garbage, which may be long after
+    a phase has ended; here both collectors run once between phases.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:

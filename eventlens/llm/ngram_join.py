@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, table
+from .common import WORD, components, cut, release, table
 from .textops import NOT_SPACE, Words, mix, slices, windows
 
 SHINGLE = 3
@@ -250,6 +250,7 @@ def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: s
             yield _classes(sets, sids, [0] * len(sets), 0, percent, heavy)
 
     group = _groups(rows.mapInArrow(first, _CLASSES))
+    release(docs.sparkSession)
     unique = members.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies"))
     wanted = unique.join(group, F.col("h1") == F.col("node")).select("_rep", F.col("h1").alias("sid"), F.col("root").alias("comp"), "copies")
 
@@ -264,6 +265,7 @@ def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: s
     sets = (rows.join(wanted, F.col("_id").eqNullSafe(F.col("_rep"))).select("_text", "sid", "comp", "copies")
             .mapInArrow(read, "sid long, comp long, copies long, toks array<long>"))
     sets = cut(sets.dropDuplicates(["sid"]))
+    release(docs.sparkSession)
     for k in range(1, orders):
         def again(batches, k=k):
             for b in batches:
@@ -300,17 +302,26 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
     Documents without words belong to no group and all stay. Of rows equal in id and text one stays.
     """
-    first = cut(_members(docs, shingle, percent, orders, id_col, text_col).where("n > 0").select("_id", "_key", "_g1", "_g2"))
+    members = cut(_members(docs, shingle, percent, orders, id_col, text_col).where("n > 0").select("_id", "_key", "_g1", "_g2"))
+    release(docs.sparkSession)
+    first = members
     for c in ("_id", "_key"):
         least = first.groupBy("_g1", "_g2").agg(F.min(c).alias("_least")).withColumnsRenamed({"_g1": "_l1", "_g2": "_l2"})
         first = first.join(least, (F.col("_g1") == F.col("_l1")) & (F.col("_g2") == F.col("_l2")) & F.col(c).eqNullSafe(F.col("_least"))).drop("_l1", "_l2", "_least")
-    first = first.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")).distinct()
+    first = first.select("_id", "_key").distinct().withColumn("_first", F.lit(True))
+    # Only documents that go, or that have a row equal in id and text, are named; all others pass the join unmatched.
+    rows = members.groupBy("_id", "_key").agg(F.count("*").alias("_rows")).withColumnsRenamed({"_id": "_i", "_key": "_k"})
+    named = (rows.join(first, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+             .where("_first is null or _rows > 1").select("_i", "_k", F.coalesce("_first", F.lit(False)).alias("_first")))
+    named = cut(named)
+    release(docs.sparkSession)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    df, text, own = docs.withColumnsRenamed(names), F.col(names[text_col]), names[id_col]
-    worded = F.coalesce(text.rlike(WORD), F.lit(False))
-    some = df.where(worded).withColumn("_key", F.xxhash64(text))
-    some = some.join(first, F.col(own).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates([own, "_key"]).drop("_key")
-    return some.unionByName(df.where(~worded)).select(*[F.col(n).alias(c) for c, n in names.items()])
+    df, own = docs.withColumnsRenamed(names).withColumn("_key", F.xxhash64(names[text_col])), names[id_col]
+    df = df.join(named, F.col(own).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").where("_first is null or _first")
+    out = [F.col(n).alias(c) for c, n in names.items()]
+    if named.where("_first").isEmpty():
+        return df.select(*out)
+    return df.where("_first is null").unionByName(df.where("_first").dropDuplicates([own, "_key"])).select(*out)
 
 
 def _heavy_list(folded: DataFrame, members: DataFrame) -> np.ndarray:
