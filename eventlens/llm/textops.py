@@ -55,7 +55,8 @@ def _power(n: int) -> np.ndarray:
 class Words:
     """Words of a slice of texts: bytes `low` (lower-cased), word `start`/`end` in it, `of[i]:of[i+1]` the words of text i."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray):
+    def __init__(self, texts: pa.Array, table: np.ndarray, breaks=None):
+        """`table`: which bytes are in words; `breaks(raw)`: bytes at which a new word begins although the last one goes on."""
         texts = texts.fill_null("") if texts.null_count else texts
         kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         _, offsets, data = texts.buffers()
@@ -69,11 +70,12 @@ class Words:
         m = len(raw)
         inside = np.zeros(m + 2, dtype=bool)
         inside[1:-1] = table[self.low]
-        begins = inside[1:-1] & ~inside[:-2]
-        ends = inside[1:-1] & ~inside[2:]
-        edge = at[(at > 0) & (at < m)]  # words do not cross from one text into the next
-        begins[edge] |= inside[1:-1][edge]
-        ends[edge - 1] |= inside[1:-1][edge - 1]
+        fresh = ~inside[:-2]
+        if breaks is not None:
+            fresh |= breaks(raw)
+        fresh[at[(at > 0) & (at < m)]] = True  # words do not cross from one text into the next
+        begins = inside[1:-1] & fresh
+        ends = inside[1:-1] & np.append(~inside[2:-1] | fresh[1:], True)[:m]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.of = np.searchsorted(self.start, at)
         self._inside = inside[1:-1]

@@ -8,9 +8,12 @@ before compression), or written as DELTA_BINARY_PACKED with
 indexes then let a reader fetch the ids of a few documents without the rest of
 the file, and the metadata columns without any ids.
 
-Encoding goes through a bounded cache of white-space separated pieces, which is
-exact for tokenizers that drop white space and never look across it (the
-word-end BPE); for others pass `whole=True`, and each text is encoded at once.
+Encoding goes through a bounded cache of pieces: texts are cut at white space
+and between ASCII letters or digits and punctuation, each distinct piece is
+encoded once, and the ids of the pieces are gathered with numpy. This is exact
+for tokenizers that lower-case, drop white space and begin a pre-token at those
+places (the word-end BPE; pieces are told apart by a 64-bit hash); for others
+pass `whole=True`, and each text is encoded at once.
 
 Defined cases: null and empty texts have only the end id; null ids come first;
 repeated rows are written as often as they occur, neighbours in the file; an
@@ -23,54 +26,102 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import running_total, table
-from .textops import slices
+from .textops import Words, slices
 
 END_ID = 1
-CACHE = 300_000  # pieces kept by a Python worker
+CACHE = 400_000  # pieces in a generation of a Python worker's cache, which has two
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-_ENDS = b".,;:!?"
-_LAST = frozenset(range(0x30, 0x3A)) | frozenset(range(0x41, 0x5B)) | frozenset(range(0x61, 0x7B))
 
 
-def _encoder(path: str, whole: bool):
-    """bytes of a text -> its ids as little-endian 32-bit bytes."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_eventlens_pieces", {})  # on the library's module, so that it outlives a task
-    if kept.get("path") != path:
-        kept.clear()
-        kept.update(path=path, tokenizer=tokenizers.Tokenizer.from_file(path), pieces={})
-    tok, cache = kept["tokenizer"], kept["pieces"]
-
-    def ids(piece: bytes) -> bytes:
-        return np.array(tok.encode(piece.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def piece_ids(piece: bytes) -> bytes:
-        body = piece.rstrip(_ENDS)
-        if len(body) < len(piece) and body and body[-1] in _LAST:  # a letter or digit ends a pre-token before punctuation
-            got = cached(body) + cached(piece[len(body):])
-        else:
-            got = ids(piece)
-        if len(cache) < CACHE:
-            cache[piece] = got
-        return got
-
-    def cached(piece: bytes) -> bytes:
-        got = cache.get(piece)
-        return piece_ids(piece) if got is None else got
-
-    if whole:
-        return ids
-    look = cache.get
-    return lambda text: b"".join([look(p) or piece_ids(p) for p in text.split()])
+# Classes of bytes: white space 0, ASCII letters and digits 1, other ASCII punctuation 2, apostrophe and all else 3.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27]] = 2
+
+
+def _breaks(raw: np.ndarray) -> np.ndarray:
+    """Where punctuation follows an ASCII letter or digit, and the other way round (an apostrophe may go on: 's)."""
+    kind, out = _KIND[raw], np.zeros(len(raw), bool)
+    out[1:] = (kind[:-1] == 1) & ((kind[1:] == 2) | (raw[1:] == 0x27)) | (kind[:-1] == 2) & (kind[1:] == 1)
+    return out
+
+
+class Pieces:
+    """Ids (little-endian 32-bit bytes) of the pieces of texts, by the pieces' 64-bit hash, in two generations of CACHE pieces."""
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        self.path, self.tokenizer, self.new, self.old = path, tokenizers.Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def of(cls, path: str) -> "Pieces":
+        import tokenizers
+
+        kept = getattr(tokenizers, "_eventlens_pieces", None)  # on the library's module, so that it outlives a task
+        if kept is None or kept.path != path:
+            kept = tokenizers._eventlens_pieces = cls(path)
+        return kept
+
+    def whole(self, texts: pa.Array) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        w = Words(texts, _KIND > 0, _breaks)
+        if b"<|" in w.raw.tobytes():  # special tokens are found across pieces, and in their own case only
+            special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_pylist()
+            plain = iter(self.ids(pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)))
+            own = iter(self.whole(texts.filter(pa.array(special))))
+            return [next(own) if s and (next(plain),) else next(plain) for s in special]
+        code, uniques = pd.factorize(w.hashes())
+        first = np.empty(len(uniques), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        values = self._values(uniques.tolist(), first, w)
+        size = np.array([len(v) // 4 for v in values], np.int64)
+        flat, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        out = flat[np.repeat(start[code] - (end - n), n) + np.arange(int(n.sum()))]
+        return np.split(out, np.append(0, end)[w.of[1:-1]])
+
+    def _values(self, keys: list[int], first: np.ndarray, w: Words) -> list[bytes]:
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        out = [new.get(k) for k in keys]
+        todo = []
+        for i, v in enumerate(out):
+            if v is None:
+                if (v := old.get(keys[i])) is None:
+                    todo.append(i)
+                else:
+                    out[i] = new[keys[i]] = v
+        for i, v in zip(todo, self._encode([w.word(first[i]).decode("utf-8") for i in todo])):
+            out[i] = new[keys[i]] = v
+        return out
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """All pieces in one call, joined by spaces; the place of a token says whose it is."""
+        if not pieces:
+            return []
+        found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(t) + 1 for t in pieces[:-1]])
+        at, ids = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], np.array(found.ids, "<u4")
+        cuts = np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max)).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, whole: bool = False,
@@ -78,16 +129,15 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, whole: b
     """doc_id, n_tokens, file_no, row_no, ids: documents in ascending id order, partition after partition."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = (rows.repartitionByRange("doc_id").withColumn("file_no", F.spark_partition_id()).sortWithinPartitions("doc_id", "_text"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode, at = None, 0
+        at, pieces = 0, Pieces.of(tokenizer_path)
         for b in slices(batches, "_text"):
-            encode = encode or _encoder(tokenizer_path, whole)
-            ids = [(encode(t) if t else b"") + end for t in b.column("_text").cast(pa.binary()).to_pylist()]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), "<i4")
+            ids = (pieces.whole if whole else pieces.ids)(b.column("_text"))
+            n = np.array([len(x) + 1 for x in ids], np.int64)
+            flat = np.concatenate([x for own in ids for x in (own, end)]).view("<i4")
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n), b.column("file_no"), pa.array(np.arange(at, at + len(n))),
