@@ -30,11 +30,13 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import table
 from .textops import slices
 
@@ -172,13 +174,13 @@ def observed(page: str, root: Node) -> set[tuple[int, bool, int]]:
         for node, text in runs:
             if not (text := text.strip()):
                 continue
-            value = _hash(text)
+            value = _hash(text) >> 32
             while node is not None:
                 out.add((node.value, True, value))
                 if node not in kids:
                     kids[node] = set()
                 node = node.parent
-    out.update((node.value, False, _hash(repr(sorted(k)))) for node, k in kids.items())
+    out.update((node.value, False, _hash(repr(sorted(k))) >> 32) for node, k in kids.items())
     return out
 
 
@@ -218,10 +220,10 @@ def importances(rows: DataFrame) -> DataFrame:
                     host.append(h)
                     for col, x in zip(found, row):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.bool_()), pa.array(found[2], pa.int64())],
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.bool_()), pa.array(found[2], pa.int32())],
                                              names=["host", "node", "content", "value"])
 
-    seen = rows.mapInArrow(run, "host string, node long, content boolean, value long").groupBy("host", "node", "content", "value").agg(F.count("*").alias("n"))
+    seen = rows.mapInArrow(run, "host string, node long, content boolean, value int").groupBy("host", "node", "content", "value").agg(F.count("*").alias("n"))
     n = F.col("n")
     g = seen.groupBy("host", "node").agg(
         F.sum(F.when(~F.col("content"), n)).alias("pages"), F.sum(F.when(~F.col("content"), 1)).alias("shapes"),
@@ -241,9 +243,13 @@ def _host(url):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars (code points)."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), _host(F.col(url_col)).alias("_host"))
-    low = (importances(rows.select("_host", "_html")).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-           .groupBy("host").agg(F.collect_list("node").alias("low"))  # a host's repeated branches: bounded by its templates
-           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))))
+    spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "page_text", uuid.uuid4().hex)
+    (importances(rows.select("_host", "_html")).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
+     .groupBy("host").agg(F.collect_list("node").alias("low"))  # a host's repeated branches: bounded by its templates
+     .write.parquet(path))
+    # From a written table Spark knows the size: it broadcasts a small one, so pages are not shuffled,
+    # and joins a large one by host and salt.
+    low = spark.read.schema("host string, low array<long>").parquet(path).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_url", "_id"), F.lit(SALT)).cast("int"))
     joined = salted.join(low, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("salt")), "left").select("_id", "_url", "_html", "low")
     kind = rows.schema["_id"].dataType.simpleString()
