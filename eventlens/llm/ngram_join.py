@@ -180,7 +180,7 @@ def _verify(members: list[tuple], percent: int):
         return i
 
     two = side.min() != side.max()
-    for x in range(m - 1):
+    for x in range(m if two else m - 1):  # of two sides, side 0 probes whole: members come in any order
         if two and side[x]:
             continue
         cs = code[first[x]:first[x] + n[x]]
@@ -217,7 +217,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         key, group = None, []
 
         def done():
-            edges, counts = _verify(group, percent) if len(group) > 1 else ([], [])
+            edges, counts = _verify(group, percent) if key[1] == key[2] or len({x[1] for x in group}) > 1 else ([], [])  # the other block is empty
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges] + [c[0] for c in counts], pa.int64()),
                                                pa.array([e[1] for e in edges] + [None] * len(counts), pa.int64()),
                                                pa.array([None] * len(edges) + [c[1] for c in counts], pa.int64())], names=["a", "b", "links"])

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from eventlens.llm import common, ngram_join
@@ -72,6 +73,27 @@ def test_matches_all_pairs(spark, monkeypatch, hot, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows)
 
 
+def test_two_blocks_probe_every_member_of_side_0():
+    """Links across two blocks do not depend on the order of the members: the only side-0 member may come last."""
+    toks = np.arange(100, dtype=np.uint64)
+    other = np.arange(500, 600, dtype=np.uint64)
+    members = [(1, 1, 2, toks), (2, 1, 1, toks[:95]), (3, 1, 1, other), (4, 0, 3, toks[1:])]
+    edges, links = ngram_join._verify(members, 90)
+    assert sorted(edges) == [(4, 1), (4, 2)] and sorted(links) == [(1, 3), (2, 3), (4, 3)]
+    for order in ([3, 0, 1, 2], [0, 3, 1, 2], [0, 1, 3, 2]):
+        e, n = ngram_join._verify([members[k] for k in order], 90)
+        assert sorted(e) == sorted(edges) and sorted(n) == sorted(links)
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_small_blocks_match_all_pairs(spark, monkeypatch, block):
+    """Many tasks of two blocks, some of them with an empty block."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = data(groups=2, hot=24)
+    out = ngram_join.linked(documents(spark, rows))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows)
+
+
 def test_frequent_shingles_only_change_the_order(spark, monkeypatch):
     """With nearly all shingles treated as frequent, the result stays."""
     rows = data(groups=8, hot=30)
