@@ -11,6 +11,8 @@
 3. A page keeps its article. Branches of low importance go, and so do the
    branches whose markup says what they are (menus, footers, adverts, forms,
    comments, ...): markup weighs the importance of a node, with 0 for those.
+   Outside an article any word of a class, id or role says so; inside, a whole
+   class or role does, ids do not, and headings and paragraphs have no such names.
    Inside an `article` or `main` element only the markup counts, so that an
    article's paragraphs stay when other pages repeat them.
 
@@ -48,6 +50,7 @@ SALT = 32
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW_OUTSIDE = frozenset("noscript math object".split())  # inside an article their text is part of it
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -61,6 +64,7 @@ NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising b
     breadcrumbs footer sidebar aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login
     comment comments commentlist disqus respond reply replies discussion share sharing social related recommended toolbar masthead topbar pagination pager
     search complementary contentinfo""".split())
+WORDING = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # inside an article no name makes these noise
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -70,14 +74,22 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+def _words(names: str) -> frozenset:
+    return frozenset(_PART.findall(_CAMEL.sub(" ", names).lower()))
+
+
 class Node:
     """A node of the merged tree: all elements with the same way from the root. Made once for each way by `child`."""
     __slots__ = ("tag", "names", "noise", "content", "path", "value", "parent", "children")
 
-    def __init__(self, tag: str, names: str, words: frozenset, main: bool, parent: "Node | None"):
+    def __init__(self, tag: str, names: str, words: frozenset, main: bool, parent: "Node | None", tokens: tuple = ()):
         self.tag, self.names, self.parent, self.children = tag, names, parent, {}
         inside = parent is not None and parent.content
-        self.noise = tag in NOISE_TAGS or (tag == "header" and not inside) or not words.isdisjoint(NOISE_WORDS)
+        if inside:  # there a name counts only as a whole: class="comments" or "social-share", but not "share-capital"
+            named = tag not in WORDING and any(t <= NOISE_WORDS for t in tokens)
+        else:
+            named = not words.isdisjoint(NOISE_WORDS)
+        self.noise = tag in NOISE_TAGS or (tag == "header" and not inside) or named
         if tag in ("html", "body", "article", "main") and words.isdisjoint(("comment", "comments", "reply")):
             self.noise = False  # a page or an article is not noise for a word in its class
         self.noise |= parent is not None and parent.noise
@@ -90,8 +102,9 @@ class Node:
         names = " ".join(_DIGITS.sub("0", v) for _, v in found)
         node = self.children.get((tag, names))
         if node is None:
-            words = frozenset(_PART.findall(_CAMEL.sub(" ", " ".join(v for _, v in found)).lower()))
-            node = self.children[tag, names] = Node(tag, names, words, ("role", "main") in found, self)
+            words = _words(" ".join(v for _, v in found))
+            tokens = tuple(w for k, v in found if k != "id" for t in v.split() if (w := _words(t)))
+            node = self.children[tag, names] = Node(tag, names, words, ("role", "main") in found, self, tokens)
         return node
 
 
@@ -127,7 +140,7 @@ def parse(page: str, root: Node, kids: dict | None = None):
                     del stack[i:]
                     break
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag in RAW_OUTSIDE and stack[-1].content):
             end = _END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue

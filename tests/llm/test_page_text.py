@@ -33,6 +33,14 @@ def test_odd_pages():
     assert one("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_article_text_is_not_judged_by_single_words():
+    inside = ('<section id="discussion"><h2 id="related-work">Related work</h2><p id="search-results">Found.</p><div class="share-capital">Capital</div>'
+              '<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><noscript><p>Plain</p></noscript><object data="a.svg">A chart</object></section>')
+    noise = '<div class="comments">no</div><div class="social-share">no</div><ul class="x related">no</ul><span role="banner">no</span>'
+    assert one(f"<article>{inside}{noise}</article>") == "Related work\nFound.\nCapital\nLet x=1.\nPlain\nA chart"
+    assert one('<div id="discussion">no</div><noscript>no</noscript><p>yes') == "yes"
+
+
 def pages(spark, rows, extra=True):
     schema = "page_id long, url string, html string" + (", _id string, host string, text string, n_chars string" if extra else "")
     return spark.createDataFrame([(*r, *(["x"] * 4 if extra else [])) for r in rows], schema)
