@@ -13,8 +13,10 @@
    comments, ...): markup weighs the importance of a node, with 0 for those.
    Outside an article any word of a class, id or role says so; inside, a whole
    class or role does, ids do not, and headings and paragraphs have no such names.
-   Inside an `article` or `main` element only the markup counts, so that an
-   article's paragraphs stay when other pages repeat them.
+   Inside an `article` or `main` element a branch goes only at a stricter bound
+   (`INSIDE`) and if at least half of the host's pages show it; headings and
+   elements without class, id and role stay, and so does an article that its host repeats whole. What is
+   outside the article goes, unless it is the most of the page's text (`TEASER`).
 
 Counts are grouped by (host, node, text), so a host of any size is counted by
 many tasks; a host's low nodes come back to its pages by a join on host and a
@@ -43,6 +45,8 @@ from .common import table
 from .textops import slices
 
 LOW = 0.35          # importance below which a branch is noise
+INSIDE = 0.1        # the same inside an article
+TEASER = 4          # times an article's text that the important text outside must have to be kept too
 MIN_PAGES = 4       # pages of a host that must show a node before its importance counts
 DECAY = 0.9         # weight of contents against presentations, to the power of the number of presentations
 SALT = 32
@@ -64,6 +68,7 @@ NOISE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising b
     breadcrumbs footer sidebar aside widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login
     comment comments commentlist disqus respond reply replies discussion share sharing social related recommended toolbar masthead topbar pagination pager
     search complementary contentinfo""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDING = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # inside an article no name makes these noise
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -201,24 +206,41 @@ def new_root() -> Node:
     return Node("#", "", frozenset(), False, None)
 
 
-def main_text(page: str, root: Node, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks, joined by line ends; `low`: the nodes of low importance on this host."""
+def main_text(page: str, root: Node, low: frozenset[int] | set[int] = frozenset(), inside: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks, joined by line ends; `low`: the nodes of low importance on this host; `inside`: those so low that they go from an article."""
     blocks = [[(n, t) for n, t in runs if not n.noise] for runs in parse(page, root)]
+    known: dict[Node, bool] = {}
 
     def joined(keep) -> str:
         texts = (_text([(n, t) for n, t in runs if keep(n)]) for runs in blocks if runs)
         return "\n".join(t for t in texts if t)
 
-    if text := joined(lambda n: n.content):
-        return text
-
-    def important(n):
-        while n is not None:
-            if n.value in low and n.tag not in ("#", "html", "body"):
-                return False
+    def important(n) -> bool:
+        way = []
+        while n is not None and n not in known:
+            way.append(n)
             n = n.parent
-        return True
+        ok = n is None or known[n]
+        for n in reversed(way):
+            if not n.content:
+                ok = ok and (n.value not in low or n.tag in ("#", "html", "body"))
+            elif n.parent is None or not n.parent.content:  # the article itself: never low, so that one repeated whole stays
+                ok = True
+            else:
+                ok = ok and (n.value not in inside or not n.names or n.tag in HEADINGS or _whole(n))
+            known[n] = ok
+        return ok
+
+    def _whole(n) -> bool:
+        """Does the host repeat the whole article around the node?"""
+        while n.parent.content:
+            n = n.parent
+        return n.value in inside
 
+    if text := joined(lambda n: n.content and important(n)) or joined(lambda n: n.content):
+        if len(outside := joined(lambda n: not n.content and important(n))) > TEASER * len(text):
+            return joined(important)
+        return text
     return joined(important) or joined(lambda n: True)  # a page that its host repeats whole stays
 
 
@@ -257,20 +279,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, text, n_chars (code points)."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), _host(F.col(url_col)).alias("_host"))
     spark, path = pages.sparkSession, scratch_path(pages.sparkSession, "page_text", uuid.uuid4().hex)
-    (importances(rows.select("_host", "_html")).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
-     .groupBy("host").agg(F.collect_list("node").alias("low"))  # a host's repeated branches: bounded by its templates
+    below = lambda bound: (F.col("pages") >= MIN_PAGES) & (F.col("importance") < bound)
+    (importances(rows.select("_host", "_html")).groupBy("host")
+     .agg(F.max("pages").alias("most"), F.collect_list(F.when(below(LOW), F.col("node"))).alias("low"),  # a host's repeated branches: bounded by its templates
+          F.collect_list(F.when(below(INSIDE), F.struct("node", "pages"))).alias("inside"))
+     .where(F.size("low") > 0)
+     .select("host", "low", F.transform(F.filter("inside", lambda x: 2 * x["pages"] >= F.col("most")), lambda x: x["node"]).alias("inside"))
      .write.parquet(path))
     # From a written table Spark knows the size: it broadcasts a small one, so pages are not shuffled,
     # and joins a large one by host and salt.
-    low = spark.read.schema("host string, low array<long>").parquet(path).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    low = spark.read.schema("host string, low array<long>, inside array<long>").parquet(path).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_url", "_id"), F.lit(SALT)).cast("int"))
-    joined = salted.join(low, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("salt")), "left").select("_id", "_url", "_html", "low")
+    joined = salted.join(low, (F.col("_host") == F.col("host")) & (F.col("_salt") == F.col("salt")), "left").select("_id", "_url", "_html", "low", "inside")
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
         root = new_root()
         for b in slices(batches, "_html"):
-            texts = [main_text(page or "", root, set(low or ())) for page, low in zip(b.column("_html").to_pylist(), b.column("low").to_pylist())]
+            texts = [main_text(page or "", root, set(low or ()), set(inside or ()))
+                     for page, low, inside in zip(*(b.column(c).to_pylist() for c in ("_html", "low", "inside")))]
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["_id", "_url", "text", "n_chars"])
 

@@ -60,6 +60,21 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert len(imp) == 5 and all(r.pages == 40 for r in imp) and min(r.importance for r in imp) < 0.05 < 0.8 < max(r.importance for r in imp)
 
 
+def test_style_tree_acts_inside_articles(spark):
+    """A named branch that a host repeats goes from its articles; headings, plain paragraphs and what few pages share stay."""
+    tail = '<div class="strip">Call us today</div>'
+    rows = [(i, f"https://h.example/{i}", f'<body><article><h2 class="in">Introduction</h2><p>Story {i} of {i * i}.</p>{tail if i % 4 else ""}'
+             f'{"<div class=rare>Shared by few</div>" if i < 5 else ""}</article></body>') for i in range(40)]
+    got = {r.page_id: r.text for r in page_text.extract(pages(spark, rows)).collect()}
+    assert got[3] == "Introduction\nStory 3 of 9.\nShared by few" and got[30] == "Introduction\nStory 30 of 900."
+
+
+def test_text_outside_a_teaser_stays():
+    long = "<div class=story><p>" + "The whole story is told here. " * 20 + "</p></div>"
+    assert one(f"<article><p>Short.</p></article>{long}").startswith("Short.\nThe whole story")
+    assert one("<article><p>As long as the rest.</p></article><p>As long as the rest.</p>") == "As long as the rest."
+
+
 def test_repeated_articles_stay(spark):
     rows = [(i, "https://h.example/x", ARTICLE) for i in range(30)]
     assert {r.text for r in page_text.extract(pages(spark, rows)).collect()} == {TEXT}
