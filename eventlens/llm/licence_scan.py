@@ -10,7 +10,10 @@
    at a probability above all but `false_rate` of the held-out unknown
    paragraphs, and not below `least_probability`.
 4. A prediction stands if the paragraph holds `confirm` of the word 3-grams of
-   a template of the family.
+   a template of the family. Version numbers count as one word, but a family
+   of one version needs that version.
+5. Besides lines, runs of adjacent lines are judged, so that hard-wrapped
+   notices are found; such a notice has the number of its first line.
 
 Everything runs in the JVM (DataFrame functions and spark.ml); no Python user
 function. Each paragraph is judged in its own row; only predicted paragraphs
@@ -26,6 +29,7 @@ classifier is then trained on templates alone). Only id and text are read.
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
@@ -81,7 +85,9 @@ FAMILIES = (UNKNOWN, *TEMPLATES)
 
 
 def _tokens(df: DataFrame, text: str, out: str) -> DataFrame:
-    return RegexTokenizer(inputCol=text, outputCol=out, pattern=r"[^\p{L}\p{N}]+", toLowercase=True).transform(df)
+    """Words; version numbers and years count as one word, 0."""
+    df = df.withColumn("_folded", F.regexp_replace(text, r"\b[vV]?[0-9]+(?:\.[0-9]+)*\b", " 0 "))
+    return RegexTokenizer(inputCol="_folded", outputCol=out, pattern=r"[^\p{L}\p{N}]+", toLowercase=True).transform(df).drop("_folded")
 
 
 def _grams(df: DataFrame) -> DataFrame:
@@ -114,6 +120,45 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("_id", F.xxhash64("_text").alias("_key"), F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
 
 
+def _anchors() -> str:
+    """Regex that a text holding CONFIRM of a template's 3-grams matches: words whose absence takes more than the rest of them."""
+    out = set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        w = re.findall(r"[a-z0-9]+", re.sub(r"\bv?[0-9]+(?:\.[0-9]+)*\b", " 0 ", t.lower()))
+        missing = set()
+        for word in sorted({*w} - {"0"}, key=lambda x: (-len(x), x)):
+            out.add(word)
+            missing |= {k for k in range(max(1, len(w) - 2)) if word in w[k:k + 3]}
+            if len(missing) > (1 - CONFIRM) * max(1, len(w) - 2):
+                break
+    return r"(?i)\b(?:" + "|".join(sorted(out)) + r")\b"
+
+
+def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _key, _no, _last, _line, _rest): runs of adjacent lines, joined, from line _no to _last; _rest is the run without its first line.
+
+    Of each line, the run of two lines and the run whose further lines hold as many words as the longest template.
+    A line without a word ends a run. Only runs that can hold a notice are made.
+    """
+    most = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) + 4
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.col("_text").rlike(_anchors()))
+    rows = rows.select("_id", F.xxhash64("_text").alias("_key"), F.split("_text", "\n").alias("_lines"))
+    rows = rows.select("_id", "_key", "_lines", F.posexplode("_lines").alias("_no", "_first")).where(F.col("_first").rlike(WORD))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def longer(a, line):
+        go = a["open"] & (a["words"] < most) & line.rlike(WORD)
+        return F.when(go, F.struct(F.concat_ws(" ", a["text"], line).alias("text"), (a["words"] + F.size(F.split(F.trim(line), r"\s+"))).alias("words"),
+                                   (a["n"] + 1).alias("n"), F.lit(True).alias("open"))
+                      ).otherwise(F.struct(a["text"].alias("text"), a["words"].alias("words"), a["n"].alias("n"), F.lit(False).alias("open")))
+
+    two = F.aggregate(F.slice("_lines", F.col("_no") + 2, 1), start, longer)
+    more = F.aggregate(F.slice("_lines", F.col("_no") + 2, most), start, longer)
+    runs = rows.select("_id", "_key", "_no", "_first", F.explode(F.array_distinct(F.array(two, more))).alias("_run")).where("_run.n > 0")
+    return (runs.select("_id", "_key", "_no", (F.col("_no") + F.col("_run.n")).alias("_last"), F.concat_ws(" ", "_first", "_run.text").alias("_line"), F.col("_run.text").alias("_rest"))
+            .where(F.col("_line").rlike(_anchors())))
+
+
 class Classifier:
     """Features, model, threshold and templates of one training."""
 
@@ -181,16 +226,33 @@ class Classifier:
         p = p.where(F.col("_best") >= self.threshold)
         shares = _alike(F.col("_w"), self.templates)
         alike = F.coalesce(*[F.when(F.col("_family") == f, s) for f, s in shares.items()])
-        return p.where(alike >= self.confirm).drop("_w")
+        p = p.where(alike >= self.confirm)
+        for f in FAMILIES[1:]:  # numbers are folded: a family of one version needs that version
+            if m := re.search(r"-(\d+)\.0$", f):
+                p = p.where((F.col("_family") != f) | F.col("_line").rlike(rf"(?<![0-9.]){m[1]}(?:\.0)?(?!\.?[0-9])"))
+        if "_rest" in rows.columns:  # a notice begins in the first line of its run
+            rest = {f: s for f, s in _alike(F.col("_v"), self.templates).items()}
+            p = _tokens(p.withColumn("_share", alike), "_rest", "_v")
+            p = p.where(F.coalesce(*[F.when(F.col("_family") == f, s) for f, s in rest.items()]) < F.col("_share")).drop("_v", "_share")
+        return p.drop("_w")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """Per document: id, n_paragraphs, found: array<struct<no, family>> of the paragraphs with a known licence."""
     spark = docs.sparkSession
     lines = paragraphs(docs, id_col, text_col)
-    judged = Classifier(spark, lines, **training).judge(lines.where(F.col("_line").rlike(WORD)))
-    found = (judged.groupBy("_id", "_key").agg(F.array_sort(F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_family").alias("family")))).alias("found"))
-             .withColumnsRenamed({"_id": "_i", "_key": "_k"}))
+    classifier = Classifier(spark, lines, **training)
+    columns = ["_id", "_key", "_no", "_last", "_family"]
+    judged = (classifier.judge(lines.where(F.col("_line").rlike(WORD))).withColumn("_last", F.col("_no")).select(*columns)
+              .unionByName(classifier.judge(wrapped(docs, id_col, text_col)).select(*columns)))
+    every = F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_last").alias("last"), F.col("_family").alias("family")))
+    # a run gives way to a line of its family in it, and to a run of its family that begins a line earlier
+    before = lambda x: F.exists("all", lambda y: (y["family"] == x["family"]) & (
+        ((y["no"] == y["last"]) & y["no"].between(x["no"], x["last"])) | ((y["no"] < y["last"]) & (y["no"] == x["no"] - 1))))
+    kept = F.filter("all", lambda x: (x["no"] == x["last"]) | ~before(x))
+    found = (judged.groupBy("_id", "_key").agg(every.alias("all"))
+             .select(F.col("_id").alias("_i"), F.col("_key").alias("_k"),
+                     F.array_sort(F.array_distinct(F.transform(kept, lambda x: F.struct(x["no"].alias("no"), x["family"].alias("family"))))).alias("found")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_key"),
                        F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))).cast("long").alias("n_paragraphs"))

@@ -1,6 +1,7 @@
 """Licence scans: held-out accuracy, planted notices, and prose left alone."""
 
 import random
+import textwrap
 
 import pytest
 
@@ -51,6 +52,22 @@ def test_notices_are_found_and_prose_is_not(spark):
     assert n[200] == n[201] == 0 and n[202] == 1 and n[203] == 3
 
 
+def test_wrapped_notices_and_other_versions(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+           "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify")
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+           "conditions are met:")
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+           "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    rows, _ = data()
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    new = {300: (wrap(mit), [(0, "mit")]), 301: ("Copyright 2001 A. Author\n\n" + wrap(bsd, " * ") + "\n\nend", [(2, "bsd")]), 302: ("w1 w2\n\n" + wrap(gpl, "# "), [(2, "gpl")]),
+           303: ("Licensed under CC BY-SA 3.0.", [(0, "cc-by-sa")]), 304: ("Licensed under the Apache License, Version 1.1.", []),
+           305: ("Released under the\nMIT License.", [(0, "mit")])}
+    out = ls.scan(documents(spark, rows + [(k, t) for k, (t, _) in new.items()])).where("doc_id >= 300").collect()
+    assert {r.doc_id: [(f.no, f.family) for f in r.found] for r in out} == {k: w for k, (_, w) in new.items()}
+
+
 def test_held_out_accuracy(spark, trained):
     _, held = trained._rows([prose(random.Random(2), 30) for _ in range(200)], 8, seed=99)
     got = trained.judge(spark.createDataFrame(held, "label double, _line string"), known_only=False).select("label", "_family", "_best").collect()
