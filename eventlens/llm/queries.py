@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files
+from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jump_sharding": sharding.op10_jump_sharding,
+    "op11_url_filter": url_filter.op11_url_filter,
 }
 
 #: Operators without SQL are tested against brute force in tests/llm.
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
+    "op11_url_filter": url_filter.ORACLE_SQL,
 }
