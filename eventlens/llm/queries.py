@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files, url_filter
+from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jump_sharding": sharding.op10_jump_sharding,
     "op11_url_filter": url_filter.op11_url_filter,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 #: Operators without SQL are tested against brute force in tests/llm.
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_secret_scan": secret_scan.ORACLE_SQL,
     "op9_quality_rules": quality.ORACLE_SQL,
     "op11_url_filter": url_filter.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
