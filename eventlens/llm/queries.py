@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, secret_scan, sharding, token_files, url_filter, vector_codes
+from . import decontaminate, licence_scan, line_dedup, mixing, ngram_join, page_text, quality, resample, secret_scan, sharding, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jump_sharding": sharding.op10_jump_sharding,
     "op11_url_filter": url_filter.op11_url_filter,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_importance_resample": resample.op13_importance_resample,
 }
 
 #: Operators without SQL are tested against brute force in tests/llm.
