@@ -15,7 +15,7 @@ is ever built. Both feed the same exact bucket totals.
 * The vocabulary is counted over all texts: every slice of text reports the
   words and pairs that make up at least 1 / `SHARE` of it, so none that is that
   common in the corpus is missed, and no slice reports more than 2 x `SHARE`.
-  The `HEAD_WORDS` and `HEAD_PAIRS` most frequent are kept.
+  The most frequent, up to `HEAD_WORDS` and `HEAD_PAIRS`, are kept.
 * A task returns one count per bucket, the driver gets one total per bucket;
   the broadcasts (vocabulary, gains) have a fixed size.
 * Ranks come from a range-partitioned running count over (score, id, row
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_total, table
+from .common import cut, running_total, table
 from .textops import ALNUM, Words, mix, slices
 
 BUCKETS, MIN_WORDS, PERCENT, SEED = 10_000, 20, 5, 42
@@ -237,9 +237,23 @@ def head(docs: DataFrame, text_col: str = "text", words: int = HEAD_WORDS, pairs
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["gram", "n"])
 
     n = _texts(docs, text_col).mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    pair = F.instr(F.col("gram").cast("string"), " ") > 0
-    top = lambda rows, k: [bytes(r["gram"]) for r in rows.orderBy(F.desc("n"), "gram").limit(k).collect()]
-    return Head(top(n.where(~pair), words), top(n.where(pair), pairs))
+    n = cut(n.select("gram", (F.instr(F.col("gram").cast("string"), " ") > 0).alias("pair"), F.floor(F.log2("n") * 16).alias("level")))
+    # Levels of frequency, 16 for each doubling: those that fit as a whole are taken, so no ranking of all grams is needed.
+    levels = sorted(n.groupBy("pair", "level").count().collect(), key=lambda r: -r["level"])
+    keep = F.lit(False)
+    for pair, most in ((False, words), (True, pairs)):
+        least = None
+        for r in levels:
+            if r["pair"] == pair:
+                most -= r["count"]
+                if most < 0:
+                    break
+                least = r["level"]
+        if least is not None:
+            keep = keep | ((F.col("pair") == pair) & (F.col("level") >= least))
+    found = n.where(keep).select("gram", "pair").collect()  # at most words + pairs rows
+    of = lambda pair: sorted(bytes(r["gram"]) for r in found if r["pair"] == pair)
+    return Head(of(False), of(True))
 
 
 def totals(df: DataFrame, shared, buckets: int = BUCKETS, min_words: int = MIN_WORDS, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -327,8 +341,9 @@ def draw(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words:
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     scored, n = _scored(rows, "_id", "_text", ["_id"], target, target_text, buckets, min_words, seed, words, pairs, share)
     enough = F.col("_n_words") >= min_words
-    scored = scored.select("_id", *_SCORED, "_score", enough.cast("long").alias("_enough"), (-F.col("_score")).alias("_order"),
-                           F.col("_id").isNull().alias("_null"), F.monotonically_increasing_id().alias("_at"))
+    # cut, because the range exchange of the ranks reads its input twice
+    scored = cut(scored.select("_id", *_SCORED, "_score", enough.cast("long").alias("_enough"), (-F.col("_score")).alias("_order"),
+                           F.col("_id").isNull().alias("_null"), F.monotonically_increasing_id().alias("_at")))
     ranked = running_total(scored, [], ["_order", "_null", "_id", "_at"], "_enough", "_ahead")
     drawn = (F.col("_enough") == 1) & (F.col("_ahead") < F.lit(percent * n // 100))
     return ranked.select(F.col("_id").alias(id_col), *[F.col(c).alias(c[1:]) for c in _SCORED], F.col("_score").alias("score"),
