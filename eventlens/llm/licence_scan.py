@@ -107,21 +107,30 @@ def _template_rows(spark) -> DataFrame:
     return spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, _line string")
 
 
-def _alike(words, templates: dict[str, list[list[str]]]):
-    """Map family -> largest share of a template's 3-grams among those of the paragraph."""
-    own = _trigrams(words)
+def _alike(own, templates: dict[str, list[list[str]]]):
+    """Map family -> largest share of a template's 3-grams among `own`, those of the paragraph."""
     share = lambda t: F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in t]))) / F.lit(float(len(t)))
     return {f: F.greatest(*[share(t) for t in ts], F.lit(0.0)) for f, ts in templates.items()}
 
 
+def once(df: DataFrame) -> DataFrame:
+    """`df`, its columns computed where they are, once.
+
+    Catalyst would push a later filter below the projection and spell out what
+    it mentions there, the whole model for each mention; it moves no filter
+    past a row number that the filter needs.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).where("_at >= 0").drop("_at")
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _key, _no, _line): the lines of the texts; lines without a word included."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     return rows.select("_id", F.xxhash64("_text").alias("_key"), F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
 
 
-def _anchors() -> str:
-    """Regex that a text holding CONFIRM of a template's 3-grams matches: words whose absence takes more than the rest of them."""
+def _anchors(confirm: float = CONFIRM) -> str:
+    """Regex that a text holding `confirm` of a template's 3-grams matches: words whose absence takes more than the rest of them."""
     out = set()
     for t in (t for ts in TEMPLATES.values() for t in ts):
         w = re.findall(r"[a-z0-9]+", re.sub(r"\bv?[0-9]+(?:\.[0-9]+)*\b", " 0 ", t.lower()))
@@ -129,19 +138,19 @@ def _anchors() -> str:
         for word in sorted({*w} - {"0"}, key=lambda x: (-len(x), x)):
             out.add(word)
             missing |= {k for k in range(max(1, len(w) - 2)) if word in w[k:k + 3]}
-            if len(missing) > (1 - CONFIRM) * max(1, len(w) - 2):
+            if len(missing) > (1 - confirm) * max(1, len(w) - 2):
                 break
     return r"(?i)\b(?:" + "|".join(sorted(out)) + r")\b"
 
 
-def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def wrapped(docs: DataFrame, id_col: str, text_col: str, confirm: float = CONFIRM) -> DataFrame:
     """(_id, _key, _no, _last, _line, _rest): runs of adjacent lines, joined, from line _no to _last; _rest is the run without its first line.
 
     Of each line, the run of two lines and the run whose further lines hold as many words as the longest template.
     A line without a word ends a run. Only runs that can hold a notice are made.
     """
     most = max(len(t.split()) for ts in TEMPLATES.values() for t in ts) + 4
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.col("_text").rlike(_anchors()))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.col("_text").rlike(_anchors(confirm)))
     rows = rows.select("_id", F.xxhash64("_text").alias("_key"), F.split("_text", "\n").alias("_lines"))
     rows = rows.select("_id", "_key", "_lines", F.posexplode("_lines").alias("_no", "_first")).where(F.col("_first").rlike(WORD))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(True).alias("open"))
@@ -154,9 +163,9 @@ def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     two = F.aggregate(F.slice("_lines", F.col("_no") + 2, 1), start, longer)
     more = F.aggregate(F.slice("_lines", F.col("_no") + 2, most), start, longer)
-    runs = rows.select("_id", "_key", "_no", "_first", F.explode(F.array_distinct(F.array(two, more))).alias("_run")).where("_run.n > 0")
+    runs = rows.select("_id", "_key", "_no", "_first", F.explode_outer(F.array_distinct(F.array(two, more))).alias("_run")).where("_run.n > 0")
     return (runs.select("_id", "_key", "_no", (F.col("_no") + F.col("_run.n")).alias("_last"), F.concat_ws(" ", "_first", "_run.text").alias("_line"), F.col("_run.text").alias("_rest"))
-            .where(F.col("_line").rlike(_anchors())))
+            .where(F.col("_line").rlike(_anchors(confirm))))
 
 
 class Classifier:
@@ -178,8 +187,8 @@ class Classifier:
         h = F.xxhash64("_line", F.lit(seed))
         sample = (lines.where(F.col("_line").rlike(WORD) & (F.pmod(F.xxhash64("_line"), F.lit(share)) == 0)).select("_line").distinct()
                   .orderBy(h, "_line").limit(negatives))  # bounded by `negatives`
-        sample = _grams(sample)
-        shares = _alike(F.col("_w"), self.templates)
+        sample = once(once(_tokens(sample, "_line", "_w")).withColumn("_t", _trigrams(F.col("_w"))))
+        shares = _alike(F.col("_t"), self.templates)
         others = [r["_line"] for r in sample.where(F.greatest(*shares.values()) < 0.3).select("_line").collect()]
         train, held = self._rows(others, variants, seed)
         lr = LogisticRegression(featuresCol="_x", labelCol="label", maxIter=60, regParam=1e-3, family="multinomial")
@@ -217,24 +226,28 @@ class Classifier:
     def judge(self, rows: DataFrame, known_only: bool = True) -> DataFrame:
         """Add `_family` (the most probable known family), `_best` (its probability); with `known_only`, keep predictions that stand."""
         p = self.model.transform(self._featured(rows))
-        p = p.withColumn("_known", F.slice(vector_to_array("_p"), 2, len(FAMILIES) - 1)).drop("_p", "_x", "_g")
+        known = F.slice(vector_to_array("_p"), 2, len(FAMILIES) - 1)
+        p = once(p.select(*rows.columns, "_w", known.alias("_known")))
         p = p.withColumn("_best", F.array_max("_known"))
         families = F.array(*[F.lit(f) for f in FAMILIES[1:]])
-        p = p.withColumn("_family", F.get(families, F.array_position("_known", F.col("_best")).cast("int") - 1)).drop("_known")
+        p = p.withColumn("_family", F.get(families, F.array_position("_known", F.col("_best")).cast("int") - 1))
         if not known_only:
-            return p
-        p = p.where(F.col("_best") >= self.threshold)
-        shares = _alike(F.col("_w"), self.templates)
-        alike = F.coalesce(*[F.when(F.col("_family") == f, s) for f, s in shares.items()])
-        p = p.where(alike >= self.confirm)
+            return p.drop("_known")
+        p = self._compared(p.where(F.col("_best") >= self.threshold).drop("_known"), "_w", "_share")
+        p = p.where(F.col("_share") >= self.confirm)
         for f in FAMILIES[1:]:  # numbers are folded: a family of one version needs that version
             if m := re.search(r"-(\d+)\.0$", f):
                 p = p.where((F.col("_family") != f) | F.col("_line").rlike(rf"(?<![0-9.]){m[1]}(?:\.0)?(?!\.?[0-9])"))
         if "_rest" in rows.columns:  # a notice begins in the first line of its run
-            rest = {f: s for f, s in _alike(F.col("_v"), self.templates).items()}
-            p = _tokens(p.withColumn("_share", alike), "_rest", "_v")
-            p = p.where(F.coalesce(*[F.when(F.col("_family") == f, s) for f, s in rest.items()]) < F.col("_share")).drop("_v", "_share")
-        return p.drop("_w")
+            p = _tokens(once(p), "_rest", "_v")
+            p = self._compared(once(p), "_v", "_less").where("_less < _share").drop("_v", "_less")
+        return p.drop("_w", "_share")
+
+    def _compared(self, p: DataFrame, words: str, out: str) -> DataFrame:
+        """Add `out`: the share of the 3-grams of a template of the row's own family; those of other families are not looked at."""
+        p = once(p.withColumn("_t", _trigrams(F.col(words))))
+        shares = _alike(F.col("_t"), self.templates)
+        return once(p.withColumn(out, F.coalesce(*[F.when(F.col("_family") == f, s) for f, s in shares.items()])).drop("_t"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
@@ -243,8 +256,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **trai
     lines = paragraphs(docs, id_col, text_col)
     classifier = Classifier(spark, lines, **training)
     columns = ["_id", "_key", "_no", "_last", "_family"]
-    judged = (classifier.judge(lines.where(F.col("_line").rlike(WORD))).withColumn("_last", F.col("_no")).select(*columns)
-              .unionByName(classifier.judge(wrapped(docs, id_col, text_col)).select(*columns)))
+    # a line without a word of `_anchors` cannot hold CONFIRM of a template, so the model need not see it
+    judged = (classifier.judge(lines.where(F.col("_line").rlike(_anchors(classifier.confirm)))).withColumn("_last", F.col("_no")).select(*columns)
+              .unionByName(classifier.judge(wrapped(docs, id_col, text_col, classifier.confirm)).select(*columns)))
     every = F.collect_set(F.struct(F.col("_no").alias("no"), F.col("_last").alias("last"), F.col("_family").alias("family")))
     # a run gives way to a line of its family in it, and to a run of its family that begins a line earlier
     before = lambda x: F.exists("all", lambda y: (y["family"] == x["family"]) & (

@@ -81,3 +81,53 @@ def test_held_out_accuracy(spark, trained):
 
 def test_empty_table(spark):
     assert ls.scan(empty(spark)).count() == 0
+
+
+def test_each_line_meets_the_model_once(spark, trained):
+    rows, _ = data()
+    lines = ls.paragraphs(documents(spark, rows), "doc_id", "text")
+    plan = trained.judge(lines)._jdf.queryExecution().optimizedPlan().toString()
+    # tokenizer, 2-grams, counts, probabilities, vector to array
+    assert plan.count("UDF") <= 6
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_match_plain_python(spark, trained):
+    """The judgement of every line by hand: tokens, features, the model's softmax, threshold, 3-grams and versions."""
+    import numpy as np
+    import regex
+
+    def tokens(line):
+        line = regex.sub(r"\b[vV]?[0-9]+(?:\.[0-9]+)*\b", " 0 ", line)
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
+
+    def threes(w):
+        return {" ".join(w[i:i + 3]) for i in range(len(w) - 2)} or {" ".join(w)}
+
+    place = {g: i for i, g in enumerate(trained.features.vocabulary)}
+    weights, start = trained.model.coefficientMatrix.toArray(), trained.model.interceptVector.toArray()
+
+    def judged(line):
+        w = tokens(line)
+        x = np.zeros(len(place))
+        for g in w + [" ".join(p) for p in zip(w, w[1:])]:
+            if g in place:
+                x[place[g]] = 1
+        z = weights @ x + start
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = ls.FAMILIES[1 + int(p[1:].argmax())]
+        if p[1:].max() < trained.threshold:
+            return None
+        share = max(len(threes(w) & set(t)) / len(t) for t in trained.templates[family])
+        number = regex.search(r"-(\d+)\.0$", family)
+        if share < trained.confirm or number and not regex.search(rf"(?<![0-9.]){number[1]}(?:\.0)?(?!\.?[0-9])", line):
+            return None
+        return family
+
+    rows, _ = data()
+    texts = sorted({x for _, t in rows for x in t.split("\n")} | {"Licensed under the Apache License, Version 1.1.", "", "Ünder the MIT license.", "all rights  RESERVED"})
+    df = spark.createDataFrame(list(enumerate(texts)), "_id long, _line string")
+    got = {r["_id"]: r["_family"] for r in trained.judge(df).collect()}
+    assert {i: f for i, t in enumerate(texts) if (f := judged(t))} == got
+    assert len(got) >= 8
+    assert all(regex.search(ls._anchors(trained.confirm), texts[i]) for i in got)  # what the words of `_anchors` let through loses nothing
