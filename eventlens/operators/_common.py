@@ -47,3 +47,20 @@ def ordered(df: DataFrame, order: bool, *keys) -> DataFrame:
 
 def distinct_count(col: str, approx: bool) -> Column:
     return F.approx_count_distinct(col) if approx else F.countDistinct(col)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """`df` with later filters kept above it.
+
+    Branches that filter one frame differently then share its plan, and so its
+    exchange: what is below is read once. (Catalyst moves no filter past a row
+    number that the filter needs.)
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter("_at >= 0").drop("_at")
+
+
+def one_plan(df: DataFrame, keys: list[str]) -> DataFrame:
+    """`held`, with the columns besides `keys` kept together, so that branches using some of them share one plan too."""
+    rest = [x for x in df.columns if x not in keys]
+    packed = df.select(*keys, F.struct(*rest).alias("_row"), F.monotonically_increasing_id().alias("_at"))
+    return packed.filter("_at >= 0").select(*keys, *[F.col(f"_row.{x}").alias(x) for x in rest])

@@ -2,9 +2,10 @@
 percentiles, size segments, z-scores and the screens built on them.
 
 Scale notes
-* Per-entity trajectories (`multi_round`) use grouped min/max of a fixed-width
-  ordering key (date and tie-break packed into one decimal), which aggregates
-  by hash with map-side combine, instead of ROW_NUMBER windows over raw rows.
+* Per-entity trajectories (`multi_round`) use grouped min/max (and min_by/max_by)
+  of a fixed-width ordering key (date and tie-break packed into one decimal),
+  which aggregate by hash with map-side combine, instead of ROW_NUMBER windows
+  over raw rows.
 * Percentiles come from `quantiles`: exact, with bounded state in every task.
 * Segment statistics have at most two rows; joining them back to every event
   uses a broadcast whose size is bounded by the number of segment labels.
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from ..functions import direction, int_avg, pct_ratio, percent, ratio, scaled, segment, severity, trend
 from ..functions.labels import SEGMENT_THRESHOLD, SEVERITY_LABELS, TREND_LABELS
 from ..roles import DEFAULT, Roles
-from ._common import c, excluding, not_null, ordered, whole, year_of
-from .quantiles import percentile_values
+from ._common import c, excluding, not_null, one_plan, ordered, whole, year_of
+from .quantiles import quantiles
 
 UNKNOWN = "Unknown"
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
@@ -136,8 +137,8 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
     first event. grain="reference": one row per (entity, country, industry)
     where only the group holding the entity's first (last) event gets first
     (last) values — other groups keep NULL dates and fall to 'Stable', as the
-    source query does. Neither uses a window over raw rows (the reference
-    grain's windows run over the per-group aggregates of one entity).
+    source query does. Either way the events are read once and never joined:
+    both levels aggregate by hash, and only group rows meet in the join.
     """
     tb = tuple(tie_break if tie_break is not None else r.tie_break)
     if not tb:
@@ -148,29 +149,28 @@ def multi_round(df: DataFrame, r: Roles = DEFAULT, min_rounds: int = 2, grain: s
         raise ValueError(f"unknown grain {grain!r}")
     f = f.select(c(r.company).alias("company"), c(r.country).alias("country"), c(r.industry).alias("industry"),
                  c(r.date).alias("_d"), c(r.total).alias("_t"), _order_key(df, r.date, tb).alias("_k"))
-    g = (f.groupBy("company").agg(F.count(F.lit(1)).alias("total_rounds"), F.sum("_t").cast("long").alias("cumulative_layoffs"),
-                                  F.min("_k").alias("_first"), F.max("_k").alias("_last"))
-          .filter(c("total_rounds") >= min_rounds))
-    # The first and last rows themselves, looked up by company and key: a company of any size spreads over the join.
-    def end(key: str, no: int, date: str, total: str) -> DataFrame:
-        at = g.select(c("company").alias("_co"), c(key).alias("_at"))
-        found = f.join(at, c("company").eqNullSafe(c("_co")) & (c("_k") == c("_at")))
-        return found.select(c("company").alias(f"_c{no}"), c("country").alias(f"_country{no}"), c("industry").alias(f"_industry{no}"),
-                            c("_d").alias(date), c("_t").alias(total)).dropDuplicates([f"_c{no}"])
-
-    first, last = end("_first", 1, "first_date", "first_layoffs"), end("_last", 2, "last_date", "last_layoffs")
-    if grain == "company":
-        out = (g.join(first, c("company").eqNullSafe(c("_c1"))).join(last, c("company").eqNullSafe(c("_c2")))
-                .select("company", c("_country1").alias("country"), c("_industry1").alias("industry"), "total_rounds",
-                        "first_date", "first_layoffs", "last_date", "last_layoffs", "cumulative_layoffs"))
+    # Per (company, country, industry), by hash: counts, sums, and the ends with their dates and amounts.
+    g = f.groupBy("company", "country", "industry").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_t").cast("long").alias("_s"),
+        F.min("_k").alias("_k0"), F.min_by("_d", "_k").alias("_d0"), F.min_by("_t", "_k").alias("_t0"),
+        F.max("_k").alias("_k1"), F.max_by("_d", "_k").alias("_d1"), F.max_by("_t", "_k").alias("_t1"))
+    # Should two groups of a company share a key (a tie-break that does not tell all events apart), a hash of the group decides.
+    wide = lambda k: c(k) * F.lit("1" + "0" * 11).cast("decimal(12,0)") + F.pmod(F.xxhash64("country", "industry"), F.lit(10**11)).cast("decimal(12,0)")
+    g = one_plan(g.withColumns({k: wide(k).cast("decimal(38,0)") for k in ("_k0", "_k1")}), ["company", "country", "industry"])
+    # Per company, from those groups.
+    per = g.groupBy(c("company").alias("_co")).agg(
+        F.sum("_n").alias("total_rounds"), F.sum("_s").cast("long").alias("_all"), F.min("_k0").alias("_first"), F.max("_k1").alias("_last"),
+        F.max_by("_d1", "_k1").alias("_d9"), F.max_by("_t1", "_k1").alias("_t9")).filter(c("total_rounds") >= min_rounds)
+    both = g.join(per, c("company").eqNullSafe(c("_co")))
+    if grain == "company":  # the group that holds the first event stands for its company
+        out = both.filter(c("_k0") == c("_first")).select(
+            "company", "country", "industry", "total_rounds", c("_d0").alias("first_date"), c("_t0").alias("first_layoffs"),
+            c("_d9").alias("last_date"), c("_t9").alias("last_layoffs"), c("_all").alias("cumulative_layoffs"))
     else:
-        same = [c("company").eqNullSafe(c(f"_c{i}")) & c("country").eqNullSafe(c(f"_country{i}")) & c("industry").eqNullSafe(c(f"_industry{i}"))
-                for i in (1, 2)]
-        part = f.groupBy("company", "country", "industry").agg(F.sum("_t").cast("long").alias("cumulative_layoffs"))
-        rounds = g.select(c("company").alias("_co"), "total_rounds")
-        out = (part.join(rounds, c("company").eqNullSafe(c("_co"))).join(first, same[0], "left").join(last, same[1], "left")
-                   .select("company", "country", "industry", "total_rounds", "first_date", "first_layoffs",
-                           "last_date", "last_layoffs", "cumulative_layoffs"))
+        first, last = c("_k0") == c("_first"), c("_k1") == c("_last")
+        out = both.select("company", "country", "industry", "total_rounds", F.when(first, c("_d0")).alias("first_date"),
+                          F.when(first, c("_t0")).alias("first_layoffs"), F.when(last, c("_d1")).alias("last_date"),
+                          F.when(last, c("_t1")).alias("last_layoffs"), c("_s").alias("cumulative_layoffs"))
     out = out.select("*", F.datediff("last_date", "first_date").alias("days_of_crisis"),
                      trend("first_layoffs", "last_layoffs").alias("trend"))
     return ordered(out, order, F.desc("total_rounds"), F.desc("cumulative_layoffs"), "company", "country", "industry")
@@ -236,23 +236,22 @@ def percentiles(df: DataFrame, col: str = "total_laid_off", qs=QUANTILES, names=
     """One row of interpolated percentiles (Q1, median, Q3, P90, P99); no row
     when the column has no values. Values are rounded to ``scale`` decimals.
 
-    Exact and bounded in memory (`quantiles`: a few counting jobs run when the
-    frame is built); ``approx`` takes one ``percentile_approx`` pass instead.
+    Exact, lazy and bounded in memory (`quantiles`, which also defines ranks
+    for infinite values and NaN); ``approx`` takes one ``percentile_approx``
+    pass instead.
     """
     if approx:
         f = df.filter(c(col).isNotNull())
         g = f.agg(F.percentile_approx(c(col).cast("double"), list(qs), accuracy).alias("_p"), F.count(F.lit(1)).alias("_n")).filter(c("_n") > 0)
         return g.select(*[F.round(c("_p")[i], scale).alias(n) for i, n in enumerate(names)])
-    found = percentile_values(df, col, qs).get(None)
-    row = df.sparkSession.range(0 if found is None else 1)
-    return row.select(*[F.round(F.lit(None if found is None else found[i]).cast("double"), scale).alias(n) for i, n in enumerate(names)])
+    found = quantiles(df, col, qs)
+    return found.select(*[F.round(F.get("values", F.lit(i)), scale).alias(n) for i, n in enumerate(names)])
 
 
 def adaptive_cutoff(df: DataFrame, col: str = "total_laid_off", q: float = 0.9) -> Column:
-    """The ``q`` percentile of ``col`` as a Column, usable as the ``threshold``
+    """The ``q`` percentile of ``col`` as a lazy scalar, usable as the ``threshold``
     of every segment operator (NULL when the column has no values)."""
-    found = percentile_values(df, col, [q]).get(None)
-    return F.lit(None if found is None else found[0]).cast("double")
+    return quantiles(df, col, [q]).select(F.get("values", F.lit(0))).scalar()
 
 
 def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale: int = 4) -> DataFrame:
@@ -263,8 +262,8 @@ def adaptive_threshold(df: DataFrame, r: Roles = DEFAULT, q: float = 0.9, scale:
     and workers_share_pct (share of the measure in events >= cutoff, 2 dp).
     """
     f = df.filter(c(r.total).isNotNull())
-    found = percentile_values(f, r.total, [*QUANTILES, q]).get(None, [None] * (len(QUANTILES) + 1))
-    *p, cut = [F.lit(x).cast("double") for x in found]
+    found = quantiles(f, r.total, [*QUANTILES, q]).select("values").scalar()
+    *p, cut = [F.get(found, F.lit(i)) for i in range(len(QUANTILES) + 1)]
     above = c(r.total) >= cut
     stats = f.agg(F.sum(r.total).cast("long").alias("_s"), F.count(F.lit(1)).alias("_n"), F.count_if(above).alias("_above"),
                   F.sum(F.when(above, c(r.total))).cast("long").alias("_s_above")).filter(c("_n") > 0)
@@ -295,17 +294,14 @@ def segment_stats(df: DataFrame, r: Roles = DEFAULT, threshold=SEGMENT_THRESHOLD
     cv_ratio is mean / std as the source computes it (its comment says the
     reverse); coef_variation is the textbook std / mean. An empty segment has
     no row; a one-row segment has NULL std. One groupBy instead of the
-    source's four scans and cross joins.
+    source's four scans and cross joins; medians are exact (`quantiles`).
     """
     g = (_segmented(df, r, threshold).groupBy("group_label")
          .agg(F.count(F.lit(1)).alias("total_events"), F.min(r.total).alias("min_value"),
               F.max(r.total).alias("max_value"), F.sum(r.total).cast("long").alias("_s"),
               F.stddev_samp(c(r.total).cast("double")).alias("_std")))
-    medians = percentile_values(_segmented(df, r, threshold), r.total, [0.5], "group_label")
-    of = F.lit(None).cast("double")
-    for label, (m,) in medians.items():
-        of = F.when(c("group_label").eqNullSafe(F.lit(label)), F.lit(m)).otherwise(of)
-    g = g.withColumn("_median", of)
+    medians = quantiles(_segmented(df, r, threshold), r.total, [0.5], "group_label")
+    g = g.join(medians.select("group_label", F.get("values", F.lit(0)).alias("_median")), "group_label")
     mean = c("_s").cast("double") / c("total_events").cast("double")
     out = g.select(
         "group_label", "total_events", "min_value", "max_value",
@@ -446,10 +442,10 @@ def funding_paradox(df: DataFrame, r: Roles = DEFAULT, buckets: int = 5, order:
     """
     f = df.filter(not_null(r.total, r.funds))
     qs = [i / buckets for i in range(1, buckets)]
-    bps = percentile_values(f, r.funds, qs).get(None, [None] * len(qs))
+    bps = quantiles(f, r.funds, qs).select("values").scalar()
     bucket = F.lit(1)
     for i in range(len(qs)):
-        bucket = bucket + (c(r.funds) > F.round(F.lit(bps[i]).cast("double"), 2)).cast("int")
+        bucket = bucket + (c(r.funds) > F.round(F.get(bps, F.lit(i)), 2)).cast("int")
     x, y = c(r.total).cast("double"), c(r.funds)
     g = (f.groupBy(bucket.alias("funding_bucket"))
           .agg(F.count(F.lit(1)).alias("events"), F.min(r.funds).alias("min_funds"), F.max(r.funds).alias("max_funds"),

@@ -117,8 +117,8 @@ def country_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, o
 
 
 def city_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, order: bool = True) -> DataFrame:
-    """country, city_rank, city, num_companies, total_laid_off, avg_laid_off,
-    avg_funds_raised, layoff_rate_raw.
+    """country, city_rank, city, num_companies, total_laid_off, avg_laid_off
+    (truncated, as published), avg_exact (2 dp), avg_funds_raised, layoff_rate_raw.
 
     Only rows with measure, funds and a positive rate take part. The rate is
     total / estimated headcount in percent, where the headcount is the sum of
@@ -135,7 +135,7 @@ def city_breakdown(df: DataFrame, r: Roles = DEFAULT, approx: bool = False, orde
     w = Window.partitionBy("country").orderBy(F.desc("total_laid_off"), "city")
     out = g.select(
         "country", F.row_number().over(w).alias("city_rank"), "city", "num_companies", "total_laid_off",
-        "avg_laid_off", ratio(c("_cents"), c("_nf") * 100, 2).alias("avg_funds_raised"),
+        "avg_laid_off", ratio("total_laid_off", "_nf", 2).alias("avg_exact"), ratio(c("_cents"), c("_nf") * 100, 2).alias("avg_funds_raised"),
         pct_ratio(c("total_laid_off").cast("decimal(38,0)") * F.lit(1_000_000), "_est", 10, 2).alias("layoff_rate_raw"))
     return ordered(out, order, "country", "city_rank")
 

@@ -21,6 +21,12 @@ from ..functions import strip_suffix_on_prefix as suffix_expr
 from ..functions.text import COLLAPSE_RULES, COUNTRY_PREFIX, NULL_TOKEN, UNKNOWN
 from ..roles import DEFAULT, Roles
 from ..sources.fixtures import RAW_COLUMNS
+from ._common import held
+
+def finite(value, dtype: str = "double"):
+    """NULL instead of an infinite value or NaN."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value) if dtype in ("double", "float") else value
+
 
 DATE_FORMAT = "M/d/yyyy"  # month/day/year; one- or two-digit month and day
 
@@ -34,6 +40,17 @@ def exact_dedup(df: DataFrame, cols=None) -> DataFrame:
     return df.dropDuplicates(list(cols) if cols else None)
 
 
+#: Collations with a text of their own for equal values: comparing these by hash needs no comparison under the collation.
+FOLDS = {"UTF8_LCASE": lambda x: F.lower(x), "UTF8_LCASE_RTRIM": lambda x: F.lower(F.rtrim(x))}
+
+
+def folded_dedup(df: DataFrame, fold, cols) -> DataFrame:
+    """Keep one row per tuple of ``cols`` whose texts are equal after ``fold`` (any of their spellings stays)."""
+    keys = {f"_fold{i}": fold(F.col(x)) for i, x in enumerate(cols)}
+    rest = [x for x in df.columns if x not in cols]
+    return df.withColumns(keys).dropDuplicates([*keys, *rest]).drop(*keys)
+
+
 def trim_text(df: DataFrame, cols=("company",)) -> DataFrame:
     """Strip outer spaces (only U+0020, like SQL TRIM)."""
     return df.withColumns({c: F.trim(F.col(c)) for c in cols})
@@ -67,13 +84,14 @@ def safe_date(df: DataFrame, col: str = "date", fmt: str = DATE_FORMAT) -> DataF
 
 
 def safe_numeric(df: DataFrame, col: str, dtype: str) -> DataFrame:
-    """Text -> numeric type, NULL on junk. '12.0' is not an integer."""
-    return df.withColumn(col, F.col(col).try_cast(dtype))
+    """Text -> numeric type, NULL on junk. '12.0' is not an integer; texts of
+    infinite values or NaN are junk, as in a database without them."""
+    return df.withColumn(col, finite(F.col(col).try_cast(dtype), dtype))
 
 
 def strip_invisible_numeric(df: DataFrame, col: str = "funds_raised_millions", scale: int = 2) -> DataFrame:
-    """Remove no-break spaces, CR and LF, cast to double, round to ``scale``."""
-    return df.withColumn(col, F.round(strip_chars(col).try_cast("double"), scale))
+    """Remove no-break spaces, CR and LF, cast to double (NULL on junk, infinite values and NaN), round to ``scale``."""
+    return df.withColumn(col, F.round(finite(strip_chars(col).try_cast("double")), scale))
 
 
 def drop_uninformative(df: DataFrame, cols=("total_laid_off", "percentage_laid_off")) -> DataFrame:
@@ -82,7 +100,7 @@ def drop_uninformative(df: DataFrame, cols=("total_laid_off", "percentage_laid_o
 
 
 def impute_from_peer(df: DataFrame, key: str = "company", attr: str = "industry",
-                     strategy: str = "min") -> DataFrame:
+                     strategy: str = "min", fold=None) -> DataFrame:
     """Fill a NULL ``attr`` from other rows of the same ``key``.
 
     The donor value per key is its smallest (``min``) or most frequent
@@ -90,16 +108,20 @@ def impute_from_peer(df: DataFrame, key: str = "company", attr: str = "industry"
     per (key, value), combined map-side, so a hot key is small before any
     shuffle; a rank over those pairs picks one. Only rows that lack the value
     and have a key are joined; rows with a value, and rows without a key, are
-    passed through without a shuffle.
+    passed through without a shuffle. With ``fold``, keys and values are equal
+    if their folded texts are.
     """
-    rank = {"min": (F.col(attr),), "mode": (F.desc("_n"), F.col(attr))}
+    same = fold or (lambda x: x)
+    rank = {"min": (F.col("_same"),), "mode": (F.desc("_n"), F.col("_same"))}
     if strategy not in rank:
         raise ValueError(f"unknown strategy {strategy!r}")
     lacks = F.col(attr).isNull() & F.col(key).isNotNull()
-    pairs = df.filter(F.col(attr).isNotNull() & F.col(key).isNotNull()).groupBy(key, attr).agg(F.count(F.lit(1)).alias("_n"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*rank[strategy]))
-    donors = pairs.withColumn("_rank", first).filter(F.col("_rank") == 1).select(F.col(key), F.col(attr).alias("_donor"))
-    filled = df.filter(lacks).join(donors, key, "left").withColumn(attr, F.col("_donor")).select(*df.columns)
+    pairs = df.filter(F.col(attr).isNotNull() & F.col(key).isNotNull()).groupBy(same(F.col(key)).alias("_of"), same(F.col(attr)).alias("_same"), F.col(attr).alias("_donor")).agg(F.count(F.lit(1)).alias("_n"))
+    if fold:  # spellings of one value: the smallest one stands for them
+        pairs = pairs.groupBy("_of", "_same").agg(F.sum("_n").alias("_n"), F.min("_donor").alias("_donor"))
+    first = F.row_number().over(Window.partitionBy("_of").orderBy(*rank[strategy]))
+    donors = pairs.withColumn("_rank", first).filter(F.col("_rank") == 1).select("_of", "_donor")
+    filled = df.filter(lacks).join(donors, same(F.col(key)) == F.col("_of"), "left").withColumn(attr, F.col("_donor")).select(*df.columns)
     return df.filter(~lacks).unionByName(filled)
 
 
@@ -118,8 +140,8 @@ def typed_projection(raw: DataFrame, r: Roles = DEFAULT, date_format: str = DATE
         token_to_label("stage").alias(r.stage),
         F.try_to_date(F.col("date"), date_format).alias(r.date),
         F.col("total_laid_off").try_cast("int").alias(r.total),
-        F.col("percentage_laid_off").try_cast("double").alias(r.pct),
-        F.round(strip_chars("funds_raised_millions").try_cast("double"), 2).alias(r.funds),
+        finite(F.col("percentage_laid_off").try_cast("double")).alias(r.pct),
+        F.round(finite(strip_chars("funds_raised_millions").try_cast("double")), 2).alias(r.funds),
         *extra,
     )
 
@@ -156,19 +178,22 @@ def clean_stages(raw: DataFrame, r: Roles = DEFAULT, max_len: int | None = None,
         malformed = raw.filter(F.col(corrupt_col).isNotNull() & seen)
         raw = raw.filter(F.col(corrupt_col).isNull())
     raw = raw.select(*RAW_COLUMNS)
-    if collation:
-        raw = raw.select(*[F.collate(F.col(x), collation).alias(x) for x in RAW_COLUMNS])
-    deduped = raw if dedup_after else exact_dedup(raw)
-    typed = typed_projection(deduped, r)
+    text, fold = (r.company, r.location, r.country, r.industry, r.stage), FOLDS.get(collation)
+    collate = lambda df, cols: df.withColumns({x: F.collate(F.col(x), collation) for x in cols}) if collation else df
+    dedup = (lambda df, cols: folded_dedup(df, fold, cols)) if fold else (lambda df, cols: exact_dedup(collate(df, cols)))
+    deduped = raw if dedup_after else dedup(raw, RAW_COLUMNS)
+    typed = typed_projection(collate(deduped, RAW_COLUMNS), r)
+    if fold:  # the rules above compared under the collation; from here on folded texts do
+        typed = typed.withColumns({x: F.col(x).cast("string") for x in text})
     if dedup_after:
-        typed = exact_dedup(typed)
+        typed = dedup(typed, text)
     over = F.lit(False) if max_len is None else too_long(r, max_len)
     fits = typed if max_len is None else typed.filter(~over)
-    informative = drop_uninformative(fits, (r.total, r.pct))
-    imputed = impute_from_peer(informative, r.company, r.industry, strategy)
+    # donors, rows to fill and rows that pass all read these: one exchange, one scan
+    informative = held(drop_uninformative(fits, (r.total, r.pct)))
+    imputed = impute_from_peer(informative, r.company, r.industry, strategy, fold)
     clean = label_unknown(imputed, r.industry)
-    if collation:
-        text = {r.company, r.location, r.country, r.industry, r.stage}
+    if collation and not fold:
         clean = clean.select(*[F.col(x).cast("string").alias(x) if x in text else F.col(x) for x in clean.columns])
     out = {"raw": raw, "distinct": deduped, "typed": typed, "rejects": typed.filter(over),
            "uninformative": fits.filter(F.col(r.total).isNull() & F.col(r.pct).isNull()),
@@ -195,6 +220,64 @@ def clean_and_rejects(raw: DataFrame, max_len: int, r: Roles = DEFAULT, **kw) ->
     return st["clean"], st["rejects"]
 
 
+def audit_counts(r: Roles, max_len: int | None) -> list:
+    """The counts of `load_audit` over typed groups of equal landing rows (`_n` rows each, `_bad` if malformed)."""
+    over = F.lit(False) if max_len is None else too_long(r, max_len)
+    measured = F.col(r.total).isNotNull() | F.col(r.pct).isNotNull()
+    ok, n = ~F.col("_bad"), F.col("_n")
+    one = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0)).cast("long")
+    return [one(F.lit(True), n).alias("raw"), one(F.col("_bad"), n).alias("malformed"), one(ok, n - 1).alias("duplicates"),
+            one(ok, F.lit(1)).alias("distinct"), one(ok & over, F.lit(1)).alias("rejects"),
+            one(ok & ~over & ~measured, F.lit(1)).alias("uninformative"), one(ok & ~over & measured, F.lit(1)).alias("clean")]
+
+
+def staged_load(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = None, max_len: int | None = None,
+                collation: str | None = None):
+    """(groups, observation): the landing rows as one typed row per distinct row, to be written once.
+
+    Besides the typed columns a group has `_n` (how often it came), `_bad` and,
+    if malformed, `_landing` (its fields and the corrupt record). The counts of
+    `load_audit` are gathered as the groups are written (`Observation.get`
+    afterwards), so the landing text is read once for table, rejects and audit.
+    `from_staged` makes these from the written groups.
+    """
+    from pyspark.sql import Observation
+
+    if collation and collation not in FOLDS:
+        raise ValueError(f"a staged load knows the collations {sorted(FOLDS)}, not {collation}")
+    same = FOLDS.get(collation)
+    record = F.col(corrupt_col) if corrupt_col else F.lit(None).cast("string")
+    rows = raw.select(*RAW_COLUMNS, record.alias("_record"))
+    if same:
+        keys = [same(F.col(x)).alias(f"_fold{i}") for i, x in enumerate(RAW_COLUMNS)]
+        groups = rows.groupBy(*keys, "_record").agg(F.count(F.lit(1)).alias("_n"), *[F.first(x).alias(x) for x in RAW_COLUMNS])
+        groups = groups.select(*[F.collate(F.col(x), collation).alias(x) for x in RAW_COLUMNS], "_record", "_n")
+    else:
+        groups = rows.groupBy(*RAW_COLUMNS, "_record").agg(F.count(F.lit(1)).alias("_n"))
+    bad = F.col("_record").isNotNull()
+    landing = F.when(bad, F.struct(*[F.col(x).cast("string").alias(x) for x in RAW_COLUMNS], F.col("_record")))
+    groups = groups.select("*", bad.alias("_bad"), landing.alias("_landing"))
+    obs = Observation("eventlens_load")
+    typed = typed_projection(groups, r, extra=("_n", "_bad", "_landing"))
+    if same:
+        typed = typed.withColumns({x: F.col(x).cast("string") for x in (r.company, r.location, r.country, r.industry, r.stage)})
+    return typed.observe(obs, *audit_counts(r, max_len)), obs
+
+
+def from_staged(groups: DataFrame, r: Roles = DEFAULT, max_len: int | None = None, dedup_after: bool = False, strategy: str = "min",
+                collation: str | None = None) -> dict[str, DataFrame]:
+    """clean, rejects and malformed from the written groups of `staged_load`."""
+    text = (r.company, r.location, r.country, r.industry, r.stage)
+    good, fold = groups.filter(~F.col("_bad")).drop("_n", "_bad", "_landing"), FOLDS.get(collation)
+    if dedup_after:
+        good = folded_dedup(good, fold, text) if fold else exact_dedup(good)
+    over = F.lit(False) if max_len is None else too_long(r, max_len)
+    clean = drop_uninformative(good.filter(~over), (r.total, r.pct))
+    clean = label_unknown(impute_from_peer(clean, r.company, r.industry, strategy, fold), r.industry)
+    malformed = groups.filter("_bad").select("_landing.*", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
+    return {"clean": clean, "rejects": good.filter(over), "malformed": malformed}
+
+
 AUDIT_STAGES = ("raw", "malformed", "duplicates", "distinct", "rejects", "uninformative", "clean")
 
 
@@ -215,13 +298,7 @@ def load_audit(raw: DataFrame, r: Roles = DEFAULT, corrupt_col: str | None = Non
     keys = [F.when(~bad, F.col(c)).alias(c) for c in RAW_COLUMNS]
     groups = raw.select(*keys, bad.alias("_bad")).groupBy(*RAW_COLUMNS, "_bad").agg(F.count(F.lit(1)).alias("_n"))
     typed = typed_projection(groups, r, extra=("_bad", "_n"))
-    over = F.lit(False) if max_len is None else too_long(r, max_len)
-    measured = F.col(r.total).isNotNull() | F.col(r.pct).isNotNull()
-    ok, n = ~F.col("_bad"), F.col("_n")
-    one = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0)).cast("long")
-    counts = typed.agg(one(F.lit(True), n).alias("raw"), one(F.col("_bad"), n).alias("malformed"), one(ok, n - 1).alias("duplicates"),
-                       one(ok, F.lit(1)).alias("distinct"), one(ok & over, F.lit(1)).alias("rejects"),
-                       one(ok & ~over & ~measured, F.lit(1)).alias("uninformative"), one(ok & ~over & measured, F.lit(1)).alias("clean"))
+    counts = typed.agg(*audit_counts(r, max_len))
     order = F.array(*[F.lit(s) for s in AUDIT_STAGES])
     return counts.unpivot([], list(AUDIT_STAGES), "stage", "num_rows").orderBy(F.array_position(order, F.col("stage")))
 

@@ -3,8 +3,9 @@
     python -m eventlens.plans.jobs clean  <landing_dir> <table_dir>
     python -m eventlens.plans.jobs report <table_dir> <out_dir> [name ...]
 
-The clean job is one lazy plan and one overwrite write (partitioned by event
-year). Reports read that table — not the landing text — so the dedup and
+The clean job reads the landing text once: its distinct rows, typed and counted,
+are staged in the shared scratch folder, and the event table (partitioned by
+event year), the rejects and the audit come from there. Reports read that table — not the landing text — so the dedup and
 imputation shuffles run once per load, and year slicers prune folders. Each
 report is written as its own parquet folder; rerunning a job overwrites its
 output, so a failed or repeated run is harmless.
@@ -14,9 +15,13 @@ from __future__ import annotations
 
 import sys
 import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import UNKNOWN
 
 from ..operators import analyze as A
 from ..operators import breakdown as K
@@ -25,6 +30,7 @@ from ..operators import geo as G
 from ..operators import profile as P
 from ..operators import trend as T
 from ..roles import DEFAULT, Roles
+from ..session import scratch_path
 from ..sources import CORRUPT, load_raw_csv
 from .sinks import write_event_table
 
@@ -90,14 +96,22 @@ def clean_job(spark: SparkSession, landing: str, table: str, r: Roles = DEFAULT,
     metrics hold the counts of `load_audit` and the seconds of the load.
     """
     began = time.monotonic()
-    raw = load_raw_csv(spark, landing, keep_corrupt=True)
-    stages, obs = C.clean_with_audit(raw, r, CORRUPT, max_len, **kw)
-    write_event_table(stages["clean"], table, r)
+    staging = scratch_path(spark, "load", uuid.uuid4().hex)
+    collation = kw.get("collation")
+    groups, load = C.staged_load(load_raw_csv(spark, landing, keep_corrupt=True), r, CORRUPT, max_len, collation)
+    groups.write.parquet(staging)  # the only read of the landing text; the audit fills on the way
+    stages = C.from_staged(spark.read.schema(groups.schema).parquet(staging), r, max_len, **kw)
+    written = Observation("eventlens_clean")
+    clean = stages["clean"].observe(written, F.count(F.lit(1)).alias("rows"), F.count(F.col(r.date)).alias("rows_with_date"),
+                                    F.count(F.col(r.total)).alias("rows_with_measure"),
+                                    F.count_if(F.col(r.industry) == UNKNOWN).alias("unknown_industry"))
+    write_event_table(clean, table, r)
     rejects = rejects or f"{table.rstrip('/')}_rejects"
-    stages["malformed"].write.mode("overwrite").parquet(f"{rejects}/malformed")
+    stages["malformed"].withColumnRenamed("_record", CORRUPT).write.mode("overwrite").parquet(f"{rejects}/malformed")
     stages["rejects"].write.mode("overwrite").parquet(f"{rejects}/too_long")
-    audit = {x["stage"]: x["num_rows"] for x in C.load_audit(raw, r, CORRUPT, max_len).collect()}
-    return {"audit": audit, **{name: o.get for name, o in obs.items()}, "seconds": round(time.monotonic() - began, 3)}
+    audit = {s: load.get[s] for s in C.AUDIT_STAGES}
+    return {"audit": audit, "clean": written.get, "rejects": {"rows": audit["rejects"]}, "malformed": {"rows": audit["malformed"]},
+            "seconds": round(time.monotonic() - began, 3)}
 
 
 def report_job(spark: SparkSession, table: str, out_dir: str, names=None, r: Roles = DEFAULT) -> list[str]:

@@ -81,7 +81,7 @@ def city_sql(view: str = "F") -> str:
          CAST(round(CAST(total_laid_off AS DOUBLE) / percentage_laid_off * 1000000.0) AS HUGEINT) AS micro_headcount
   FROM {view} WHERE total_laid_off + funds_raised_millions IS NOT NULL AND percentage_laid_off > 0),
 CD AS (
-  SELECT country, city, count(DISTINCT company) AS num_companies, CAST(sum(t) AS BIGINT) AS total_laid_off, {O.int_avg('t')} AS avg_laid_off,
+  SELECT country, city, count(DISTINCT company) AS num_companies, CAST(sum(t) AS BIGINT) AS total_laid_off, {O.int_avg('t')} AS avg_laid_off, {O.ratio('sum(t)', 'count(t)', 2)} AS avg_exact,
          {O.ratio('sum(cents)', '100 * count(*)', 2)} AS avg_funds_raised,
          {O.pct('sum(t) * 1000000', 'sum(micro_headcount)', 10, 2)} AS layoff_rate_raw
   FROM CE GROUP BY ALL),

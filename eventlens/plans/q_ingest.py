@@ -147,6 +147,31 @@ def clean_events(spark, d):
     return C.clean_events(RAW(spark, d))
 
 
+# Case-insensitive cleaning, blind to trailing spaces: rows with an even length of company name are delivered again in capitals
+# and with trailing spaces. Texts are shown in lower case, because any spelling may stand for its group.
+_TEXT = ("company", "location", "country", "industry", "stage")
+CLEAN_COLUMNS = (*_TEXT, "date", "total_laid_off", "percentage_laid_off", "funds_raised_millions")
+_FOLD = ", ".join(f"lower(rtrim({x}, ' ')) AS {x}" for x in RAW_COLUMNS)
+_AGAIN = ", ".join({"company": "upper(company)", "location": "upper(location) || '  '", "stage": "lower(stage) || ' '"}.get(x, x) for x in RAW_COLUMNS)
+
+
+@plan("clean_events_collated", with_raw("") + f"""
+, R2 AS (SELECT {', '.join(RAW_COLUMNS)} FROM RR UNION ALL SELECT {_AGAIN} FROM RR WHERE length(company) % 2 = 0),
+D2 AS (SELECT DISTINCT {_FOLD} FROM R2),
+K2 AS (SELECT {', '.join(f"rtrim(lower({x}), ' ') AS {x}" if x in _TEXT else x for x in CLEAN_COLUMNS)} FROM (SELECT {O.TYPED_SELECT} FROM D2) T
+       WHERE total_laid_off IS NOT NULL OR percentage_laid_off IS NOT NULL),
+DON2 AS (SELECT company, min(industry) AS donor FROM K2 WHERE industry IS NOT NULL AND company IS NOT NULL GROUP BY company)
+SELECT K2.* REPLACE (coalesce(K2.industry, donor, 'unknown') AS industry) FROM K2 LEFT JOIN DON2 ON K2.company = DON2.company""")
+def clean_events_collated(spark, d):
+    from pyspark.sql import functions as F
+
+    raw = RAW(spark, d)
+    again = raw.where("length(company) % 2 = 0").withColumns({
+        "company": F.upper("company"), "location": F.concat(F.upper("location"), F.lit("  ")), "stage": F.concat(F.lower("stage"), F.lit(" "))})
+    out = C.clean_events(raw.unionByName(again), collation="UTF8_LCASE_RTRIM")
+    return out.withColumns({x: F.lower(F.rtrim(x)) for x in _TEXT})
+
+
 # Imputation by the most frequent peer value (ties -> smallest value).
 @plan("impute_mode", with_clean("""
 , DM AS (SELECT company, mode() WITHIN GROUP (ORDER BY industry) AS donor FROM K

@@ -148,3 +148,10 @@ def test_case_insensitive_collation(spark):
     assert len(rows_) == 2
     assert {r.industry for r in rows_} == {"Retail"}                 # imputed across case variants
     assert dict(ci.dtypes)["company"] == "string"
+
+
+def test_numbers_that_no_database_holds_are_junk(spark):
+    df = spark.createDataFrame([("Infinity",), ("-inf",), ("NaN",), ("1e400",), ("2.5",), ("x",)], "v string")
+    assert [r.v for r in C.safe_numeric(df, "v", "double").collect()] == [None, None, None, None, 2.5, None]
+    assert [r.v for r in C.strip_invisible_numeric(df, "v").collect()] == [None, None, None, None, 2.5, None]
+    assert [r.v for r in C.safe_numeric(df, "v", "int").collect()] == [None] * 4 + [None, None]

@@ -169,7 +169,28 @@ def test_signature_options(events):
     assert prof["company"].null_percentage_text == "50.0%" and prof["company"].total_rows_text == "2"
 
 
-def test_percentiles_match_the_engines_own(events, spark, monkeypatch):
+def test_percentiles_of_infinite_values_and_nan(spark):
+    from eventlens.operators.quantiles import quantiles
+    inf, nan = float("inf"), float("nan")
+
+    def of(values, qs, **kw):
+        df = spark.createDataFrame([(v, "g") for v in values], "x double, g string")
+        return [repr(x) for x in quantiles(df, "x", qs, **kw).first()["values"]]
+
+    assert of([1.0, 2.0, inf], [0, 0.25, 0.5, 0.75, 1]) == ["1.0", "1.5", "2.0", "inf", "inf"]
+    assert of([-inf, 5.0, inf, nan, None], [0, 0.1, 1 / 3, 0.5, 2 / 3, 0.9, 1]) == ["-inf", "-inf", "5.0", "inf", "inf", "nan", "nan"]
+    assert of([-inf, inf], [0.5]) == ["nan"] and of([nan] * 3, [0.5]) == ["nan"] and of([inf, inf], [0.3]) == ["inf"]
+    many = [inf] * 400 + [-inf] * 300 + [nan] * 100 + [float(i) for i in range(1000)]
+    want = sorted(many, key=lambda v: (v != v, v))
+    for accuracy in (10_000, 50):
+        ranks = [0, 299, 300, 800, 1299, 1300, 1699, 1700, 1799]
+        assert of(many, [k / 1799 for k in ranks], accuracy=accuracy) == [repr(want[k]) for k in ranks]
+    df = spark.createDataFrame([(v, g) for g in ("a", None) for v in (many if g else [1.0, 4.0])], "x double, g string")
+    both = {r.g: (r.n, r["values"]) for r in quantiles(df, "x", [0.5], "g").collect()}
+    assert both == {"a": (1800, [(want[899] + want[900]) / 2]), None: (2, [2.5])}
+
+
+def test_percentiles_match_the_engines_own(events, spark):
     import random
 
     from eventlens.operators import quantiles
@@ -180,14 +201,15 @@ def test_percentiles_match_the_engines_own(events, spark, monkeypatch):
     def own(df, col):
         p = df.selectExpr(f"percentile({col}, array(0.25, 0.5, 0.75, 0.9, 0.99)) as p").first().p
         return [tuple(round(x, 4) for x in p)]
-    for bins in (1024, 3):          # three bins: many passes, the same values
-        monkeypatch.setattr(quantiles, "BINS", bins)
-        monkeypatch.setattr(quantiles.order_statistics, "__defaults__", (None, bins))
+    qs = [0.25, 0.5, 0.75, 0.9, 0.99]
+    for accuracy, bins in ((10_000, 4096), (100, 3), (20, 1)):  # narrow and wide brackets, many and few bins: the same values
         for col in ("total_skewed", "funds_raised_millions"):
-            assert rows(A.percentiles(f, col)) == own(f, col)
+            got = quantiles.quantiles(f, col, qs, accuracy=accuracy, bins=bins).first()
+            assert [tuple(round(x, 4) for x in got["values"])] == own(f, col)
+            assert got.n == f.where(f"{col} is not null").count()
     rng = random.Random(1)
     spread = spark.createDataFrame([(rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300),) for _ in range(99)] + [(0.0,), (None,)], "x double")
-    got = quantiles.percentile_values(spread, "x", [0, 0.25, 0.5, 1])[None]
+    got = quantiles.quantiles(spread, "x", [0, 0.25, 0.5, 1]).first()["values"]
     values = sorted(r.x for r in spread.where("x is not null").collect())
     assert got == [values[0], values[24] + (values[25] - values[24]) * 0.75, values[49] + (values[50] - values[49]) * 0.5, values[-1]]
     for df in (events(ev(total=7)), events(*[ev(total=3) for _ in range(5)])):
