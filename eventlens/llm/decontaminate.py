@@ -172,7 +172,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "t
     """The documents without hits; with `spans`, all documents, the hit spans cut out of their texts. Columns stay as they were."""
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     text = names[text_col]
-    found = _marked(docs.withColumnsRenamed(names), benchmark, n, text, item_col, item_text_col, broadcast_bytes)
+    found = _marked(docs.toDF(*names.values()), benchmark, n, text, item_col, item_text_col, broadcast_bytes)
     if not spans:
         found = found.where("_n_hit = 0")
     else:

@@ -5,14 +5,17 @@
    smallest of its character shingles' hashes. Shingles become rows inside the
    task and are folded by a partial aggregate at once, so what is shuffled is
    one signature for a line.
-3. Lines that agree on all rows of a band share a bucket. With the defaults, a
-   pair of similarity 0.8 shares one with probability 0.995.
+3. Lines that agree on all rows of a band share a bucket. With independent
+   orders a pair of similarity 0.8 shares one with probability 0.995. The four
+   rows of a band use four different hashes, each under masks of its own; the
+   test measures the recall.
 4. In a bucket the most frequent line is compared with the others, by exact
-   Jaccard similarity of the shingle sets; linked lines are united. Further
-   rounds compare only lines of a bucket that are still apart, and after
-   `ROUNDS` of them all such pairs, so no bucket pair that could still join
-   two components goes untested, and a bucket of many copies of one line never
-   lists its pairs.
+   Jaccard similarity of the shingle sets; linked lines are united, and buckets
+   of one component are done. After `ROUNDS` such rounds, buckets of at most
+   `SMALL` lines compare all their lines that are still apart. Larger ones are
+   split by a further signature (a bucket of the first and one of the second
+   must be shared) and go through the same steps, until none is left. So no
+   bucket lists the pairs of many lines, be they copies or unlike.
 5. Components (distributed star rounds) keep their first line: the smallest
    (id, line number).
 
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, components, cut, release, table
@@ -38,6 +41,7 @@ BANDS = 10
 ROWS = 4
 PERCENT = 80
 ROUNDS = 2
+SMALL = 32       # lines of a bucket that are compared with each other
 SEED = 11
 
 
@@ -59,17 +63,19 @@ def signatures(lines: DataFrame, shingle: int, hashes: int, seed: int) -> DataFr
     wide = lines.select("lid", _wide(F.col("_line")).alias("_w"))
     last = F.greatest(F.expr("octet_length(_w) div 2").cast("int") - shingle, F.lit(0))
     rows = wide.select("lid", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
-    h = F.hash(F.substring(F.col("_w"), F.col("_at") * 2 + 1, F.lit(2 * shingle)))
-    rows = rows.select("lid", h.alias("_h"))
+    h = F.xxhash64(F.substring(F.col("_w"), F.col("_at") * 2 + 1, F.lit(2 * shingle)), F.lit(seed))
+    rows = rows.select("lid", h.alias("_x")).select("lid", "_x", F.xxhash64("_x").alias("_y"))
+    half = lambda c, high: (F.shiftright(c, 32) if high else F.shiftright(F.shiftleft(c, 32), 32)).cast("int")
+    rows = rows.select("lid", *[half(c, high).alias(f"_h{i}") for i, (c, high) in enumerate((c, x) for c in ("_x", "_y") for x in (True, False))])
     return rows.groupBy("lid").agg(F.count("*").alias("weight"), *[
-        F.min(F.col("_h").bitwiseXOR(F.lit(rng.randrange(-2**31, 2**31)).cast("int"))).alias(f"h{i}") for i in range(hashes)])
+        F.min(F.col(f"_h{i % 4}").bitwiseXOR(F.lit(rng.randrange(-2**31, 2**31)).cast("int"))).alias(f"h{i}") for i in range(hashes)])
 
 
 def buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, lid, weight) for buckets of two lines or more."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]) for b in range(bands)])
     flat = sig.select("lid", "weight", F.explode(keys).alias("bucket"))
-    return flat.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+    return flat.join(flat.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
 
 
 def shingles(line: Column, shingle: int) -> Column:
@@ -90,29 +96,58 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return p.where(100 * F.col("_both") >= percent * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("a", "b")
 
 
-def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
+def _apart(held: DataFrame, root: DataFrame | None) -> DataFrame:
+    """`held` with the root of each line, for buckets that hold more than one component."""
+    if root is None:
+        apart = held.withColumn("root", F.col("lid"))
+    else:
+        apart = held.join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
+    ends = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    return apart.join(ends.select("bucket", "n"), "bucket")
+
+
+def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = SEED,
+           small: int = SMALL) -> DataFrame:
     """(lid, root): the lines that have a partner, with their component."""
-    held = cut(buckets(signatures(lines, shingle, bands * rows, seed), bands, rows))
-    release(lines.sparkSession)
-    texts = cut(lines.select("lid", "_line").join(held.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]))
-    release(lines.sparkSession)
+    spark = lines.sparkSession
+    one = lines.select("lid", "_line")
+    held = cut(buckets(signatures(one, shingle, bands * rows, seed), bands, rows))
+    release(spark)
+    texts = cut(one.join(held.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]))
+    release(spark)
     root, edges = None, None
-    for k in range(ROUNDS + 1):
-        apart = held.withColumn("root", F.col("lid")) if root is None else held.join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-        led = Window.partitionBy("bucket")
-        apart = apart.withColumns({"lo": F.min("root").over(led), "hi": F.max("root").over(led)}).where("lo < hi").drop("lo", "hi")
-        if k < ROUNDS:
-            first = led.orderBy(F.col("weight").desc(), "lid")
-            apart = apart.withColumns({"lead": F.first("lid").over(first), "lead_root": F.first("root").over(first)})
-            pairs = apart.where("root <> lead_root").select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")).distinct()
-            held = cut(apart.where("lid <> lead").select("bucket", "lid", "weight"))  # a leader has met its bucket
-        else:
-            other = apart.select("bucket", F.col("lid").alias("b"), F.col("root").alias("root_b"))
-            pairs = (apart.join(other, "bucket").where("lid < b and root <> root_b").select(F.col("lid").alias("a"), "b").distinct())
-        new = verified(pairs, texts, shingle, percent)
+
+    def unite(pairs):
+        nonlocal root, edges
+        new = verified(pairs.distinct(), texts, shingle, percent)
         edges = cut(new if edges is None else edges.unionByName(new))
         root = components(edges).withColumnRenamed("node", "lid")
-    return root
+
+    while True:
+        for _ in range(ROUNDS):
+            apart = cut(_apart(held, root))
+            # the leader of a bucket by a hash aggregate: greatest weight, then smallest line
+            best = apart.groupBy("bucket").agg(F.max("weight").alias("w"))
+            lead = apart.join(best, "bucket").where("weight = w").groupBy("bucket").agg(F.min("lid").alias("lead"))
+            led = apart.join(lead, "bucket")
+            roots = apart.select(F.col("bucket").alias("_b"), F.col("lid").alias("_l"), F.col("root").alias("lead_root"))
+            led = led.join(roots, (F.col("bucket") == F.col("_b")) & (F.col("lead") == F.col("_l")))
+            unite(led.where("root <> lead_root").select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")))
+            held = cut(led.where("lid <> lead").select("bucket", "lid", "weight"))  # a leader has met its bucket
+            release(spark)
+        apart = cut(_apart(held, root))
+        few = apart.where(F.col("n") <= small)
+        other = few.select("bucket", F.col("lid").alias("b"), F.col("root").alias("root_b"))
+        unite(few.join(other, "bucket").where("lid < b and root <> root_b").select(F.col("lid").alias("a"), "b"))
+        many = apart.where(F.col("n") > small)
+        if many.isEmpty():
+            return root
+        seed += 1
+        more = signatures(texts.join(many.select("lid").distinct(), "lid", "left_semi"), shingle, bands * rows, seed)
+        split = buckets(more, bands, rows).select("lid", F.col("bucket").alias("further"))
+        finer = many.select("bucket", "lid", "weight").join(split, "lid").select(F.xxhash64("bucket", "further").alias("bucket"), "lid", "weight")
+        held = cut(finer.join(finer.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"))
+        release(spark)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -143,7 +178,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     gone = removed(docs, id_col, text_col, **options).select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), F.col("removed").alias("_gone"))
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     text = F.col(names[text_col])
-    df = docs.withColumnsRenamed(names)
+    df = docs.toDF(*names.values())  # all at once: a column may be called _c0 already
     df = df.join(gone, F.col(names[id_col]).eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_k")), "left")
     lines = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")

@@ -211,7 +211,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", source_col="source", text_
     copies = (copies.join(rows, "_row").groupBy("doc_id", "source", "_text").agg(F.collect_list(F.struct("pass_no", "_row", "spans")).alias("_copies"))
               .withColumnsRenamed({"doc_id": "_i", "source": "_s", "_text": "_t"}))
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    df = docs.withColumnsRenamed(names).withColumn("_key", F.xxhash64(names[text_col]))
+    df = docs.toDF(*names.values()).withColumn("_key", F.xxhash64(names[text_col]))
     df = df.dropDuplicates([names[id_col], names[source_col], "_key"])
     df = df.join(copies, F.col(names[id_col]).eqNullSafe(F.col("_i")) & F.col(names[source_col]).eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_t")))
     text = F.col(names[text_col])

@@ -316,7 +316,7 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     named = cut(named)
     release(docs.sparkSession)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    df, own = docs.withColumnsRenamed(names).withColumn("_key", F.xxhash64(names[text_col])), names[id_col]
+    df, own = docs.toDF(*names.values()).withColumn("_key", F.xxhash64(names[text_col])), names[id_col]
     df = df.join(named, F.col(own).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")), "left").where("_first is null or _first")
     out = [F.col(n).alias(c) for c, n in names.items()]
     if named.where("_first").isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-CLASHES = ("_id", "_text", "_key", "_row", "size", "start", "n_words", "shard", "lid", "host", "comp", "_part", "items", "kept", "failed")
+CLASHES = ("_id", "_text", "_key", "_row", "size", "start", "n_words", "shard", "lid", "host", "comp", "_part", "items", "kept", "failed", "_c0", "_c1", "_at")
 
 
 def documents(spark, rows, clash=True):
