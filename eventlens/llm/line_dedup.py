@@ -11,7 +11,7 @@
    test measures the recall.
 4. In a bucket the most frequent line is compared with the others, by exact
    Jaccard similarity of the shingle sets; linked lines are united, and buckets
-   of one component are done. After `ROUNDS` such rounds, buckets of at most
+   of one component are done. After that, buckets of at most
    `SMALL` lines compare all their lines that are still apart. Larger ones are
    split by a further signature (a bucket of the first and one of the second
    must be shared) and go through the same steps, until none is left. So no
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, components, cut, release, table
@@ -40,7 +40,6 @@ SHINGLE = 7      # characters
 BANDS = 10
 ROWS = 4
 PERCENT = 80
-ROUNDS = 2
 SMALL = 32       # lines of a bucket that are compared with each other
 SEED = 11
 
@@ -75,7 +74,7 @@ def buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, lid, weight) for buckets of two lines or more."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]) for b in range(bands)])
     flat = sig.select("lid", "weight", F.explode(keys).alias("bucket"))
-    return flat.join(flat.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
+    return flat.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
 
 
 def shingles(line: Column, shingle: int) -> Column:
@@ -119,22 +118,22 @@ def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
 
     def unite(pairs):
         nonlocal root, edges
-        new = verified(pairs.distinct(), texts, shingle, percent)
-        edges = cut(new if edges is None else edges.unionByName(new))
-        root = components(edges).withColumnRenamed("node", "lid")
+        new = cut(verified(pairs.distinct(), texts, shingle, percent))
+        if root is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            root = components(edges).withColumnRenamed("node", "lid")
+        release(spark)
 
     while True:
-        for _ in range(ROUNDS):
-            apart = cut(_apart(held, root))
-            # the leader of a bucket by a hash aggregate: greatest weight, then smallest line
-            best = apart.groupBy("bucket").agg(F.max("weight").alias("w"))
-            lead = apart.join(best, "bucket").where("weight = w").groupBy("bucket").agg(F.min("lid").alias("lead"))
-            led = apart.join(lead, "bucket")
-            roots = apart.select(F.col("bucket").alias("_b"), F.col("lid").alias("_l"), F.col("root").alias("lead_root"))
-            led = led.join(roots, (F.col("bucket") == F.col("_b")) & (F.col("lead") == F.col("_l")))
-            unite(led.where("root <> lead_root").select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")))
-            held = cut(led.where("lid <> lead").select("bucket", "lid", "weight"))  # a leader has met its bucket
-            release(spark)
+        apart = cut(_apart(held, root))
+        # the leader of a bucket by hash aggregates: greatest weight, then smallest line
+        best = apart.groupBy("bucket").agg(F.max("weight").alias("w"))
+        lead = apart.join(best, "bucket").where("weight = w").groupBy("bucket").agg(F.min("lid").alias("lead"))
+        led = cut(apart.drop("n").join(lead, "bucket"))
+        roots = apart.select(F.col("bucket").alias("_b"), F.col("lid").alias("_l"), F.col("root").alias("lead_root"))
+        pairs = led.join(roots, (F.col("bucket") == F.col("_b")) & (F.col("lead") == F.col("_l"))).where("root <> lead_root")
+        unite(pairs.select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")))
+        held = led.where("lid <> lead").select("bucket", "lid", "weight")  # a leader has met its bucket
         apart = cut(_apart(held, root))
         few = apart.where(F.col("n") <= small)
         other = few.select("bucket", F.col("lid").alias("b"), F.col("root").alias("root_b"))
