@@ -1,3 +1,3 @@
 """Operators: lazy DataFrame -> DataFrame functions, grouped by analysis area."""
 
-from . import analyze, breakdown, clean, geo, profile, trend  # noqa: F401
+from . import analyze, breakdown, cells, clean, geo, profile, trend  # noqa: F401

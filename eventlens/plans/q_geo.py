@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import breakdown as K
+from ..operators import cells as X
 from ..operators import geo as G
 from ..sources import city_coordinates, country_name_lookup
 from ..sources.fixtures import place_view
@@ -126,3 +127,15 @@ SLICE = dict(years=(1996, 1997), countries=("ASIA", "EUROPE"))
 SELECT * FROM F WHERE year(date) IN (1996, 1997) AND country IN ('ASIA', 'EUROPE')"""))
 def slice_events(spark, d):
     return G.slice_events(F(spark, d), R, **SLICE)
+
+
+_CARD_RATE = O.ratio("sum(CASE WHEN percentage_laid_off > 0 THEN CAST(round(percentage_laid_off * 1000000.0) AS BIGINT) END)",
+                     "count(CASE WHEN percentage_laid_off > 0 THEN 1 END) * 1000000", 2)
+
+
+@plan("slicer_cards", with_f("\nUNION ALL\n".join(f"""
+SELECT '{s}' AS slicer, CAST({v} AS VARCHAR) AS value, count(*) AS num_events, CAST(sum(total_laid_off) AS BIGINT) AS total_laid_off,
+       {_CARD_RATE} AS avg_layoff_rate, count(DISTINCT company) AS exact_companies, true AS within_bound
+FROM F GROUP BY {v}""" for s, v in zip(X.SLICERS, ("year(date)", "country", "industry", "stage")))))
+def slicer_cards(spark, d):
+    return X.sketch_check(X.event_cells(F(spark, d), R), F(spark, d), R)
