@@ -5,11 +5,12 @@ task receives; the window hashes of each document's words are looked up in it
 and every hit is verified word by word. A hit carries the ids of the items
 that own the n-gram. Documents, or the hit spans in them, can be removed.
 
-The set is broadcast only while the benchmark texts are proven small
-(`BROADCAST_BYTES`, measured before). A larger benchmark is dealt into parts
-below that size by a hash of the item, and the documents pass one scan for
-each part; each scan adds its hits to those before, so the results are the
-same and nothing is shuffled.
+The set is built once, as numpy arrays, and broadcast only while the benchmark
+texts are proven small (`BROADCAST_BYTES`, measured before; the arrays take
+some ten times that). With a larger benchmark nothing of it is collected:
+windows of items and documents are rows, joined on hash and words by shuffle.
+A bitmap of fixed size (2^`_BITMAP` bits) of the benchmark's hashes keeps other
+windows out of that shuffle; it costs or saves time only. Results are the same.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII
 characters. An item with fewer than n words, but not none, is one window of
@@ -25,56 +26,93 @@ and text columns only; `remove` returns the columns it was given.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .textops import ALNUM, Words, slices, windows
 
 N = 10
-BROADCAST_BYTES = 64 << 20
-_BITS = 20
+BROADCAST_BYTES = 16 << 20
+_BITMAP = 27
+#: The word class of ALNUM as a pattern (texts in either case).
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _gram(w: Words, i: int, k: int) -> bytes:
+    return b" ".join([w.word(i + j) for j in range(k)])
+
+
+def _item_windows(w: Words, n: int):
+    """(k, hash, first word, item) arrays: all windows of the items, by their length k."""
+    count = np.diff(w.of)
+    least, h = np.minimum(count, n), w.hashes()
+    for k in np.unique(least[least > 0]).tolist():
+        mine = np.flatnonzero(least == k)
+        many = count[mine] - k + 1
+        first = np.repeat(w.of[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        yield k, windows(h, k)[first], first, np.repeat(mine, many)
 
 
 class Grams:
-    """The n-grams of some benchmark items: by length, a bitmap of low hash bits, sorted hashes, and the words and item ids of each."""
-
-    def __init__(self, ids: list, texts: list, n: int):
-        found: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in zip(ids, texts):
-            w = Words(pa.array([text or ""], pa.string()), ALNUM)
-            k = min(n, len(w.start))
-            if not k:
-                continue
-            for i, h in enumerate(windows(w.hashes(), k).tolist()):
-                found[k][h][tuple(w.word(i + j) for j in range(k))].add(None if item is None else str(item))
+    """The n-grams of some benchmark items as arrays: by length, a table of low hash bits, sorted hashes, a place in the words, and item numbers."""
+
+    def __init__(self, ids: list[str | None], texts: list[str | None], n: int):
+        w = self.words = Words(pa.array(texts, pa.string()), ALNUM)
+        self.names = sorted({x for x in ids if x is not None})
+        number = {x: i for i, x in enumerate(self.names)}
+        no = np.array([number.get(x, -1) for x in ids], np.int64)
         self.by_length = {}
-        for k, grams in found.items():
-            keys = np.array(sorted(grams), np.uint64)
-            bits = np.zeros(1 << _BITS, bool)
-            bits[(keys & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.by_length[k] = bits, keys, {h: {words: sorted(x for x in items if x is not None) for words, items in own.items()} for h, own in grams.items()}
+        for k, h, first, item in _item_windows(w, n):
+            order = np.argsort(h, kind="stable")
+            h, first, own = h[order], first[order], no[item[order]]
+            other = np.zeros(len(h), np.int64)  # tells apart different words of one hash
+            place = np.arange(len(h))
+            run = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), place, 0))
+            at, seen = -1, {}
+            for e in np.flatnonzero(run != place).tolist():
+                if run[e] != at:
+                    at = run[e]
+                    seen = {_gram(w, int(first[at]), k): 0}
+                other[e] = seen.setdefault(_gram(w, int(first[e]), k), len(seen))
+            order = np.lexsort((own, other, h))
+            h, other, first, own = h[order], other[order], first[order], own[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (other[1:] != other[:-1]))
+            group = np.cumsum(new) - 1
+            listed = (own >= 0) & np.append(True, (group[1:] != group[:-1]) | (own[1:] != own[:-1]))
+            keys = h[new]
+            mask = np.uint64((1 << max(16, (8 * len(keys)).bit_length())) - 1)
+            bits = np.zeros(int(mask) + 1, bool)
+            bits[(keys & mask).astype(np.int64)] = True
+            at = np.searchsorted(group[listed], np.arange(len(keys) + 1))
+            self.by_length[k] = mask, bits, keys, first[new], at, own[listed].astype(np.int32)
+        del w._inside, w.raw
 
     def hits(self, w: Words):
         """(first word, length, item ids) of each verified occurrence."""
         h = w.hashes()
-        for k, (bits, keys, grams) in self.by_length.items():
+        for k, (mask, bits, keys, place, at, own) in self.by_length.items():
             win = windows(h, k)
-            near = np.flatnonzero(bits[(win & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
+            near = np.flatnonzero(bits[(win & mask).astype(np.int64)])
             if len(near):
-                at = np.searchsorted(keys, win[near])
-                near = near[keys[np.minimum(at, len(keys) - 1)] == win[near]]
-                text = np.searchsorted(w.of, near, side="right")
-                near = near[near + k <= w.of[text]]  # the window ends in the text it began in
-            for i in near.tolist():
-                items = grams[int(win[i])].get(tuple(w.word(i + j) for j in range(k)))
-                if items is not None:
-                    yield i, k, items
+                group = np.searchsorted(keys, win[near])
+                found = keys[np.minimum(group, len(keys) - 1)] == win[near]
+                near, group = near[found], group[found]
+                inside = near + k <= w.of[np.searchsorted(w.of, near, side="right")]  # the window ends in the text it began in
+                near, group = near[inside], group[inside]
+            else:
+                continue
+            for i, g in zip(near.tolist(), group.tolist()):
+                said = _gram(w, i, k)
+                while g < len(keys) and keys[g] == win[i]:
+                    if _gram(self.words, int(place[g]), k) == said:
+                        yield i, k, [self.names[x] for x in own[at[g]:at[g + 1]].tolist()]
+                        break
+                    g += 1
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -99,64 +137,107 @@ def _spans(w: Words, t: int, mask: np.ndarray) -> list[dict]:
     return [{"start": points(w.start[first + a]), "end": points(w.end[first + b - 1])} for a, b in _runs(mask)]
 
 
-def _parts(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[DataFrame]:
-    """The benchmark in parts whose texts stay below `most` bytes as far as single items allow."""
-    b = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    size = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = 1 if size <= most else int(-(-2 * size // most))
-    return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [b]
+_SPANS = "array<struct<start:long,end:long>>"
+_MARKS = {"_n_words": "long", "_n_hit": "long", "_items": "array<string>", "_spans": _SPANS}
 
 
-def _broadcast(spark, part: DataFrame, n: int):
-    rows = part.collect()  # below the bound, see _parts
-    return spark.sparkContext.broadcast((n, [r["item"] for r in rows], [r["text"] for r in rows]))
+def _mark(docs: DataFrame, text_col: str, shared) -> DataFrame:
+    """Add the columns `_MARKS` by a scan with the broadcast set."""
+    own = docs.columns
+    schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _MARKS.items()]).schema
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
+    def run(batches):
+        for b in slices(batches, text_col):
+            words, found, w = _find(shared.value, b.column(text_col))
+            hit, items, spans = [0] * len(words), [[]] * len(words), [[]] * len(words)
+            for t, (mask, ids) in found.items():
+                hit[t], items[t], spans[t] = int(mask.sum()), sorted(ids), _spans(w, t, mask)
+            cols = [pa.array(x, t) for x, t in zip((words, hit, items, spans), types)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in own] + cols, names=own + list(_MARKS))
 
-def _grams(shared, cache: dict) -> Grams:
-    if "grams" not in cache:
-        n, ids, texts = shared.value
-        cache["grams"] = Grams(ids, texts, n)
-    return cache["grams"]
+    return docs.mapInArrow(run, schema)
 
 
-_SPANS = "array<struct<start:long,end:long>>"
-_MARKS = {"_n_words": "long", "_n_hit": "long", "_items": "array<string>", "_spans": _SPANS}
+def _item_rows(items: DataFrame, n: int) -> DataFrame:
+    """(k, h, gram, item): the windows of all items as rows."""
+    def run(batches):
+        for b in slices(batches, "text"):
+            w, ids = Words(b.column("text"), ALNUM), b.column("item").to_pylist()
+            for k, h, first, item in _item_windows(w, n):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(h), k), pa.int32()), pa.array(h.view(np.int64)), pa.array([_gram(w, i, k).decode() for i in first.tolist()], pa.string()),
+                    pa.array([ids[i] for i in item.tolist()], pa.string())], names=["k", "h", "gram", "item"])
 
+    return items.mapInArrow(run, "k int, h long, gram string, item string")
 
-def _mark(docs: DataFrame, text_col: str, shared) -> DataFrame:
-    """Add the hits of one part of the benchmark to the columns `_MARKS`."""
-    own = [c for c in docs.columns if c not in _MARKS]
-    schema = docs.schema
 
+def _bitmap(grams: DataFrame) -> np.ndarray:
+    """2^_BITMAP bits: the low bits of all hashes, gathered as at most 2^_BITMAP / 32768 pieces of 4 KB."""
+    bit = F.col("h").bitwiseAND((1 << _BITMAP) - 1) + 1
+    rows = grams.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    out = np.zeros((1 << _BITMAP) // 8, np.uint8)
+    for r in rows:
+        piece = np.frombuffer(r["m"], np.uint8)
+        out[(r["b"] - 1) * 4096:(r["b"] - 1) * 4096 + len(piece)] = piece
+    return out
+
+
+def _near_rows(texts: DataFrame, lengths: list[int], shared) -> DataFrame:
+    """(key, h, gram, i, j, s, e): the windows of the texts whose hash is in the bitmap: words i to j, code points s to e."""
     def run(batches):
-        cache: dict = {}
-        for b in slices(batches, text_col):
-            _, found, w = _find(_grams(shared, cache), b.column(text_col))
-            old = {c: b.column(c).to_pylist() for c in ("_n_hit", "_items", "_spans")}
-            for t, (mask, items) in found.items():
-                if old["_spans"][t]:
-                    first, last = int(w.at[t]), int(w.at[t + 1])
-                    point = np.cumsum((w.raw[first:last] & 0xC0) != 0x80) - 1  # code point of each byte
-                    begin = point[w.start[w.of[t]:w.of[t + 1]] - first]
-                    for s in old["_spans"][t]:
-                        mask[np.searchsorted(begin, s["start"]):np.searchsorted(begin, s["end"])] = True
-                old["_n_hit"][t] = int(mask.sum())
-                old["_items"][t] = sorted(items.union(old["_items"][t]))
-                old["_spans"][t] = _spans(w, t, mask)
-            cols = [b.column(c) for c in own] + [pa.array(np.diff(w.of), pa.int64())]
-            cols += [pa.array(old[c], b.schema.field(c).type) for c in old]
-            yield pa.RecordBatch.from_arrays(cols, names=own + list(_MARKS))
-
-    return docs.select(*own, *_MARKS).mapInArrow(run, schema)
+        bits, low = shared.value, np.uint64((1 << _BITMAP) - 1)
+        for b in slices(batches, "text"):
+            w, keys = Words(b.column("text"), ALNUM), b.column("key").to_pylist()
+            h, point = w.hashes(), np.cumsum(np.append(0, (w.raw & 0xC0) != 0x80))
+            for k in lengths:
+                win = windows(h, k)
+                x = (win & low).astype(np.int64)
+                near = np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1)
+                text = np.searchsorted(w.of, near, side="right") - 1
+                inside = near + k <= w.of[np.minimum(text + 1, len(w.of) - 1)]
+                near, text = near[inside], text[inside]
+                zero = point[w.at[text]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([keys[t] for t in text.tolist()], pa.string()), pa.array(win[near].view(np.int64)),
+                    pa.array([_gram(w, i, k).decode() for i in near.tolist()], pa.string()), pa.array(near - w.of[text], pa.int64()),
+                    pa.array(near - w.of[text] + k, pa.int64()), pa.array(point[w.start[near]] - zero, pa.int64()),
+                    pa.array(point[w.end[near + k - 1]] - zero, pa.int64())], names=["key", "h", "gram", "i", "j", "s", "e"])
+
+    return texts.mapInArrow(run, "key string, h long, gram string, i long, j long, s long, e long")
+
+
+def _joined(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
+    """Add the columns `_MARKS` by a join of window rows; results belong to texts, so copies of one fold before the shuffle."""
+    spark = docs.sparkSession
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    grams = cut(_item_rows(items, n).distinct())
+    lengths = sorted(r["k"] for r in grams.select("k").distinct().collect())  # n at most
+    shared = spark.sparkContext.broadcast(_bitmap(grams))
+    near = _near_rows(docs.select(key.alias("key"), F.col(text_col).alias("text")), lengths, shared).distinct()
+    hits = cut(near.join(grams.select("h", "gram").distinct(), ["h", "gram"]))
+    before = F.max("j").over(Window.partitionBy("key").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("i") <= F.col("before"), 0).otherwise(1)).over(Window.partitionBy("key").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0))
+    runs = hits.withColumn("before", before).withColumn("run", run).groupBy("key", "run").agg(
+        F.min("i").alias("i"), F.max("j").alias("j"), F.min("s").alias("start"), F.max("e").alias("end"))
+    marks = runs.groupBy("key").agg(F.sum(F.col("j") - F.col("i")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    owners = hits.select("key", "h", "gram").distinct().join(grams.where("item is not null").select("h", "gram", "item"), ["h", "gram"])
+    owners = owners.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = marks.join(owners.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").select(
+        F.col("key").alias("_f_key"), F.col("n_hit").alias("_f_hit"), F.col("items").alias("_f_items"), F.col("spans").alias("_f_spans"))
+    return docs.join(found, key == F.col("_f_key"), "left").select(
+        *[docs[f"`{c}`"] for c in docs.columns], F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long").alias("_n_words"),
+        F.coalesce("_f_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("_f_items", F.array().cast("array<string>")).alias("_items"),
+        F.coalesce("_f_spans", F.array().cast(_SPANS)).cast(_SPANS).alias("_spans"))
 
 
 def _marked(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_col: str, item_text_col: str, most: int) -> DataFrame:
-    spark = docs.sparkSession
-    zero = {"long": F.lit(0).cast("long")}
-    docs = docs.withColumns({c: zero.get(kind, F.array().cast(kind)) for c, kind in _MARKS.items()})
-    for part in _parts(benchmark, item_col, item_text_col, most):
-        docs = _mark(docs, text_col, _broadcast(spark, part, n))
-    return docs
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
+    if size > most:
+        return _joined(docs, items, n, text_col)
+    rows = items.collect()  # below the bound
+    return _mark(docs, text_col, docs.sparkSession.sparkContext.broadcast(Grams([r["item"] for r in rows], [r["text"] for r in rows], n)))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text",

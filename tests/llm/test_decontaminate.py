@@ -1,9 +1,12 @@
-"""Decontamination against a plain scan, with the broadcast set and with the benchmark in parts."""
+"""Decontamination against a plain scan, with the broadcast set and with windows joined by shuffle."""
 
 import hashlib
+import pickle
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventlens.llm import decontaminate
@@ -77,3 +80,23 @@ def test_empty_tables(spark):
     assert decontaminate.scan(empty(spark), b).count() == 0
     assert decontaminate.scan(documents(spark, docs), b.where("false")).where("n_hit > 0").count() == 0
     assert by_id(decontaminate.scan(documents(spark, docs[:1]), b.where("false")), "items", "spans") == [([], [])]
+
+
+def test_the_set_is_small_and_a_larger_benchmark_is_not_collected(spark):
+    docs, items = data()
+    b = spark.createDataFrame(items, "item_id long, text string")
+    many = decontaminate.Grams([str(i) for i, _ in items], [t for _, t in items], 10)
+    rng = random.Random(1)
+    big = decontaminate.Grams([str(i) for i in range(400)], [prose(rng, 300) for _ in range(400)], 10)
+    text = sum(len(big.words.low[a:z]) for a, z in zip(big.words.at, big.words.at[1:]))
+    assert len(pickle.dumps(big)) < 14 * text and set(many.by_length) >= {1, 10}
+    plan = lambda most: decontaminate.scan(documents(spark, docs), b, broadcast_bytes=most)._jdf.queryExecution().executedPlan().toString()
+    assert plan(1 << 20).count("MapInArrow") == 1 and "Join" not in plan(1 << 20)
+    assert "MapInArrow" not in plan(1500) and "Join" in plan(1500)  # hits are a written table
+
+
+def test_equal_hashes_of_different_words_stay_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "windows", lambda h, k: np.zeros(max(len(h) - k + 1, 0), np.uint64))
+    grams = decontaminate.Grams(["1", "2", None, "1", "3"], ["a b", "b c", "a b", "a b", "x"], 2)
+    w = decontaminate.Words(pa.array(["a b c", "b c", "c a", "x a b"]), decontaminate.ALNUM)
+    assert sorted(grams.hits(w)) == [(0, 2, ["1"]), (1, 2, ["2"]), (3, 2, ["2"]), (7, 1, ["3"]), (8, 2, ["1"])]
