@@ -1,10 +1,13 @@
 """Mixing sources to target weights in fixed-length token blocks.
 
 1. The words of a source, in id order, are packed into blocks of
-   `block_words`; a block holds word spans of one or more documents.
+   `block_words`; a block holds word spans of one or more documents. A source
+   of fewer than `block_words` blocks of that length has shorter ones
+   (`block_length`), so that its target can be met by whole blocks too.
 2. Output shards draw multinomial source counts, shard by shard, each with the
    weights of what is still due. A source never gets more than is due, and the
-   last shard takes the rest, so the totals meet the targets to within a block.
+   last shard takes the rest. Draws are counted by the words that the blocks
+   hold on average, so a source's words meet its target to within two blocks.
 3. Draw number i of a source is mapped by a pseudorandom permutation of the
    source's block numbers (a keyed Feistel network, walked until it falls
    into the range); each pass over the source has its own permutation. A block
@@ -13,7 +16,9 @@
 4. Draws join blocks by (source, block).
 
 The driver holds one row per source and the shard counts (sources x shards
-numbers); blocks, draws and spans are only ever rows of DataFrames.
+numbers), and plans name each source once: sources are a short list (some
+thousands), not a key that grows with the rows. Blocks, draws and spans are
+only ever rows of DataFrames.
 
 Defined cases: a null text has no words, is part of no block and is taken 0
 times; a null source is a source of its own, last in order; ids that repeat or
@@ -60,6 +65,11 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float =
     return out
 
 
+def block_length(words: int, most: int = BLOCK_WORDS) -> int:
+    """Words in a block of a source: `most`, less where a source would have fewer than `most` blocks."""
+    return min(max(words // most, 1), most)
+
+
 def shard_counts(draws: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Matrix [shard, source]: multinomial draws of each output shard; the columns add up to `draws`."""
     rng, due = np.random.default_rng(seed), draws.astype(np.int64).copy()
@@ -98,7 +108,7 @@ class Plan:
     sources: list[str | None]
     words: list[int]
     target: list[float]
-    block_words: int
+    block_words: list[int]
     counts: np.ndarray
     seed: int
     draws: np.ndarray = field(init=False)
@@ -113,13 +123,14 @@ def plan(sizes: DataFrame, weights=WEIGHTS, multiple=MULTIPLE, most=MOST, block_
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     words = [int(r["words"] or 0) for r in rows]
     due = targets(words, [weights[i % len(weights)] for i in range(len(rows))], multiple * sum(words), most)
-    draws = np.array([round(t / block_words) for t in due], np.int64)
-    return Plan([r["source"] for r in rows], words, due, block_words, shard_counts(draws, shards, seed), seed)
+    lengths = [block_length(w, block_words) for w in words]
+    draws = np.array([round(t * -(-w // n) / w) if w else 0 for t, w, n in zip(due, words, lengths)], np.int64)
+    return Plan([r["source"] for r in rows], words, due, lengths, shard_counts(draws, shards, seed), seed)
 
 
 def draw(spark, p: Plan) -> DataFrame:
     """Rows (source_no, block, pass_no, shard, slot): every block taken by every output shard, in its place there."""
-    blocks = np.array([-(-w // p.block_words) for w in p.words], np.int64)
+    blocks = np.array([-(-w // n) for w, n in zip(p.words, p.block_words)], np.int64)
     firsts = np.concatenate([[0], np.cumsum(p.draws)])                  # of the sources, over all draws
     by_source = np.vstack([np.zeros(len(p.words), np.int64), np.cumsum(p.counts, axis=0)])  # before each shard, within a source
     in_shard = np.hstack([np.zeros((len(p.counts), 1), np.int64), np.cumsum(p.counts, axis=1)])
@@ -148,7 +159,7 @@ def draw(spark, p: Plan) -> DataFrame:
 
 def spans(docs: DataFrame, p: Plan) -> DataFrame:
     """Word spans of the documents in the blocks of their source: (row columns, source_no, block, from_word, to_word)."""
-    L = F.lit(p.block_words).cast("long")
+    L = _of_source(p.block_words, "long")
     cols = docs.columns
     b = docs.where("size > 0").select("*", F.explode(F.sequence(
         F.floor(F.col("start") / L), F.floor((F.col("start") + F.col("size") - 1) / L))).alias("block"))
@@ -156,6 +167,11 @@ def spans(docs: DataFrame, p: Plan) -> DataFrame:
                     F.least((F.col("block") + 1) * L - F.col("start"), F.col("size")).alias("to_word"))
 
 
+def _of_source(values: list, kind: str):
+    """The value of the row's source, by an array lookup (one entry per source)."""
+    return F.get(F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>"), F.col("source_no").cast("int"))
+
+
 def packed(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text") -> DataFrame:
     """doc_id, source, size, _row (a number of the input row), start (words of the source before it)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
@@ -192,8 +208,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target (of its source), taken (words that the mix takes of it)."""
     p, rows, mixed = mix_documents(docs, **options)
     got = mixed.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    no = F.col("source_no").cast("int")
-    size, due = (F.get(F.array(*[F.lit(x) for x in xs]).cast(f"array<{t}>"), no) for xs, t in ((p.words, "long"), (p.target, "double")))
+    size, due = _of_source(p.words, "long"), _of_source(p.target, "double")
     return (rows.withColumn("source_no", _source_no(p)).join(got, "_row", "left")
             .select("doc_id", "size", size.alias("source_size"), due.alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 

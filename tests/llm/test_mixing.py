@@ -45,12 +45,12 @@ def brute(p, rows):
     """Words taken per (id, size): blocks of each source filled in id order, every draw adds its block's words."""
     drawn = Counter()
     for s, n in enumerate(p.draws.tolist()):
-        size = -(-p.words[s] // p.block_words)
+        size = -(-p.words[s] // p.block_words[s])
         for k in range(n):
             drawn[s, k // size, k % size] += 1
     blocks = Counter()
     for (s, turn, k), _ in drawn.items():
-        size = -(-p.words[s] // p.block_words)
+        size = -(-p.words[s] // p.block_words[s])
         key = mixing.mix(np.array([p.seed + s * 2**20 + turn], np.uint64))
         blocks[s, int(mixing.permute(np.array([k]), np.array([size]), key)[0])] += 1
     return blocks
@@ -64,7 +64,7 @@ def test_taken_matches_a_plain_fill(spark):
     for r in placed.collect():
         s = p.sources.index(r.source)
         for w in range(r.start, r.start + r["size"]):
-            want[r._row] += blocks[s, w // p.block_words]
+            want[r._row] += blocks[s, w // p.block_words[s]]
     got = Counter()
     for r in mixed.collect():
         got[r._row] += r.to_word - r.from_word
@@ -93,6 +93,21 @@ def test_contract(spark):
     assert again == Counter(tuple(r) for r in out)
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources of 1 to 100 words, and one of many: each is within two of its blocks (one word, for these) of its target."""
+    rng = random.Random(9)
+    small = [(i, prose(rng, n), f"s{n:03d}") for i, n in enumerate([1, 2, 3, 5, 18, 33, 63, 64, 65, 80, 100])]
+    out = mixing.taken(documents(spark, small + [(1000 + i, prose(rng, 60), "z") for i in range(100)])).collect()
+    got, due, size = Counter(), {}, {}
+    for r in out:
+        assert r.taken <= 2 * r["size"]
+        got[r.source_size] += r.taken
+        due[r.source_size] = r.target
+    for s, t in due.items():
+        assert abs(got[s] - t) <= (2 * mixing.BLOCK_WORDS if s > 1000 else 1)
+    assert [mixing.block_length(w) for w in (0, 1, 65, 640, 4095, 4096, 10**9)] == [1, 1, 1, 10, 63, 64, 64]
+
+
 def test_slots_of_a_shard_are_gapless_and_empty_input(spark):
     p, _, _ = mixing.mix_documents(documents(spark, rows()), shards=8)
     drawn = mixing.draw(spark, p).toPandas()
