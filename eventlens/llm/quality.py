@@ -23,11 +23,14 @@ from .common import SPACE, WORD
 SYMBOLS = "[#*$%&|<>]"
 BLANKS = " \t\n\x0b\x0c\r"
 
-# Frequent function words of English, French, German and Spanish.
+# Frequent function words of English, French, German and Spanish; then of Italian, Portuguese, Dutch, Scandinavian
+# languages, Finnish, Polish, Czech, Hungarian, Romanian, Turkish, Indonesian and Vietnamese.
 STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with", "in", "is", "for", "it",
               "le", "la", "les", "de", "des", "et", "en", "un", "une", "que",
               "der", "die", "das", "und", "zu", "den", "mit", "von", "ist",
-              "el", "los", "las", "y", "con", "por", "se", "del")
+              "el", "los", "las", "y", "con", "por", "se", "del",
+              "il", "di", "che", "non", "per", "os", "em", "um", "uma", "para", "het", "een", "van", "niet", "och", "att", "som", "og", "det", "er",
+              "ja", "on", "ei", "nie", "na", "jest", "do", "je", "v", "az", "egy", "nem", "și", "cu", "ve", "bir", "bu", "yang", "dan", "ini", "là", "của", "không")
 
 
 @dataclass(frozen=True)
@@ -52,11 +55,11 @@ RULES = (
     Rule("symbols", "n_symbols", ">", 25, "n_words"),
     Rule("short_words", "word_chars", "<", 200, "n_words"),
     Rule("long_words", "word_chars", ">", 2000, "n_words"),
-    Rule("stop_words", "n_stop_words", "<", 1, "n_words"),
+    Rule("stop_words", "n_stop_words", "<", 1, "n_latin_words"),  # other scripts have no such words and pass
     Rule("letter_words", "n_letter_words", "<", 60, "n_words"),
     Rule("duplicate_lines", "n_dup_lines", ">", 60, "n_lines"),
 )
-METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_letter_words", "n_repeat_words")
+METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_latin_words", "n_letter_words", "n_repeat_words")
 
 
 def _let(value: Column, body) -> Column:
@@ -111,6 +114,7 @@ def _judged(df: DataFrame, own: list[str]) -> DataFrame:
         count(F.regexp_count(text, F.lit(SYMBOLS)), "n_symbols"),
         count(F.size("_lines"), "n_lines"), count(F.size("_lines") - F.size(F.array_distinct("_lines")), "n_dup_lines"),
         count(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))), "n_stop_words"),
+        count(F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))), "n_latin_words"),
         count(F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))), "n_letter_words"),
         windows.alias("_windows"))
     df = df.select(*own, *METRICS[:-1], _covered(F.col("_windows")).alias("n_repeat_words"))
@@ -133,13 +137,14 @@ g as (select rid, i, count(*) over (partition by rid, word, b, c) as n from v wh
 r as (select rid, count(distinct i + k) as n_repeat_words from g, (select unnest([0, 1, 2]) as k) where n > 1 group by rid),
 s as (select rid, count(*) as n_words, sum(length(word)) as word_chars,
              count(*) filter (where lower(word) in ({", ".join(f"'{x}'" for x in STOP_WORDS)})) as n_stop_words,
+             count(*) filter (where regexp_matches(word, '[A-Za-z]')) as n_latin_words,
              count(*) filter (where regexp_matches(word, '\pL')) as n_letter_words from w group by rid),
 l as (select rid, count(*) as n_lines, count(*) - count(distinct x) as n_dup_lines
       from (select rid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^ 	-
 ]') group by rid),
 m as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0)::bigint as word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines,
-             coalesce(n_stop_words, 0) as n_stop_words, coalesce(n_letter_words, 0) as n_letter_words, coalesce(n_repeat_words, 0) as n_repeat_words
+             coalesce(n_stop_words, 0) as n_stop_words, coalesce(n_latin_words, 0) as n_latin_words, coalesce(n_letter_words, 0) as n_letter_words, coalesce(n_repeat_words, 0) as n_repeat_words
       from d left join s using (rid) left join l using (rid) left join r using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_BASE_SQL}) as base_failed, not ({_RULES_SQL}) as kept from m
 """

@@ -39,6 +39,18 @@ def test_base_rules_and_verdict(spark):
     assert {4, 7, None} <= kept and not kept & {1, 2, 3, 6, 8, 11}
 
 
+def test_clean_texts_in_other_languages_stay(spark):
+    texts = ["Сегодня утром мы долго шли по старой дороге к реке и говорили о книгах, которые читали зимой, а потом вернулись домой. ",
+             "Dzisiaj rano szliśmy długo starą drogą do rzeki i mówiliśmy o książkach, które czytaliśmy zimą, a potem nie było już czasu. ",
+             "Σήμερα το πρωί περπατήσαμε στον παλιό δρόμο προς το ποτάμι και μιλήσαμε για τα βιβλία που διαβάσαμε τον χειμώνα. ",
+             "ذهبنا هذا الصباح إلى النهر القديم وتحدثنا عن الكتب التي قرأناها في الشتاء ثم عدنا إلى البيت قبل المساء مع الأصدقاء. ",
+             "Bu sabah eski yoldan nehre kadar yürüdük ve kışın okuduğumuz kitaplar hakkında konuştuk, sonra bir eve döndük. "]
+    rng = random.Random(2)
+    rows = [(i, "\n".join(" ".join(rng.sample(t.split(), len(t.split()))) for _ in range(6))) for i, t in enumerate(texts)]
+    rows.append((9, " ".join(f"kw{rng.randrange(900)}" for _ in range(300))))  # a list of words in Latin letters without any function word
+    assert {r.doc_id: r.failed for r in quality.measure(documents(spark, rows)).collect()} == {**{i: [] for i in range(5)}, 9: ["stop_words"]}
+
+
 def test_keep_returns_the_columns_it_was_given(spark):
     d = documents(spark, rows())
     k = quality.keep(d)
