@@ -25,7 +25,10 @@ salt, so a large host spreads too.
 Defined cases: null or empty html gives an empty text; a null or malformed url
 is a host of its own name ("" for null); repeated pages have one row each;
 unclosed and stray tags are closed as browsers do for paragraphs, list items
-and table parts; an empty table gives an empty table. Only the id, url and html
+and table parts; a formatting tag inside one of its own kind and names adds no
+level, and elements more than `DEPTH` levels down are siblings there, as in
+browsers, so broken markup costs time and memory in proportion to its length;
+an empty table gives an empty table. Only the id, url and html
 columns are read.
 """
 
@@ -35,7 +38,9 @@ import hashlib
 import html as entities
 import re
 import uuid
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +55,7 @@ TEASER = 4          # times an article's text that the important text outside mu
 MIN_PAGES = 4       # pages of a host that must show a node before its importance counts
 DECAY = 0.9         # weight of contents against presentations, to the power of the number of presentations
 SALT = 32
+DEPTH = 128         # levels of a page's tree
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +63,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 RAW_OUTSIDE = frozenset("noscript math object".split())  # inside an article their text is part of it
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul""".split())
+FORMATTING = frozenset("b big code em font i nobr s small strike strong tt u".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
           "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -84,12 +91,16 @@ def _words(names: str) -> frozenset:
 
 
 class Node:
-    """A node of the merged tree: all elements with the same way from the root. Made once for each way by `child`."""
-    __slots__ = ("tag", "names", "noise", "content", "path", "value", "parent", "children")
+    """A node of the merged tree: all elements with the same way from the root. Made once for each way by `child`.
 
-    def __init__(self, tag: str, names: str, words: frozenset, main: bool, parent: "Node | None", tokens: tuple = ()):
+    `around` is the element around it: its parent, but for elements below `DEPTH`.
+    """
+    __slots__ = ("tag", "names", "noise", "content", "depth", "value", "parent", "children")
+
+    def __init__(self, tag: str, names: str, words: frozenset, main: bool, parent: "Node | None", tokens: tuple = (), around: "Node | None" = None):
         self.tag, self.names, self.parent, self.children = tag, names, parent, {}
-        inside = parent is not None and parent.content
+        self.depth = 0 if parent is None else parent.depth + 1
+        inside = around is not None and around.content
         if inside:  # there a name counts only as a whole: class="comments" or "social-share", but not "share-capital"
             named = tag not in WORDING and any(t <= NOISE_WORDS for t in tokens)
         else:
@@ -97,19 +108,20 @@ class Node:
         self.noise = tag in NOISE_TAGS or (tag == "header" and not inside) or named
         if tag in ("html", "body", "article", "main") and words.isdisjoint(("comment", "comments", "reply")):
             self.noise = False  # a page or an article is not noise for a word in its class
-        self.noise |= parent is not None and parent.noise
+        self.noise |= around is not None and around.noise
         self.content = inside or main or tag in CONTENT_TAGS
-        self.path = (parent.path if parent is not None else "") + "/" + tag + ("." + names if names else "")
-        self.value = _hash(self.path)
+        self.value = _hash(f"{parent.value if parent is not None else 0}/{tag}.{names}")
 
-    def child(self, tag: str, attrs: str) -> "Node":
+    def child(self, tag: str, attrs: str, around: "Node | None" = None) -> "Node":
+        around = around or self
         found = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attrs)] if "=" in attrs else []
         names = " ".join(_DIGITS.sub("0", v) for _, v in found)
-        node = self.children.get((tag, names))
+        key = tag, names, around.noise, around.content
+        node = self.children.get(key)
         if node is None:
             words = _words(" ".join(v for _, v in found))
             tokens = tuple(w for k, v in found if k != "id" for t in v.split() if (w := _words(t)))
-            node = self.children[tag, names] = Node(tag, names, words, ("role", "main") in found, self, tokens)
+            node = self.children[key] = Node(tag, names, words, ("role", "main") in found, self, tokens, around)
         return node
 
 
@@ -118,7 +130,11 @@ def parse(page: str, root: Node, kids: dict | None = None):
 
     `kids` collects the children of each node on this page.
     """
-    stack, runs, at = [root], [], 0
+    stack, runs, at, is_open = [root], [], 0, Counter()
+
+    def end_from(i: int) -> None:
+        is_open.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     for m in _TOKEN.finditer(page):
         begin = m.start()
@@ -140,10 +156,11 @@ def parse(page: str, root: Node, kids: dict | None = None):
             runs.append((stack[-1], " "))
             continue
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if is_open[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        end_from(i)
+                        break
             continue
         if tag in RAW and not (tag in RAW_OUTSIDE and stack[-1].content):
             end = _END[tag].search(page, at)
@@ -154,28 +171,41 @@ def parse(page: str, root: Node, kids: dict | None = None):
         if block:
             for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    end_from(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
             if tag in CLOSES:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in CLOSES[tag]:
-                        del stack[i:]
+                        end_from(i)
                         break
                     if stack[i].tag in SCOPE[tag]:
                         break
-        above = stack[-1]
-        node = above.child(tag, attrs)
+        above = stack[-1] if len(stack) <= DEPTH else stack[DEPTH - 1]
+        node = above.child(tag, attrs, stack[-1])
+        if tag in FORMATTING and is_open[tag] and _formatted(stack, node):
+            continue
         if kids is not None:
             kids.setdefault(above, set()).add(node.value)
         stack.append(node)
+        is_open[tag] += 1
     if at < len(page):
         runs.append((stack[-1], page[at:]))
     if runs:
         yield runs
 
 
+def _formatted(stack: list[Node], node: Node) -> bool:
+    """Is the formatting element already open, with the same names, in the block at hand?"""
+    for n in reversed(stack):
+        if n.tag == node.tag and n.names == node.names:
+            return True
+        if n.tag not in FORMATTING:
+            return False
+    return False
+
+
 def _text(runs: list) -> str:
     """One block's text: references decoded, white space turned into single spaces."""
     return " ".join(entities.unescape("".join([t for _, t in runs])).split())
@@ -185,20 +215,24 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def observed(page: str, root: Node) -> set[tuple[int, bool, int]]:
-    """(node, is content, value): the texts below each node, and each node's presentation, of one page."""
-    out, kids = set(), {}
+def observed(page: str, root: Node) -> list[tuple[int, bool, np.ndarray]]:
+    """(node, is content, values): the distinct texts below each node, and each node's presentation, of one page.
+
+    Texts are kept at their own node and added up from the deepest nodes to the root.
+    """
+    out, kids, below = [], {}, {}
     for runs in parse(page, root, kids):
         for node, text in runs:
-            if not (text := text.strip()):
-                continue
-            value = _hash(text) >> 32
-            while node is not None:
-                out.add((node.value, True, value))
-                if node not in kids:
-                    kids[node] = set()
-                node = node.parent
-    out.update((node.value, False, _hash(repr(sorted(k))) >> 32) for node, k in kids.items())
+            if text := text.strip():
+                below.setdefault(node, []).append(_hash(text) >> 32)
+    below = {n: [np.array(v, np.int32)] for n, v in below.items()}
+    for node in sorted(kids.keys() | below.keys(), key=lambda n: -n.depth):
+        if node in below:
+            values = below[node][0] if len(below[node]) == 1 and len(below[node][0]) == 1 else np.unique(np.concatenate(below[node]))
+            out.append((node.value, True, values))
+            if node.parent is not None:
+                below.setdefault(node.parent, []).append(values)
+        out.append((node.value, False, np.array([_hash(repr(sorted(kids.get(node, ())))) >> 32], np.int32)))
     return out
 
 
@@ -249,13 +283,17 @@ def importances(rows: DataFrame) -> DataFrame:
     def run(batches):
         root = new_root()
         for b in slices(batches, "_html"):
-            host, found = [], [[], [], []]
+            host, node, content, values = [], [], [], [np.empty(0, np.int32)]
             for h, page in zip(b.column("_host").to_pylist(), b.column("_html").to_pylist()):
-                for row in observed(page or "", root):
+                for n, c, v in observed(page or "", root):
                     host.append(h)
-                    for col, x in zip(found, row):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.bool_()), pa.array(found[2], pa.int32())],
+                    node.append(n)
+                    content.append(c)
+                    values.append(v)
+            size = np.array([len(v) for v in values[1:]], np.int64)
+            row = pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()).take(row), pa.array(node, pa.int64()).take(row),
+                                              pa.array(content, pa.bool_()).take(row), pa.array(np.concatenate(values))],
                                              names=["host", "node", "content", "value"])
 
     seen = rows.mapInArrow(run, "host string, node long, content boolean, value int").groupBy("host", "node", "content", "value").agg(F.count("*").alias("n"))

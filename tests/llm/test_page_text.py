@@ -1,5 +1,7 @@
 """HTML extraction: hand-made pages, and repeated branches found by the site style tree."""
 
+import time
+
 from eventlens.llm import page_text
 from tests.llm.helpers import by_id
 
@@ -33,6 +35,38 @@ def test_odd_pages():
     assert one("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def plain_observed(page, root):
+    """Every text counted for every ancestor, one by one."""
+    out, kids = set(), {}
+    for runs in page_text.parse(page, root, kids):
+        for node, text in runs:
+            while text.strip() and node is not None:
+                out.add((node.value, True, page_text._hash(text.strip()) >> 32))
+                kids.setdefault(node, set())
+                node = node.parent
+    return out | {(n.value, False, page_text._hash(repr(sorted(k))) >> 32) for n, k in kids.items()}
+
+
+def test_texts_add_up_to_the_root():
+    for page in (ARTICLE, "", "x", "<p>a<p>b</div><p>c", "<div>" * 300 + "a<b>c</b>" + "<div>d" * 300):
+        root = page_text.new_root()
+        got = [(n, c, v) for n, c, vs in page_text.observed(page, root) for v in vs.tolist()]
+        assert len(got) == len(set(got)) and set(got) == plain_observed(page, root)
+
+
+def test_broken_markup_costs_no_more_than_its_length():
+    begin = time.time()
+    for tags in ("<b>", "<b><i class=x>", "<span>", "<div>", "<p><font><u>"):
+        page = "".join(f"{tags}t{i}" for i in range(100_000 // tags.count("<"))) + "</em></x>" * 1000
+        assert one(page).replace("\n", "") == "".join(f"t{i}" for i in range(100_000 // tags.count("<")))
+        rows = sum(len(v) for _, _, v in page_text.observed(page, page_text.new_root()))
+        assert rows <= (page_text.DEPTH + 2) * 100_000 and (tags not in ("<b>", "<b><i class=x>") or rows < 500_000)
+    assert time.time() - begin < 40
+    deep = "<div>" * 500
+    assert one(f"{deep}<nav><div>no</div></nav><article><p>yes</p><aside>no</aside></article>") == "yes"
+    assert one("<b>a<b>b</b>c</b><p><i>d<b>e</i>f") == "abc\ndef"
+
+
 def test_article_text_is_not_judged_by_single_words():
     inside = ('<section id="discussion"><h2 id="related-work">Related work</h2><p id="search-results">Found.</p><div class="share-capital">Capital</div>'
               '<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><noscript><p>Plain</p></noscript><object data="a.svg">A chart</object></section>')
