@@ -6,7 +6,7 @@ a shingle of their prefixes (the first n - ceil(t * n) + 1 of n). Candidates
 must share one under each of several orders:
 
 1. Equal sets are folded to one (128-bit fingerprint), so copies of a text
-   cost one set.
+   cost one set. The first half of the fingerprint names the set from there on.
 2. Each order ranks a quarter of the shingle space before the rest (by a hash
    of its own), in it rare shingles before frequent ones, and the few shingles
    in a large part of all documents last. The order is estimated for those
@@ -18,7 +18,8 @@ must share one under each of several orders:
    and shingle (a star around the smallest set), so no pair list is made.
 4. Inside a final group all pairs are verified by exact overlap. A large group
    is dealt into blocks, every pair of blocks is a task of its own, and a task
-   returns spanning edges and link counts, never its pairs.
+   returns spanning edges and link counts, never its pairs. Where only the
+   components are wanted, pairs already united in a task are passed over.
 5. Connected components of the verified edges, by distributed star rounds.
 
 Shingles are 64-bit hashes of the words (wrong only if two shingles of a pair
@@ -143,10 +144,10 @@ def _groups(classes: DataFrame) -> DataFrame:
     salt = F.when(F.col("cls") == 4, F.pmod(F.col("sid"), F.lit(64))).otherwise(F.lit(0))
     t = classes.select("sid", "comp", "room", "size", "cls", F.explode("toks").alias("tok")).withColumn("salt", salt)
     at = Window.partitionBy("comp", "tok", "salt")
-    some = (t.withColumns({"df": F.count("*").over(at), "lo": F.min("sid").over(at), "hi": F.max("sid").over(at)})
-            .where("cls = 4 or lo < hi").select("sid", "comp", "room", "size", "cls", "tok", "df"))
+    some = t.withColumns({"df": F.count("*").over(at), "lo": F.min("sid").over(at), "hi": F.max("sid").over(at)}).where("cls = 4 or lo < hi")
+    # copies of a text bring the same rows: they are folded where the window left them, before the next shuffle
+    some = some.groupBy("comp", "tok", "salt", "sid", "cls").agg(*[F.max(c).alias(c) for c in ("room", "size", "df")])
     own = Window.partitionBy("sid", "cls")
-    some = some.repartition("sid", "cls").dropDuplicates(["sid", "cls", "tok"])  # copies of a text bring the same rows
     some = (some.withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "tok")))
             .where("size - shared + rank <= room").select("comp", "tok", "sid"))
     prefix = cut(some)
@@ -159,8 +160,11 @@ def _lists(col: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _verify(members: list[tuple], percent: int):
-    """Edges that span the linked sets of a group, and each set's number of linked documents; members: (sid, side, copies, shingles)."""
+def _verify(members: list[tuple], percent: int, count: bool = True):
+    """Edges that span the linked sets of a group, and each set's number of linked documents; members: (sid, side, copies, shingles).
+
+    Without `count` the numbers are left out, and a set is compared only with sets of other components so far.
+    """
     m = len(members)
     n = np.array([len(x[3]) for x in members])
     copies = np.array([x[2] for x in members], np.int64)
@@ -183,6 +187,10 @@ def _verify(members: list[tuple], percent: int):
     for x in range(m if two else m - 1):  # of two sides, side 0 probes whole: members come in any order
         if two and side[x]:
             continue
+        if not count:
+            apart = np.array([root(y) for y in range(m)]) != root(x)
+            if not apart.any():
+                break
         cs = code[first[x]:first[x] + n[x]]
         size = ptr[cs + 1] - ptr[cs]
         at = np.repeat(ptr[cs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -192,6 +200,8 @@ def _verify(members: list[tuple], percent: int):
             ok &= side == 1
         else:
             ok[:x + 1] = False
+        if not count:
+            ok &= apart
         ys = np.flatnonzero(ok)
         links[x] += copies[ys].sum()
         links[ys] += copies[x]
@@ -200,10 +210,10 @@ def _verify(members: list[tuple], percent: int):
             if a != b:
                 parent[a] = b
                 edges.append((members[x][0], members[y][0]))
-    return edges, [(members[i][0], int(links[i])) for i in np.flatnonzero(links).tolist()]
+    return edges, [(members[i][0], int(links[i])) for i in np.flatnonzero(links).tolist()] if count else []
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, count: bool = True) -> DataFrame:
     """Rows (a, b, links): spanning edges (links null), and link counts of a (b null). `sets`: sid, comp, copies, toks."""
     size = sets.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
     last = F.ceil(F.col("m") / BLOCK) - 1
@@ -217,7 +227,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         key, group = None, []
 
         def done():
-            edges, counts = _verify(group, percent) if key[1] == key[2] or len({x[1] for x in group}) > 1 else ([], [])  # the other block is empty
+            edges, counts = _verify(group, percent, count) if key[1] == key[2] or len({x[1] for x in group}) > 1 else ([], [])  # the other block is empty
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges] + [c[0] for c in counts], pa.int64()),
                                                pa.array([e[1] for e in edges] + [None] * len(counts), pa.int64()),
                                                pa.array([None] * len(edges) + [c[1] for c in counts], pa.int64())], names=["a", "b", "links"])
@@ -236,18 +246,20 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return s.mapInArrow(run, "a long, b long, links long")
 
 
-def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: _id, _key, n, its group (_g1, _g2), _links, copies (documents of the same set)."""
+def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: str, text_col: str, count: bool = True) -> DataFrame:
+    """Per document: _id, _key, n, its group (_g1, _g2), _links (null without `count`), copies (documents of the same set)."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     folded = cut(_fold(rows, shingle))
     members = folded.where("n >= 0")
     heavy = _heavy_list(folded, members)
 
     def first(batches):
+        seen = set()  # a task sends each set once, however many copies it reads
         for b in slices(batches, "_text"):
-            sets = shingle_sets(b.column("_text"), shingle)
-            sids = [_fingerprint(s)[0] for s in sets]
-            yield _classes(sets, sids, [0] * len(sets), 0, percent, heavy)
+            sets = {_fingerprint(s)[0]: s for s in shingle_sets(b.column("_text"), shingle)}
+            sids = [x for x in sets if x not in seen]
+            seen.update(sids)
+            yield _classes([sets[x] for x in sids], sids, [0] * len(sids), 0, percent, heavy)
 
     group = _groups(rows.mapInArrow(first, _CLASSES))
     release(docs.sparkSession)
@@ -273,7 +285,7 @@ def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: s
 
         group = _groups(sets.select("sid", "comp", "toks").mapInArrow(again, _CLASSES))
         sets = sets.drop("comp").join(group.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid")
-    found = cut(_links(sets, percent))
+    found = cut(_links(sets, percent, count))
     comp = components(found.where("b is not null").select("a", "b")).withColumnRenamed("root", "_root")
     degree = found.where("b is null").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("_links"))
 
@@ -285,15 +297,16 @@ def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: s
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable by links), n_links (documents linked directly)."""
-    out = _members(docs, shingle, percent, orders, id_col, text_col)
+           id_col: str = "doc_id", text_col: str = "text", n_links: bool = True) -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable by links), and unless switched off n_links (documents linked directly)."""
+    out = _members(docs, shingle, percent, orders, id_col, text_col, n_links)
     least = (out.where("n > 0").groupBy("_g1", "_g2").agg(F.min("_id").alias("_least"))
              .withColumnsRenamed({"_g1": "_l1", "_g2": "_l2"}))
     out = out.join(least, (F.col("n") > 0) & (F.col("_g1") == F.col("_l1")) & (F.col("_g2") == F.col("_l2")), "left")
+    links = F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"),
-                      (F.coalesce("_links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+                      *[links.alias("n_links")] * n_links)
 
 
 def first_of_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
@@ -302,7 +315,7 @@ def first_of_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
     Documents without words belong to no group and all stay. Of rows equal in id and text one stays.
     """
-    members = cut(_members(docs, shingle, percent, orders, id_col, text_col).where("n > 0").select("_id", "_key", "_g1", "_g2"))
+    members = cut(_members(docs, shingle, percent, orders, id_col, text_col, count=False).where("n > 0").select("_id", "_key", "_g1", "_g2"))
     release(docs.sparkSession)
     first = members
     for c in ("_id", "_key"):

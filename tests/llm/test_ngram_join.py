@@ -73,6 +73,25 @@ def test_matches_all_pairs(spark, monkeypatch, hot, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out.collect()), key=repr) == brute(rows)
 
 
+def test_components_without_link_counts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = data(hot=60)
+    out = ngram_join.linked(documents(spark, rows), n_links=False)
+    assert out.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted((r[:3] for r in brute(rows)), key=repr)
+
+
+def test_copies_are_folded_before_the_shuffle(spark, monkeypatch):
+    """3000 copies of a text and one near copy: one component, and no exchange after the window over shingles carries the copies."""
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k l") for i in range(3000)] + [(5000, "a b c d e f g h i j k z")], "doc_id long, text string")
+    classes = spark.createDataFrame([(sid, 0, 2, 2, 0, [1, 2]) for sid in [7] * 1000 + [8]], ngram_join._CLASSES).repartition(4)
+    seen = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df: seen.append(df) or common.cut(df))
+    assert {(r.node, r.root) for r in ngram_join._groups(classes).collect()} == {(7, 7), (8, 7)}
+    assert seen[0].count() == 4 and "max(df" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.component_id for r in ngram_join.linked(docs, percent=80).collect()} == {0}
+
+
 def test_two_blocks_probe_every_member_of_side_0():
     """Links across two blocks do not depend on the order of the members: the only side-0 member may come last."""
     toks = np.arange(100, dtype=np.uint64)
