@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD
 
 SYMBOLS = "[#*$%&|<>]"
+LATIN_WORD = "[A-Za-z]" + WORD.removesuffix("+") + "*"  # from a word's first Latin letter to its end: one match for each such word
 BLANKS = " \t\n\x0b\x0c\r"
 
 # Frequent function words of English, French, German and Spanish; then of Italian, Portuguese, Dutch, Scandinavian
@@ -114,7 +115,7 @@ def _judged(df: DataFrame, own: list[str]) -> DataFrame:
         count(F.regexp_count(text, F.lit(SYMBOLS)), "n_symbols"),
         count(F.size("_lines"), "n_lines"), count(F.size("_lines") - F.size(F.array_distinct("_lines")), "n_dup_lines"),
         count(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))), "n_stop_words"),
-        count(F.size(F.filter(w, lambda x: x.rlike("[A-Za-z]"))), "n_latin_words"),
+        count(F.regexp_count(text, F.lit(LATIN_WORD)), "n_latin_words"),
         count(F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))), "n_letter_words"),
         windows.alias("_windows"))
     df = df.select(*own, *METRICS[:-1], _covered(F.col("_windows")).alias("n_repeat_words"))
