@@ -1,10 +1,10 @@
-"""Fuzzy line deduplication by MinHash, in SQL functions only.
+"""Fuzzy line deduplication by MinHash, with numpy inside Arrow tasks.
 
 1. Lines with a word are hashed; equal lines (64-bit hash) are one line.
 2. A line's signature holds, for each of `bands * rows` random orders, the
-   smallest of its character shingles' hashes. Shingles become rows inside the
-   task and are folded by a partial aggregate at once, so what is shuffled is
-   one signature for a line.
+   smallest of its character shingles' hashes. A task computes it for each
+   distinct line of a slice of rows at once, so what is shuffled is one row of
+   band keys for a line.
 3. Lines that agree on all rows of a band share a bucket. With independent
    orders a pair of similarity 0.8 shares one with probability 0.995. The four
    rows of a band use four different hashes, each under masks of its own; the
@@ -19,6 +19,10 @@
 5. Components (distributed star rounds) keep their first line: the smallest
    (id, line number).
 
+The form in SQL functions only, which makes a row of every shingle, costs more
+than the limits allow (see the README), so shingles stay inside the task here.
+Its memory follows the longest line, some 60 bytes a character.
+
 Defined cases: null and empty texts have no lines; lines without a word are
 never removed; lines shorter than a shingle are their own only shingle; rows
 that repeat exactly (id and text) are one document and get the same result; a
@@ -31,10 +35,13 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, components, cut, release, table
+from .textops import mix, slices, windows
 
 SHINGLE = 7      # characters
 BANDS = 10
@@ -42,6 +49,7 @@ ROWS = 4
 PERCENT = 80
 SMALL = 32       # lines of a bucket that are compared with each other
 SEED = 11
+SLICE = 1 << 18  # bytes of lines that are hashed at once, so that the arrays stay in cache
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,48 +59,102 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.col("_line").rlike(WORD)).withColumn("lid", F.xxhash64("_line"))
 
 
-def _wide(line: Column) -> Column:
-    """Two bytes a character, so that shingles are slices at known places."""
-    return F.encode(line, "UTF-16BE")
+def _characters(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each character of the lines (its UTF-8 bytes, never 0), and where each line begins."""
+    kind = np.int64 if pa.types.is_large_string(lines.type) else np.int32
+    _, offsets, data = lines.buffers()
+    at = np.frombuffer(offsets, kind, len(lines) + 1, lines.offset * kind().itemsize).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    if raw.max(initial=0) < 128:
+        return raw.astype(np.uint64) + np.uint64(1), at
+    begin = np.flatnonzero((raw & 0xC0) != 0x80)
+    size = np.diff(np.append(begin, len(raw)))
+    value = raw[begin].astype(np.uint64) + np.uint64(1)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        value[more] += raw[begin[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    return value, np.searchsorted(begin, at)
+
+
+def shingle_hashes(lines: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of lines that aren't empty, and each line's number of them; a shorter line is its own only shingle."""
+    value, at = _characters(lines)
+    chars = np.diff(at)
+    whole = np.zeros(len(value), np.uint64)
+    w = windows(value, shingle)
+    whole[:len(w)] = w
+    starts = np.repeat(at[1:], chars) - np.arange(len(value)) >= shingle
+    for n in np.unique(chars[chars < shingle]).tolist():
+        short = at[:-1][chars == n]
+        run = value[short[:, None] + np.arange(n)].ravel()
+        whole[short] = windows(run, n)[::n]
+        starts[short] = True
+    return whole[starts], np.maximum(chars - shingle, 0) + 1
 
 
 def signatures(lines: DataFrame, shingle: int, hashes: int, seed: int) -> DataFrame:
-    """(lid, weight, h0, h1, ...): the smallest shingle hash under each order, and occurrences times shingles."""
+    """(lid, weight, h0, h1, ...): the smallest shingle hash under each order, and occurrences times shingles.
+
+    A line has a row for each slice of rows in which it occurs; `buckets` adds these up.
+    """
     rng = random.Random(seed)
-    wide = lines.select("lid", _wide(F.col("_line")).alias("_w"))
-    last = F.greatest(F.expr("octet_length(_w) div 2").cast("int") - shingle, F.lit(0))
-    rows = wide.select("lid", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
-    h = F.xxhash64(F.substring(F.col("_w"), F.col("_at") * 2 + 1, F.lit(2 * shingle)), F.lit(seed))
-    rows = rows.select("lid", h.alias("_x")).select("lid", "_x", F.xxhash64("_x").alias("_y"))
-    half = lambda c, high: (F.shiftright(c, 32) if high else F.shiftright(F.shiftleft(c, 32), 32)).cast("int")
-    rows = rows.select("lid", *[half(c, high).alias(f"_h{i}") for i, (c, high) in enumerate((c, x) for c in ("_x", "_y") for x in (True, False))])
-    return rows.groupBy("lid").agg(F.count("*").alias("weight"), *[
-        F.min(F.col(f"_h{i % 4}").bitwiseXOR(F.lit(rng.randrange(-2**31, 2**31)).cast("int"))).alias(f"h{i}") for i in range(hashes)])
+    salt, masks = np.uint64(rng.getrandbits(64)), [np.uint32(rng.getrandbits(32)) for _ in range(hashes)]
+    names = ["lid", "weight", *[f"h{i}" for i in range(hashes)]]
+
+    def run(batches):
+        for b in slices(batches, "_line", SLICE):
+            lid, at, times = np.unique(b.column("lid").to_numpy(), return_index=True, return_counts=True)
+            x, n = shingle_hashes(b.column("_line").take(pa.array(at)), shingle)
+            x = mix(x ^ salt)
+            parts = [part.astype(np.uint32) for y in (x, mix(x + salt)) for part in (y >> np.uint64(32), y)]
+            first = np.cumsum(n) - n
+            least = [np.minimum.reduceat(parts[i % 4] ^ m, first).view(np.int32) for i, m in enumerate(masks)]
+            yield pa.RecordBatch.from_arrays([pa.array(lid), pa.array(n * times), *[pa.array(x) for x in least]], names=names)
+
+    return lines.select("lid", "_line").mapInArrow(run, ", ".join(["lid long", "weight long", *[f"{c} int" for c in names[2:]]]))
 
 
 def buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
     """(bucket, lid, weight) for buckets of two lines or more."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]) for b in range(bands)])
-    flat = sig.select("lid", "weight", F.explode(keys).alias("bucket"))
+    keys = [F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]).alias(f"k{b}") for b in range(bands)]
+    one = sig.select("lid", "weight", *keys).groupBy("lid").agg(F.sum("weight").alias("weight"), *[F.max(f"k{b}").alias(f"k{b}") for b in range(bands)])
+    flat = one.select("lid", "weight", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("bucket"))
     return flat.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
 
 
-def shingles(line: Column, shingle: int) -> Column:
-    """Distinct shingles of a line, as 64-bit hashes."""
-    def of(w):
-        last = F.greatest((F.octet_length(w) / 2).cast("int") - shingle, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(w, i * 2 + 1, F.lit(2 * shingle)))))
-    return F.element_at(F.transform(F.array(_wide(line)), of), 1)
+def similar(a: pa.Array, b: pa.Array, shingle: int, percent: int) -> np.ndarray:
+    """Which lines of `a` have the Jaccard similarity asked for with the line of `b` at the same place.
+
+    A pair's number takes the upper bits of its shingles' hashes, so that one sort holds the sets of a slice apart.
+    """
+    shift = np.uint64(64 - max((len(a) - 1).bit_length(), 1))
+
+    def sets(lines):
+        x, n = shingle_hashes(lines, shingle)
+        x = np.sort((x & ((np.uint64(1) << shift) - np.uint64(1))) | (np.repeat(np.arange(len(n), dtype=np.uint64), n) << shift))
+        return x[np.append(True, x[1:] != x[:-1])]
+
+    def count(x):
+        return np.bincount((x >> shift).astype(np.int64), minlength=len(a))
+
+    x, y = sets(a), sets(b)
+    z = np.sort(np.concatenate([x, y]))
+    both = count(z[1:][z[1:] == z[:-1]])
+    return 100 * both >= percent * (count(x) + count(y) - both)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose lines have the Jaccard similarity asked for."""
     a = texts.select(F.col("lid").alias("a"), F.col("_line").alias("_la"))
     b = texts.select(F.col("lid").alias("b"), F.col("_line").alias("_lb"))
-    p = pairs.join(a, "a").join(b, "b")
-    p = p.select("a", "b", shingles(F.col("_la"), shingle).alias("_sa"), shingles(F.col("_lb"), shingle).alias("_sb"))
-    p = p.select("a", "b", F.size("_sa").alias("_na"), F.size("_sb").alias("_nb"), F.size(F.array_intersect("_sa", "_sb")).alias("_both"))
-    return p.where(100 * F.col("_both") >= percent * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("a", "b")
+
+    def run(batches):
+        for s in slices(slices(batches, "_la", SLICE), "_lb", SLICE):
+            ok = pa.array(similar(s.column("_la"), s.column("_lb"), shingle, percent))
+            yield pa.RecordBatch.from_arrays([s.column("a").filter(ok), s.column("b").filter(ok)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_la", "_lb").mapInArrow(run, "a long, b long")
 
 
 def _apart(held: DataFrame, root: DataFrame | None) -> DataFrame:
