@@ -11,11 +11,14 @@
    test measures the recall.
 4. In a bucket the most frequent line is compared with the others, by exact
    Jaccard similarity of the shingle sets; linked lines are united, and buckets
-   of one component are done. After that, buckets of at most
-   `SMALL` lines compare all their lines that are still apart. Larger ones are
-   split by a further signature (a bucket of the first and one of the second
-   must be shared) and go through the same steps, until none is left. So no
-   bucket lists the pairs of many lines, be they copies or unlike.
+   of one component are done. After that, buckets with at most
+   `SMALL` lines outside their largest component compare these with all lines
+   that they are apart from, so a line has at most `SMALL` pairs in a bucket. Lines of the other
+   buckets get new ones by an exact filter: lines of the similarity asked for
+   share a shingle among the rarest of both (their prefixes in the order of
+   frequency; the smaller line's is shorter). These go through the same steps; buckets that are large even
+   then are split by further signatures, until none is left. So no bucket
+   lists the pairs of many lines, be they copies or unlike.
 5. Components (distributed star rounds) keep their first line: the smallest
    (id, line number).
 
@@ -47,7 +50,7 @@ SHINGLE = 7      # characters
 BANDS = 10
 ROWS = 4
 PERCENT = 80
-SMALL = 32       # lines of a bucket that are compared with each other
+SMALL = 32       # lines outside a bucket's largest component that are compared with all others in it
 SEED = 11
 SLICE = 1 << 18  # bytes of lines that are hashed at once, so that the arrays stay in cache
 
@@ -158,13 +161,56 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
 
 
 def _apart(held: DataFrame, root: DataFrame | None) -> DataFrame:
-    """`held` with the root of each line, for buckets that hold more than one component."""
+    """`held` with the root of each line, of the buckets that hold more than one component."""
     if root is None:
         apart = held.withColumn("root", F.col("lid"))
     else:
         apart = held.join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    ends = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return apart.join(ends.select("bucket", "n"), "bucket")
+    ends = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return apart.join(ends.select("bucket"), "bucket")
+
+
+def _with_top(apart: DataFrame) -> DataFrame:
+    """`apart` with each bucket's largest component `top`, and the number of lines `outside` it."""
+    size = apart.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    top = size.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    return apart.join(top.select("bucket", F.col("top.root").alias("top"), (F.col("n") - F.col("top.n")).alias("outside")), "bucket")
+
+
+def _prefixes(lines: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(bucket, lid): a line's rarest shingles, of which lines of the similarity asked for share one.
+
+    Of such a pair the line with fewer shingles has a shared one even among its `core`, the places that a
+    partner of no fewer shingles must reach. So a shingle that is in no line's core makes no bucket; one that a single line has neither.
+    """
+    def run(batches):
+        for b in slices(batches, "_line", SLICE):
+            x, n = shingle_hashes(b.column("_line"), shingle)
+            sets = [np.unique(part) for part in np.split(x, np.cumsum(n)[:-1])]
+            size = np.array([len(part) for part in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("lid").to_numpy(), size)), pa.array(np.repeat(size, size)),
+                                              pa.array(np.concatenate(sets).view(np.int64))], names=["lid", "size", "bucket"])
+
+    rows = cut(lines.select("lid", "_line").mapInArrow(run, "lid long, size long, bucket long"))
+    often = rows.groupBy("bucket").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("lid").orderBy("df", "bucket"))
+    rows = rows.join(often, "bucket").withColumn("rank", rank)
+    rest = F.col("size") - F.col("rank") + 1
+    rows = rows.where((F.col("df") > 1) & (100 * rest >= percent * F.col("size")))
+    rows = cut(rows.select("bucket", "lid", ((100 + percent) * rest >= 2 * percent * F.col("size")).alias("core")))
+    needed = rows.groupBy("bucket").agg(F.max("core").alias("core"), F.count("*").alias("n")).where("core and n > 1")
+    return rows.join(needed.select("bucket"), "bucket").select("bucket", "lid")
+
+
+def _united(root: DataFrame, new: DataFrame) -> DataFrame:
+    """`root` (lid, root) after further links: only the roots at their ends go through the rounds."""
+    for end in ("a", "b"):
+        of = root.select(F.col("lid").alias("_l"), F.col("root").alias("_r"))
+        new = new.join(of, F.col(end) == F.col("_l"), "left").withColumn(end, F.coalesce("_r", end)).drop("_l", "_r")
+    more = components(new)
+    moved = root.join(more.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left")
+    fresh = more.join(root.select(F.col("lid").alias("node")), "node", "left_anti").select(F.col("node").alias("lid"), "root")
+    return cut(moved.select("lid", F.coalesce("_r", "root").alias("root")).unionByName(fresh))
 
 
 def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = SEED,
@@ -176,14 +222,15 @@ def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     release(spark)
     texts = cut(one.join(held.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]))
     release(spark)
-    root, edges = None, None
+    root, split = None, False
 
     def unite(pairs):
-        nonlocal root, edges
+        nonlocal root
         new = cut(verified(pairs.distinct(), texts, shingle, percent))
-        if root is None or not new.isEmpty():
-            edges = new if edges is None else edges.unionByName(new)
-            root = components(edges).withColumnRenamed("node", "lid")
+        if root is None:
+            root = components(new).withColumnRenamed("node", "lid")
+        elif not new.isEmpty():
+            root = _united(root, new)
         release(spark)
 
     while True:
@@ -191,22 +238,27 @@ def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
         # the leader of a bucket by hash aggregates: greatest weight, then smallest line
         best = apart.groupBy("bucket").agg(F.max("weight").alias("w"))
         lead = apart.join(best, "bucket").where("weight = w").groupBy("bucket").agg(F.min("lid").alias("lead"))
-        led = cut(apart.drop("n").join(lead, "bucket"))
+        led = cut(apart.join(lead, "bucket"))
         roots = apart.select(F.col("bucket").alias("_b"), F.col("lid").alias("_l"), F.col("root").alias("lead_root"))
         pairs = led.join(roots, (F.col("bucket") == F.col("_b")) & (F.col("lead") == F.col("_l"))).where("root <> lead_root")
         unite(pairs.select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")))
         held = led.where("lid <> lead").select("bucket", "lid", "weight")  # a leader has met its bucket
-        apart = cut(_apart(held, root))
-        few = apart.where(F.col("n") <= small)
-        other = few.select("bucket", F.col("lid").alias("b"), F.col("root").alias("root_b"))
-        unite(few.join(other, "bucket").where("lid < b and root <> root_b").select(F.col("lid").alias("a"), "b"))
-        many = apart.where(F.col("n") > small)
+        apart = cut(_with_top(_apart(held, root)))
+        few = apart.where(F.col("outside") <= small)
+        other = few.where("root <> top").select("bucket", F.col("lid").alias("other"), F.col("root").alias("other_root"))
+        unite(few.join(other, "bucket").where("root <> other_root").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")))
+        many = apart.where(F.col("outside") > small)
         if many.isEmpty():
             return root
-        seed += 1
-        more = signatures(texts.join(many.select("lid").distinct(), "lid", "left_semi"), shingle, bands * rows, seed)
-        split = buckets(more, bands, rows).select("lid", F.col("bucket").alias("further"))
-        finer = many.select("bucket", "lid", "weight").join(split, "lid").select(F.xxhash64("bucket", "further").alias("bucket"), "lid", "weight")
+        left = many.groupBy("lid").agg(F.max("weight").alias("weight"))
+        some = texts.join(left, "lid", "left_semi")
+        if not split:  # an exact filter: the buckets so far need not be shared any more
+            finer = _prefixes(some, shingle, percent).join(left, "lid").select("bucket", "lid", "weight")
+        else:
+            seed += 1
+            further = buckets(signatures(some, shingle, bands * rows, seed), bands, rows).select("lid", F.col("bucket").alias("further"))
+            finer = many.select("bucket", "lid", "weight").join(further, "lid").select(F.xxhash64("bucket", "further").alias("bucket"), "lid", "weight")
+        split = True
         held = cut(finer.join(finer.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"))
         release(spark)
 
