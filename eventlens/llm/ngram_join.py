@@ -45,7 +45,8 @@ from .textops import NOT_SPACE, Words, mix, slices, windows
 SHINGLE = 3
 PERCENT = 90
 ORDERS = 3
-BLOCK = 256
+BLOCK = 256                # sets of a block,
+BLOCK_SHINGLES = 1 << 20   # and shingles of all its sets: a task compares two blocks and takes some 25 bytes a shingle besides the sets
 _HEAVY = 0.005     # of the documents; at most average set size / _HEAVY shingles reach it
 _CHUNK = 2000      # documents over which a task counts shingles
 _SEEDS = [np.uint64(0x1234567 * (k + 1)) for k in range(16)]
@@ -170,10 +171,14 @@ def _verify(members: list[tuple], percent: int, count: bool = True):
     copies = np.array([x[2] for x in members], np.int64)
     side = np.array([x[1] for x in members])
     toks = np.concatenate([x[3] for x in members])
-    who = np.repeat(np.arange(m), n)
-    _, code = np.unique(toks, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    posting, ptr = who[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    order = np.argsort(toks, kind="stable")  # one sort, and 32-bit places: a task's memory is mostly these arrays
+    toks = toks[order]
+    new = np.append(True, toks[1:] != toks[:-1])
+    del toks
+    posting, ptr = np.repeat(np.arange(m, dtype=np.int32), n)[order], np.append(np.flatnonzero(new), len(new)).astype(np.int32)
+    code = np.empty(len(new), np.int32)
+    code[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order, new
     first = np.cumsum(n) - n
     parent, links, edges = list(range(m)), np.zeros(m, np.int64), []
 
@@ -193,7 +198,7 @@ def _verify(members: list[tuple], percent: int, count: bool = True):
                 break
         cs = code[first[x]:first[x] + n[x]]
         size = ptr[cs + 1] - ptr[cs]
-        at = np.repeat(ptr[cs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        at = np.repeat(ptr[cs] - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(int(size.sum()), dtype=np.int32)
         both = np.bincount(posting[at], minlength=m)
         ok = 100 * both >= percent * (n[x] + n - both)
         if two:
@@ -215,8 +220,8 @@ def _verify(members: list[tuple], percent: int, count: bool = True):
 
 def _links(sets: DataFrame, percent: int, count: bool = True) -> DataFrame:
     """Rows (a, b, links): spanning edges (links null), and link counts of a (b null). `sets`: sid, comp, copies, toks."""
-    size = sets.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1")
-    last = F.ceil(F.col("m") / BLOCK) - 1
+    size = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.size("toks")).alias("held")).where("m > 1")
+    last = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES))) - 1
     s = sets.join(size, "comp").withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("last") + 1))
     s = (s.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
          .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid",

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,6 +105,32 @@ def test_two_blocks_probe_every_member_of_side_0():
         assert sorted(e) == sorted(edges) and sorted(n) == sorted(links)
 
 
+def test_long_sets_take_little_memory():
+    """Comparing two blocks of long sets takes under 40 bytes a shingle."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 62, 3000, np.uint64))
+    members = [(i, i % 2, 1, np.sort(rng.choice(base, len(base) - i % 7, replace=False))) for i in range(300)]
+    tracemalloc.start()
+    edges, links = ngram_join._verify(members, 90)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) == 299 and links == [(i, 150) for i in range(300)]
+    assert peak < 40 * sum(len(x[3]) for x in members)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """A group of few but long sets is dealt into several blocks, with the same result."""
+    base = list(range(1000))
+    sets = [(sid, 1, 1, [x for x in base if x % 50 != sid]) for sid in range(12)]
+    sets = spark.createDataFrame(sets, "sid long, comp long, copies long, toks array<long>")
+    want = {(sid, 11) for sid in range(12)}
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 3000, raising=False)
+    out = ngram_join._links(sets, 90)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    got = out.where("b is null").groupBy("a").agg({"links": "sum"}).collect()
+    assert {tuple(r) for r in got} == want and "3000" in plan
+
+
 @pytest.mark.parametrize("block", [2, 5])
 def test_small_blocks_match_all_pairs(spark, monkeypatch, block):
     """Many tasks of two blocks, some of them with an empty block."""
