@@ -139,8 +139,8 @@ def _classes(sets: list[np.ndarray], sids, comps, order: int, percent: int, heav
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["sid", "comp", "room", "size", "cls", "toks"])
 
 
-def _groups(classes: DataFrame) -> DataFrame:
-    """Candidate groups (node, root) under one order, within the groups `comp`."""
+def _shared(classes: DataFrame) -> DataFrame:
+    """(comp, tok, sid): the shingles of each set's prefix, in the groups `comp` that share them."""
     # frequent shingles (class 4, few sets have them in their prefix) are spread by a salt: they need no count
     salt = F.when(F.col("cls") == 4, F.pmod(F.col("sid"), F.lit(64))).otherwise(F.lit(0))
     t = classes.select("sid", "comp", "room", "size", "cls", F.explode("toks").alias("tok")).withColumn("salt", salt)
@@ -151,9 +151,20 @@ def _groups(classes: DataFrame) -> DataFrame:
     own = Window.partitionBy("sid", "cls")
     some = (some.withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "tok")))
             .where("size - shared + rank <= room").select("comp", "tok", "sid"))
-    prefix = cut(some)
+    return cut(some)
+
+
+def _star(classes: DataFrame) -> DataFrame:
+    """Edges (a, b): each set and the smallest one that shares a prefix shingle with it."""
+    prefix = _shared(classes)
+    release(classes.sparkSession)  # the shuffles of all shingles go before the rounds make theirs
     star = prefix.groupBy("comp", "tok").agg(F.min("sid").alias("root"), F.max("sid").alias("last")).where("root < last").drop("last")
-    return components(prefix.join(star, ["comp", "tok"]).select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    return prefix.join(star, ["comp", "tok"]).select(F.col("sid").alias("a"), F.col("root").alias("b"))
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """Candidate groups (node, root) under one order, within the groups `comp`."""
+    return components(_star(classes))
 
 
 def _lists(col: pa.Array) -> list[np.ndarray]:

@@ -172,6 +172,24 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_shuffles_are_released_between_steps(spark, monkeypatch):
+    """What the prefixes shuffled goes before the rounds, and what a round shuffled before the next one."""
+    calls = []
+
+    def noted(name, f):
+        return lambda *a, **k: calls.append(name) or f(*a, **k)
+
+    monkeypatch.setattr(common, "EDGES_RELEASED", 1, raising=False)
+    monkeypatch.setattr(common, "release", noted("release", common.release))
+    monkeypatch.setattr(common, "_settled", noted("settled", common._settled))
+    monkeypatch.setattr(ngram_join, "release", noted("release first", common.release))
+    classes = spark.createDataFrame([(sid, 0, 2, 2, 0, [sid, sid + 1]) for sid in range(1, 20)], ngram_join._CLASSES)
+    assert {r.root for r in ngram_join._groups(classes).collect()} == {1}
+    rounds = calls.count("settled")
+    assert calls[0] == "release first" and rounds > 1
+    assert calls.count("release") >= rounds
+
+
 def test_one_document_of_each_group(spark):
     rows = [r for r in data(hot=20)]
     kept = ngram_join.first_of_group(documents(spark, rows))
