@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import running_total, table
+from .common import cut, running_total, table
 from .textops import Words, slices
 
 END_ID = 1
@@ -57,13 +57,38 @@ def _breaks(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A table of pieces: their hashes in ascending order, where each one's ids begin and how many they are, and all ids.
+_NONE = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"))
+
+
+def _find(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the table each key is, and whether it is there."""
+    hashes = table[0]
+    if not len(hashes):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+    return at, hashes[at] == keys
+
+
+def _taken(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start + n], one after another."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _added(table: tuple, keys: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple:
+    """The table with further keys (ascending, not in it yet), of n ids each."""
+    hashes, start, size, flat = table
+    at = np.searchsorted(hashes, keys)
+    return (np.insert(hashes, at, keys), np.insert(start, at, len(flat) + np.cumsum(n) - n), np.insert(size, at, n), np.concatenate([flat, ids]))
+
+
 class Pieces:
-    """Ids (little-endian 32-bit bytes) of the pieces of texts, by the pieces' 64-bit hash, in two generations of CACHE pieces."""
+    """Ids of the pieces of texts, by the pieces' 64-bit hash, in two generations of CACHE pieces."""
 
     def __init__(self, path: str):
         import tokenizers
 
-        self.path, self.tokenizer, self.new, self.old = path, tokenizers.Tokenizer.from_file(path), {}, {}
+        self.path, self.tokenizer, self.new, self.old = path, tokenizers.Tokenizer.from_file(path), _NONE, _NONE
 
     @classmethod
     def of(cls, path: str) -> "Pieces":
@@ -89,39 +114,35 @@ class Pieces:
         code, uniques = pd.factorize(w.hashes())
         first = np.empty(len(uniques), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        values = self._values(uniques.tolist(), first, w)
-        size = np.array([len(v) // 4 for v in values], np.int64)
-        flat, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
-        n = size[code]
-        end = np.cumsum(n)
-        out = flat[np.repeat(start[code] - (end - n), n) + np.arange(int(n.sum()))]
-        return np.split(out, np.append(0, end)[w.of[1:-1]])
-
-    def _values(self, keys: list[int], first: np.ndarray, w: Words) -> list[bytes]:
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        out = [new.get(k) for k in keys]
-        todo = []
-        for i, v in enumerate(out):
-            if v is None:
-                if (v := old.get(keys[i])) is None:
-                    todo.append(i)
-                else:
-                    out[i] = new[keys[i]] = v
-        for i, v in zip(todo, self._encode([w.word(first[i]).decode("utf-8") for i in todo])):
-            out[i] = new[keys[i]] = v
-        return out
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """All pieces in one call, joined by spaces; the place of a token says whose it is."""
+        order = np.argsort(uniques)
+        rows = np.empty(len(uniques), np.int64)
+        rows[order] = self._rows(uniques[order], first[order], w)
+        at = rows[code]
+        n = self.new[2][at]
+        return np.split(_taken(self.new[3], self.new[1][at], n), np.append(0, np.cumsum(n))[w.of[1:-1]])
+
+    def _rows(self, keys: np.ndarray, first: np.ndarray, w: Words) -> np.ndarray:
+        """Where in the new generation each key (ascending) is, after the missing ones were taken from the old one or encoded."""
+        if len(self.new[0]) > CACHE:
+            self.old, self.new = self.new, _NONE
+        missing = ~_find(self.new, keys)[1]
+        if missing.any():
+            keys_, first = keys[missing], first[missing]
+            at, had = _find(self.old, keys_)
+            at = at[had]
+            n = self.old[2][at]
+            self.new = _added(self.new, keys_[had], n, _taken(self.old[3], self.old[1][at], n))
+            self.new = _added(self.new, keys_[~had], *self._encode([w.word(i).decode("utf-8") for i in first[~had]]))
+        return _find(self.new, keys)[0]
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids. All pieces in one call, joined by spaces; the place of a token says whose it is."""
         if not pieces:
-            return []
+            return np.empty(0, np.int64), np.empty(0, "<u4")
         found = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
         starts = np.cumsum([0] + [len(t) + 1 for t in pieces[:-1]])
         at, ids = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0], np.array(found.ids, "<u4")
-        cuts = np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max)).tolist()
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        return np.diff(np.searchsorted(at, np.append(starts, np.iinfo(np.int64).max))), ids
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, whole: bool = False,
@@ -175,7 +196,8 @@ def positions(spark, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file_no"), b.column("row_no"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
                                              names=["doc_id", "file_no", "row_no", "n_tokens", "ids_crc32"])
 
-    rows = tokens.mapInArrow(run, f"doc_id {kind}, file_no int, row_no long, n_tokens long, ids_crc32 long")
+    # cut: the running total samples its rows before it deals them out, and the ids are to be read once
+    rows = cut(tokens.mapInArrow(run, f"doc_id {kind}, file_no int, row_no long, n_tokens long, ids_crc32 long"))
     return running_total(rows, [], ["file_no", "row_no"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

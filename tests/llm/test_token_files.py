@@ -4,11 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import pytest
 
-from eventlens.llm import token_files
+from eventlens.llm import common, token_files
 from tests.llm.helpers import documents, empty, prose
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -66,3 +67,22 @@ def test_metadata_reads_leave_the_ids(spark, tmp_path):
     token_files.write(documents(spark, rows()), str(tmp_path / "m"), PATH)
     plan = token_files.read(spark, str(tmp_path / "m"), ("doc_id", "n_tokens"))._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema")[1]
+
+
+def test_positions_decode_the_ids_once(spark, tmp_path, monkeypatch):
+    """The running total samples its rows and then deals them out: both read what was kept, not the ids again."""
+    token_files.write(documents(spark, rows()), str(tmp_path / "o"), PATH)
+    seen = []
+    monkeypatch.setattr(token_files, "running_total", lambda df, *a: seen.append(df) or common.running_total(df, *a))
+    assert token_files.positions(spark, str(tmp_path / "o")).count() == len(rows())
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_in_two_generations(monkeypatch):
+    """A cache too small for a text's pieces changes no id."""
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    own, texts = token_files.Pieces(PATH), [t for _, t in rows()]
+    for _ in range(2):
+        for k in range(0, len(texts), 25):
+            part = texts[k:k + 25]
+            assert [x.tolist() for x in own.ids(pa.array(part, pa.string()))] == [own.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
