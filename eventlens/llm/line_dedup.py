@@ -9,16 +9,15 @@
    orders a pair of similarity 0.8 shares one with probability 0.995. The four
    rows of a band use four different hashes, each under masks of its own; the
    test measures the recall.
-4. In a bucket the most frequent line is compared with the others, by exact
-   Jaccard similarity of the shingle sets; linked lines are united, and buckets
-   of one component are done. After that, buckets with at most
-   `SMALL` lines outside their largest component compare these with all lines
-   that they are apart from, so a line has at most `SMALL` pairs in a bucket. Lines of the other
-   buckets get new ones by an exact filter: lines of the similarity asked for
-   share a shingle among the rarest of both (their prefixes in the order of
-   frequency; the smaller line's is shorter). These go through the same steps; buckets that are large even
-   then are split by further signatures, until none is left. So no bucket
-   lists the pairs of many lines, be they copies or unlike.
+4. Buckets with the same smallest line make one group, so a line is sent once
+   for such buckets, and each pair of a bucket meets in a group. A task
+   compares the lines of a group by exact Jaccard similarity of the shingle
+   sets and returns links that join the same lines as all links would. Once
+   lines are united only those outside the largest component are compared
+   with the others, as every link between two components has such an end.
+   Groups of more than `SMALL` lines are compared block by block, each two
+   blocks in one task, so no task or row holds a large group; no pair of lines
+   becomes a row.
 5. Components (distributed star rounds) keep their first line: the smallest
    (id, line number).
 
@@ -40,6 +39,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +50,9 @@ SHINGLE = 7      # characters
 BANDS = 10
 ROWS = 4
 PERCENT = 80
-SMALL = 32       # lines outside a bucket's largest component that are compared with all others in it
+SMALL = 512      # lines of a block; a larger group is compared block by block
+CHARS = 1024     # characters that count as one line there, so longer lines make smaller blocks
+FEW = 6          # lines of a group whose pairs are compared all at once, together with those of other groups
 SEED = 11
 SLICE = 1 << 18  # bytes of lines that are hashed at once, so that the arrays stay in cache
 
@@ -97,33 +99,34 @@ def shingle_hashes(lines: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(lines: DataFrame, shingle: int, hashes: int, seed: int) -> DataFrame:
-    """(lid, weight, h0, h1, ...): the smallest shingle hash under each order, and occurrences times shingles.
+    """(lid, h0, h1, ...): the smallest shingle hash under each order.
 
-    A line has a row for each slice of rows in which it occurs; `buckets` adds these up.
+    A line has a row for each slice of rows in which it occurs; `buckets` folds these.
     """
     rng = random.Random(seed)
     salt, masks = np.uint64(rng.getrandbits(64)), [np.uint32(rng.getrandbits(32)) for _ in range(hashes)]
-    names = ["lid", "weight", *[f"h{i}" for i in range(hashes)]]
+    names = ["lid", *[f"h{i}" for i in range(hashes)]]
 
     def run(batches):
         for b in slices(batches, "_line", SLICE):
-            lid, at, times = np.unique(b.column("lid").to_numpy(), return_index=True, return_counts=True)
+            lid, at = np.unique(b.column("lid").to_numpy(), return_index=True)
             x, n = shingle_hashes(b.column("_line").take(pa.array(at)), shingle)
             x = mix(x ^ salt)
             parts = [part.astype(np.uint32) for y in (x, mix(x + salt)) for part in (y >> np.uint64(32), y)]
             first = np.cumsum(n) - n
             least = [np.minimum.reduceat(parts[i % 4] ^ m, first).view(np.int32) for i, m in enumerate(masks)]
-            yield pa.RecordBatch.from_arrays([pa.array(lid), pa.array(n * times), *[pa.array(x) for x in least]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(lid), *[pa.array(x) for x in least]], names=names)
 
-    return lines.select("lid", "_line").mapInArrow(run, ", ".join(["lid long", "weight long", *[f"{c} int" for c in names[2:]]]))
+    return lines.select("lid", "_line").mapInArrow(run, ", ".join(["lid long", *[f"{c} int" for c in names[1:]]]))
 
 
 def buckets(sig: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(bucket, lid, weight) for buckets of two lines or more."""
+    """(bucket, lid, lead) for buckets of two lines or more; `lead` is the bucket's smallest line."""
     keys = [F.xxhash64(F.lit(b), *[f"h{b * rows + i}" for i in range(rows)]).alias(f"k{b}") for b in range(bands)]
-    one = sig.select("lid", "weight", *keys).groupBy("lid").agg(F.sum("weight").alias("weight"), *[F.max(f"k{b}").alias(f"k{b}") for b in range(bands)])
-    flat = one.select("lid", "weight", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("bucket"))
-    return flat.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+    one = sig.select("lid", *keys).groupBy("lid").agg(*[F.max(f"k{b}").alias(f"k{b}") for b in range(bands)])
+    flat = one.select("lid", F.explode(F.array(*[f"k{b}" for b in range(bands)])).alias("bucket"))
+    ends = {"lead": F.min("lid"), "last": F.max("lid")}
+    return flat.withColumns({c: f.over(Window.partitionBy("bucket")) for c, f in ends.items()}).where("lead < last").select("bucket", "lid", "lead")
 
 
 def similar(a: pa.Array, b: pa.Array, shingle: int, percent: int) -> np.ndarray:
@@ -147,70 +150,73 @@ def similar(a: pa.Array, b: pa.Array, shingle: int, percent: int) -> np.ndarray:
     return 100 * both >= percent * (count(x) + count(y) - both)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose lines have the Jaccard similarity asked for."""
-    a = texts.select(F.col("lid").alias("a"), F.col("_line").alias("_la"))
-    b = texts.select(F.col("lid").alias("b"), F.col("_line").alias("_lb"))
-
-    def run(batches):
-        for s in slices(slices(batches, "_la", SLICE), "_lb", SLICE):
-            ok = pa.array(similar(s.column("_la"), s.column("_lb"), shingle, percent))
-            yield pa.RecordBatch.from_arrays([s.column("a").filter(ok), s.column("b").filter(ok)], names=["a", "b"])
-
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_la", "_lb").mapInArrow(run, "a long, b long")
-
-
-def _apart(held: DataFrame, root: DataFrame | None) -> DataFrame:
-    """`held` with the root of each line, of the buckets that hold more than one component."""
-    if root is None:
-        apart = held.withColumn("root", F.col("lid"))
-    else:
-        apart = held.join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    ends = apart.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return apart.join(ends.select("bucket"), "bucket")
-
-
-def _with_top(apart: DataFrame) -> DataFrame:
-    """`apart` with each bucket's largest component `top`, and the number of lines `outside` it."""
-    size = apart.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    top = size.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
-    return apart.join(top.select("bucket", F.col("top.root").alias("top"), (F.col("n") - F.col("top.n")).alias("outside")), "bucket")
-
-
-def _prefixes(lines: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(bucket, lid): a line's rarest shingles, of which lines of the similarity asked for share one.
+def joined(lines: pa.Array, shingle: int, percent: int) -> list[tuple[int, int]]:
+    """Places (a, b) of similar lines that join the same lines as all similar pairs; the lines are unlike texts."""
+    x, n = shingle_hashes(lines, shingle)
+    m = len(n)
+    kinds, token = np.unique(x, return_inverse=True)
+    token, line = np.divmod(np.unique(token * m + np.repeat(np.arange(m), n)), m)  # each line once for each of its shingles, by shingle
+    size, often = np.bincount(line, minlength=m), np.bincount(token, minlength=len(kinds))
+    begin = np.cumsum(often) - often
+    own = token[np.argsort(line, kind="stable")]
+    end = np.cumsum(size)
+    label, asked, links = np.arange(m), np.zeros(m, bool), []
+    while True:
+        rest = np.flatnonzero((label != np.bincount(label).argmax()) & ~asked)
+        if len(rest) == 0:
+            return links
+        a = rest[0]
+        asked[a] = True
+        t = own[end[a] - size[a]:end[a]]
+        k = often[t]
+        both = np.bincount(line[np.repeat(begin[t] - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=m)
+        near = np.flatnonzero((100 + percent) * both >= percent * (size + size[a]))
+        met, at = np.unique(label[near], return_index=True)
+        links += [(int(a), int(b)) for b in near[at] if label[b] != label[a]]
+        label[np.isin(label, met)] = label[a]
+
+
+def _placed(held: DataFrame, small: int) -> DataFrame:
+    """(lead, i, j, lid): the lines of each group; for each two blocks i < j of a large one, i = j for the others."""
+    group = Window.partitionBy("lead")
+    load = F.greatest(F.col("chars"), F.lit(CHARS)).cast("long")
+    before = F.sum(load).over(group.orderBy("lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - load
+    rows = held.withColumn("here", F.floor(before / (small * CHARS)))
+    rows = rows.withColumn("here", F.dense_rank().over(group.orderBy("here"))).withColumn("blocks", F.max("here").over(group))
+    other = F.filter(F.sequence(F.lit(1), F.col("blocks")), lambda x: (x != F.col("here")) | (F.col("blocks") == 1))
+    rows = rows.select("lead", "lid", "here", F.explode(other).alias("other"))
+    return rows.select("lead", F.least("here", "other").alias("i"), F.greatest("here", "other").alias("j"), "lid")
+
+
+def links(held: DataFrame, texts: DataFrame, shingle: int, percent: int, small: int) -> DataFrame:
+    """(a, b): similar lines of the groups, enough of them to join all that are linked in a group."""
+    sizes = texts.select("lid", F.length("_line").alias("chars"))
+    rows = _placed(held.join(sizes, "lid"), small).join(texts, "lid")
+    sets = rows.groupBy("lead", "i", "j").agg(F.collect_list(F.struct("lid", "_line")).alias("members"))
 
-    Of such a pair the line with fewer shingles has a shared one even among its `core`, the places that a
-    partner of no fewer shingles must reach. So a shingle that is in no line's core makes no bucket; one that a single line has neither.
-    """
     def run(batches):
-        for b in slices(batches, "_line", SLICE):
-            x, n = shingle_hashes(b.column("_line"), shingle)
-            sets = [np.unique(part) for part in np.split(x, np.cumsum(n)[:-1])]
-            size = np.array([len(part) for part in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("lid").to_numpy(), size)), pa.array(np.repeat(size, size)),
-                                              pa.array(np.concatenate(sets).view(np.int64))], names=["lid", "size", "bucket"])
-
-    rows = cut(lines.select("lid", "_line").mapInArrow(run, "lid long, size long, bucket long"))
-    often = rows.groupBy("bucket").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("lid").orderBy("df", "bucket"))
-    rows = rows.join(often, "bucket").withColumn("rank", rank)
-    rest = F.col("size") - F.col("rank") + 1
-    rows = rows.where((F.col("df") > 1) & (100 * rest >= percent * F.col("size")))
-    rows = cut(rows.select("bucket", "lid", ((100 + percent) * rest >= 2 * percent * F.col("size")).alias("core")))
-    needed = rows.groupBy("bucket").agg(F.max("core").alias("core"), F.count("*").alias("n")).where("core and n > 1")
-    return rows.join(needed.select("bucket"), "bucket").select("bucket", "lid")
-
-
-def _united(root: DataFrame, new: DataFrame) -> DataFrame:
-    """`root` (lid, root) after further links: only the roots at their ends go through the rounds."""
-    for end in ("a", "b"):
-        of = root.select(F.col("lid").alias("_l"), F.col("root").alias("_r"))
-        new = new.join(of, F.col(end) == F.col("_l"), "left").withColumn(end, F.coalesce("_r", end)).drop("_l", "_r")
-    more = components(new)
-    moved = root.join(more.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left")
-    fresh = more.join(root.select(F.col("lid").alias("node")), "node", "left_anti").select(F.col("node").alias("lid"), "root")
-    return cut(moved.select("lid", F.coalesce("_r", "root").alias("root")).unionByName(fresh))
+        for b in batches:
+            members = b.column("members")
+            size, flat = np.diff(members.offsets.to_numpy()).astype(np.int64), members.flatten()
+            lid, line = flat.field("lid").to_numpy(), flat.field("_line")
+            first = np.cumsum(size) - size
+            pairs = []
+            for s in range(2, FEW + 1):
+                p, q = np.triu_indices(s, 1)
+                at = first[size == s][:, None]
+                pairs.append(np.stack([(at + p).ravel(), (at + q).ravel()]))
+            p, q = np.concatenate(pairs, 1)
+            length = pa.compute.binary_length(line).to_numpy().astype(np.int64)
+            part = np.cumsum(length[p] + length[q]) // SLICE
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for x, y in zip(cuts, cuts[1:]):
+                ok = similar(line.take(pa.array(p[x:y])), line.take(pa.array(q[x:y])), shingle, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(lid[p[x:y][ok]]), pa.array(lid[q[x:y][ok]])], names=["a", "b"])
+            for g in np.flatnonzero(size > FEW):
+                found = np.array(joined(line.slice(first[g], size[g]), shingle, percent), np.int64).reshape(-1, 2) + first[g]
+                yield pa.RecordBatch.from_arrays([pa.array(lid[found[:, 0]]), pa.array(lid[found[:, 1]])], names=["a", "b"])
+
+    return sets.select("members").mapInArrow(run, "a long, b long")
 
 
 def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = SEED,
@@ -218,49 +224,13 @@ def groups(lines: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: i
     """(lid, root): the lines that have a partner, with their component."""
     spark = lines.sparkSession
     one = lines.select("lid", "_line")
-    held = cut(buckets(signatures(one, shingle, bands * rows, seed), bands, rows))
+    held = cut(buckets(signatures(one, shingle, bands * rows, seed), bands, rows).select("lead", "lid").distinct())
     release(spark)
     texts = cut(one.join(held.select("lid").distinct(), "lid", "left_semi").dropDuplicates(["lid"]))
     release(spark)
-    root, split = None, False
-
-    def unite(pairs):
-        nonlocal root
-        new = cut(verified(pairs.distinct(), texts, shingle, percent))
-        if root is None:
-            root = components(new).withColumnRenamed("node", "lid")
-        elif not new.isEmpty():
-            root = _united(root, new)
-        release(spark)
-
-    while True:
-        apart = cut(_apart(held, root))
-        # the leader of a bucket by hash aggregates: greatest weight, then smallest line
-        best = apart.groupBy("bucket").agg(F.max("weight").alias("w"))
-        lead = apart.join(best, "bucket").where("weight = w").groupBy("bucket").agg(F.min("lid").alias("lead"))
-        led = cut(apart.join(lead, "bucket"))
-        roots = apart.select(F.col("bucket").alias("_b"), F.col("lid").alias("_l"), F.col("root").alias("lead_root"))
-        pairs = led.join(roots, (F.col("bucket") == F.col("_b")) & (F.col("lead") == F.col("_l"))).where("root <> lead_root")
-        unite(pairs.select(F.least("lid", "lead").alias("a"), F.greatest("lid", "lead").alias("b")))
-        held = led.where("lid <> lead").select("bucket", "lid", "weight")  # a leader has met its bucket
-        apart = cut(_with_top(_apart(held, root)))
-        few = apart.where(F.col("outside") <= small)
-        other = few.where("root <> top").select("bucket", F.col("lid").alias("other"), F.col("root").alias("other_root"))
-        unite(few.join(other, "bucket").where("root <> other_root").select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")))
-        many = apart.where(F.col("outside") > small)
-        if many.isEmpty():
-            return root
-        left = many.groupBy("lid").agg(F.max("weight").alias("weight"))
-        some = texts.join(left, "lid", "left_semi")
-        if not split:  # an exact filter: the buckets so far need not be shared any more
-            finer = _prefixes(some, shingle, percent).join(left, "lid").select("bucket", "lid", "weight")
-        else:
-            seed += 1
-            further = buckets(signatures(some, shingle, bands * rows, seed), bands, rows).select("lid", F.col("bucket").alias("further"))
-            finer = many.select("bucket", "lid", "weight").join(further, "lid").select(F.xxhash64("bucket", "further").alias("bucket"), "lid", "weight")
-        split = True
-        held = cut(finer.join(finer.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket"))
-        release(spark)
+    found = cut(links(held, texts, shingle, percent, small))
+    release(spark)
+    return components(found).withColumnRenamed("node", "lid")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -155,3 +155,51 @@ def test_shingle_hashes_and_similarity_against_plain_sets():
 
 def test_empty_table(spark):
     assert ld.removed(empty(spark)).count() == 0 and ld.dedup(empty(spark)).count() == 0
+
+
+def variants(rng, n):
+    """Lines of one family, some of them alike, some only to a few others, and lines of its own."""
+    base = prose(rng, 25)
+    out = {base}
+    while len(out) < n:
+        x = rng.choice(sorted(out)) if rng.random() < 0.3 else base
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(x))
+            x = x[:at] + rng.choice(["#", "QQ", "é"]) + x[at + 1:]
+        out.add(x if rng.random() < 0.9 else prose(rng, 12))
+    return sorted(out)
+
+
+def test_links_of_a_group_join_what_all_pairs_join():
+    rng = random.Random(21)
+    for n in (1, 2, 7, 60, 150):
+        lines = variants(rng, n)
+        comp, _ = brute([(0, "\n".join(lines))])
+        links = ld.joined(pa.array(lines), ld.SHINGLE, 80)
+        assert len(links) == n - len(set(comp.values()))  # a forest: no pair more than needed
+        assert all(comp[lines[a]] == comp[lines[b]] for a, b in links)
+
+
+def test_a_large_group_is_compared_in_blocks_without_a_row_for_each_pair(spark, monkeypatch):
+    """One group of 300 lines in blocks of some 16 (long lines fill a block alone): as all pairs join them, but no row for each pair."""
+    rng = random.Random(22)
+    lines = variants(rng, 298) + [prose(rng, 500), prose(rng, 700)]
+    comp, _ = brute([(0, "\n".join(lines))])
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, _line string")
+    held = texts.selectExpr("0L as lead", "lid")
+    monkeypatch.setattr(ld, "CHARS", 64)
+    placed = ld._placed(held.join(texts.selectExpr("lid", "length(_line) as chars"), "lid"), 16).groupBy("i", "j").count().collect()
+    assert max(r["count"] for r in placed) <= 2 * 16 and len(placed) > 100
+    links = [tuple(r) for r in ld.links(held, texts, ld.SHINGLE, 80, 16).collect()]
+    assert len(links) < len(lines) * len(lines) / 8
+    root = list(range(len(lines)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        assert comp[lines[a]] == comp[lines[b]]
+        root[top(a)] = top(b)
+    assert len({top(i) for i in range(len(lines))}) == len(set(comp.values()))
