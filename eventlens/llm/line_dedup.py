@@ -54,7 +54,7 @@ SMALL = 512      # lines of a block; a larger group is compared block by block
 CHARS = 1024     # characters that count as one line there, so longer lines make smaller blocks
 FEW = 6          # lines of a group whose pairs are compared all at once, together with those of other groups
 SEED = 11
-SLICE = 1 << 18  # bytes of lines that are hashed at once, so that the arrays stay in cache
+SLICE = 1 << 16  # bytes of lines that are hashed at once, so that the arrays stay in cache
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -238,15 +238,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     lines = lines_of(docs, id_col, text_col)
     root = groups(lines, **options)
     at = lines.select("_id", "_key", "_no", "lid").distinct().join(root, "lid", "left").withColumn("root", F.coalesce("root", "lid")).drop("lid")
-    # the first of a component, by hash aggregates over plain columns: smallest id, then line number, then key
-    first = at
-    for c in ("_id", "_no", "_key"):
-        least = first.groupBy("root").agg(F.min(c).alias("_least"), F.max(F.col(c).isNull()).alias("_null")).withColumnRenamed("root", "_r")
-        least = least.withColumn("_least", F.when(~F.col("_null"), F.col("_least"))).drop("_null")
-        first = first.join(least, (F.col("root") == F.col("_r")) & F.col(c).eqNullSafe(F.col("_least"))).drop("_r", "_least")
-    kept = first.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), F.col("_no").alias("_n"))
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")) & (F.col("_no") == F.col("_n"))
-    return at.join(kept, same, "left").withColumn("keep", F.col("_n").isNotNull()).drop("_i", "_k", "_n")
+    # the first of a component: smallest id (null before others), then line number, then key; combined map-side
+    first = at.groupBy("root").agg(F.min(F.struct("_id", "_no", "_key")).alias("_first"))
+    keep = F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_no") == F.col("_first._no")) & (F.col("_key") == F.col("_first._key"))
+    return at.join(first, "root").select("_id", "_key", "_no", "root", keep.alias("keep"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
