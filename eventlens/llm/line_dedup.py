@@ -23,7 +23,7 @@
 
 The form in SQL functions only, which makes a row of every shingle, costs more
 than the limits allow (see the README), so shingles stay inside the task here.
-Its memory follows the longest line, some 60 bytes a character.
+Its memory follows the longest line and the size of a block.
 
 Defined cases: null and empty texts have no lines; lines without a word are
 never removed; lines shorter than a shingle are their own only shingle; rows
