@@ -15,11 +15,15 @@ must share one under each of several orders:
 3. Sets that share a prefix shingle fall into one candidate group. The next
    order works inside the groups of the last, and splits them further: a pair
    stays only if every order keeps it. Groups are built from one edge per set
-   and shingle (a star around the smallest set), so no pair list is made.
+   and shingle (a star around the smallest set), so no pair list is made. Sets
+   that share a shingle but lie too far apart in size to link, with no sets of
+   sizes between them, get no edge, so fewer chance meetings make large groups.
 4. Inside a final group all pairs are verified by exact overlap. A large group
-   is dealt into blocks, every pair of blocks is a task of its own, and a task
-   returns spanning edges and link counts, never its pairs. Where only the
-   components are wanted, pairs already united in a task are passed over.
+   is dealt into blocks in order of size, every pair of blocks whose sizes let
+   sets link is a task of its own, and a task returns spanning edges and link
+   counts, never its pairs. Where only the components are wanted, pairs already
+   united in a task are passed over. What the tasks are sent is bounded: beyond
+   a quarter of all shingles they run in several waves.
 5. Connected components of the verified edges, by distributed star rounds.
 
 Shingles are 64-bit hashes of the words (wrong only if two shingles of a pair
@@ -34,6 +38,9 @@ gives an empty table. Only id and text columns are read.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -47,6 +54,7 @@ PERCENT = 90
 ORDERS = 3
 BLOCK = 256                # sets of a block,
 BLOCK_SHINGLES = 1 << 20   # and shingles of all its sets: a task compares two blocks and takes some 25 bytes a shingle besides the sets
+SENT = 1 << 26             # shingles sent to such tasks at once, or a quarter of those of all documents if that is more
 _HEAVY = 0.005     # of the documents; at most average set size / _HEAVY shingles reach it
 _CHUNK = 2000      # documents over which a task counts shingles
 _SEEDS = [np.uint64(0x1234567 * (k + 1)) for k in range(16)]
@@ -109,11 +117,12 @@ def _heavy_rows(kind: pa.DataType, t: np.ndarray, c: np.ndarray) -> pa.RecordBat
 
 
 _CLASSES = "sid long, comp long, room long, size long, cls int, toks array<long>"
+_SIZED = _CLASSES + ", n long"
 
 
 def _classes(sets: list[np.ndarray], sids, comps, order: int, percent: int, heavy: np.ndarray) -> pa.RecordBatch:
-    """The shingles that may be in a set's prefix, by class of the order: class size and how many prefix places it has left."""
-    out = [[], [], [], [], [], []]
+    """The shingles that may be in a set's prefix, by class of the order: class size, how many prefix places it has left, and the set's size."""
+    out = [[], [], [], [], [], [], []]
     for s, sid, comp in zip(sets, sids, comps):
         n = len(s)
         left = n - -(-percent * n // 100) + 1 if n else 0
@@ -130,41 +139,55 @@ def _classes(sets: list[np.ndarray], sids, comps, order: int, percent: int, heav
                 continue
             if c == 4:  # the frequent ones have their rank already
                 mine = mine[np.argsort(rank[mine])[:left]]
-            for col, x in zip(out, (sid, comp, left, len(mine), c, _signed(s[mine]))):
+            for col, x in zip(out, (sid, comp, left, len(mine), c, _signed(s[mine]), n)):
                 col.append(x)
             left -= len(mine)
             if left <= 0:
                 break
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["sid", "comp", "room", "size", "cls", "toks"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["sid", "comp", "room", "size", "cls", "toks", "n"])
 
 
 def _shared(classes: DataFrame) -> DataFrame:
-    """(comp, tok, sid): the shingles of each set's prefix, in the groups `comp` that share them."""
+    """(comp, tok, sid, n): the shingles of each set's prefix, in the groups `comp` that share them."""
     # frequent shingles (class 4, few sets have them in their prefix) are spread by a salt: they need no count
     salt = F.when(F.col("cls") == 4, F.pmod(F.col("sid"), F.lit(64))).otherwise(F.lit(0))
-    t = classes.select("sid", "comp", "room", "size", "cls", F.explode("toks").alias("tok")).withColumn("salt", salt)
+    t = (classes.select("sid", "comp", (F.col("room") - F.col("size")).alias("room"), "cls", "n", F.explode("toks").alias("tok"))
+         .withColumn("salt", salt))
     at = Window.partitionBy("comp", "tok", "salt")
     some = t.withColumns({"df": F.count("*").over(at), "lo": F.min("sid").over(at), "hi": F.max("sid").over(at)}).where("cls = 4 or lo < hi")
     # copies of a text bring the same rows: they are folded where the window left them, before the next shuffle
-    some = some.groupBy("comp", "tok", "salt", "sid", "cls").agg(*[F.max(c).alias(c) for c in ("room", "size", "df")])
+    some = some.groupBy("comp", "tok", "salt", "sid", "cls").agg(*[F.max(c).alias(c) for c in ("room", "n", "df")])
     own = Window.partitionBy("sid", "cls")
     some = (some.withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "tok")))
-            .where("size - shared + rank <= room").select("comp", "tok", "sid"))
+            .where("rank - shared <= room").select("comp", "tok", "sid", "n"))
     return cut(some)
 
 
-def _star(classes: DataFrame) -> DataFrame:
-    """Edges (a, b): each set and the smallest one that shares a prefix shingle with it."""
+def _star(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): each set and the smallest one that shares a prefix shingle with it, among those that sizes may link to it.
+
+    In order of size, sets that share a shingle are a run while no size is over 100 / percent times the one before it.
+    Sizes of one band are within that of each other, so that runs are made of the least and largest size of each band.
+    """
     prefix = _shared(classes)
     release(classes.sparkSession)  # the shuffles of all shingles go before the rounds make theirs
-    star = prefix.groupBy("comp", "tok").agg(F.min("sid").alias("root"), F.max("sid").alias("last")).where("root < last").drop("last")
-    return prefix.join(star, ["comp", "tok"]).select(F.col("sid").alias("a"), F.col("root").alias("b"))
+    prefix = prefix.withColumn("band", F.floor(F.log("n") / max(math.log(100 / percent) * (1 + 1e-9), 1e-9)))
+    star = prefix.groupBy("comp", "tok", "band").agg(F.min("sid").alias("root"), F.max("sid").alias("last"), F.min("n").alias("least"), F.max("n").alias("most"))
+    up = Window.partitionBy("comp", "tok").orderBy("band")
+    star = star.withColumn("apart", (F.lag("band").over(up) < F.col("band") - 1) | (F.lag("most").over(up) * 100 < F.col("least") * percent))
+    star = star.withColumn("run", F.count(F.when(F.col("apart"), 1)).over(up))
+    run = Window.partitionBy("comp", "tok", "run")
+    star = (star.select("comp", "tok", "band", F.min("root").over(run).alias("root"), F.max("last").over(run).alias("last"))
+            .where("root < last").drop("last"))
+    return prefix.join(star, ["comp", "tok", "band"]).select(F.col("sid").alias("a"), F.col("root").alias("b"))
 
 
-def _groups(classes: DataFrame) -> DataFrame:
-    """Candidate groups (node, root) under one order, within the groups `comp`."""
-    return components(_star(classes))
+def _groups(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate groups (node, root) under one order, within the groups `comp`; without sizes `n`, all sets count as of one size."""
+    if "n" not in classes.columns:
+        classes = classes.withColumn("n", F.lit(1).cast("long"))
+    return components(_star(classes, percent))
 
 
 def _lists(col: pa.Array) -> list[np.ndarray]:
@@ -229,18 +252,49 @@ def _verify(members: list[tuple], percent: int, count: bool = True):
     return edges, [(members[i][0], int(links[i])) for i in np.flatnonzero(links).tolist()] if count else []
 
 
-def _links(sets: DataFrame, percent: int, count: bool = True) -> DataFrame:
-    """Rows (a, b, links): spanning edges (links null), and link counts of a (b null). `sets`: sid, comp, copies, toks."""
-    size = sets.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.size("toks")).alias("held")).where("m > 1")
-    last = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES))) - 1
-    s = sets.join(size, "comp").withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("last") + 1))
-    s = (s.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-         .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid",
-                 (F.col("block") > F.col("other")).cast("int").alias("side"), "copies", "toks"))
+def _tasks(sizes: DataFrame, percent: int) -> DataFrame:
+    """(sid, comp, n, i, j, side): the pairs of blocks, i <= j, in which a set is compared; side 1 is block j of two. `sizes`: sid, comp, n.
+
+    Blocks follow the sizes of a group's sets, and two blocks meet only if their sizes let a set of one link to a set of the other.
+    """
+    up = Window.partitionBy("comp").orderBy("n", "sid")
+    s = sizes.withColumns({"m": F.count("*").over(Window.partitionBy("comp")), "place": F.row_number().over(up) - 1,
+                           "before": F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")})
+    s = s.where("m > 1").withColumn("block", F.floor(F.col("place") / BLOCK) + F.floor(F.col("before") / BLOCK_SHINGLES))
+    blocks = s.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    pairs = (blocks.select("comp", F.col("block").alias("i"), "most").join(blocks.select("comp", F.col("block").alias("j"), "least"), "comp")
+             .where((F.col("i") <= F.col("j")) & (F.col("least") * percent <= F.col("most") * 100)))
+    sides = F.when(F.col("i") < F.col("j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    pairs = (pairs.select("comp", "i", "j", F.explode(sides).alias("side"))
+             .withColumn("block", F.when(F.col("side") == 1, F.col("j")).otherwise(F.col("i"))))
+    return s.join(pairs, ["comp", "block"]).select("sid", "comp", "n", "i", "j", "side")
+
+
+def _links(sets: DataFrame, percent: int, count: bool = True, sent: int = SENT) -> DataFrame:
+    """Rows (a, b, links): spanning edges (links null), and link counts of a (b null). `sets`: sid, comp, copies, toks, and n if known; rows of a sid may repeat.
+
+    Tasks that are sent more than `sent` shingles in all run in waves, and what a wave shuffled is released before the next.
+    """
+    if "n" not in sets.columns:
+        sets = sets.withColumn("n", F.size("toks"))
+    tasks = _tasks(sets.select("sid", "comp", "n").distinct(), percent)
+    waves = -(-(tasks.agg(F.sum("n")).first()[0] or 0) // sent)
+    if waves < 2:
+        return _compared(tasks, sets, percent, count)
+    tasks, found = cut(tasks), []
+    for k in range(waves):
+        found.append(cut(_compared(tasks.where(F.pmod(F.xxhash64("comp", "i", "j"), F.lit(waves)) == k), sets, percent, count)))
+        release(sets.sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _compared(tasks: DataFrame, sets: DataFrame, percent: int, count: bool) -> DataFrame:
+    """What the tasks find."""
+    s = tasks.drop("n").join(sets.select("sid", "copies", "toks"), "sid")
     s = s.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
 
     def run(batches):
-        key, group = None, []
+        key, group, seen = None, [], set()
 
         def done():
             edges, counts = _verify(group, percent, count) if key[1] == key[2] or len({x[1] for x in group}) > 1 else ([], [])  # the other block is empty
@@ -254,8 +308,10 @@ def _links(sets: DataFrame, percent: int, count: bool = True) -> DataFrame:
                 if (comp, i, j) != key:
                     if len(group) > 1:
                         yield done()
-                    key, group = (comp, i, j), []
-                group.append((sid, side, copies, toks))
+                    key, group, seen = (comp, i, j), [], set()
+                if sid not in seen:
+                    seen.add(sid)
+                    group.append((sid, side, copies, toks))
         if len(group) > 1:
             yield done()
 
@@ -277,31 +333,38 @@ def _members(docs: DataFrame, shingle: int, percent: int, orders: int, id_col: s
             seen.update(sids)
             yield _classes([sets[x] for x in sids], sids, [0] * len(sids), 0, percent, heavy)
 
-    group = _groups(rows.mapInArrow(first, _CLASSES))
+    group = _groups(rows.mapInArrow(first, _SIZED), percent)
     release(docs.sparkSession)
     unique = members.where("n > 0").groupBy("h1", "h2").agg(F.min("_id").alias("_rep"), F.count("*").alias("copies"))
     wanted = unique.join(group, F.col("h1") == F.col("node")).select("_rep", F.col("h1").alias("sid"), F.col("root").alias("comp"), "copies")
 
     def read(batches):
+        seen = set()  # a set comes again where an id repeats: once from a task, and whoever reads sets expects copies
         for b in slices(batches, "_text"):
-            sets, sid = shingle_sets(b.column("_text"), shingle), b.column("sid").to_pylist()
-            same = [_fingerprint(s)[0] == x for s, x in zip(sets, sid)]  # ids may repeat over other texts
-            keep = [_signed(s) for s, ok in zip(sets, same) if ok]
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(same)) for c in ("sid", "comp", "copies")] + [pa.array(keep, pa.list_(pa.int64()))],
-                                             names=["sid", "comp", "copies", "toks"])
+            sets, sid, keep = shingle_sets(b.column("_text"), shingle), b.column("sid").to_pylist(), []
+            for s, x in zip(sets, sid):
+                keep.append(x not in seen and _fingerprint(s)[0] == x)  # ids may repeat over other texts
+                if keep[-1]:
+                    seen.add(x)
+            toks = [_signed(s) for s, ok in zip(sets, keep) if ok]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("sid", "comp", "copies")] +
+                                             [pa.array([len(t) for t in toks], pa.int64()), pa.array(toks, pa.list_(pa.int64()))],
+                                             names=["sid", "comp", "copies", "n", "toks"])
 
     sets = (rows.join(wanted, F.col("_id").eqNullSafe(F.col("_rep"))).select("_text", "sid", "comp", "copies")
-            .mapInArrow(read, "sid long, comp long, copies long, toks array<long>"))
-    sets = cut(sets.dropDuplicates(["sid"]))
+            .mapInArrow(read, "sid long, comp long, copies long, n long, toks array<long>"))
+    sets = cut(sets)
     release(docs.sparkSession)
     for k in range(1, orders):
         def again(batches, k=k):
             for b in batches:
                 yield _classes(_lists(b.column("toks")), b.column("sid").to_pylist(), b.column("comp").to_pylist(), k, percent, heavy)
 
-        group = _groups(sets.select("sid", "comp", "toks").mapInArrow(again, _CLASSES))
+        group = _groups(sets.select("sid", "comp", "toks").mapInArrow(again, _SIZED), percent)
+        release(docs.sparkSession)
         sets = sets.drop("comp").join(group.select(F.col("node").alias("sid"), F.col("root").alias("comp")), "sid")
-    found = cut(_links(sets, percent, count))
+    found = cut(_links(sets, percent, count, max(SENT, (members.agg(F.sum("n")).first()[0] or 0) // 4)))
+    release(docs.sparkSession)
     comp = components(found.where("b is not null").select("a", "b")).withColumnRenamed("root", "_root")
     degree = found.where("b is null").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("_links"))
 

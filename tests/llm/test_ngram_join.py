@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.llm import common, ngram_join
 from tests.llm.helpers import documents, empty, prose, words
@@ -131,6 +132,92 @@ def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
     assert {tuple(r) for r in got} == want and "3000" in plan
 
 
+def test_sets_of_unlike_sizes_get_no_edge(spark):
+    """A shared shingle joins sets whose sizes may link, or that others of sizes between them join: runs in order of size."""
+    rng = random.Random(3)
+    sizes, toks = {}, {}
+    for t in range(60):
+        for _ in range(rng.randrange(2, 9)):
+            sid = len(sizes)
+            sizes[sid], toks[sid] = rng.choice([rng.randrange(1, 12), rng.randrange(50, 400), rng.randrange(4000, 9000)]), t
+    sizes |= {1000: 100, 1001: 125, 1002: 156, 1003: 196, 1004: 100, 1005: 126}
+    toks |= {1000: 900, 1001: 900, 1002: 900, 1003: 900, 1004: 901, 1005: 901}  # 196 is over 1.25 times 156, 126 over 1.25 times 100
+    rows = [(sid, 0, 2, 1, 0, [toks[sid]], n) for sid, n in sizes.items()]
+    want = set()
+    for t in set(toks.values()):
+        run = []
+        for sid in sorted((x for x in toks if toks[x] == t), key=lambda x: (sizes[x], x)) + [None]:
+            if run and (sid is None or 80 * sizes[sid] > 100 * sizes[run[-1]]):
+                want |= {(x, min(run)) for x in run if len(run) > 1}
+                run = []
+            run.append(sid)
+    assert {(1000, 1000), (1001, 1000), (1002, 1000)} <= want and not any(x in (1003, 1004, 1005) for x, _ in want)
+    got = ngram_join._groups(spark.createDataFrame(rows, ngram_join._SIZED), 80).collect()
+    assert {(r.node, r.root) for r in got} == want and len(got) == len(want)
+
+
+def grid():
+    """A group of sets of many sizes, of which few pairs may link."""
+    rng = random.Random(12)
+    out = []
+    for sid in range(60):
+        start, n = rng.randrange(0, 4), int(20 * 1.08 ** sid)
+        out.append((sid, 1, 1 + sid % 3, list(range(start, start + n))))
+    return out
+
+
+def grid_links(rows, percent=80):
+    sets = {sid: set(t) for sid, _, _, t in rows}
+    copies = {sid: c for sid, _, c, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return pairs, {a: sum(copies[b] for x, b in pairs if x == a) for a, _ in pairs}
+
+
+def test_blocks_meet_only_where_sizes_link(spark, monkeypatch):
+    """Every linked pair meets in one task; a set is not sent to the blocks of all other sizes of its group."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = grid()
+    sizes = spark.createDataFrame([(sid, comp, len(t)) for sid, comp, _, t in rows] + [(999, 2, 5)], "sid long, comp long, n long")
+    tasks = [tuple(r) for r in ngram_join._tasks(sizes, 80).select("sid", "i", "j", "side").collect()]
+    members = {}
+    for sid, i, j, side in tasks:
+        members.setdefault((i, j), []).append((sid, side))
+    for a, b in grid_links(rows)[0]:
+        met = [k for k, v in members.items() if {a, b} <= {x for x, _ in v} and (k[0] == k[1] or dict(v)[a] != dict(v)[b])]
+        assert len(met) == 1
+    assert len(tasks) == len(set(tasks)) and not any(sid == 999 for sid, *_ in tasks)
+    assert len(tasks) < 60 * 15 / 2  # 15 blocks
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 4000])
+def test_waves_find_the_same(spark, monkeypatch, sent):
+    """What tasks are sent is bounded by wave, and all waves together find what one does; a set that comes twice counts once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows, cuts = grid(), []
+    monkeypatch.setattr(ngram_join, "cut", lambda df: cuts.append(df) or common.cut(df))
+    sets = spark.createDataFrame(rows + rows[::7], "sid long, comp long, copies long, toks array<long>").repartition(3)
+    pairs, links = grid_links(rows)
+    found = ngram_join._links(sets, 80, sent=sent).collect()
+    got = {}
+    for r in found:
+        if r.b is None:
+            got[r.a] = got.get(r.a, 0) + r.links
+    assert got == links and {(r.a, r.b) for r in found if r.b is not None} <= set(pairs)
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    bare = ngram_join._links(sets, 80, False, sent).where("b is not null").select("a", "b")
+    want = {(r.node, r.root) for r in common.components(edges).collect()}
+    assert {(r.node, r.root) for r in common.components(bare).collect()} == want
+    assert (len(cuts) > 6) == (sent == 4000)
+
+
+def test_release_waits_until_frames_are_let_go(spark):
+    """When the JVM's collector runs, it knows of all frames that Python let go."""
+    for _ in range(20):
+        spark.range(10).groupBy((F.col("id") % 3).alias("k")).count().collect()
+    common.release(spark)
+    assert not spark.sparkContext._gateway._gateway_client.finalizer_deque
+
+
 @pytest.mark.parametrize("block", [2, 5])
 def test_small_blocks_match_all_pairs(spark, monkeypatch, block):
     """Many tasks of two blocks, some of them with an empty block."""
